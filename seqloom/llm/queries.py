@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from seqloom.llm.bpe import BpeCodec
 from seqloom.llm.common import documents
 from seqloom.llm.packing import Packer
+from seqloom.llm.simhash import hexadecimal, near_duplicates
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(documents(spark, sf_dir))
+    return groups.select("doc_id", hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +27,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_best_fit_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op5_simhash_near_dedup, op7_best_fit_packing, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
