@@ -6,12 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.llm import langid, ordinal, quality
 from seqloom.llm.bpe import BpeCodec
 from seqloom.llm.common import documents
 from seqloom.llm.packing import Packer
 from seqloom.llm.simhash import hexadecimal, near_duplicates
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates(documents(spark, sf_dir))
     return groups.select("doc_id", hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
@@ -21,13 +34,24 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Packer(spark, public_tokenizers.path("byte_bpe_50k.json")).pack(documents(spark, sf_dir))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.rate(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = BpeCodec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return documents(spark, sf_dir).select("doc_id", codec.digest(codec.encode(F.col("text"))).alias("r")).select("doc_id", "r.*")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_simhash_near_dedup, op7_best_fit_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (
+        op2_quality_rules,
+        op4_language_id,
+        op5_simhash_near_dedup,
+        op7_best_fit_packing,
+        op8_quality_classifier,
+        op10_byte_bpe,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
