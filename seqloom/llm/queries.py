@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import langid, ordinal, quality
+from seqloom.llm import bitslice, langid, licenses, ordinal, quality
 from seqloom.llm.bpe import BpeCodec
 from seqloom.llm.common import documents
 from seqloom.llm.packing import Packer
@@ -21,6 +21,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -38,21 +42,46 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.rate(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    index = bitslice.build_index(vectors, "vec_id", "embedding")
+    return bitslice.search(index, vectors.where(F.col("vec_id") % bitslice.EVERY == 0), "vec_id", "embedding")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = BpeCodec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return documents(spark, sf_dir).select("doc_id", codec.digest(codec.encode(F.col("text"))).alias("r")).select("doc_id", "r.*")
 
 
+OP9 = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id,
+           list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 5
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op2_quality_rules,
+        op3_license_scan,
         op4_language_id,
         op5_simhash_near_dedup,
         op7_best_fit_packing,
         op8_quality_classifier,
+        op9_exact_top_k,
         op10_byte_bpe,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_top_k": OP9}
