@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bitslice, langid, licenses, ordinal, quality
+from seqloom.llm import bitslice, langid, licenses, ordinal, pii, quality
 from seqloom.llm.bpe import BpeCodec
 from seqloom.llm.common import documents
 from seqloom.llm.packing import Packer
@@ -34,6 +34,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    counts = [F.expr(f"CAST(size(filter(base, x -> x.kind = {k})) AS BIGINT)").alias(f"n_{name}") for k, name in enumerate(pii.BASE_KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Packer(spark, public_tokenizers.path("byte_bpe_50k.json")).pack(documents(spark, sf_dir))
 
@@ -76,6 +82,7 @@ def queries() -> dict:
         op3_license_scan,
         op4_language_id,
         op5_simhash_near_dedup,
+        op6_personal_data,
         op7_best_fit_packing,
         op8_quality_classifier,
         op9_exact_top_k,
