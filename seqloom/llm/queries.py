@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bitslice, langid, licenses, ordinal, pii, quality
+from seqloom.llm import bitslice, brown, langid, licenses, ordinal, pii, quality
 from seqloom.llm.bpe import BpeCodec
 from seqloom.llm.common import documents
 from seqloom.llm.packing import Packer
@@ -17,6 +17,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_brown_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -78,6 +82,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS
 
 def queries() -> dict:
     return {f.__name__: f for f in (
+        op1_brown_ngrams,
         op2_quality_rules,
         op3_license_scan,
         op4_language_id,
