@@ -12,12 +12,14 @@ import gzip
 import io
 import json
 import os
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from seqloom.schema import READ_SCHEMA
 
@@ -235,18 +237,81 @@ def fastq_text(reads: DataFrame) -> DataFrame:
     return reads.select(F.concat(*parts).alias("value"))
 
 
-def _write_text(df: DataFrame, path: str, overwrite: bool) -> None:
-    df.write.mode("overwrite" if overwrite else "errorifexists").option("encoding", "ISO-8859-1").text(path)
+def _system(path: str):
+    """(pyarrow file system, path within it)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, name: str):
+        self.name = name
+
+
+class LineWriter(DataSourceArrowWriter):
+    """A file for each task, one byte for each character; files appear in the folder once all tasks have ended."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        system, folder = _system(self.path)
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
+        system.create_dir(f"{folder}/_pending", recursive=True)
+        with system.open_output_stream(f"{folder}/_pending/{name}") as f:
+            for b in iterator:
+                for v in b.column(0).to_pylist():
+                    f.write(v.encode("latin-1") + b"\n")
+        return _Written(name)
+
+    def commit(self, messages) -> None:
+        system, folder = _system(self.path)
+        system.create_dir(folder, recursive=True)
+        for m in messages:
+            if m is not None:
+                system.move(f"{folder}/_pending/{m.name}", f"{folder}/{m.name}")
+        self.abort(messages)
+
+    def abort(self, messages) -> None:
+        from pyarrow import fs
+
+        system, folder = _system(self.path)
+        if system.get_file_info(f"{folder}/_pending").type != fs.FileType.NotFound:
+            system.delete_dir(f"{folder}/_pending")
+
+
+class LineSink(DataSource):
+    """Sink for one string column of Latin-1 text, which Spark's own text sink cannot write."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "latin1_lines"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return LineWriter(self.options["path"])
+
+
+def _write_lines(lines: DataFrame, path: str, overwrite: bool) -> None:
+    from pyarrow import fs
+
+    system, folder = _system(path)
+    if system.get_file_info(folder).type != fs.FileType.NotFound:
+        if not overwrite:
+            raise FileExistsError(f"{path} exists")
+        system.delete_dir(folder)
+    lines.sparkSession.dataSource.register(LineSink)
+    lines.write.format("latin1_lines").mode("append").save(path)
 
 
 def write_fastq(reads: DataFrame, path: str, overwrite: bool = False) -> None:
     """A folder of text files in the order of the rows; an existing one is an error unless ``overwrite``."""
-    _write_text(fastq_text(reads), path, overwrite)
+    _write_lines(fastq_text(reads), path, overwrite)
 
 
 def write_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """The string column ``value`` as lines."""
-    _write_text(df.select("value"), path, overwrite)
+    """The string column ``value`` as lines; it may hold several, as FASTA records do."""
+    _write_lines(df.select("value"), path, overwrite)
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True, overwrite: bool = False) -> None:

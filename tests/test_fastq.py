@@ -89,6 +89,15 @@ def test_round_trip(spark, tmp_path):
     fastq.write_fastq(df, str(tmp_path / "out"), overwrite=True)
 
 
+def test_any_quality_is_written(spark, tmp_path):
+    qual = bytes(range(33, 127)) + b" \\\"',\t#"
+    for lead in (b'"', b"#", b" ", b"\\", b""):
+        data = b"@ a \n" + lead + b"\n+\n" + lead + qual + b" \n"
+        (tmp_path / "q").write_bytes(data)
+        fastq.write_fastq(fastq.read_fastq(spark, str(tmp_path / "q")), str(tmp_path / "o"), overwrite=True)
+        assert b"".join(p.read_bytes() for p in (tmp_path / "o").glob("part-*")) == data
+
+
 def test_nul_ends_a_field(spark):
     df = spark.createDataFrame([("f", 0, "a", "AC", "", "I\0I")], "source_file string, rec_no bigint, id1 string, seq string, id2 string, qual string")
     assert fastq.fastq_text(df).first()["value"] == "@a\nAC\n+\nI"
