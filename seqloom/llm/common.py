@@ -54,10 +54,12 @@ def fold(key: str, parts: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
 
 
-def bounded_sample(df: DataFrame, size: int, *key: str) -> DataFrame:
-    """At most ``size`` rows, chosen by a hash of ``key``; only about that many rows leave the tasks that read them."""
+def bounded_sample(df: DataFrame, size: int, *key: str, distinct: bool = False) -> DataFrame:
+    """About 1.3 times ``size`` rows of ``df`` at most (all, if fewer), chosen by a hash of ``key``, in a column ``nth`` to
+    order by: ``orderBy("nth").limit(size)`` after what shortens the rows. ``distinct`` drops repeated rows first, within
+    the tasks that read them, so that one row repeated cannot fill the sample."""
     n = df.count()
     share = min(1.0, 1.3 * size / max(n, 1))
     h = F.xxhash64(*key)
     chosen = df.where(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    return chosen.orderBy(h, *key).limit(size)
+    return (chosen.distinct() if distinct else chosen).withColumn("nth", h)

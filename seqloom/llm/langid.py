@@ -130,21 +130,22 @@ class LanguageModel:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Fit on a bounded sample of the rows with a text and a language. The texts stay on the executors; what comes to the
-    driver is at most BUCKETS numbers for each sampled text."""
-    chosen = bounded_sample(docs.where("text is not null and lang is not null").select("doc_id", "text", "lang"), sample, "doc_id", "text")
+    driver is at most 6 bytes x BUCKETS for each sampled text."""
+    bound_batches(docs.sparkSession)
+    labelled = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    chosen = bounded_sample(labelled, sample, "doc_id", "text", distinct=True)
 
-    @F.arrow_udf("struct<at:array<int>,count:array<int>>")
+    @F.arrow_udf("struct<at:binary,count:binary>")
     def sparse(texts: pa.Array) -> pa.Array:
         at, count = [], []
         for t in texts:
             c = gram_counts(t.as_py())
-            at.append(np.flatnonzero(c))
-            count.append(c[at[-1]])
-        kind = pa.list_(pa.int32())
-        return pa.StructArray.from_arrays([pa.array(at, kind), pa.array(count, kind)], ["at", "count"])
+            at.append(np.flatnonzero(c).astype("<u2").tobytes())
+            count.append(c[c > 0].astype("<u4").tobytes())
+        return pa.StructArray.from_arrays([pa.array(at, pa.binary()), pa.array(count, pa.binary())], ["at", "count"])
 
-    rows = chosen.select("lang", sparse("text").alias("f")).select("lang", "f.*").collect()
-    features = [(np.array(r["at"], np.int64), np.array(r["count"], np.int64)) for r in rows]
+    rows = chosen.select("nth", "lang", sparse("text").alias("f")).orderBy("nth", "lang").limit(sample).select("lang", "f.*").collect()
+    features = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["count"], "<u4").astype(np.int64)) for r in rows]
     if not rows:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     return LanguageModel.fit(features, [r["lang"] for r in rows])

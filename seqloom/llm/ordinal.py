@@ -28,7 +28,7 @@ from seqloom.llm.common import bound_batches, bounded_sample
 BUCKETS_LOG2 = 15
 BUCKETS = 1 << BUCKETS_LOG2
 GRADES = 3
-#: Rated documents that the weights are fitted on, at most, and buckets kept of each in fitting.
+#: Rated documents that the weights are fitted on, at most.
 SAMPLE = 8000
 EPOCHS, BATCH, RATE, L2 = 30, 64, 0.3, 1e-4
 #: A bucket gets a weight if it is in at least LEAST rated documents and its shares on the two sides of a threshold
@@ -58,13 +58,13 @@ class _Tokens(dict):
         return out
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values: words by presence, traits by their share of the words. Whole text."""
+def features(text: str | None) -> np.ndarray:
+    """Buckets of what the text has: its words, and its traits in steps. Whole text."""
     raw = (text or "").encode()
     words = raw.split()
     n = len(words)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64)
     tokens = _Tokens()
     known = set(words)
     present = {b for w in known for b in tokens[w]}
@@ -77,21 +77,17 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         b"upper": (len(raw) - len(raw.translate(None, bytes(range(65, 91))))) / len(raw),
         b"short": 1.0 if n < 20 else 0.0,
     }
-    value = dict.fromkeys(present, 1.0)
-    for name, x in traits.items():
-        for k in range(1, 6):
-            if x >= k / 10:
-                value[_bucket(b"trait:%s:%d" % (name, k))] = 1.0
-    return np.fromiter(value.keys(), np.int64, len(value)), np.fromiter(value.values(), float, len(value))
+    present.update(_bucket(b"trait:%s:%d" % (name, k)) for name, x in traits.items() for k in range(1, 6) if x >= k / 10)
+    return np.array(sorted(present), np.int64)
 
 
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def told_apart(x: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray) -> np.ndarray:
+def told_apart(x: list[np.ndarray], grade: np.ndarray) -> np.ndarray:
     seen = np.zeros((GRADES, BUCKETS))
-    for (at, _), g in zip(x, grade):
+    for at, g in zip(x, grade):
         seen[g, at] += 1
     rows = np.bincount(grade, minlength=GRADES)
     usable = np.zeros(BUCKETS, bool)
@@ -114,7 +110,7 @@ class OrdinalModel:
         return sigmoid(np.asarray(z)[..., None] - self.thresholds)
 
     @classmethod
-    def fit(cls, x: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, seed: int = 0) -> OrdinalModel:
+    def fit(cls, x: list[np.ndarray], grade: np.ndarray, seed: int = 0) -> OrdinalModel:
         """AdaGrad on the likelihood; thresholds are a first one plus positive steps, so that they stay ordered."""
         rng = np.random.default_rng(seed)
         n = len(grade)
@@ -131,9 +127,9 @@ class OrdinalModel:
         for epoch in range(EPOCHS):
             for rows in np.array_split(rng.permutation(n), max(1, n // BATCH)):
                 t = thresholds()
-                size = np.array([len(x[i][0]) for i in rows])
-                at = np.concatenate([x[i][0] for i in rows])
-                value = np.concatenate([x[i][1] for i in rows]) * usable[at]
+                size = np.array([len(x[i]) for i in rows])
+                at = np.concatenate([x[i] for i in rows])
+                value = usable[at].astype(float)
                 row = np.repeat(np.arange(len(rows)), size)
                 z = np.bincount(row, w[at] * value, len(rows))
                 y = grade[rows]
@@ -151,35 +147,40 @@ class OrdinalModel:
                 free2 += gf * gf
                 free -= RATE * 0.3 * gf / np.sqrt(free2)
         model = cls(w, thresholds(), 0.5)
-        top = np.array([float(model.above(model.score(*x[i]))[-1]) for i in np.flatnonzero(grade == GRADES - 1)])
+        top = np.array([float(model.above(model.score(x[i]))[-1]) for i in np.flatnonzero(grade == GRADES - 1)])
         if len(top):
             model.select = float(min(0.5, np.quantile(top, LOSS)))
         return model
 
-    def score(self, at: np.ndarray, value: np.ndarray) -> float:
-        return float(self.weights[at] @ value)
-
-
-_LOADED: dict[str, OrdinalModel] = {}
+    def score(self, at: np.ndarray) -> float:
+        return float(self.weights[at].sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel | None:
     """Fit on a bounded sample of ``labels`` (doc_id, quality, toxic)."""
     grade = F.when(F.col("quality") <= 0, 0).when(F.coalesce("toxic", F.lit(0)) > 0, 1).otherwise(2)
     rated = labels.where("doc_id is not null and quality is not null").select("doc_id", grade.alias("grade")).distinct()
-    chosen = bounded_sample(rated, sample, "doc_id", "grade")
-
-    @F.arrow_udf("struct<at:array<int>,value:array<double>>")
-    def sparse(texts: pa.Array) -> pa.Array:
-        found = [features(t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], ["at", "value"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").distinct()  # SAMPLE rows at most
-    rows = rows.select("grade", sparse("text").alias("f")).select("grade", "f.*").collect()
+    bound_batches(docs.sparkSession)
+    chosen = bounded_sample(rated, sample, "doc_id", "grade").orderBy("nth").limit(sample).select("doc_id", "grade")
+    met = bounded_sample(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), sample, "doc_id", "text", distinct=True)  # SAMPLE rows
+
+    @F.arrow_udf("binary")
+    def present(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            bits = np.zeros(BUCKETS, np.uint8)
+            bits[features(t.as_py())] = 1
+            out.append(np.packbits(bits).tobytes())
+        return pa.array(out, pa.binary())
+
+    rows = met.select("nth", "grade", present("text").alias("bits")).orderBy("nth", "grade").limit(sample).collect()  # BUCKETS bits each
     y = np.array([r["grade"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    return OrdinalModel.fit([(np.array(r["at"], np.int32), np.array(r["value"], np.float32)) for r in rows], y)
+    return OrdinalModel.fit([np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8))).astype(np.int32) for r in rows], y)
+
+
+_LOADED: dict[str, OrdinalModel] = {}
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -200,7 +201,7 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
         if m is None:
             n = len(texts)
             return pa.StructArray.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.float64()), pa.array([1.0] * n, pa.float64()), pa.array([True] * n, pa.bool_())], names)
-        above = m.above(np.array([m.score(*features(t.as_py())) for t in texts]).reshape(-1))
+        above = m.above(np.array([m.score(features(t.as_py())) for t in texts]).reshape(-1))
         each = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1), axis=1)
         tail = above[:, -1]
         return pa.StructArray.from_arrays([pa.array(each.argmax(axis=1), pa.int32()), pa.array(above.sum(axis=1), pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= m.select, pa.bool_())], names)

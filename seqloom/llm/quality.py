@@ -174,14 +174,16 @@ _LOADED: dict[str, Trees] = {}
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | None:
     """Fit on a bounded sample of ``labels`` (doc_id, quality); what comes to the driver is a row of features for each."""
-    chosen = bounded_sample(labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").distinct(), sample, "doc_id", "quality")
+    bound_batches(docs.sparkSession)
+    named = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").distinct()
+    chosen = bounded_sample(named, sample, "doc_id", "quality").orderBy("nth").limit(sample).select("doc_id", "quality")
+    met = bounded_sample(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), sample, "doc_id", "text", distinct=True)  # SAMPLE rows
 
     @F.arrow_udf("array<double>")
     def features(texts: pa.Array) -> pa.Array:
         return pa.array([statistics(t.as_py())[1] for t in texts], pa.list_(pa.float64()))
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").distinct()  # SAMPLE rows at most
-    rows = rows.select("quality", features("text").alias("x")).collect()
+    rows = met.select("nth", "quality", features("text").alias("x")).orderBy("nth", "quality").limit(sample).collect()
     y = np.array([float(r["quality"] > 0) for r in rows])
     if not len(y) or y.min() == y.max():
         return None

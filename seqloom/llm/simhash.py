@@ -236,4 +236,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("__row_hash", F.xxhash64("text"))
     met = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["__stay_id"]) & (keyed["__row_hash"] == stay["__stay_hash"]))
     nth = F.row_number().over(Window.partitionBy("__stay_id", "__stay_hash").orderBy("__row_hash"))
-    return met.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    return met.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
