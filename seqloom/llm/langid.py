@@ -39,6 +39,8 @@ _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 def gram_buckets(text: str) -> np.ndarray:
     """Bucket of each n-gram of the text."""
     words = text.lower().encode().translate(_FOLD).split()
+    if not words:
+        return np.zeros(0, np.uint32)
     a = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     gap = a == 32
     a = a.astype(np.uint32)
