@@ -27,7 +27,7 @@ SPLIT_BYTES, CHUNK_BYTES = 64 << 20, 4 << 20
 _ARROW = pa.schema([pa.field(f.name, pa.int64() if f.name == "rec_no" else pa.string(), nullable=False) for f in READ_SCHEMA.fields])
 
 
-def _open(path: str) -> io.BufferedIOBase:
+def open_file(path: str) -> io.BufferedIOBase:
     """A local path, or any URI that a pyarrow file system reads; ``.gz`` is unpacked."""
     if "://" in path and not path.startswith("file://"):
         from pyarrow import fs
@@ -149,7 +149,7 @@ class FastqReader(DataSourceReader):
         return [FastqSplit(*s) for s in self.splits]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        with _open(partition.path) as f:
+        with open_file(partition.path) as f:
             yield from read_split(f, partition, self.strict_tail)
 
 
@@ -184,7 +184,7 @@ def plan_splits(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_
             found = []
             for r in b.to_pylist():
                 n, left = 0, r["stop"] - r["start"]
-                with _open(r["path"]) as f:
+                with open_file(r["path"]) as f:
                     f.seek(r["start"])
                     while left and (data := f.read(min(CHUNK_BYTES, left))):
                         n += data.count(b"\n")
@@ -210,7 +210,7 @@ def read_fastq(spark: SparkSession, paths: str | list[str], missing: str = "erro
     found = []
     for p in paths:
         try:
-            with _open(p):
+            with open_file(p):
                 found.append(p)
         except OSError:
             if missing == "error":
