@@ -12,6 +12,7 @@ import gzip
 import io
 import json
 import os
+import sys
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -215,7 +216,7 @@ def read_fastq(spark: SparkSession, paths: str | list[str], missing: str = "erro
         except OSError:
             if missing == "error":
                 raise
-            print(f"skipped: {p} cannot be opened")
+            print(f"skipped: {p} cannot be opened", file=sys.stderr)
     if not found:
         return spark.createDataFrame([], READ_SCHEMA)
     spark.dataSource.register(FastqDataSource)
