@@ -204,9 +204,11 @@ class Chunk:
 
 
 def build_index(vectors: DataFrame, key: str, vector: str, scale: int = SCALE, size: int = CHUNK) -> DataFrame:
-    """The index as a table of chunks in the shared folder."""
-    bound_batches(vectors.sparkSession)
-    return stage_table(vectors.select(F.col(key).cast("bigint"), F.col(vector)).mapInArrow(_build(scale, size), _INDEX), "bit-slices")
+    """The index as a table of chunks in the shared folder, spread over files so that all tasks get some."""
+    spark = vectors.sparkSession
+    bound_batches(spark)
+    chunks = vectors.select(F.col(key).cast("bigint"), F.col(vector)).mapInArrow(_build(scale, size), _INDEX)
+    return stage_table(chunks.repartition(2 * spark.sparkContext.defaultParallelism), "bit-slices")
 
 
 def search(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int = TOP, scale: int = SCALE, block: int = QUERY_BLOCK) -> DataFrame:
@@ -214,12 +216,13 @@ def search(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     broadcast that passes once over the index."""
     spark = index.sparkSession
     wanted = queries.select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("vector")).where("key is not null").distinct()
-    blocks = -(-wanted.count() // block)
-    deal = F.pmod(F.xxhash64("key"), F.lit(max(1, blocks)))
-    spread = index.repartition(2 * spark.sparkContext.defaultParallelism)
+    blocks = max(1, -(-wanted.count() // block))
+    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    if blocks > 1:
+        wanted = stage_table(wanted, "queries", "block")
     found = None
-    for b in range(max(1, blocks)):
-        rows = wanted.where(deal == b).collect()  # about `block` queries
+    for b in range(blocks):
+        rows = wanted.where(F.col("block") == b).collect()  # about `block` queries
         quantised = quantise(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), scale)
         asked = spark.sparkContext.broadcast([(r["key"], q) for r, q in zip(rows, quantised) if q is not None])
 
@@ -235,7 +238,9 @@ def search(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
                         scores += s.tolist()
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
 
-        part = spread.mapInArrow(answer, "query_id bigint, vec_id bigint, score bigint")
+        part = index.mapInArrow(answer, "query_id bigint, vec_id bigint, score bigint")
+        if blocks > 1:
+            part = stage_table(part, "answers")
         found = part if found is None else found.union(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -17,16 +17,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is set only where the session names none."""
     set_by = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_by:
-        set_by = tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", set_by)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
+        set_by = spark.sparkContext.getCheckpointDir()
     return set_by.rstrip("/")
 
 
-def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, nothing is kept in executors."""
+def stage_table(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in a folder for each value of ``by``, and read it back: lineage is
+    cut, nothing is kept in executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -210,7 +210,8 @@ def hamming_links(prints: DataFrame, budget: int = BUDGET, subtrie: int = SUBTRI
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
-    """Per document its key, ``row_hash`` (of the text), ``print`` and ``component_id``: the smallest key in its group."""
+    """Per document its key, ``row_hash`` (of the text), ``print``, the group's smallest print ``root`` and ``component_id``:
+    the smallest key in the group."""
     bound_batches(docs.sparkSession)
     marked = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("row_hash"), fingerprint(F.col(text)).alias("print"))
     marked = stage_table(marked, "fingerprints")
@@ -218,8 +219,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     groups = connected_components(hamming_links(prints, budget))
     rooted = prints.join(groups, prints["print"] == groups["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("print", "component_id")
-    return marked.join(named, "print").select("doc_id", "row_hash", "print", "component_id")
+    named = rooted.join(least, "root").select("print", "root", "component_id")
+    return marked.join(named, "print").select("doc_id", "row_hash", "print", "root", "component_id")
 
 
 def hexadecimal(print_: Column) -> Column:
@@ -231,7 +232,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     The texts move once, to meet the list of documents that stay."""
     groups = near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_hash"))
-    stay = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("print")).alias("unnamed_group")).agg(first.alias("first"))
+    stay = groups.groupBy("root").agg(first.alias("first"))
     stay = stay.select(F.col("first.doc_id").alias("__stay_id"), F.col("first.row_hash").alias("__stay_hash"))
     keyed = docs.withColumn("__row_hash", F.xxhash64("text"))
     met = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["__stay_id"]) & (keyed["__row_hash"] == stay["__stay_hash"]))
