@@ -1,0 +1,34 @@
+"""The driver's contract, with and without the corpus operators."""
+
+import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+ROOT = Path(__file__).resolve().parents[1]
+
+
+def test_registry(spark):
+    import __spark_entry__ as entry
+
+    queries, sql = entry.queries(), entry.oracle_sql()
+    assert sql.keys() <= queries.keys() and all(map(callable, queries.values()))
+    assert entry.entry(spark).count() == 64
+
+
+def test_without_corpus_operators(tmp_path):
+    for p in ("seqloom", "__spark_entry__.py"):
+        source = ROOT / p
+        if source.is_dir():
+            shutil.copytree(source, tmp_path / p, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        else:
+            shutil.copy(source, tmp_path / p)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'kmers_3' in q and e.oracle_sql(); assert not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, check=True)
+
+
+def test_nothing_imports_the_corpus_operators():
+    for p in (ROOT / "seqloom").rglob("*.py"):
+        if "llm" not in p.relative_to(ROOT).parts:
+            assert not re.search(r"seqloom\.llm|from \.+llm", p.read_text()), p
