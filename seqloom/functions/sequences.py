@@ -35,19 +35,19 @@ def shift_quality(qual: Column | str, offset: int) -> Column:
     return F.regexp_replace(held, "Ā", "\0")
 
 
-def natural_key(text: Column | str) -> Column:
-    """Orders digit runs by value and everything else by byte. Use with the length as a second key: equal values with
-    more leading zeros come later. Runs beyond a signed 64-bit number count as its largest value."""
-    text = F.col(text) if isinstance(text, str) else text
-    most = "9223372036854775807"
+_LARGEST = str(2**63 - 1)
+#: A run of digits beyond the largest signed 64-bit number, once padded to 19 digits.
+_BEYOND = "|".join(["[0-9]{20,}"] + [f"{_LARGEST[:k]}[{int(d) + 1}-9][0-9]{{{18 - k}}}" for k, d in enumerate(_LARGEST) if d != "9"])
 
-    def part(x: Column) -> Column:
-        digits = F.regexp_replace(x, "^0+(?=[0-9])", "")
-        over = (F.length(digits) > 19) | ((F.length(digits) == 19) & (digits > most))
-        return F.when(x.rlike("^[0-9]"), F.when(over, F.lit(most)).otherwise(F.lpad(digits, 19, "0"))).otherwise(x)
 
-    parts = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9])"), F.lit(1))
-    return F.array_join(F.transform(parts, part), "")
+def natural_key(text: Column | str) -> Column:
+    """Orders digit runs by value and everything else by byte: each run is padded to 19 digits, runs beyond a signed
+    64-bit number count as its largest value. Use with the length as a second key: of equal values the one with more
+    leading zeros comes later."""
+    text = F.col(text) if isinstance(text, str) else text
+    padded = F.regexp_replace(text, "([0-9]+)", "0" * 19 + "$1")
+    trimmed = F.regexp_replace(padded, "0*([0-9]{19,})(?![0-9])", "$1")
+    return F.regexp_replace(trimmed, f"(?<![0-9])(?:{_BEYOND})(?![0-9])", _LARGEST)
 
 
 def reverse_complement(seq: Column | str) -> Column:

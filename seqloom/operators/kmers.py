@@ -19,8 +19,8 @@ def kmers(reads: DataFrame, k: int = 1, dense: bool | None = None) -> DataFrame:
         raise ValueError("k has to be within 1 to 16")
     dense = k <= DENSE_K if dense is None else dense
     seq = F.translate("seq", "acgt", "ACGT")
-    windows = F.transform(F.sequence(F.lit(1), F.length("seq") - (k - 1)), lambda i: F.substr(seq, i, F.lit(k)))
-    found = reads.where(F.length("seq") >= k).select(F.explode(windows).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("frequency"))
+    starts = reads.where(F.length("seq") >= k).select(seq.alias("seq"), F.explode(F.sequence(F.lit(1), F.length("seq") - (k - 1))).alias("i"))
+    found = starts.select(F.substr("seq", "i", F.lit(k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("frequency"))
     found = found.where(F.col("kmer").rlike("^[ACGT]+$"))  # each distinct window is looked at once
     digits = F.reverse(F.translate("kmer", "ACGT", "0123"))
     found = found.select("kmer", "frequency", F.conv(digits, 4, 10).cast("bigint").alias("rank"))

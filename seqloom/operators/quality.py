@@ -47,13 +47,13 @@ def detect_scale(reads: DataFrame, limit: int = SCALE_READS, numbered: bool = Tr
     one scale remains, or after ``limit`` reads; the scale is the first that remains, or null. Files without reads have no
     row. ``numbered``: rec_no counts from 0 within each file, as from the source, so that a plain filter takes the first
     reads and at most ``limit`` rows of a file meet in a task; else they are ranked by it."""
-    ends = F.array_sort(F.split("qual", ""))
+    letters = F.split("qual", "")
     full = F.length("qual") > 0
     slim = (reads.where(F.col("rec_no") < limit) if numbered else reads).select(
         "source_file",
         "rec_no",
-        F.when(full, F.ascii(ends[0])).otherwise(126).alias("lo"),
-        F.when(full, F.ascii(F.element_at(ends, -1))).otherwise(33).alias("hi"),
+        F.when(full, F.ascii(F.array_min(letters))).otherwise(126).alias("lo"),
+        F.when(full, F.ascii(F.array_max(letters))).otherwise(33).alias("hi"),
     )
     nth = Window.partitionBy("source_file").orderBy("rec_no")
     some = slim.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= limit)

@@ -19,7 +19,9 @@ def global_rank(df: DataFrame, order: list[Column], name: str, first: Column, de
     sample = sorted({r[0] for r in keyed.sample(share, seed=7).select("__first").limit(2 * SAMPLED).collect() if r[0] is not None})
     step = max(1, len(sample) // (CUTS + 1))
     cuts = sample[step::step][:CUTS]
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("__first"))) if cuts else F.lit(0)
+    # The key stands in an array of its own, so that it is named, and computed, once a row and not once a cut.
+    ahead = F.array(*[F.lit(c) for c in cuts])
+    place = F.transform(F.array("__first"), lambda k: F.size(F.filter(ahead, lambda c: c <= k)))[0] if cuts else F.lit(0)
     keyed = keyed.withColumn("__range", -place if descending else place)
     sizes = keyed.groupBy("__range").agg(F.count("*").alias("__n"))  # CUTS + 1 rows
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

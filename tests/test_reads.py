@@ -181,6 +181,18 @@ def test_natural_order(spark):
     assert [r["id1"] for r in sorting.sort_reads(df, "natural").collect()][:5] == ["", "a/1", "a2", "a02", "a10"]
 
 
+def test_natural_key(spark):
+    import re
+
+    r = random.Random(8)
+    ids = ["".join(r.choice(["a", "/", "0", "1", "9", "00", "92233720368547758", "x9"]) for _ in range(r.randint(0, 6))) for _ in range(500)]
+    ids += ["9223372036854775807", "9223372036854775808", "9223372036854775806", "09223372036854775808", "1" * 40, "0" * 40, "z0"]
+    rows = make(spark, ["A"] * len(ids), ids=ids).select("id1", sequences.natural_key("id1").alias("k")).collect()
+    most = 2**63 - 1
+    for row in rows:
+        assert row["k"] == re.sub("[0-9]+", lambda m: f"{min(int(m[0]), most):019d}", row["id1"])
+
+
 def test_sort_keys(spark, some):
     seqs, quals, df = some
     gc = lambda s: np.float32(sum(c in "gcGC" for c in s) / len(s)) if s else np.float32(0)
