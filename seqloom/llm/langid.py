@@ -147,7 +147,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         return pa.StructArray.from_arrays([pa.array(at, pa.binary()), pa.array(count, pa.binary())], ["at", "count"])
 
     rows = chosen.select("nth", "lang", sparse("text").alias("f")).orderBy("nth", "lang").limit(sample).select("lang", "f.*").collect()
-    features = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["count"], "<u4").astype(np.int64)) for r in rows]
+    features = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["count"], "<u4")) for r in rows]
     if not rows:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     return LanguageModel.fit(features, [r["lang"] for r in rows])

@@ -173,19 +173,9 @@ class FileTokenizer:
     in tiktoken's core; words with other characters through the tokenizers library itself."""
 
     def __init__(self, spec: str):
-        self.spec = spec
-        self._ready()
-
-    def __getstate__(self):
-        return {"spec": self.spec}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
-
-    def _ready(self) -> None:
-        self._library = Tokenizer.from_str(self.spec)
+        self._library = Tokenizer.from_str(spec)
         self._library.encode_special_tokens = True
-        file = json.loads(self.spec)
+        file = json.loads(spec)
         alphabet = _byte_alphabet()
         special = {t["content"] for t in file["added_tokens"]}
         ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in file["model"]["vocab"].items() if t not in special}
@@ -229,7 +219,7 @@ _LOADED: dict[str, FileTokenizer] = {}
 def _in_worker(shared, key: str) -> FileTokenizer:
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = shared.value
+        _LOADED[key] = FileTokenizer(shared.value)
     return _LOADED[key]
 
 
@@ -241,7 +231,7 @@ class Packer:
         with open(tokenizer_path, encoding="utf-8") as f:
             spec = f.read()
         self._key = hashlib.sha256(spec.encode()).hexdigest()
-        self._shared = spark.sparkContext.broadcast(FileTokenizer(spec))  # as large as the vocabulary
+        self._shared = spark.sparkContext.broadcast(spec)  # as large as the vocabulary; the driver builds no tokenizer
         self.capacity, self.end_id = capacity, end_id
 
     def ids(self, text: Column) -> Column:
@@ -284,7 +274,7 @@ class Packer:
         before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
         sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
         sums = sums.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-        own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+        own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
         ranked = salted.withColumn("nth", F.row_number().over(own) - 1).join(sums, ["length", "salt"])
 
         @F.arrow_udf("struct<sequence_id:bigint,offset:bigint>")
