@@ -14,6 +14,7 @@ from seqloom.operators.kmers import kmers
 from seqloom.operators.ranking import global_rank
 from seqloom.plans.reads import READS_SQL, reads
 from seqloom.sources.fastq import fastq_text
+from seqloom.sources.random_reads import random_reads
 from seqloom.streaming.reads import parse_whole
 
 PATTERN, QUERY, K, SEED = "ac[gt]{2}a", "ACGTTGCAAC", 500, 4357
@@ -79,6 +80,10 @@ def queries() -> dict:
         "gc_mean_qual": lambda spark, d: reads(spark, d).select("rec_no", gc_fraction("seq").alias("gc"), mean_quality("qual").alias("mean_qual")),
         "align_parity": lambda spark, d: reads(spark, d).select("rec_no", alignment.align_score("seq", QUERY).alias("score")),
         "align_textbook": lambda spark, d: reads(spark, d).select("rec_no", alignment.align_score("seq", QUERY, "textbook").alias("score")),
+        "match_lines": lambda spark, d: reads(spark, d).select("rec_no", F.concat_ws("\t", "seq", alignment.align_score("seq", QUERY).cast("string")).alias("value")),
+        "kmers_lines": lambda spark, d: kmers(reads(spark, d), 2).select("rank", F.concat_ws("\t", "kmer", F.col("frequency").cast("string")).alias("value")),
+        "grep_count_invert": lambda spark, d: selection.grep_count(reads(spark, d), PATTERN, invert=True),
+        "random_reads": lambda spark, d: random_reads(spark, 1000),
         "record_hash": lambda spark, d: reads(spark, d).select("rec_no", record_hash().alias("hash")),
         "sample_hash": _sample(0),
         "sample_complement": _sample(1),
@@ -207,6 +212,9 @@ def oracle_sql() -> dict[str, str]:
         "gc_mean_qual": f"{_WITH} SELECT rec_no, {_GC} AS gc, {_MEAN} AS mean_qual FROM reads",
         "align_parity": _align(QUERY, True),
         "align_textbook": _align(QUERY, False),
+        "match_lines": f"{_align(QUERY, True).rpartition('SELECT rec_no,')[0]} SELECT rec_no, seq || chr(9) || greatest(h, CASE WHEN substr(seq, 1, 1) = '{QUERY[0]}' THEN 1 ELSE 0 END) AS value FROM reads JOIN best USING (seq)",
+        "kmers_lines": f"SELECT rank, kmer || chr(9) || frequency AS value FROM ({_kmers(2, True)})",
+        "grep_count_invert": f"{_WITH} SELECT source_file, count(*) FILTER (WHERE NOT {hit}) AS n FROM reads GROUP BY source_file",
         "sample_hash": f"{_RANKED} SELECT rec_no, seq, qual FROM k WHERE nth <= {K}",
         "sample_complement": f"{_RANKED} SELECT rec_no, seq, qual FROM k WHERE nth > {K}",
         "sample_fraction": f"{_RANKED} SELECT rec_no, seq, qual FROM k WHERE nth <= floor(0.1 * (SELECT count(*) FROM reads) + 0.5)",
