@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seqloom.llm import bitslice, brown, langid, licenses, ordinal, pii, quality
 from seqloom.llm.bpe import BpeCodec
 from seqloom.llm.common import documents
+from seqloom.llm.license_sql import license_scan_sql
 from seqloom.llm.packing import Packer
 from seqloom.llm.simhash import hexadecimal, near_duplicates
 
@@ -96,4 +97,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_top_k": OP9}
+    return {"op3_license_scan": license_scan_sql(), "op9_exact_top_k": OP9}
