@@ -18,8 +18,9 @@ def kmers(reads: DataFrame, k: int = 1, dense: bool | None = None) -> DataFrame:
     if not 1 <= k <= 16:
         raise ValueError("k has to be within 1 to 16")
     dense = k <= DENSE_K if dense is None else dense
-    seq = F.translate("seq", "acgt", "ACGT")
-    starts = reads.where(F.length("seq") >= k).select(seq.alias("seq"), F.explode(F.sequence(F.lit(1), F.length("seq") - (k - 1))).alias("i"))
+    # Letters are folded below the generator, once a read, and not above it, once a window.
+    folded = reads.where(F.length("seq") >= k).select(F.translate("seq", "acgt", "ACGT").alias("seq"))
+    starts = folded.select("seq", F.explode(F.sequence(F.lit(1), F.length("seq") - (k - 1))).alias("i"))
     found = starts.select(F.substr("seq", "i", F.lit(k)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("frequency"))
     found = found.where(F.col("kmer").rlike("^[ACGT]+$"))  # each distinct window is looked at once
     digits = F.reverse(F.translate("kmer", "ACGT", "0123"))

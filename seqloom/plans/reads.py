@@ -23,4 +23,7 @@ FROM events
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "user_id")
+    cores = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:  # a small file is one task; large inputs are left as they are read
+        events = events.repartition(cores)
     return spark.sql(READS_SQL.replace("FROM events", "FROM {events}"), events=events).select("source_file", "rec_no", "id1", "seq", "id2", "qual")
