@@ -7,7 +7,9 @@ words in the block, the positional filter for enough words left after the first
 passes is compared exactly. The templates are a parameter and small; the corpus is never indexed.
 
 Blocks are the lines of a text; a longer line is cut into blocks of BLOCK words, one every half
-block, so that every run of up to half a block of words lies within one.
+block, so that every run of up to half a block of words lies within one. A notice wrapped over
+lines is met in the words of the whole text, by every run of twice the template's own words: wider
+runs would gather a short template's words from unrelated lines.
 Besides, the places of fixed phrases are counted (base labels).
 Defined results: a null or empty text has no words, no labels and score 0; without documents the
 result is empty; repeated rows are scanned alike; other columns are ignored.
@@ -79,6 +81,7 @@ class TemplateIndex:
         sets = [(label, sorted(set(words_of(text)))) for label, text in templates]
         known = {w for _, ws in sets for w in ws}
         self.place = {w: k for k, w in enumerate(sorted(known, key=lambda w: (counts.get(w, 0), w)))}
+        self.spans = [2 * len(words_of(text)) for _, text in templates]
         self.templates, self.prefix = [], {}
         for label, ws in sets:
             ordered = sorted(ws, key=self.place.__getitem__)
@@ -118,6 +121,37 @@ class TemplateIndex:
                         best[label] = max(best.get(label, 0.0), share)
         return best
 
+    def scan_runs(self, words: list[bytes]) -> dict[str, float]:
+        """Best containment by label over all runs, across lines, of twice a template's words."""
+        best: dict[str, float] = {}
+        own = self.rare.intersection(words)
+        if own:
+            held = set(words)
+            for t in {t for w in own for t, _ in self.prefix[w]}:
+                label, ordered, known, need = self.templates[t]
+                if len(known & held) >= need:
+                    shared = widest(words, known, self.spans[t])
+                    if shared >= need:
+                        best[label] = max(best.get(label, 0.0), shared / len(ordered))
+        return best
+
+
+def widest(words: list[bytes], known: frozenset[bytes], span: int) -> int:
+    """Most distinct ones of the ``known`` words in a run of ``span`` words."""
+    at = [(i, w) for i, w in enumerate(words) if w in known]
+    within: Counter = Counter()
+    most = first = 0
+    for i, w in at:
+        within[w] += 1
+        while i - at[first][0] >= span:
+            gone = at[first][1]
+            within[gone] -= 1
+            if not within[gone]:
+                del within[gone]
+            first += 1
+        most = max(most, len(within))
+    return most
+
 
 def corpus_counts(docs: DataFrame, words: set[bytes], text: str = "text") -> dict[bytes, int]:
     """Occurrences of the given words in all texts: one row a word and task is shuffled."""
@@ -154,6 +188,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
             starts = [(at, label) for phrase, label in split for at in phrase_starts(words, phrase)]
             base = {label for _, label in starts}
             met = index.value.scan(t)
+            for label, share in index.value.scan_runs(words).items():
+                met[label] = max(met.get(label, 0.0), share)
             at = [a for a, _ in starts]
             rows.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | met.keys())), 1.0 if at else max(met.values(), default=0.0)))
         cols = list(zip(*rows)) or [()] * 7

@@ -70,3 +70,32 @@ def test_odd_documents(spark, odd_docs):
     far = spark.createDataFrame([(1, "MIT-License; the MIT\nlicense, GENERAL  public-LICENSE")], "doc_id bigint, text string")
     r = licenses.scan(far).first()
     assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["score"]) == (8, 3, 0, 5, "gpl,mit", 1.0)
+
+
+WRAPPED = [
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", {"bsd-notice"}),
+    ("x\n# you can redistribute it and/or modify\n# it under the terms of the GNU General Public License\n", {"gpl-notice", "gpl"}),
+    (" * Permission is hereby granted, free\n * of charge, to any person\n * obtaining a copy\n * of this software", {"mit-notice"}),
+    ("mit " + "wort " * 30 + "\nlicensed under the\napache license, version 2.0", {"apache-notice", "apache"}),
+]
+
+
+def test_wrapped_notices(spark):
+    rows = licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(WRAPPED)], "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: set(r["labels"].split(",")) for r in rows} == {k: want for k, (_, want) in enumerate(WRAPPED)}
+    assert all(r["score"] == 1.0 for r in rows)
+
+
+def test_runs_against_every_run():
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(12)]
+    for _ in range(200):
+        templates = [(f"t{k}", " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 6)))) for k in range(4)]
+        words = [r.choice([*vocabulary, "x", "y", "z"]).encode() for _ in range(r.choice([0, 1, 5, 60]))]
+        want = {}
+        for label, t in templates:
+            known, span = set(licenses.words_of(t)), 2 * len(t.split())
+            share = max((len(known & set(words[k : k + span])) / len(known) for k in range(len(words))), default=0)
+            if share >= 0.8 - 1e-12:
+                want[label] = share
+        assert licenses.TemplateIndex(templates, {}).scan_runs(words) == want
