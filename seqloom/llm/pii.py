@@ -36,7 +36,7 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])"
 DIGITS = r"(?<![0-9.+-])(?:[0-9]{12,19}+|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9.-])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 NATIONAL = r"(?<![0-9.-])(?:\+?[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
-SECRET = r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9+/_-]{8,200}+"
+SECRET = r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9+/_-]{8,}+"
 NAME = r"(?<![A-Za-z])(?:Mrs?|Ms|Dr|Prof)\.? [A-Z][a-z]{1,30}+(?: [A-Z][a-z]{1,30}+)?"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 

@@ -102,3 +102,12 @@ def test_added_spans(spark, text, kind):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([text, *["write to a.b@mail.com today"] * 20])], "doc_id bigint, text string")
     row = pii.find_personal_data(docs).where("doc_id = 0").select(pii.written("spans").alias("s"), "base").first()
     assert row["s"].startswith(kind) and not row["base"]
+
+
+def test_long_secret(spark):
+    value = "Ab3/" * 75
+    text = f'x api_key={value} y'
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([text, *["write to a.b@mail.com today"] * 20])], "doc_id bigint, text string")
+    row = pii.find_personal_data(docs).where("doc_id = 0").select(pii.written("spans").alias("s")).first()
+    assert row["s"] == f"secret:2:{10 + len(value)}"
+    assert pii.redact(docs).where("doc_id = 0").first()["text"] == "x [SECRET] y"
