@@ -7,8 +7,9 @@ digits, each digit adds the (shifted, or complemented) slices of its component.
 read off the sum from its most significant slice down; rows that tie at the boundary are resolved
 exactly, by key. Chunks' results are merged by score and key.
 
-Defined results: vectors that are null or hold a null or non-finite component, or one of over
-2**26 after scaling, and rows without a key take no part; vectors of different length meet in their
+Defined results: vectors that are null or hold a null or non-finite component, and rows without a
+key take no part; a finite component that does not fit a long after scaling, and a result whose score
+does not fit one, are errors; vectors of different length meet in their
 common components; equal scores rank by smaller key; rows that share the query's key are its own
 and no candidates; other repeated rows are candidates each. An empty table gives an empty result;
 other columns are ignored.
@@ -28,20 +29,29 @@ from seqloom.llm.common import bound_batches, stage_table
 SCALE, TOP, EVERY = 256, 5, 50
 #: Rows of an index chunk; queries that are broadcast together (their vectors are all a task holds besides a chunk).
 CHUNK, QUERY_BLOCK = 16_384, 4096
-LARGEST = 1 << 26
-_INDEX = "n int, places int, dims int, shift bigint, keys binary, slices binary"
+NO_FIT = "a score does not fit a long"
+_INDEX = "n int, places int, dims int, least bigint, keys binary, slices binary"
 
 
-def quantise(vectors: pa.Array, scale: int = SCALE) -> list[np.ndarray | None]:
-    """floor(scale * x) of each vector; None for one that takes no part."""
+def quantise(vectors: pa.Array, scale: int = SCALE, strict: bool = False) -> list[np.ndarray | None]:
+    """floor(scale * x) of each vector; None for one that takes no part. One that is finite but does not fit longs is
+    None as well, or an error if ``strict``."""
     out: list[np.ndarray | None] = []
     for v in vectors:
         items = v.values if v.is_valid else None
         if items is None or items.null_count:
             out.append(None)
             continue
-        x = np.floor(scale * items.to_numpy(zero_copy_only=False).astype(np.float64))
-        out.append(x.astype(np.int64) if np.isfinite(x).all() and (np.abs(x) <= LARGEST).all() else None)
+        raw = items.to_numpy(zero_copy_only=False).astype(np.float64)
+        if not np.isfinite(raw).all():
+            out.append(None)
+            continue
+        with np.errstate(over="ignore"):
+            x = np.floor(scale * raw)
+        fits = ((x >= -(2.0**63)) & (x < 2.0**63)).all()
+        if strict and not fits:
+            raise ValueError(f"a component does not fit a long after scaling: {raw[np.abs(raw).argmax()]}")
+        out.append(x.astype(np.int64) if fits else None)
     return out
 
 
@@ -55,24 +65,24 @@ def slice_rows(keys: np.ndarray, rows: list[np.ndarray]) -> dict:
     x = np.zeros((n, dims), np.int64)
     for i, k in enumerate(order):
         x[i, : len(rows[k])] = rows[k]
-    shift = -int(x.min()) if x.size else 0
-    x += shift
+    least = int(x.min()) if x.size else 0
+    x = x.view(np.uint64) - np.int64(least).view(np.uint64)  # modulo 2**64, where every difference has its place
     places = int(x.max()).bit_length() if x.size else 0
     words = -(-n // 64)
     bits = np.zeros((dims, places, words * 8), np.uint8)
     for p in range(places):
-        bits[:, p, : -(-n // 8)] = np.packbits(((x >> p) & 1).astype(np.uint8).T, axis=1, bitorder="little")
-    return {"n": n, "places": places, "dims": dims, "shift": shift, "keys": keys[order].astype("<i8").tobytes(), "slices": bits.tobytes()}
+        bits[:, p, : -(-n // 8)] = np.packbits(((x >> np.uint64(p)) & np.uint64(1)).astype(np.uint8).T, axis=1, bitorder="little")
+    return {"n": n, "places": places, "dims": dims, "least": least, "keys": keys[order].astype("<i8").tobytes(), "slices": bits.tobytes()}
 
 
 def _build(scale: int, size: int):
-    kind = pa.schema([("n", pa.int32()), ("places", pa.int32()), ("dims", pa.int32()), ("shift", pa.int64()), ("keys", pa.binary()), ("slices", pa.binary())])
+    kind = pa.schema([("n", pa.int32()), ("places", pa.int32()), ("dims", pa.int32()), ("least", pa.int64()), ("keys", pa.binary()), ("slices", pa.binary())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows = [], []
         for b in batches:
-            for key, x in zip(b.column(0).to_pylist(), quantise(b.column(1), scale)):
-                if key is not None and x is not None:
+            for key, x in zip(b.column(0).to_pylist(), quantise(b.column(1), scale, strict=True)):
+                if x is not None:
                     keys.append(key)
                     rows.append(x)
                     if len(rows) == size:
@@ -94,7 +104,7 @@ def signed_digits(q: np.ndarray) -> np.ndarray:
         odd = q & 1
         d = odd * (2 - (q & 3))
         out.append(d)
-        q = (q - d) >> 1
+        q = (q >> 1) + (d < 0)  # (q - d) / 2, which cannot overflow
     return np.array(out, np.int64).reshape(len(out), n).T
 
 
@@ -127,8 +137,8 @@ def add_columns(columns: dict[int, list[np.ndarray]], words: int) -> list[np.nda
 class Chunk:
     """An index chunk in memory."""
 
-    def __init__(self, n: int, places: int, dims: int, shift: int, keys: bytes, slices: bytes):
-        self.n, self.places, self.dims, self.shift = n, places, dims, shift
+    def __init__(self, n: int, places: int, dims: int, least: int, keys: bytes, slices: bytes):
+        self.n, self.places, self.dims, self.least = n, places, dims, least
         self.keys = np.frombuffer(keys, "<i8")
         self.words = -(-n // 64)
         self.slices = np.frombuffer(slices, "<u8").reshape(dims, places, self.words)
@@ -141,18 +151,19 @@ class Chunk:
         """Slices of the score of every row, up to a constant."""
         digits = signed_digits(q[: self.dims])
         columns: dict[int, list[np.ndarray]] = {}
-        pending: dict[int, list[np.ndarray]] = {}
-        if self.places:
-            for b in range(digits.shape[1]):
-                d = digits[:, b]
-                pending[b] = [self.slices[: len(d)][d > 0], self.turned[: len(d)][d < 0]]
+        width = digits.shape[1] if self.places else 0
+        carried: list[np.ndarray] = []
         b = 0
-        while b <= max(pending, default=-1):
-            stack = np.concatenate(pending.pop(b)) if b in pending else np.zeros((0, self.places, self.words), np.uint64)
+        while b < width or carried:
+            stack = [np.zeros((0, self.places, self.words), np.uint64), *carried]
+            if b < width:
+                d = digits[:, b]
+                stack += [self.slices[: len(d)][d > 0], self.turned[: len(d)][d < 0]]
+            stack, carried = np.concatenate(stack), []
             while len(stack) > 2:  # whole numbers, all their places at once
                 t = len(stack) // 3
                 s, c = _carry_save(stack[:t], stack[t : 2 * t], stack[2 * t : 3 * t])
-                pending.setdefault(b + 1, []).append(c)
+                carried.append(c)
                 stack = np.concatenate([s, stack[3 * t :]])
             for p in range(self.places):
                 columns.setdefault(b + p, []).append(stack[:, p])
@@ -181,12 +192,16 @@ class Chunk:
         return full[row] * 64 + bit
 
     def exact(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Scores of rows, from their slices."""
+        """Scores of rows, from their slices; Python integers where they might not fit a long."""
         word, bit = at // 64, (at % 64).astype(np.uint64)
-        ones = ((self.slices[:, :, word] >> bit) & np.uint64(1)).astype(np.int64)
-        x = (ones << np.arange(self.places)[None, :, None]).sum(axis=1) - self.shift
+        ones = (self.slices[:, :, word] >> bit) & np.uint64(1)
+        x = (ones << np.arange(self.places, dtype=np.uint64)[None, :, None]).sum(axis=1, dtype=np.uint64)
+        x = (x + np.int64(self.least).view(np.uint64)).view(np.int64)
         m = min(self.dims, len(q))
-        return q[:m] @ x[:m]
+        q, x = q[:m], x[:m]
+        if (np.abs(q.astype(np.float64)) @ np.abs(x.astype(np.float64)) < 2.0**62).all():
+            return q @ x
+        return q.astype(object) @ x.astype(object)
 
     def top(self, key: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys and scores of the k best rows but the query's own."""
@@ -203,11 +218,19 @@ class Chunk:
 # ---------------------------------------------------------------- the search
 
 
+def fitting(score: int) -> int | None:
+    """The score; None, which ranks last, if it is below every long. One above them is an error at once, since it or a
+    better one is among the results."""
+    if score >= 1 << 63:
+        raise ValueError(NO_FIT)
+    return score if score >= -(1 << 63) else None
+
+
 def build_index(vectors: DataFrame, key: str, vector: str, scale: int = SCALE, size: int = CHUNK) -> DataFrame:
     """The index as a table of chunks in the shared folder, spread over files so that all tasks get some."""
     spark = vectors.sparkSession
     bound_batches(spark)
-    chunks = vectors.select(F.col(key).cast("bigint"), F.col(vector)).mapInArrow(_build(scale, size), _INDEX)
+    chunks = vectors.select(F.col(key).cast("bigint").alias("key"), F.col(vector)).where("key is not null").mapInArrow(_build(scale, size), _INDEX)
     return stage_table(chunks.repartition(2 * spark.sparkContext.defaultParallelism), "bit-slices")
 
 
@@ -223,7 +246,7 @@ def search(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     found = None
     for b in range(blocks):
         rows = wanted.where(F.col("block") == b).collect()  # about `block` queries
-        quantised = quantise(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), scale)
+        quantised = quantise(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), scale, strict=True)
         asked = spark.sparkContext.broadcast([(r["key"], q) for r, q in zip(rows, quantised) if q is not None])
 
         def answer(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
@@ -235,7 +258,7 @@ def search(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
                         a, s = chunk.top(key_, q, k)
                         ids += [key_] * len(a)
                         keys += a.tolist()
-                        scores += s.tolist()
+                        scores += [fitting(x) for x in s.tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
 
         part = index.mapInArrow(answer, "query_id bigint, vec_id bigint, score bigint")
@@ -243,4 +266,5 @@ def search(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
             part = stage_table(part, "answers")
         found = part if found is None else found.union(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    score = F.coalesce("score", F.raise_error(F.lit(NO_FIT)).cast("bigint"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))

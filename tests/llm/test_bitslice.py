@@ -57,3 +57,41 @@ def test_odd_vectors(spark, block):
     assert got == want + [(100, 1, 0, 0), (100, 2, 4, 0), (100, 3, 4, 0), (100, 4, 50, 0)]
     empty = bitslice.build_index(df.limit(0), "vec_id", "embedding")
     assert bitslice.search(empty, df.limit(0), "vec_id", "embedding").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_wide_chunk(seed):
+    r = np.random.default_rng(seed)
+    ids = r.permutation(200)[:100]
+    rows = [np.array([int(r.integers(-(2**62), 2**62)) >> int(r.integers(0, 62)) for _ in range(3)]) for _ in ids]
+    rows[0][:2] = -(2**63), 2**63 - 1
+    chunk = bitslice.Chunk(**bitslice.slice_rows(ids, rows))
+    for q in (rows[0], rows[1], np.array([1, -2, 3]), np.array([2**63 - 1, -(2**63), 0])):
+        keys, scores = chunk.top(int(ids[1]), q, 5)
+        want = sorted((-sum(int(a) * int(b) for a, b in zip(q, x)), int(i)) for i, x in zip(ids, rows) if i != ids[1])[:5]
+        assert sorted(zip((-scores).tolist(), keys.tolist())) == want
+
+
+def test_large_components_as_sql(spark):
+    """Vectors of over 2**26 after scaling, as query and as candidate, give what the query's SQL gives."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, [float(k % 7), -0.5 * k, 1.0]) for k in range(20)] + [(50, [3e6, -2.5, 1e5]), (51, [262_145.0, 1.0, 0.0]), (52, [-4e6, 2.0, 7.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = bitslice.search(bitslice.build_index(df, "vec_id", "embedding"), df.where("vec_id % 50 = 0"), "vec_id", "embedding").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.OP9).fetchall())
+    assert {r["query_id"] for r in got} == {0, 50} and 50 in {r["vec_id"] for r in got}
+
+
+@pytest.mark.parametrize("far,fails", [(3e16, True), (1e30, True), (1e308, True), (-1e13, False), (-3e16, False)])
+def test_what_does_not_fit(spark, far, fails):
+    """Only a component or a reported score beyond the longs is an error."""
+    df = spark.createDataFrame([(k, [100.0 + k]) for k in range(7)] + [(9, [far])], "vec_id bigint, embedding array<double>")
+    search = lambda k: bitslice.search(bitslice.build_index(df, "vec_id", "embedding", size=1), df.where("vec_id = 0"), "vec_id", "embedding", k).collect()
+    if not fails:
+        assert [r["vec_id"] for r in sorted(search(5), key=lambda r: r["rank"])] == [6, 5, 4, 3, 2]
+    if fails or far == -3e16:
+        with pytest.raises(Exception, match="fit a long"):
+            search(7)
