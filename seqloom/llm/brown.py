@@ -2,12 +2,13 @@
 
 P(text) is the product of class-transition and word-emission probabilities. The CLUSTERED most
 frequent words are assigned to CLASSES classes by exchange clustering: each word in turn moves to
-the class that raises the likelihood of the class bigrams most, until none moves. All other words
-belong to classes of their surface form, so that a word's class never depends on a table too large
-to hold; the end of a text is a class of its own and also what a text begins from.
+the class that raises the likelihood of the class bigrams most, until none moves. Every other word that
+occurs twice or more joins the class that gains most from the word's own bigrams. Words that occur
+once, which stand for those never seen, are in classes of their surface form; the end of a text is a
+class of its own and also what a text begins from.
 
-All counts (words, class bigrams, words by class) are taken over all training documents. The counts
-of the HEAD most frequent words are broadcast (a bounded number of bounded words); the counts of the
+All counts (words, class bigrams, words by class) are taken over all training documents. Counts and
+classes of the HEAD most frequent words are broadcast (a bounded number of bounded words); those of the
 other words stay a table and are joined with the words of the texts, once for each text and word.
 
 Defined results: a null or empty text is the end token alone; documents whose key is null are learned
@@ -19,8 +20,8 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,15 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import bound_batches, fold, stage_table
 
 FOLDS, HELD_OUT = 7, 2
-CLUSTERED, CLASSES, ROUNDS = 1024, 48, 10
+CLUSTERED, CLASSES = 1024, 48
 #: Words whose counts are broadcast, and the longest of them in bytes.
 HEAD, HEAD_BYTES = 100_000, 64
 #: Added to a word's count within its class, and the weight of the class distribution in a transition.
 DELTA, BETA = 0.5, 20.0
 #: Words that a worker counts or remembers before it passes them on or forgets them.
 HELD_WORDS = 300_000
+#: Bigrams of a word that a worker passes on one by one; more are passed on as gains. Bigrams that a worker holds.
+SINGLE, HELD_BIGRAMS = 96, 8_000_000
 #: Surface classes: three endings x two alphabets x three lengths.
 FORMS = 18
 
@@ -127,7 +130,7 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange_classes(pairs: np.ndarray, words: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def exchange_classes(pairs: np.ndarray, words: int, classes: int = CLASSES) -> np.ndarray:
     """``pairs``: bigram counts, first the ``words`` to be clustered in order of frequency, then fixed ones, each a class
     of its own. Returns the class of each row; words take 0..classes-1."""
     n = len(pairs)
@@ -143,7 +146,9 @@ def exchange_classes(pairs: np.ndarray, words: int, classes: int = CLASSES, roun
     left, right = pairs.sum(axis=1), pairs.sum(axis=0)
     ends, starts = np.bincount(own, left, size), np.bincount(own, right, size)
     k = np.arange(classes)
-    for _ in range(rounds):
+    least = max(1e-9, 1e-12 * float(_xlogx(pairs.sum())))  # above the error of the sums, so that moves come to an end
+    moved = 1
+    while moved:
         moved = 0
         for w in range(words):
             r, l, s, c = to_class[w].copy(), by_class[:, w].copy(), pairs[w, w], own[w]
@@ -161,7 +166,7 @@ def exchange_classes(pairs: np.ndarray, words: int, classes: int = CLASSES, roun
             gain += _xlogx(diagonal + r[k] + l[k] + s) + _xlogx(diagonal) - _xlogx(new_rows[k, k]) - _xlogx(new_cols[k, k])
             gain -= _xlogx(ends[:classes] + left[w]) - _xlogx(ends[:classes]) + _xlogx(starts[:classes] + right[w]) - _xlogx(starts[:classes])
             best = int(gain.argmax())
-            if gain[best] <= gain[c] + 1e-9:
+            if gain[best] <= gain[c] + least:
                 best = int(c)
             table[best] += r
             table[:, best] += l
@@ -175,19 +180,108 @@ def exchange_classes(pairs: np.ndarray, words: int, classes: int = CLASSES, roun
                 by_class[best] += pairs[w]
                 to_class[:, c] -= pairs[:, w]
                 to_class[:, best] += pairs[:, w]
-        if not moved:
-            break
     return own
 
 
+# ---------------------------------------------------------------- classes of all other words
+
+
+class Gains:
+    """What a word's bigrams add to the log-likelihood in each of the first ``classes`` classes, their tables as they are."""
+
+    def __init__(self, transitions: np.ndarray, classes: int):
+        t = transitions + 0.5
+        out, into = np.log(t.sum(axis=1)), np.log(t.sum(axis=0))
+        self.classes, self.single = classes, SINGLE
+        self.before = np.log(t[:, :classes]) - into[None, :classes]
+        self.after = np.log(t[:classes]).T - out[None, :classes]
+
+    def of(self, pairs: np.ndarray) -> np.ndarray:
+        """``pairs``: class before and class after, a row each."""
+        return self.before[pairs[:, 0]] + self.after[pairs[:, 1]]
+
+    def best(self, parts: list[list[dict]]) -> np.ndarray:
+        """The best class of each word; ``parts``: what workers passed on for it."""
+        total = np.zeros((len(parts), self.classes))
+        raw, at = [], []
+        for k, own in enumerate(parts):
+            for x in own:
+                if x["n"] <= self.single:
+                    raw.append(x["bigrams"])
+                    at.append((k, x["n"]))
+                else:
+                    total[k] += np.frombuffer(x["bigrams"], "<f8")
+        if raw:
+            where = np.repeat([k for k, _ in at], [n for _, n in at])
+            np.add.at(total, where, self.of(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 2)))
+        return total.argmax(axis=1)
+
+
+def _count_contexts(listed: dict[bytes, int], own: np.ndarray, gains: Gains):
+    """Words that are not listed with the classes before and after them."""
+    classes, first = own.astype(np.uint8), len(listed)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, total = _Ids(listed, first), defaultdict(bytearray), 0
+
+        def out() -> pa.RecordBatch:
+            n = [len(x) // 2 for x in held.values()]
+            rows = [bytes(x) if k <= gains.single else gains.of(np.frombuffer(x, np.uint8).reshape(-1, 2)).sum(axis=0).astype("<f8").tobytes() for k, x in zip(n, held.values())]
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], ["word", "n", "bigrams"])
+
+        for b in batches:
+            for t in b.column(0):
+                words = words_of(t.as_py() if t.is_valid else b"")
+                a = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+                at = np.flatnonzero(a >= first)
+                row = np.full(len(a) + 2, classes[-1], np.uint8)
+                row[1:-1] = classes[a]
+                near = np.stack([row[at], row[at + 2]], axis=1).tobytes()
+                for k, i in enumerate(at.tolist()):
+                    held[words[i]] += near[2 * k : 2 * k + 2]
+                total += len(at)
+                if len(held) > HELD_WORDS or total > HELD_BIGRAMS:
+                    yield out()
+                    held.clear()
+                    total = 0
+        if held:
+            yield out()
+
+    return count
+
+
+def all_classes(texts: DataFrame, counts: DataFrame, listed: dict[bytes, int], own: np.ndarray, transitions: np.ndarray, classes: int) -> DataFrame:
+    """word, n and class of the words that are not listed."""
+    first = classes
+
+    if not classes:
+
+        @F.arrow_udf("int")
+        def form(words: pa.Array) -> pa.Array:
+            return pa.array([form_of(w) for w in words.to_pylist()], pa.int32())
+
+        return stage_table(counts.select("word", "n", form("word").alias("class")), "word-classes")
+    gains = Gains(transitions, classes)
+
+    @F.arrow_udf("int")
+    def assign(words: pa.Array, n: pa.Array, parts: pa.Array) -> pa.Array:
+        best = gains.best(parts.to_pylist()).tolist()
+        return pa.array([first + form_of(w) if k == 1 else c for w, k, c in zip(words.to_pylist(), n.to_pylist(), best)], pa.int32())
+
+    rows = texts.mapInArrow(_count_contexts(listed, own, gains), "word binary, n bigint, bigrams binary")
+    grouped = rows.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "bigrams")).alias("parts"))
+    return stage_table(grouped.select("word", "n", assign("word", "n", "parts").alias("class")), "word-classes")
+
+
 # ---------------------------------------------------------------- the model
 
 
 class ClassModel:
     """What scoring needs of the counts: head words with class and count, class sizes and transitions."""
 
-    def __init__(self, head: list[tuple[bytes, int]], own: np.ndarray, clustered: int, transitions: np.ndarray, distinct: np.ndarray, tokens: int, vocabulary: int, ends: int):
-        """``own``: classes of the ``clustered`` first head words, of the forms and of the end; ``distinct``: words by form."""
+    def __init__(self, head: list[tuple[bytes, int]], own: np.ndarray, clustered: int, transitions: np.ndarray, distinct: np.ndarray, tokens: int, vocabulary: int, ends: int, learned: dict[bytes, int] | None = None, sizes: np.ndarray | None = None):
+        """``own``: classes of the ``clustered`` first head words, of the forms and of the end; ``distinct``: words by form;
+        ``learned``: classes of the other head words; ``sizes``: words by class, where they are not only in forms."""
         self.tokens, self.vocabulary = tokens, vocabulary
         size = len(transitions)
         self.end = size - 1
@@ -197,35 +291,59 @@ class ClassModel:
         self.step = np.log10((transitions + BETA * p[None, :]) / (transitions.sum(axis=1, keepdims=True) + BETA))
         words = np.bincount(own[:clustered], minlength=size).astype(float)
         words[self.first_form : self.end] = distinct
+        if sizes is not None:
+            words = sizes.astype(float)
         words[self.end] = 1 if ends else 0
         self.class_log = np.log10(into + DELTA * (words + 1))  # denominators of emissions
         self.word_id = {w: i for i, (w, _) in enumerate(head)}
         count = np.array([n for _, n in head], np.float64)
-        self.word_class = np.array([own[i] if i < clustered else self.first_form + form_of(w) for i, (w, _) in enumerate(head)], np.int64)
+        learned = learned or {}
+        self.word_class = np.array([own[i] if i < clustered else learned.get(w, self.first_form + form_of(w)) for i, (w, _) in enumerate(head)], np.int64)
         self.word_base, self.word_emit = np.log10(count + 1), np.log10(count + DELTA)
         self.end_base, self.end_emit, self.end_known = math.log10(ends + 1), math.log10(ends + DELTA), ends > 0
         self.base_log = math.log10(tokens + vocabulary + 1)
 
-    def local(self, raw: bytes) -> tuple[int, int, float, float, Counter]:
-        """(tokens, known ones, base score, score) without what counts of rare words add; the rare words."""
+    def local(self, raw: bytes) -> tuple[int, int, float, float, bytes, dict[bytes, list[int]]]:
+        """(tokens, known ones, base score, emissions) without what counts of rare words add; the classes, as if no rare
+        word were known; the rare words' places."""
         words, get, head = words_of(raw), self.word_id.get, len(self.word_class)
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        rare_at = np.flatnonzero(ids < 0).tolist()
-        rare = [words[i] for i in rare_at]
+        rare: dict[bytes, list[int]] = defaultdict(list)
         listed = ids[ids >= 0]
-        cls = np.full(len(ids) + 2, self.end, np.int64)
-        if head:
-            cls[1:-1] = self.word_class[ids]
-        if rare:
-            cls[1 + np.array(rare_at)] = [self.first_form + form_of(w) for w in rare]
+        cls = self.word_class[ids].astype(np.uint8) if head else np.zeros(len(ids), np.uint8)
+        for i in np.flatnonzero(ids < 0).tolist():
+            rare[words[i]].append(i)
+            cls[i] = self.first_form + form_of(words[i])
         n = len(words) + 1
         base = float(self.word_base[listed].sum()) + self.end_base - n * self.base_log
-        score = float(self.step[cls[:-1], cls[1:]].sum() + self.word_emit[listed].sum() - self.class_log[cls[1:]].sum()) + self.end_emit
-        return n, len(listed) + int(self.end_known), base, score, Counter(rare)
+        return n, len(listed) + int(self.end_known), base, float(self.word_emit[listed].sum()) + self.end_emit, cls.tobytes(), rare
+
+    def path(self, classes: bytes) -> float:
+        """What the classes of a text add to its score: transitions, and the denominators of emissions."""
+        cls = bounded(classes, self.end)
+        return float(self.step[cls[:-1], cls[1:]].sum() - self.class_log[cls[1:]].sum())
+
+
+def bounded(classes: bytes, end: int) -> np.ndarray:
+    return np.concatenate([[end], np.frombuffer(classes, np.uint8), [end]]).astype(np.int64)
+
+
+def _count_steps(size: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size * size, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                a = bounded(t, size - 1)
+                table += np.bincount(a[:-1] * size + a[1:], minlength=size * size)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table[at], pa.int64())], ["pair", "n"])
+
+    return count
 
 
-def train(texts: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model and the table of all word counts; ``texts`` has one binary column."""
+def train(texts: DataFrame) -> tuple[Callable[..., ClassModel], DataFrame]:
+    """The model, a function of its transitions, and the table of counts and classes of words that are not clustered;
+    ``texts`` has one binary column."""
     spark = texts.sparkSession
     counts = texts.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stage_table(counts, "word-counts")
@@ -245,18 +363,20 @@ def train(texts: DataFrame) -> tuple[ClassModel, DataFrame]:
     transitions = np.zeros((classes + FORMS + 1,) * 2)
     np.add.at(transitions, (own[:, None], own[None, :]), pairs)
 
-    names = spark.sparkContext.broadcast(frozenset(listed))
+    rest = all_classes(texts, counts, listed, own, transitions, classes)
+    sizes = np.bincount(own[:clustered], minlength=len(transitions)) if clustered else np.zeros(len(transitions), np.int64)
+    for r in rest.groupBy("class").agg(F.count("*").alias("n")).collect():
+        sizes[r["class"]] += r["n"]
+    learned = {}
+    if head:
+        rows = rest.where((F.length("word") <= HEAD_BYTES) & (F.col("n") >= head[-1][1])).collect()  # words of the head
+        learned = {bytes(r["word"]): r["class"] for r in rows}
+    tokens, vocabulary = int(sums["n"] or 0) + ends, sums["v"] + (ends > 0)
 
-    @F.arrow_udf("int")
-    def form(words: pa.Array) -> pa.Array:
-        return pa.array([None if (w := x.as_py()) in names.value else form_of(w) for x in words], pa.int32())
+    def model(steps: np.ndarray = transitions) -> ClassModel:
+        return ClassModel(head, own, clustered, steps, np.zeros(FORMS), tokens, vocabulary, ends, learned, sizes)
 
-    distinct = np.zeros(FORMS)
-    for r in counts.select(form("word").alias("form")).groupBy("form").agg(F.count("*").alias("n")).collect():
-        if r["form"] is not None:
-            distinct[r["form"]] = r["n"]
-    tokens, vocabulary = int(sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-    return ClassModel(head, own, clustered, transitions, distinct, tokens, vocabulary, ends), counts
+    return model, rest
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,35 +384,65 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     bound_batches(spark)
     held = F.coalesce(fold(key, FOLDS) == HELD_OUT, F.lit(False))
-    model, counts = train(docs.where(~held).select(F.col(text).cast("binary").alias("text")))
+    trained, counts = train(docs.where(~held).select(F.col(text).cast("binary").alias("text")))
+    model = trained()
     shared = spark.sparkContext.broadcast(model)  # HEAD bounded words
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("at", pa.list_(pa.int32()))]))
 
-    @F.arrow_udf("struct<n:bigint,known:bigint,base:double,score:double,rare:array<struct<word:binary,times:bigint>>>")
+    @F.arrow_udf("struct<n:bigint,known:bigint,base:double,score:double,classes:binary,rare:array<struct<word:binary,at:array<int>>>>")
     def local(texts: pa.Array) -> pa.Array:
         m = shared.value
         rows = [m.local(t.as_py() if t.is_valid else b"") for t in texts]
-        words, times, ends = [], [], [0]
+        words, places, ends = [], [], [0]
         for r in rows:
-            words += r[4].keys()
-            times += r[4].values()
+            words += r[5].keys()
+            places += r[5].values()
             ends.append(len(words))
-        rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]))
-        cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-        return pa.StructArray.from_arrays([*cols, rare.cast(rare_type)], ["n", "known", "base", "score", "rare"])
+        rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(places, pa.list_(pa.int32()))], ["word", "at"]))
+        cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
+        return pa.StructArray.from_arrays([*cols, rare.cast(rare_type)], ["n", "known", "base", "score", "classes", "rare"])
 
     part = docs.select(F.col(key).alias("doc_id"), held.alias("held_out"), local(F.col(text).cast("binary")).alias("r"))
     part = part.select("doc_id", "held_out", "r.*", F.monotonically_increasing_id().alias("row"))
     part = stage_table(part, "head-scores")
     rare = part.select("row", F.inline("rare")).join(counts, "word", "left")
-    n = F.coalesce("n", F.lit(0))
+    n, times = F.coalesce("n", F.lit(0)), F.size("at")
     added = rare.groupBy("row").agg(
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10(n + 1)).alias("more_base"),
-        F.sum(F.col("times") * F.log10(n + F.lit(DELTA))).alias("more_score"),
+        F.sum(F.when(n > 0, times).otherwise(0)).alias("more_known"),
+        F.sum(times * F.log10(n + 1)).alias("more_base"),
+        F.sum(times * F.log10(n + F.lit(DELTA))).alias("more_score"),
+        F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "at"))).alias("found"),  # no more than the text's words
     )
-    out = part.drop("rare").join(added, "row", "left")
-    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
+
+    @F.arrow_udf("binary")
+    def fill(classes: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for own, words in zip(classes.to_pylist(), found.to_pylist()):
+            if words:
+                own = bytearray(own)
+                for w in words:
+                    for i in w["at"]:
+                        own[i] = w["class"]
+                own = bytes(own)
+            out.append(own)
+        return pa.array(out, pa.binary())
+
+    out = part.drop("rare").join(added, "row", "left").withColumn("classes", fill("classes", "found")).drop("found")
+    out = stage_table(out, "text-classes")
+    size = model.end + 1
+    steps = np.zeros(size * size)
+    for r in out.where(~F.col("held_out")).select("classes").mapInArrow(_count_steps(size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most size * size rows
+        steps[r["pair"]] = r["n"]
+    final = trained(steps.reshape(size, size))
+    final_shared = spark.sparkContext.broadcast(final)
+
+    @F.arrow_udf("double")
+    def path(classes: pa.Array) -> pa.Array:
+        return pa.array([final_shared.value.path(c) for c in classes.to_pylist()], pa.float64())
+
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0)) + path("classes")
+    out = out.withColumn("score", score)
+    score = F.col("score")
     return out.select(
         "doc_id",
         "held_out",

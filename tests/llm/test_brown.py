@@ -90,3 +90,21 @@ def test_perplexity_is_a_probability():
     table = np.random.default_rng(1).poisson(2, (size, size)).astype(float)
     model = brown.ClassModel(head, own, 3, table, np.zeros(brown.FORMS), 10, 4, 1)
     assert np.allclose((10**model.step).sum(axis=1), 1)
+
+
+def test_words_beyond_the_clustered_learn_their_class(spark, monkeypatch):
+    """Words used as others are join their class, in the head or not; only words of one occurrence keep their form."""
+    monkeypatch.setattr(brown, "CLUSTERED", 8)
+    monkeypatch.setattr(brown, "CLASSES", 2)
+    monkeypatch.setattr(brown, "SINGLE", 4)
+    r = np.random.default_rng(3)
+    draw = lambda kind, new: new if r.random() < 0.02 else f"{kind}{r.integers(4)}"
+    texts = [" ".join(x for _ in range(40) for x in (draw("a", "left"), draw("b", "right" + "x" * 70))) for _ in range(60)] + ["a0 once b1"]
+    docs = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
+    trained, rest = brown.train(docs)
+    model, rest = trained(), {bytes(x["word"]): (x["n"], x["class"]) for x in rest.collect()}
+    a, b = (model.word_class[model.word_id[w]] for w in (b"a0", b"b0"))
+    counts = Counter(w for t in texts for w in t.encode().split())
+    assert {w: n for w, (n, _) in rest.items()} == {w: n for w, n in counts.items() if w not in [b"%s%d" % (k, i) for k in (b"a", b"b") for i in range(4)]}
+    assert a != b and rest[b"left"][1] == a and rest[b"right" + b"x" * 70][1] == b
+    assert model.word_class[model.word_id[b"left"]] == a and rest[b"once"][1] == model.first_form + brown.form_of(b"once")
