@@ -7,7 +7,9 @@ plan is a list of patterns with multiplicities; each piece finds its place from
 pieces of its length.
 
 Defined results: a null or empty text is one piece that holds only the end id; repeated rows are
-packed as often as they occur; an empty table gives an empty result; other columns are ignored.
+packed as often as they occur; a null key is a key like any other; an added token of the tokenizer
+file (such as its end mark) that stands in a text has its own id there, as in the library; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -169,16 +171,17 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class FileTokenizer:
-    """Ids of whole texts by a byte-level tokenizer file. Words of Latin letters go through the merge table of the file
-    in tiktoken's core; words with other characters through the tokenizers library itself."""
+    """Ids of whole texts by a byte-level tokenizer file, as the library's encode() gives them. Words of Latin letters go
+    through the merge table of the file in tiktoken's core; words with other characters, and texts that hold an added token
+    of the file, through the tokenizers library itself."""
 
     def __init__(self, spec: str):
         self._library = Tokenizer.from_str(spec)
-        self._library.encode_special_tokens = True
         file = json.loads(spec)
         alphabet = _byte_alphabet()
-        special = {t["content"] for t in file["added_tokens"]}
-        ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in file["model"]["vocab"].items() if t not in special}
+        added = sorted({t["content"] for t in file["added_tokens"]})
+        ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in file["model"]["vocab"].items() if t not in added}
+        self._added = regex.compile("|".join(map(regex.escape, added)) or r"(?!)").search
         self._core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._other = regex.compile(r"[^\x00-ɏ‐-‧]").search
         self._young: dict[str, bytes | None] = {}
@@ -198,6 +201,9 @@ class FileTokenizer:
             young[w] = old[w] if w in old else None if not w or w[0].isspace() or w[-1].isspace() else self._ids(" " + w)
         out, get = [], young.__getitem__
         for text, ws in zip(texts, words):
+            if text and self._added(text):  # cut at added tokens before words
+                out.append(np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
             try:
                 if ws[0] and ws[0][-1].isspace():
                     raise TypeError
@@ -252,11 +258,17 @@ class Packer:
 
         @F.arrow_udf("array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
         def pieces(texts: pa.Array) -> pa.Array:
-            out = []
+            piece, start, length, crc, ends = [], [], [], [], [0]
             for p in _in_worker(shared, key).encode_packed(texts.to_pylist()):
-                p += end
-                out.append([{"piece": k, "start": s, "length": n, "ids_crc32": zlib.crc32(p[4 * s : 4 * (s + n)])} for k, (s, n) in enumerate(cut(len(p) // 4, capacity))])
-            return pa.array(out, pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))
+                p = memoryview(p + end)
+                cuts = cut(len(p) // 4, capacity)
+                piece += range(len(cuts))
+                start += [s for s, _ in cuts]
+                length += [n for _, n in cuts]
+                crc += [zlib.crc32(p[4 * s : 4 * (s + n)]) for s, n in cuts]
+                ends.append(len(piece))
+            columns = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["piece", "start", "length", "ids_crc32"]))
 
         return pieces(text)
 
@@ -264,17 +276,22 @@ class Packer:
         """Per piece: the document's key, piece, start, length, ids_crc32, sequence_id and offset."""
         spark = docs.sparkSession
         cuts = docs.select(F.col(key).alias("doc_id"), F.inline(self._pieces(F.col(text))))
-        cuts = stage_table(cuts, "pieces")
+        cuts = stage_table(cuts.withColumn("row", F.monotonically_increasing_id()), "pieces")  # stored, so that it stays
         counts = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-        table = spark.sparkContext.broadcast(slot_table(plan_packing(counts, self.capacity)))
-
-        # Ranks 0..n-1 within a length; runs of a salt keep a frequent length from meeting in one task.
-        salts = max(1, -(-max(counts.values(), default=0) // RUN))
-        salted = cuts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+        partial = {n: k for n, k in counts.items() if n < self.capacity}
+        table = spark.sparkContext.broadcast(slot_table(plan_packing(partial, self.capacity)))
+
+        # A piece that fills a sequence needs no rank; its sequence numbers are below zero.
+        whole = cuts.where(F.col("length") == self.capacity)
+        whole = whole.withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("bigint")})
+        # Ranks 0..n-1 within a length; a length has as many salts as it has runs, so that a frequent one is in many tasks.
+        salts = spark.createDataFrame([(n, -(-k // RUN)) for n, k in sorted(counts.items())], "length bigint, salts bigint")  # at most `capacity` rows
+        nth = F.pmod(F.xxhash64("row"), F.col("salts"))
+        salted = cuts.where(F.col("length") < self.capacity).join(F.broadcast(salts), "length").withColumn("salt", nth).drop("salts")
         before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
         sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
         sums = sums.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-        own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
+        own = Window.partitionBy("length", "salt").orderBy("row")
         ranked = salted.withColumn("nth", F.row_number().over(own) - 1).join(sums, ["length", "salt"])
 
         @F.arrow_udf("struct<sequence_id:bigint,offset:bigint>")
@@ -289,7 +306,8 @@ class Packer:
             return pa.StructArray.from_arrays([pa.array(t["sequence"][at] + sequence, pa.int64()), pa.array(t["offset"][at] + nth * size, pa.int64())], ["sequence_id", "offset"])
 
         placed = ranked.withColumn("place", place("length", F.col("nth") + F.col("ahead")))
-        return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "place.sequence_id", "place.offset")
+        placed = placed.select("doc_id", "piece", "start", "length", "ids_crc32", "place.sequence_id", "place.offset")
+        return placed.union(whole.select(*placed.columns))
 
     def sequences(self, docs: DataFrame, packed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """The packed sequences themselves: sequence_id and its ids. ``key`` has to identify the documents."""

@@ -91,9 +91,7 @@ def check(rows, texts, library, capacity=1024):
 
 @pytest.fixture(scope="module")
 def library(tokenizers_path):
-    t = Tokenizer.from_file(tokenizers_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizers_path("byte_bpe_50k.json"))
 
 
 def test_query(spark, small, library):
@@ -113,6 +111,17 @@ def test_odd_documents(spark, odd_docs, tokenizers_path, library):
     assert packer.pack(odd_docs.limit(0)).count() == 0
 
 
+def test_marks_and_full_pieces(spark, tokenizers_path, library):
+    """Added tokens in texts; pieces that fill a sequence; many pieces of one length, in several runs."""
+    texts = {k: "hello <|endoftext|> world <|endoftext|>" for k in range(5)} | {10: " a" * 1023, 11: " a" * 5000, 12: None}
+    texts |= {k: " b" * 99 for k in range(100, 400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "RUN", 40)
+        rows = packing.Packer(spark, tokenizers_path("byte_bpe_50k.json")).pack(docs).collect()
+    assert check(rows, texts, library) == 1 + 4 + 30 + 1 and {r["doc_id"] for r in rows} == texts.keys()
+
+
 def test_sequences(spark, tokenizers_path, library):
     docs = spark.createDataFrame([(1, "a b c " * 500), (2, "hello there"), (3, None)], "doc_id bigint, text string")
     packer = packing.Packer(spark, tokenizers_path("byte_bpe_50k.json"))
@@ -126,5 +135,8 @@ def test_sequences(spark, tokenizers_path, library):
 def test_words_of_other_letters(library, tokenizers_path):
     with open(tokenizers_path("byte_bpe_50k.json"), encoding="utf-8") as f:
         own = packing.FileTokenizer(f.read())
-    for text in ("日本語 テキスト 🙂 é", "  a\n\n b", "<|endoftext|> x", "Ωμέγα ñ   c", "it's  1st"):
+    mark = "<|endoftext|>"
+    marked = (mark, f"{mark}{mark}", f"{mark} x", f"x{mark}y", f"a {mark}", f"hello {mark} world", f"  {mark}\n{mark} é日本 {mark}", "<|endoftext|", "<|ENDOFTEXT|>", f"x {mark}'s  ")
+    assert own.encode_packed(["hello <|endoftext|> world"])[0] == np.array([31373, 220, 50256, 995], "<u4").tobytes()
+    for text in (*marked, "日本語 テキスト 🙂 é", "  a\n\n b", "<|endoftext|> x", "Ωμέγα ñ   c", "it's  1st"):
         assert np.frombuffer(own.encode_packed([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

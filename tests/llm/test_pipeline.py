@@ -30,7 +30,6 @@ def test_stages(spark, small, tokenizers_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenizers_path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     check(rows[5], {r["doc_id"]: r["text"] for r in rows[4]}, library)
     assert {r["doc_id"] for r in rows[5]} == ids[4]
 
