@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,36 +17,69 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local session gets one of its own; on a
+    cluster that is an error, as executors would each write to their own disks."""
     set_by = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_by:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
         set_by = spark.sparkContext.getCheckpointDir()
     return set_by.rstrip("/")
 
 
+#: Folders that stage_table wrote, for each open ``temporary_tables``.
+_written: list[list[str]] = []
+
+
+def new_table(spark: SparkSession, label: str) -> str:
+    """Path of a table to be written in the shared folder."""
+    path = f"{shared_dir(spark)}/seqloom/{label}-{uuid.uuid4().hex}"
+    for paths in _written:
+        paths.append(path)
+    return path
+
+
 def stage_table(df: DataFrame, label: str, *by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder, in a folder for each value of ``by``, and read it back: lineage is
     cut, nothing is kept in executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqloom/{label}-{uuid.uuid4().hex}"
+    path = new_table(df.sparkSession, label)
     df.write.partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete a table of ``stage_table`` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+    """Delete a table of ``stage_table`` (without ``by``) that no later plan reads."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, at its end, the tables that are staged within it, but for those taken out of the list."""
+    paths: list[str] = []
+    _written.append(paths)
+    try:
+        yield paths
+    finally:
+        _written.remove(paths)
+        for path in paths:
+            _delete(spark, path)
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough that long texts cannot exhaust a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Lower the session's Arrow batch bounds, where they are higher, so that long texts cannot exhaust a Python worker.
+    They have to hold when a result is computed, and so stay lowered; lower ones of the session's own are left alone."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        own = spark.conf.get(name).removesuffix("b").removesuffix("B")
+        if not (own.isdigit() and 0 < int(own) <= most):
+            spark.conf.set(name, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ linear, scoring adds up one row of class scores for each n-gram. A temperature i
 kept from training, and with it the confidence below which a prediction is rejected.
 
 The model is fitted on at most SAMPLE labelled texts; every text is scored whole.
-Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; the same
-holds for every text if there is nothing to learn from. Repeated rows are scored alike, an empty
-table gives an empty result, other columns are ignored.
+Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; without
+anything to learn from every text is ``und`` with score 0, and those with a letter are not rejected.
+A document without a key is learned from. Repeated rows are scored alike, an empty table gives an empty result,
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,8 +123,10 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, probability, rejected."""
-        if text is None or not self.classes or not _letter(text):
+        if text is None or not _letter(text):
             return UNKNOWN, 0.0, True
+        if not self.classes:
+            return UNKNOWN, 0.0, False
         count = gram_counts(text)
         p = softmax((count @ self.scores / max(1, count.sum()) + self.bias) / self.temperature)
         k = int(p.argmax())
@@ -177,16 +180,19 @@ def predictor(spark, model: LanguageModel):
 HELD_OUT = 5
 
 
-def identify(docs: DataFrame, text: Column | None = None) -> DataFrame:
+def held_out() -> Column:
+    return F.coalesce(fold("doc_id", HELD_OUT) == 0, F.lit(False))
+
+
+def identify(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score and rejected. Held-out documents are not learned from."""
-    held = fold("doc_id", HELD_OUT) == 0
-    model = train(docs.where(~F.coalesce(held, F.lit(False))))
+    held = held_out()
+    model = train(docs.where(~held))
     guess = predictor(docs.sparkSession, model)
     return docs.select("doc_id", held.alias("held_out"), guess("text").alias("r")).select("doc_id", "held_out", "r.*")
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """The documents whose language is not rejected, with all their columns."""
-    held = fold("doc_id", HELD_OUT) == 0
-    model = train(docs.where(~F.coalesce(held, F.lit(False))))
+    model = train(docs.where(~held_out()))
     return docs.where(~predictor(docs.sparkSession, model)("text")["rejected"])

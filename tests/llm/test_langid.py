@@ -1,8 +1,11 @@
 """Language identification: held-out accuracy and odd texts."""
 
+import math
+import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from seqloom.llm import langid, queries
 
@@ -52,3 +55,45 @@ def test_rejection_is_calibrated():
     assert [model.predict(t)[0] for t in texts[:20]] == ["a", "b"] * 10
     assert 0 < model.reject_below <= 0.6
     assert not any(model.predict(t)[2] for t in texts)
+
+
+def plain_score(model, text):
+    """The probabilities of a text, one n-gram after the other."""
+    words = re.findall(rb"[a-z\x80-\xff]+", text.lower().encode())
+    total, grams = [0.0] * len(model.classes), 0
+    for w in words:
+        w = b" " + w + b" "
+        for n in (2, 3, 4):
+            for i in range(len(w) - n + 1):
+                h = w[i]
+                for b in w[i + 1 : i + n]:
+                    h = (h * 0x01000193 + b) % 2**32
+                bucket = (h * 0x9E3779B1) % 2**32 >> (32 - langid.BUCKETS_LOG2)
+                total = [t + s for t, s in zip(total, model.scores[bucket])]
+                grams += 1
+    z = [(t / max(1, grams) + b) / model.temperature for t, b in zip(total, model.bias)]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_every_prediction_by_hand(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out()))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = [r for r in langid.identify(docs).collect() if len(texts[r["doc_id"]] or "") < 3000]
+    assert len(rows) > 100
+    for r in rows:
+        text = texts[r["doc_id"]]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        p = plain_score(model, text)
+        assert r["lang_pred"] == model.classes[p.index(max(p))] and abs(r["score"] - max(p)) < 1e-6
+        assert r["rejected"] == (r["score"] < model.reject_below)
+
+
+def test_stage_without_labels_keeps_lettered_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    lettered = sum(any(c.isalpha() for c in r["text"] or "") for r in docs.collect())
+    assert langid.drop_unidentified(docs).count() == lettered > 0
+    assert all(r["held_out"] is not None for r in langid.identify(spark.createDataFrame([(None, "a")], "doc_id bigint, text string").withColumn("lang", F.lit("en"))).collect())

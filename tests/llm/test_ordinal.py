@@ -1,5 +1,9 @@
 """Ordinal regression: ordered thresholds, gradients, held-out grades."""
 
+import math
+import re
+import zlib
+
 import numpy as np
 
 from seqloom.llm import ordinal, queries
@@ -49,3 +53,63 @@ def test_odd_documents(spark, odd_docs):
     rows = ordinal.rate(odd_docs, some).collect()
     assert len(rows) == odd_docs.count() and all(r["expected_grade"] is not None for r in rows)
     assert ordinal.rate(odd_docs.limit(0), some).count() == 0
+
+
+def plain_features(text):
+    """The buckets of a text, from its words and traits one by one."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+    if not words:
+        return set()
+    names = set()
+    for w in words:
+        low = re.sub(rb"[A-Z]", lambda m: m[0].lower(), w)
+        names |= {b"w:" + c for c in re.findall(rb"[a-z\x80-\xff]+", low)}
+        tail = re.search(rb"[^a-z0-9\x80-\xff.,]+$", low)
+        if tail:
+            names.add(b"t:" + tail[0])
+        if len(w) > 1 and re.search(rb"[A-Z]", w) and not re.search(rb"[a-z]", w):
+            names.add(b"u:")
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    n = len(words)
+    traits = {
+        b"repeated": sum(a == b for a, b in zip(words, words[1:])) / n,
+        b"distinct": len(set(words)) / n,
+        b"dup_lines": 1 - len(set(lines)) / max(len(lines), 1),
+        b"symbols": min(1.0, len(re.findall(rb"[#*$%&|<>!]", raw)) / n),
+        b"upper": len(re.findall(rb"[A-Z]", raw)) / len(raw),
+        b"short": float(n < 20),
+    }
+    names |= {b"trait:%s:%d" % (t, k) for t, x in traits.items() for k in range(1, 6) if x >= k / 10}
+    return {zlib.crc32(x) % ordinal.BUCKETS for x in names}
+
+
+def test_every_grade_by_hand(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = ordinal.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = ordinal.rate(docs, labels).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        z = sum(model.weights[b] for b in plain_features(texts[r["doc_id"]]))
+        above = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        each = [1 - above[0], above[0] - above[1], above[1]]
+        assert abs(r["expected_grade"] - sum(above)) < 1e-9 and abs(r["tail_probability"] - above[1]) < 1e-9
+        assert each[r["grade"]] > max(each) - 1e-9 and r["kept"] == (r["tail_probability"] >= model.select)
+
+
+def test_fit_lowers_the_loss_to_a_stationary_point():
+    """The likelihood's slope by the thresholds, taken numerically, is near zero where the fit ends."""
+    r = np.random.default_rng(4)
+    grade = r.integers(0, 3, 1500)
+    x = [np.array([7 if r.random() < (0.8, 0.5, 0.1)[g] else 8]) for g in grade]
+    model = ordinal.OrdinalModel.fit(x, grade)
+
+    def loss(thresholds):
+        above = 1 / (1 + np.exp(thresholds - np.array([[model.score(i)] for i in x])))
+        each = np.stack([1 - above[:, 0], above[:, 0] - above[:, 1], above[:, 1]], axis=1)
+        return -np.log(each[np.arange(len(x)), grade]).mean()
+
+    for k in range(2):
+        step = np.eye(2)[k] * 1e-4
+        assert abs(loss(model.thresholds + step) - loss(model.thresholds - step)) / 2e-4 < 0.03
