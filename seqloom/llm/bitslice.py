@@ -5,7 +5,7 @@ binary place, one bitmap over the chunk's rows. A query's score is added up for
 at once by carry-save bitmap arithmetic: the query's components are written with signed binary
 digits, each digit adds the (shifted, or complemented) slices of its component. The best rows are
 read off the sum from its most significant slice down; rows that tie at the boundary are resolved
-exactly, by key. Chunks' results are merged by score and key.
+exactly, by key. Chunks' results are merged by score and key, first within a task, then over tasks.
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows without a
 key take no part; a finite component that does not fit a long after scaling, and a result whose score
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import bound_batches, stage_table
+from seqloom.llm.common import bound_batches, new_table, stage_table
 
 SCALE, TOP, EVERY = 256, 5, 50
 #: Rows of an index chunk; queries that are broadcast together (their vectors are all a task holds besides a chunk).
@@ -234,37 +234,51 @@ def build_index(vectors: DataFrame, key: str, vector: str, scale: int = SCALE, s
     return stage_table(chunks.repartition(2 * spark.sparkContext.defaultParallelism), "bit-slices")
 
 
+class Best:
+    """The k best rows of each query so far: scores fall, equal ones are by key."""
+
+    def __init__(self, k: int):
+        self.k, self.rows = k, {}
+
+    def add(self, query: int, keys: np.ndarray, scores: np.ndarray) -> None:
+        new = [(-s, key) for s, key in zip(scores.tolist(), keys.tolist())]
+        self.rows[query] = sorted(self.rows.get(query, []) + new)[: self.k]
+
+    def batch(self) -> pa.RecordBatch:
+        rows = [(q, key, fitting(-s)) for q, own in self.rows.items() for s, key in own]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["query_id", "vec_id", "score"])
+
+
 def search(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int = TOP, scale: int = SCALE, block: int = QUERY_BLOCK) -> DataFrame:
     """For each query its k best rows: query_id, rank, vec_id, score. Queries are taken in blocks of bounded size, each a
-    broadcast that passes once over the index."""
+    broadcast that passes once over the index; all blocks' answers, k of each query and task, are one table."""
     spark = index.sparkSession
     wanted = queries.select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("vector")).where("key is not null").distinct()
     blocks = max(1, -(-wanted.count() // block))
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     if blocks > 1:
         wanted = stage_table(wanted, "queries", "block")
-    found = None
+    path, found = new_table(spark, "answers"), None
     for b in range(blocks):
         rows = wanted.where(F.col("block") == b).collect()  # about `block` queries
         quantised = quantise(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), scale, strict=True)
         asked = spark.sparkContext.broadcast([(r["key"], q) for r, q in zip(rows, quantised) if q is not None])
 
         def answer(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            best = Best(k)
             for batch in batches:
                 for row in batch.to_pylist():
                     chunk = Chunk(**row)
-                    ids, keys, scores = [], [], []
                     for key_, q in asked.value:
-                        a, s = chunk.top(key_, q, k)
-                        ids += [key_] * len(a)
-                        keys += a.tolist()
-                        scores += [fitting(x) for x in s.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
+                        best.add(key_, *chunk.top(key_, q, k))
+            yield best.batch()
 
-        part = index.mapInArrow(answer, "query_id bigint, vec_id bigint, score bigint")
+        found = index.mapInArrow(answer, "query_id bigint, vec_id bigint, score bigint")
         if blocks > 1:
-            part = stage_table(part, "answers")
-        found = part if found is None else found.union(part)
+            found.write.mode("append").parquet(path)
+            asked.unpersist()
+    if blocks > 1:
+        found = spark.read.schema(found.schema).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     score = F.coalesce("score", F.raise_error(F.lit(NO_FIT)).cast("bigint"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
