@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm.licenses import BLOCK, PHRASES, TEMPLATES, THRESHOLD, words_of
+from seqloom.llm.licenses import PHRASES, TEMPLATES, need_of, words_of
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -18,30 +18,30 @@ def _places(phrase: str) -> str:
     return f"list_filter(range(len(w)), lambda i: {hit})"
 
 
+def _list(words: set[bytes]) -> str:
+    return "[" + ", ".join(repr(w.decode()) for w in sorted(words)) + "]"
+
+
 def license_scan_sql() -> str:
+    """A template's best block begins at one of its words, so that only blocks from there on are compared."""
     templates = []
-    for k, (label, text) in enumerate(TEMPLATES):
-        words = sorted({w.decode() for w in words_of(text)})
-        need = max(1, -int(-THRESHOLD * len(words) // 1))
-        templates.append(f"({k}, '{label}', [{', '.join(repr(w) for w in words)}], {need})")
+    for k, (label, text, telling) in enumerate(TEMPLATES):
+        words = set(words_of(text))
+        templates.append(f"({k}, '{label}', {_list(words)}, {_list(set(words_of(telling)))}, {need_of(len(words))}, {2 * len(words_of(text))})")
     places = ", ".join(f"{_places(p)} AS p_{label}" for p, label in PHRASES)
     both = " || ".join(f"p_{label}" for _, label in PHRASES)
     labels = "[" + ", ".join(f"CASE WHEN len(p_{label}) > 0 THEN '{label}' END" for _, label in PHRASES) + "]"
-    half = BLOCK // 2
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT row, doc_id, {_words("text")} AS w FROM d),
 p AS (SELECT row, doc_id, len(w) AS n_words, {places} FROM w),
 b AS (SELECT row, doc_id, n_words, {both} AS places, list_filter({labels}, lambda x: x IS NOT NULL) AS base FROM p),
-l AS (SELECT row, {_words("line")} AS w FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d)),
-s AS (
-    SELECT row, w AS block FROM l WHERE len(w) BETWEEN 1 AND {BLOCK}
-    UNION ALL
-    SELECT row, w[k + 1 : k + {BLOCK}] AS block FROM (SELECT row, w, unnest(range(0, len(w) - {half}, {half})) AS k FROM l WHERE len(w) > {BLOCK})
-),
-t(t, label, words, need) AS (VALUES {", ".join(templates)}),
+t(t, label, words, telling, need, span) AS (VALUES {", ".join(templates)}),
+c AS (SELECT row, w, t.* FROM (SELECT row, w, list_distinct(w) AS own FROM w), t WHERE len(list_intersect(own, words)) >= need AND len(list_intersect(own, telling)) = len(telling)),
+s AS (SELECT row, label, words, telling, need, w[k + 1 : k + span] AS block FROM (SELECT *, unnest(range(len(w))) AS k FROM c) WHERE list_contains(words, w[k + 1])),
 m AS (
-    SELECT row, label, len(list_intersect(list_distinct(block), words)) AS shared, len(words) AS size, need FROM s, t
+    SELECT row, label, len(list_intersect(list_distinct(block), words)) AS shared, len(words) AS size, need FROM s
+    WHERE len(list_intersect(list_distinct(block), telling)) = len(telling)
 ),
 g AS (SELECT row, list(DISTINCT label) AS met, max(shared / size) AS best FROM m WHERE shared >= need GROUP BY row)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,

@@ -1,18 +1,21 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block meets a template if it holds at least THRESHOLD of the template's distinct words. Words are
-ordered by their frequency in the whole corpus, rarest first. The prefix filter asks for a shared
-word among the first ``|T| - need + 1`` of the template, the length filter for ``need`` template
-words in the block, the positional filter for enough words left after the first shared one; what
-passes is compared exactly. The templates are a parameter and small; the corpus is never indexed.
-
-Blocks are the lines of a text; a longer line is cut into blocks of BLOCK words, one every half
-block, so that every run of up to half a block of words lies within one. A notice wrapped over
-lines is met in the words of the whole text, by every run of twice the template's own words: wider
-runs would gather a short template's words from unrelated lines.
+A template's blocks are the runs, across lines, of twice its own number of words (a shorter text is
+one block). A block meets the template if it holds at least THRESHOLD of the template's distinct
+words - all of them, if these are under SHORT, as 4 of 5 everyday words tell no license - and among
+them the words that tell the license from others. Wider blocks would gather a short template's words
+from unrelated lines.
+
+The join works on windows, wide and near enough that every block of any template lies within one.
+Words are ordered by their frequency in the whole corpus, rarest first. The prefix filter asks for a
+shared word among the first ``|T| - need + 1`` of the template, the length filter for ``need``
+template words in the window, the positional filter for enough words left after the first shared
+one; in what passes all blocks are compared exactly. The templates are a parameter and small; the
+corpus is never indexed.
+
 Besides, the places of fixed phrases are counted (base labels).
 Defined results: a null or empty text has no words, no labels and score 0; without documents the
-result is empty; repeated rows are scanned alike; other columns are ignored.
+result is empty; repeated rows are scanned alike; a null doc_id stays null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,43 +29,36 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import bound_batches
 
-THRESHOLD, BLOCK = 0.8, 64
+#: Share of a template's distinct words that a block has to hold; all of them are asked of templates with under SHORT.
+THRESHOLD, SHORT = 0.8, 10
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Notices by license, of at most BLOCK / 2 words each.
+#: Public notices by license, with the words that tell each from others' notices.
 TEMPLATES = (
-    ("apache-notice", "Licensed under the Apache License, Version 2.0"),
-    ("apache-notice", "you may not use this file except in compliance with the License"),
-    ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("cc-notice", "Licensed under CC BY-NC 4.0"),
-    ("cc-notice", "This work is licensed under a Creative Commons Attribution License"),
-    ("gpl-notice", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-notice", "you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("mit-notice", "Released under the MIT License"),
-    ("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("mpl-notice", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("reserved-notice", "Copyright All rights reserved"),
+    ("apache-notice", "Licensed under the Apache License, Version 2.0", "apache"),
+    ("apache-notice", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", "compliance license"),
+    ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution source binary"),
+    ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution source binary"),
+    ("cc-notice", "Licensed under CC BY-NC 4.0", "cc"),
+    ("cc-notice", "This work is licensed under a Creative Commons Attribution License", "creative commons"),
+    ("gpl-notice", "This work is licensed under the GNU General Public License, version 3", "gnu public"),
+    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu public"),
+    ("gpl-notice", "you can redistribute it and/or modify it under the terms of the GNU General Public License", "gnu public"),
+    ("mit-notice", "Released under the MIT License", "mit"),
+    ("mit-notice", "Licensed under the MIT License", "mit"),
+    ("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "hereby granted copy"),
+    ("mpl-notice", "This Source Code Form is subject to the terms of the Mozilla Public License", "mozilla"),
+    ("mpl-notice", "If a copy of the MPL was not distributed with this file, You can obtain one at", "mpl"),
+    ("reserved-notice", "Copyright All rights reserved", "rights reserved"),
 )
 #: Bytes of words after A-Z are lower-cased: digits, a-z and all bytes of other characters.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_LINES = bytes(10 if b == 10 else _FOLD[b] for b in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
-def blocks_of(text: str, size: int = BLOCK) -> Iterator[list[bytes]]:
-    for line in text.encode().translate(_LINES).split(b"\n"):
-        words = line.split()
-        if len(words) <= size:
-            if words:
-                yield words
-        else:
-            for k in range(0, len(words) - size // 2, size // 2):
-                yield words[k : k + size]
-
-
 def phrase_starts(words: list[bytes], phrase: tuple[bytes, ...]) -> list[int]:
     out, at, n = [], -1, len(phrase)
     while True:
@@ -74,70 +70,67 @@ def phrase_starts(words: list[bytes], phrase: tuple[bytes, ...]) -> list[int]:
             out.append(at)
 
 
+def need_of(distinct: int, threshold: float = THRESHOLD) -> int:
+    """Distinct words that a block has to share with a template."""
+    return distinct if distinct < SHORT else max(1, -int(-threshold * distinct // 1))
+
+
 class TemplateIndex:
     """Inverted index of the templates' prefixes, words in order of corpus frequency."""
 
     def __init__(self, templates, counts: dict[bytes, int], threshold: float = THRESHOLD):
-        sets = [(label, sorted(set(words_of(text)))) for label, text in templates]
-        known = {w for _, ws in sets for w in ws}
+        sets = [(label, sorted(set(words_of(text))), frozenset(words_of(telling)), 2 * len(words_of(text))) for label, text, telling in templates]
+        known = {w for _, ws, _, _ in sets for w in ws}
         self.place = {w: k for k, w in enumerate(sorted(known, key=lambda w: (counts.get(w, 0), w)))}
-        self.spans = [2 * len(words_of(text)) for _, text in templates]
+        self.known = frozenset(known)
+        #: Every run of up to ``step`` words lies within one of the windows of twice that length, one every ``step`` words.
+        self.step = max((span for *_, span in sets), default=1)
         self.templates, self.prefix = [], {}
-        for label, ws in sets:
+        for label, ws, telling, span in sets:
             ordered = sorted(ws, key=self.place.__getitem__)
-            need = max(1, -int(-threshold * len(ordered) // 1))
+            need = need_of(len(ordered), threshold)
             t = len(self.templates)
-            self.templates.append((label, ordered, frozenset(ordered), need))
+            self.templates.append((label, ordered, frozenset(ordered), need, telling, span))
             for i, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(w, []).append((t, i))
         self.rare = frozenset(self.prefix)
 
-    def join(self, block: list[bytes]) -> dict[int, float]:
-        """Containment of each template that the block meets."""
-        own = sorted(self.place.keys() & set(block), key=self.place.__getitem__)
-        found: dict[int, float] = {}
+    def candidates(self, window: list[bytes]) -> list[int]:
+        """Templates that a block of the window may meet."""
+        own = sorted(self.known.intersection(window), key=self.place.__getitem__)
         tried: set[int] = set()
+        out = []
         for j, w in enumerate(own):
             for t, i in self.prefix.get(w, ()):
                 if t in tried:
                     continue
                 tried.add(t)  # w is the first word the two share: both are in the same order
-                label, ordered, words, need = self.templates[t]
+                _, ordered, words, need, telling, _ = self.templates[t]
                 if len(own) < need or 1 + min(len(ordered) - i - 1, len(own) - j - 1) < need:
                     continue
-                shared = len(words.intersection(own))
-                if shared >= need:
-                    found[t] = shared / len(ordered)
-        return found
+                if len(words.intersection(own)) >= need and telling.issubset(own):
+                    out.append(t)
+        return out
 
-    def scan(self, text: str | None) -> dict[str, float]:
-        """Best containment by label over all blocks of the text."""
+    def scan(self, words: list[bytes]) -> dict[str, float]:
+        """Best containment by label over all blocks of a text."""
         best: dict[str, float] = {}
-        if text:
-            for block in blocks_of(text):
-                if not self.rare.isdisjoint(block):
-                    for t, share in self.join(block).items():
-                        label = self.templates[t][0]
-                        best[label] = max(best.get(label, 0.0), share)
-        return best
-
-    def scan_runs(self, words: list[bytes]) -> dict[str, float]:
-        """Best containment by label over all runs, across lines, of twice a template's words."""
-        best: dict[str, float] = {}
-        own = self.rare.intersection(words)
-        if own:
-            held = set(words)
-            for t in {t for w in own for t, _ in self.prefix[w]}:
-                label, ordered, known, need = self.templates[t]
-                if len(known & held) >= need:
-                    shared = widest(words, known, self.spans[t])
-                    if shared >= need:
-                        best[label] = max(best.get(label, 0.0), shared / len(ordered))
+        if self.rare.isdisjoint(words):
+            return best
+        for k in range(0, max(1, len(words) - self.step), self.step):
+            window = words[k : k + 2 * self.step]
+            if self.rare.isdisjoint(window):
+                continue
+            for t in self.candidates(window):
+                label, ordered, known, need, telling, span = self.templates[t]
+                shared = widest(window, known, telling, span)
+                if shared >= need:
+                    best[label] = max(best.get(label, 0.0), shared / len(ordered))
         return best
 
 
-def widest(words: list[bytes], known: frozenset[bytes], span: int) -> int:
-    """Most distinct ones of the ``known`` words in a run of ``span`` words."""
+def widest(words: list[bytes], known: frozenset[bytes], telling: frozenset[bytes], span: int) -> int:
+    """Most distinct ones of the ``known`` words in a run of ``span`` words that holds all ``telling`` ones."""
     at = [(i, w) for i, w in enumerate(words) if w in known]
     within: Counter = Counter()
     most = first = 0
@@ -149,7 +142,8 @@ def widest(words: list[bytes], known: frozenset[bytes], span: int) -> int:
             if not within[gone]:
                 del within[gone]
             first += 1
-        most = max(most, len(within))
+        if len(within) > most and telling <= within.keys():
+            most = len(within)
     return most
 
 
@@ -176,7 +170,7 @@ _RESULT = "struct<n_words:bigint,n_base:bigint,first_word:bigint,last_word:bigin
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score (the best containment
     of a template, 1 where a phrase stands)."""
-    vocabulary = {w for _, t in templates for w in words_of(t)}
+    vocabulary = {w for _, t, _ in templates for w in words_of(t)}
     index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(templates, corpus_counts(docs, vocabulary), threshold))
     split = [(tuple(words_of(p)), label) for p, label in phrases]
 
@@ -187,9 +181,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
             words = words_of(t)
             starts = [(at, label) for phrase, label in split for at in phrase_starts(words, phrase)]
             base = {label for _, label in starts}
-            met = index.value.scan(t)
-            for label, share in index.value.scan_runs(words).items():
-                met[label] = max(met.get(label, 0.0), share)
+            met = index.value.scan(words)
             at = [a for a, _ in starts]
             rows.append((len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | met.keys())), 1.0 if at else max(met.values(), default=0.0)))
         cols = list(zip(*rows)) or [()] * 7

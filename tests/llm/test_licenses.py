@@ -16,35 +16,31 @@ def base(text):
     return len(words), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in at}))
 
 
-def joined(text, templates, threshold):
-    best = {}
-    for block in licenses.blocks_of(text or ""):
-        for label, t in templates:
-            words = set(licenses.words_of(t))
-            share = len(words & set(block)) / len(words)
-            if share >= threshold - 1e-12:
+def joined(text, templates=licenses.TEMPLATES, threshold=licenses.THRESHOLD):
+    """Every run of every template."""
+    words, best = licenses.words_of(text), {}
+    for label, t, telling in templates:
+        known, telling, span = set(licenses.words_of(t)), set(licenses.words_of(telling)), 2 * len(licenses.words_of(t))
+        for k in range(max(1, len(words) - span + 1)):
+            run = set(words[k : k + span])
+            share = len(known & run) / len(known)
+            if share >= (1 if len(known) < licenses.SHORT else threshold - 1e-12) and telling <= run:
                 best[label] = max(best.get(label, 0), share)
     return best
 
 
-def test_join_finds_every_block():
+def test_join_finds_every_block(monkeypatch):
     r = random.Random(2)
     vocabulary = [f"w{k}" for k in range(30)]
-    for _ in range(200):
-        templates = [(f"t{k}", " ".join(r.sample(vocabulary, r.randint(1, 8)))) for k in range(5)]
+    for k in range(300):
+        monkeypatch.setattr(licenses, "SHORT", r.choice([0, 4]))
+        words = [r.sample(vocabulary, r.randint(1, 8)) for _ in range(5)]
+        templates = [(f"t{k}", " ".join(w), " ".join(r.sample(w, r.choice([0, 0, 1])))) for k, w in enumerate(words)]
         counts = {w.encode(): r.randint(0, 50) for w in vocabulary}
         threshold = r.choice([0.5, 0.7, 0.8, 1.0])
         index = licenses.TemplateIndex(templates, counts, threshold)
         text = "\n".join(" ".join(r.choice(vocabulary) for _ in range(r.choice([0, 3, 10, 200]))) for _ in range(4))
-        assert index.scan(text) == joined(text, templates, threshold)
-
-
-def test_blocks_cover_every_run():
-    words = [f"w{k}".encode() for k in range(300)]
-    blocks = list(licenses.blocks_of(" ".join(w.decode() for w in words)))
-    for k in range(300 - licenses.BLOCK // 2 + 1):
-        run = set(words[k : k + licenses.BLOCK // 2])
-        assert any(run <= set(b) for b in blocks)
+        assert index.scan(licenses.words_of(text)) == joined(text, templates, threshold)
 
 
 def test_query(spark):
@@ -54,7 +50,7 @@ def test_query(spark):
     assert len(rows) == len(texts)
     for r in rows:
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == base(texts[r["doc_id"]])
-        met = joined(texts[r["doc_id"]], licenses.TEMPLATES, licenses.THRESHOLD)
+        met = joined(texts[r["doc_id"]])
         assert set(filter(None, r["labels"].split(","))) == met.keys() | set(filter(None, r["base_labels"].split(",")))
         assert r["score"] == (1.0 if r["n_base"] else max(met.values(), default=0.0))
     assert sum("cc-notice" in r["labels"] for r in rows) == sum("CC BY-NC" in (t or "") for t in texts.values())
@@ -86,16 +82,31 @@ def test_wrapped_notices(spark):
     assert all(r["score"] == 1.0 for r in rows)
 
 
-def test_runs_against_every_run():
-    r = random.Random(5)
-    vocabulary = [f"w{k}" for k in range(12)]
-    for _ in range(200):
-        templates = [(f"t{k}", " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 6)))) for k in range(4)]
-        words = [r.choice([*vocabulary, "x", "y", "z"]).encode() for _ in range(r.choice([0, 1, 5, 60]))]
-        want = {}
-        for label, t in templates:
-            known, span = set(licenses.words_of(t)), 2 * len(t.split())
-            share = max((len(known & set(words[k : k + span])) / len(known) for k in range(len(words))), default=0)
-            if share >= 0.8 - 1e-12:
-                want[label] = share
-        assert licenses.TemplateIndex(templates, {}).scan_runs(words) == want
+OTHERS = [
+    ("Released under the Apache License", {"apache"}),
+    ("the software is released under the terms of a license", set()),
+    ("Licensed under the MIT License, Version 2.0", {"mit", "mit-notice"}),
+    ("Released under the terms of the GNU Lesser License", set()),
+    ("you may not use this file except with a pen", set()),
+    ("Redistribution of wealth, with or without modification, is permitted and in use in all forms", set()),
+    ("This work is licensed under a Creative License", set()),
+    ("you can redistribute it and modify it under the terms of the Apache License", {"apache"}),
+    ("permission to copy this software is free of charge to any person", set()),
+    ("This form is subject to the terms of the Public License", set()),
+    ("copyright law: all the rights", set()),
+    ("Released under\n\n" + "word " * 40 + "the MIT License", set("mit".split())),
+]
+
+
+def test_what_is_no_notice(spark):
+    """One notice or phrase of each license that must not get another's label; here too the SQL gives the same."""
+    import duckdb
+
+    docs = [(k, t) for k, (t, _) in enumerate(OTHERS + WRAPPED)]
+    rows = licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in rows} == {k: want for k, (_, want) in enumerate(OTHERS + WRAPPED)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    got = con.execute("SELECT doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score FROM (" + queries.oracle_sql()["op3_license_scan"] + ")").fetchall()
+    assert sorted(got) == sorted(map(tuple, rows))
