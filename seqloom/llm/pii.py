@@ -8,8 +8,10 @@ The strict (base) spans always stay; the classifier adds others that do not touc
 
 What comes to the driver are the counts of vote patterns: at most kinds x 3^5 x lengths numbers, of
 all candidates of the corpus. No Python runs on executors.
-Defined results: a null or empty text has no spans; repeated rows are searched alike; an empty table
-gives an empty result; other columns are ignored (or, by ``redact``, kept).
+A text may hold any number of spans: running sums and maxima are taken over runs of RUN items, and no
+array or text grows item by item, so that the work stays near linear in the spans of a text.
+Defined results: a null or empty text has no spans; a null doc_id stays null; repeated rows are
+searched alike; an empty table gives an empty result; other columns are ignored (or, by ``redact``, kept).
 """
 
 from __future__ import annotations
@@ -60,17 +62,31 @@ def _found(pattern: str, guard: str) -> tuple[str, str]:
     return f"IF({guard}, regexp_extract_all(text, {p}, 0), array())", f"IF({guard}, split(text, {p}, -1), array())"
 
 
+#: Items of an array that are folded together.
+RUN = 128
 _SPAN = "array<struct<start:bigint,end:bigint,m:string,before:string,after:string>>"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for the value, which is computed once a row."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _before(a: str, fold: str, zero: str) -> str:
+    """SQL: for each item of the array named ``a`` the fold of all items before it; ``fold`` is over p and q."""
+    step, run = f"(p, q) -> {fold}", f"CAST(i div {RUN} AS INT)"
+    whole = f"transform(sequence(0, CAST((size({a}) - 1) div {RUN} AS INT)), i -> aggregate(slice({a}, i * {RUN} + 1, {RUN}), {zero}, {step}))"
+    ahead = f"transform(runs, (u, i) -> aggregate(slice(runs, 1, i), {zero}, {step}))"
+    return _let(whole, "runs", _let(ahead, "ahead", f"transform({a}, (u, i) -> aggregate(slice({a}, {run} * {RUN} + 1, i % {RUN}), element_at(ahead, {run} + 1), {step}))"))
+
+
 def _positions(m: str, s: str) -> str:
     """SQL: structs (start, end, m, before, after) by code points; the lengths of the pieces give the positions."""
-    step = (
-        "(a, x) -> named_struct('pos', a.pos + length(x.b) + length(x.m), 'out', array_append(a.out, named_struct("
-        "'start', a.pos + length(x.b), 'end', a.pos + length(x.b) + length(x.m), 'm', x.m, 'before', right(x.b, 24), 'after', left(x.c, 1))))"
-    )
     rows = f"zip_with(zip_with({m}, slice({s}, 1, size({m})), (m, b) -> named_struct('m', m, 'b', b)), slice({s}, 2, size({m})), (x, c) -> named_struct('m', x.m, 'b', x.b, 'c', c))"
-    return f"IF(size({m}) > 0, aggregate({rows}, named_struct('pos', 0L, 'out', CAST(array() AS {_SPAN})), {step}, a -> a.out), CAST(array() AS {_SPAN}))"
+    span = "(x, a) -> named_struct('start', a + length(x.b), 'end', a + length(x.b) + length(x.m), 'm', x.m, 'before', right(x.b, 24), 'after', left(x.c, 1))"
+    widths = "transform(rows, x -> CAST(length(x.b) + length(x.m) AS BIGINT))"
+    found = _let(rows, "rows", _let(widths, "widths", f"zip_with(rows, {_before('widths', 'p + q', '0L')}, {span})"))
+    return f"IF(size({m}) > 0, {found}, CAST(array() AS {_SPAN}))"
 
 
 def _digits(x: str) -> str:
@@ -199,12 +215,24 @@ def _accepted(weights: dict[str, float]) -> str:
 _BASE = "x.rule = 1 AND x.contract"
 
 
+def _apart(more: str, base: str) -> str:
+    """SQL: the spans of ``more`` that share no character with one of ``base``, both sorted by start. Those of ``base`` that
+    begin before a span ends come first; it is apart if none of them reaches beyond its start. One sorted array of ends
+    and starts counts them, a running maximum tells how far they reach."""
+    ends = "sort_array(concat(transform(more, (x, i) -> named_struct('at', x.end, 'side', 0, 'nth', i)), transform(base, (x, i) -> named_struct('at', x.start, 'side', 1, 'nth', i))))"
+    own = f"filter(transform({ends}, (x, i) -> named_struct('side', x.side, 'nth', x.nth, 'i', i)), x -> x.side = 0)"
+    counts = f"sort_array(transform({own}, (x, k) -> named_struct('nth', x.nth, 'n', x.i - k)))"
+    reach = _let("concat(transform(base, x -> x.end), array(0L))", "stops", _before("stops", "greatest(p, q)", "-1L"))
+    kept = _let(reach, "reach", f"filter(zip_with(more, {counts}, (x, y) -> IF(element_at(reach, y.n + 1) > x.start, NULL, x)), x -> x IS NOT NULL)")
+    return _let(base, "base", _let(more, "more", f"IF(size(more) = 0 OR size(base) = 0, more, {kept})"))
+
+
 def decide(found: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Adds ``base`` and ``spans``: structs (start, kind number, end), sorted."""
     slim = "x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end)"
     out = found.withColumn("base", F.expr(f"transform(filter(found, x -> {_BASE}), {slim})"))
-    more = f"transform(filter(found, x -> NOT ({_BASE}) AND {_accepted(weights)} AND NOT exists(base, b -> b.start < x.end AND x.start < b.end)), {slim})"
-    return out.withColumn("spans", F.expr(f"sort_array(concat(base, {more}))"))
+    more = f"transform(filter(found, x -> NOT ({_BASE}) AND {_accepted(weights)}), {slim})"
+    return out.withColumn("spans", F.expr(f"sort_array(concat(base, {_apart(more, f'transform(filter(found, x -> {_BASE}), {slim})')}))"))
 
 
 def written(spans: Column) -> Column:
@@ -220,18 +248,27 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     return decide(found, train(found)).select("doc_id", "base", "spans")
 
 
+def redacted_text(text: str, spans: str) -> str:
+    """SQL: the text with each span replaced by its kind in brackets; of overlapping spans the first gives the kind."""
+    kinds = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
+    reach = _let("transform(spans, x -> x.end)", "stops", _before("stops", "greatest(p, q)", "0L"))
+    shown = f"filter(zip_with(spans, {reach}, (x, a) -> named_struct('from', a, 'to', x.start, 'kind', x.kind)), x -> x.to >= x.from)"
+    # A place in a text is found from its start: the text of a run is cut out first, then what is kept between its spans.
+    cut = "substring({t}, CAST({a} + 1 AS INT), CAST({n} AS INT))"
+    inner = cut.format(t="piece", a="x.from - run[0].from", n="x.to - x.from")
+    piece = cut.format(t=text, a="run[0].from", n="element_at(run, -1).to - run[0].from")
+    joined = _let(piece, "piece", f"array_join(transform(run, x -> concat({inner}, element_at({kinds}, x.kind + 1))), '')")
+    runs = f"transform(sequence(0, CAST((size(shown) - 1) div {RUN} AS INT)), i -> {_let(f'slice(shown, i * {RUN} + 1, {RUN})', 'run', joined)})"
+    done = _let(shown, "shown", f"concat(array_join({runs}, ''), substring({text}, CAST(array_max(transform(spans, x -> x.end)) + 1 AS INT)))")
+    return f"IF(size({spans}) > 0, {_let(spans, 'spans', done)}, {text})"
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``; in ``text`` each span is replaced by its kind in brackets. Overlapping spans become one."""
+    """All columns of ``docs``; in ``text`` each span is replaced by its kind in brackets. Overlapping spans become one.
+    Rows and their candidates are written to the shared folder, so that the expressions run once over the texts."""
     names = {c: f"__{k}" for k, c in enumerate(docs.columns)}
     own = docs.toDF(*names.values())
     text = names[next(c for c in docs.columns if c == "text")]
-    weights = train(candidates(docs.select("text"), []))
-    found = decide(candidates(own, list(names.values()), text), weights)
-    kinds = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    step = (
-        f"(a, x) -> IF(x.start < a.pos, named_struct('pos', greatest(a.pos, x.end), 'out', a.out), named_struct('pos', x.end, 'out', "
-        f"concat(a.out, substring({text}, CAST(a.pos + 1 AS INT), CAST(x.start - a.pos AS INT)), element_at({kinds}, x.kind + 1))))"
-    )
-    done = f"IF(size(spans) > 0, aggregate(spans, named_struct('pos', 0L, 'out', ''), {step}, a -> concat(a.out, substring({text}, CAST(a.pos + 1 AS INT)))), {text})"
-    redacted = found.withColumn("__redacted", F.expr(done))
+    found = stage_table(candidates(own, list(names.values()), text), "texts-spans")
+    redacted = decide(found, train(found)).withColumn("__redacted", F.expr(redacted_text(text, "spans")))
     return redacted.select(*[F.col("__redacted" if alias == text else alias).alias(c) for c, alias in names.items()])
