@@ -228,13 +228,19 @@ def hexadecimal(print_: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id, and of repeated rows one. All columns are kept.
-    The texts move once, to meet the list of documents that stay."""
+    """One document of each group stays: the one with the smallest doc_id (any other before a null one), and of repeated
+    rows one. All columns are kept. The texts move once: rows are dealt by key and text hash, after each task has dropped
+    its own repeated rows, and meet the list of documents that stay where they are."""
     groups = near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_hash"))
-    stay = groups.groupBy("root").agg(first.alias("first"))
-    stay = stay.select(F.col("first.doc_id").alias("__stay_id"), F.col("first.row_hash").alias("__stay_hash"))
-    keyed = docs.withColumn("__row_hash", F.xxhash64("text"))
-    met = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["__stay_id"]) & (keyed["__row_hash"] == stay["__stay_hash"]))
-    nth = F.row_number().over(Window.partitionBy("__stay_id", "__stay_hash").orderBy("__row_hash"))
-    return met.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = groups.groupBy("root").agg(first.alias("first")).select("first.*")
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns)}
+    doc_id, text = (names[next(c for c in docs.columns if c == n)] for n in ("doc_id", "text"))
+    # Never null, so that one set of columns serves the window and the join.
+    by = lambda key, row_hash: {"by_null": key.isNull(), "by_key": F.coalesce(key.cast("string"), F.lit("")), "by_text": row_hash}
+    keyed = docs.toDF(*names.values()).withColumns(by(F.col(doc_id), F.xxhash64(text)))
+    keys = ["by_null", "by_key", "by_text"]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    once = keyed.withColumn("nth", nth).where("nth = 1").drop("nth")
+    met = once.join(stay.select(*[c.alias(n) for n, c in by(F.col("doc_id"), F.col("row_hash")).items()]), keys, "left_semi")
+    return met.select(*[F.col(alias).alias(c) for c, alias in names.items()])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seqloom.llm import langid, quality, simhash
+from seqloom.llm.common import shared_dir
 from tests.llm.test_packing import check
 from tests.llm.test_pii import brute
 from tests.llm.test_simhash import brute_components, brute_fingerprint
@@ -47,5 +48,25 @@ def test_odd_documents(spark, odd_docs, small):
 
 
 def test_run(spark, small):
+    """The result alone stays in the shared folder."""
+    from pathlib import Path
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "seqloom"
+    before = set(folder.iterdir()) if folder.exists() else set()
     assert corpus_pipeline.run(spark, small).count() > 0
+    assert [p.name.partition("-")[0] for p in set(folder.iterdir()) - before] == ["packing"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_duplicates_move_texts_once(spark, small, odd_docs):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.drop_near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+        head = plan[: plan.index("WindowGroupLimit")] if "WindowGroupLimit" in plan else plan
+        assert "Exchange" not in head[: head.index("Window [")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    named = odd_docs.withColumnsRenamed({"score": "by_key", "r": "nth", "ids": "__0"})
+    kept = simhash.drop_near_duplicates(named)
+    assert kept.columns == named.columns and kept.count() == simhash.drop_near_duplicates(odd_docs).count()
