@@ -1,11 +1,18 @@
 """Language-model scores by Brown class bigrams.
 
-P(text) is the product of class-transition and word-emission probabilities. The CLUSTERED most
-frequent words are assigned to CLASSES classes by exchange clustering: each word in turn moves to
-the class that raises the likelihood of the class bigrams most, until none moves. Every other word that
-occurs twice or more joins the class that gains most from the word's own bigrams. Words that occur
-once, which stand for those never seen, are in classes of their surface form; the end of a text is a
-class of its own and also what a text begins from.
+P(text) is the product of class-transition and word-emission probabilities. Words are assigned to
+CLASSES classes by exchange clustering: a word moves to the class in which the likelihood of the class
+bigrams is highest. It runs in three tiers, so that nothing but bounded tables meets in one place:
+
+1. The CLUSTERED most frequent words are exchanged one after the other on their bigram counts, until
+   none moves. This sets up the classes.
+2. The HEAD most frequent words are exchanged in rounds: a distributed pass over all training texts
+   counts the classes before and after each word, then the words move, half of them in a round so that
+   neighbours do not change places, as long as the likelihood grows.
+3. Every other word that occurs twice or more makes its move by its own bigrams, in a table.
+
+Words that occur once, which stand for those never seen, are in classes of their surface form; the
+end of a text is a class of its own and also what a text begins from.
 
 All counts (words, class bigrams, words by class) are taken over all training documents. Counts and
 classes of the HEAD most frequent words are broadcast (a bounded number of bounded words); those of the
@@ -13,8 +20,8 @@ other words stay a table and are joined with the words of the texts, once for ea
 
 Defined results: a null or empty text is the end token alone; documents whose key is null are learned
 from; without training documents every count is 0, so that the base score is 0; repeated rows are
-scored (and learned from) as often as they occur; an empty table gives an empty result; other
-columns are ignored.
+scored (and learned from) as often as they occur; of equally frequent words a hash decides which are in the
+head; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,18 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import bound_batches, fold, stage_table
+from seqloom.llm.common import bound_batches, drop_table, fold, stage_table
 
 FOLDS, HELD_OUT = 7, 2
 CLUSTERED, CLASSES = 1024, 48
-#: Words whose counts are broadcast, and the longest of them in bytes.
-HEAD, HEAD_BYTES = 100_000, 64
+#: Words whose counts are broadcast (with forms and the end they have numbers of 16 bits), and the longest of them in
+#: bytes; longer ones are in the table of the other words.
+HEAD, HEAD_BYTES = 65_000, 64
+#: Rounds of exchange at most; tokens that a worker counts at once; words whose counts are one row.
+ROUNDS, AT_ONCE, BLOCK = 12, 4_000_000, 512
 #: Added to a word's count within its class, and the weight of the class distribution in a transition.
 DELTA, BETA = 0.5, 20.0
 #: Words that a worker counts or remembers before it passes them on or forgets them.
 HELD_WORDS = 300_000
 #: Bigrams of a word that a worker passes on one by one; more are passed on as gains. Bigrams that a worker holds.
-SINGLE, HELD_BIGRAMS = 96, 8_000_000
+SINGLE, HELD_BIGRAMS = 32, 8_000_000
 #: Surface classes: three endings x two alphabets x three lengths.
 FORMS = 18
 
@@ -89,38 +99,102 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _count_pairs(listed: dict[bytes, int]):
-    """Bigrams of numbered words and forms; the end is the last number."""
-    size = len(listed) + FORMS + 1
+def _number(listed: dict[bytes, int]):
+    """Texts as numbers of words, forms and the end, 16 bits each; each text ends with the end."""
+    first = len(listed)
+    end = np.array([first + FORMS], "<u2").tobytes()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, table = _Ids(listed, len(listed)), np.zeros(size * size, np.int64)
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = _Ids(listed, first)
         for b in batches:
-            for t in b.column(0):
-                row = [size - 1, *map(ids.__getitem__, words_of(t.as_py() if t.is_valid else b"")), size - 1]
-                a = np.array(row, np.int64)
-                np.add.at(table, a[:-1] * size + a[1:], 1)
+            rows = [np.array([*map(ids.__getitem__, words_of(t.as_py() if t.is_valid else b""))], "<u2").tobytes() + end for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
+
+    return number
+
+
+def _runs(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
+    """The numbers of some texts after each other, behind an end: every text begins from an end and runs into one."""
+    held: list[bytes] = []
+    size = 0
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            held.append(t)
+            size += len(t) // 2
+            if size >= AT_ONCE:
+                yield np.frombuffer(b"".join([np.array([end], "<u2").tobytes(), *held]), "<u2").astype(np.int64)
+                held, size = [], 0
+    if held:
+        yield np.frombuffer(b"".join([np.array([end], "<u2").tobytes(), *held]), "<u2").astype(np.int64)
+
+
+def _count_pairs(fold: np.ndarray, size: int):
+    """Bigrams of ``fold[number]``, which is below ``size``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size * size, np.int64)
+        for a in _runs(batches, len(fold) - 1):
+            a = fold[a]
+            table += np.bincount(a[:-1] * size + a[1:], minlength=size * size)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table[at], pa.int64())], ["pair", "n"])
 
     return count
 
 
+def _count_classes(own: np.ndarray, size: int):
+    """For each number how often each class is after it and before it, BLOCK numbers a row."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((2, len(own) * size), np.int32)
+        for a in _runs(batches, len(own) - 1):
+            near = own[a]
+            table[0] += np.bincount(a[:-1] * size + near[1:], minlength=len(own) * size).astype(np.int32)
+            table[1] += np.bincount(a[1:] * size + near[:-1], minlength=len(own) * size).astype(np.int32)
+        table = table.reshape(2, len(own), size)
+        for k in range(0, len(own), BLOCK):
+            part = np.ascontiguousarray(table[:, k : k + BLOCK])
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], ["block", "counts"])
+
+    return count
+
+
+def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            part = np.frombuffer(raw, "<i8")
+            total[k] = total[k] + part if k in total else part
+    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+
+
+def class_contexts(sequences: DataFrame, own: np.ndarray, size: int) -> np.ndarray:
+    """[after, before] x numbers x classes: a bounded table, whatever the size of the corpus; a task passes on its sums."""
+    parts = sequences.mapInArrow(_count_classes(own, size), "block int, counts binary").repartition("block").mapInArrow(_add_blocks, "block int, counts binary")
+    out = np.zeros((2, len(own), size), np.int64)
+    for r in parts.toLocalIterator():
+        part = np.frombuffer(r["counts"], "<i8").reshape(2, -1, size)
+        out[:, r["block"] : r["block"] + part.shape[1]] += part
+    return out
+
+
 def head_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The most frequent words, at most ``most``: those above the lowest step of counts that so many words reach."""
+    """The ``most`` most frequent words, or nearly as many: steps of counts that fit, then of the next step the words of the
+    smallest hashes, as many as are left on average, so that ties at the border leave no one out."""
     short = counts.where(F.length("word") <= HEAD_BYTES)
     step = F.floor(F.log2("n") * 8)
     steps = sorted(((r["step"], r["n"]) for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    total, least = 0, None
+    wanted, left = F.lit(False), most
     for s, n in steps:
-        total += n
-        if total > most:
-            break
-        least = s
-    if least is None:
-        return []
-    rows = short.where(step >= least).collect()
-    return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+        if n <= left:
+            wanted, left = wanted | (step == s), left - n
+            continue
+        parts = 1 << 20
+        wanted = wanted | ((step == s) & (F.pmod(F.xxhash64("word"), F.lit(parts)) < int(parts * left / n)))
+        break
+    rows = short.where(wanted).collect() if steps and most else []
+    return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))[:most]
 
 
 # ---------------------------------------------------------------- exchange clustering, on the driver
@@ -183,6 +257,36 @@ def exchange_classes(pairs: np.ndarray, words: int, classes: int = CLASSES) -> n
     return own
 
 
+# ---------------------------------------------------------------- exchange in rounds
+
+
+def log_likelihood(transitions: np.ndarray) -> float:
+    """Of the class bigrams, up to what does not depend on the classes."""
+    return float(_xlogx(transitions).sum() - _xlogx(transitions.sum(axis=0)).sum() - _xlogx(transitions.sum(axis=1)).sum())
+
+
+def exchange_rounds(sequences: DataFrame, own: np.ndarray, words: int, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """``own``: the classes to begin with of the first ``words`` numbers, which may move to 0..classes-1, and of the rest, which
+    stay. Returns the classes of the highest likelihood, their transitions, and the likelihood of each round."""
+    size = int(own.max()) + 1
+    best, seen = None, []
+    for k in range(rounds + 1):
+        after, before = class_contexts(sequences, own, size)
+        transitions = np.zeros((size, size))
+        np.add.at(transitions, own, after)
+        seen.append(log_likelihood(transitions))
+        if best is None or seen[-1] > seen[best[2]]:
+            best = (own, transitions, k)
+        if k == rounds or (k > 2 and max(seen[-2:]) <= max(seen[:-2]) * (1 - 1e-5 * np.sign(max(seen[:-2])))):
+            break
+        gains = Gains(transitions, classes)
+        target = (before[:words] @ gains.before + after[:words] @ gains.after).argmax(axis=1)
+        movable = (own[:words] >= classes) | (np.arange(words) % 2 == k % 2)
+        own = own.copy()
+        own[:words] = np.where(movable, target, own[:words])
+    return best[0], best[1], seen
+
+
 # ---------------------------------------------------------------- classes of all other words
 
 
@@ -193,8 +297,8 @@ class Gains:
         t = transitions + 0.5
         out, into = np.log(t.sum(axis=1)), np.log(t.sum(axis=0))
         self.classes, self.single = classes, SINGLE
-        self.before = np.log(t[:, :classes]) - into[None, :classes]
-        self.after = np.log(t[:classes]).T - out[None, :classes]
+        self.before = np.log(t[:, :classes]) - into[None, :classes]  # by class before, own class
+        self.after = np.log(t[:classes]).T - out[None, :classes]  # by class after, own class
 
     def of(self, pairs: np.ndarray) -> np.ndarray:
         """``pairs``: class before and class after, a row each."""
@@ -279,9 +383,9 @@ def all_classes(texts: DataFrame, counts: DataFrame, listed: dict[bytes, int], o
 class ClassModel:
     """What scoring needs of the counts: head words with class and count, class sizes and transitions."""
 
-    def __init__(self, head: list[tuple[bytes, int]], own: np.ndarray, clustered: int, transitions: np.ndarray, distinct: np.ndarray, tokens: int, vocabulary: int, ends: int, learned: dict[bytes, int] | None = None, sizes: np.ndarray | None = None):
+    def __init__(self, head: list[tuple[bytes, int]], own: np.ndarray, clustered: int, transitions: np.ndarray, distinct: np.ndarray, tokens: int, vocabulary: int, ends: int, sizes: np.ndarray | None = None):
         """``own``: classes of the ``clustered`` first head words, of the forms and of the end; ``distinct``: words by form;
-        ``learned``: classes of the other head words; ``sizes``: words by class, where they are not only in forms."""
+        ``sizes``: words by class, where they are not only in forms."""
         self.tokens, self.vocabulary = tokens, vocabulary
         size = len(transitions)
         self.end = size - 1
@@ -297,8 +401,7 @@ class ClassModel:
         self.class_log = np.log10(into + DELTA * (words + 1))  # denominators of emissions
         self.word_id = {w: i for i, (w, _) in enumerate(head)}
         count = np.array([n for _, n in head], np.float64)
-        learned = learned or {}
-        self.word_class = np.array([own[i] if i < clustered else learned.get(w, self.first_form + form_of(w)) for i, (w, _) in enumerate(head)], np.int64)
+        self.word_class = np.array([own[i] if i < clustered else self.first_form + form_of(w) for i, (w, _) in enumerate(head)], np.int64)
         self.word_base, self.word_emit = np.log10(count + 1), np.log10(count + DELTA)
         self.end_base, self.end_emit, self.end_known = math.log10(ends + 1), math.log10(ends + DELTA), ends > 0
         self.base_log = math.log10(tokens + vocabulary + 1)
@@ -350,31 +453,35 @@ def train(texts: DataFrame) -> tuple[Callable[..., ClassModel], DataFrame]:
     ends = texts.count()
     sums = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     head = head_words(counts, HEAD)
+    listed = {w: i for i, (w, _) in enumerate(head)}
+    forms = np.array([form_of(w) for w, _ in head], np.int64)
+    rest_of = np.arange(FORMS + 1)
+    sequences = stage_table(texts.mapInArrow(_number(listed), "ids binary"), "sequences")
+
+    # Tier 1: words beyond the clustered ones stand in their forms.
     clustered = min(CLUSTERED, len(head))
-    listed = {w: i for i, (w, _) in enumerate(head[:clustered])}
     size = clustered + FORMS + 1
-    grouped = texts.mapInArrow(_count_pairs(listed), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    fold_ = np.concatenate([np.arange(clustered), clustered + forms[clustered:], clustered + rest_of])
+    grouped = sequences.mapInArrow(_count_pairs(fold_, size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = np.zeros(size * size, np.int64)
     for r in grouped.collect():  # at most size * size rows
         pairs[r["pair"]] = r["n"]
     pairs = pairs.reshape(size, size)
     classes = min(CLASSES, clustered)
-    own = exchange_classes(pairs, clustered, classes) if clustered else np.arange(size)
-    transitions = np.zeros((classes + FORMS + 1,) * 2)
-    np.add.at(transitions, (own[:, None], own[None, :]), pairs)
+    core = exchange_classes(pairs, clustered, classes) if clustered else np.arange(size)
 
+    # Tiers 2 and 3.
+    own = np.concatenate([core[:clustered], classes + forms[clustered:], classes + rest_of]).astype(np.int64)
+    own, transitions, _ = exchange_rounds(sequences, own, len(head), classes, ROUNDS if classes else 0)
     rest = all_classes(texts, counts, listed, own, transitions, classes)
-    sizes = np.bincount(own[:clustered], minlength=len(transitions)) if clustered else np.zeros(len(transitions), np.int64)
+    drop_table(sequences)
+    sizes = np.bincount(own[: len(head)], minlength=len(transitions))
     for r in rest.groupBy("class").agg(F.count("*").alias("n")).collect():
         sizes[r["class"]] += r["n"]
-    learned = {}
-    if head:
-        rows = rest.where((F.length("word") <= HEAD_BYTES) & (F.col("n") >= head[-1][1])).collect()  # words of the head
-        learned = {bytes(r["word"]): r["class"] for r in rows}
     tokens, vocabulary = int(sums["n"] or 0) + ends, sums["v"] + (ends > 0)
 
     def model(steps: np.ndarray = transitions) -> ClassModel:
-        return ClassModel(head, own, clustered, steps, np.zeros(FORMS), tokens, vocabulary, ends, learned, sizes)
+        return ClassModel(head, own, len(head), steps, np.zeros(FORMS), tokens, vocabulary, ends, sizes)
 
     return model, rest
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm import brown, queries
 
@@ -92,19 +93,107 @@ def test_perplexity_is_a_probability():
     assert np.allclose((10**model.step).sum(axis=1), 1)
 
 
-def test_words_beyond_the_clustered_learn_their_class(spark, monkeypatch):
-    """Words used as others are join their class, in the head or not; only words of one occurrence keep their form."""
-    monkeypatch.setattr(brown, "CLUSTERED", 8)
-    monkeypatch.setattr(brown, "CLASSES", 2)
-    monkeypatch.setattr(brown, "SINGLE", 4)
+def trained_by_kind(spark, monkeypatch, **sizes):
+    """Words of two kinds by turns, some of them rare; the classes of all words and the words' counts."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(brown, name, value)
     r = np.random.default_rng(3)
     draw = lambda kind, new: new if r.random() < 0.02 else f"{kind}{r.integers(4)}"
     texts = [" ".join(x for _ in range(40) for x in (draw("a", "left"), draw("b", "right" + "x" * 70))) for _ in range(60)] + ["a0 once b1"]
-    docs = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
-    trained, rest = brown.train(docs)
-    model, rest = trained(), {bytes(x["word"]): (x["n"], x["class"]) for x in rest.collect()}
-    a, b = (model.word_class[model.word_id[w]] for w in (b"a0", b"b0"))
+    trained, rest = brown.train(spark.createDataFrame([(t.encode(),) for t in texts], "text binary"))
+    model = trained()
+    classes = {w: int(model.word_class[i]) for w, i in model.word_id.items()}
+    table = {bytes(x["word"]): (x["n"], x["class"]) for x in rest.collect()}
+    assert not classes.keys() & table.keys()
     counts = Counter(w for t in texts for w in t.encode().split())
-    assert {w: n for w, (n, _) in rest.items()} == {w: n for w, n in counts.items() if w not in [b"%s%d" % (k, i) for k in (b"a", b"b") for i in range(4)]}
-    assert a != b and rest[b"left"][1] == a and rest[b"right" + b"x" * 70][1] == b
-    assert model.word_class[model.word_id[b"left"]] == a and rest[b"once"][1] == model.first_form + brown.form_of(b"once")
+    assert counts.keys() == classes.keys() | table.keys() and all(counts[w] == n for w, (n, _) in table.items())
+    return model, classes | {w: c for w, (_, c) in table.items()}, table
+
+
+@pytest.mark.parametrize("head", [3, 9, 65_000])
+def test_words_beyond_the_clustered_learn_their_class(spark, monkeypatch, head):
+    """Words used as others are join their class, in the head or not; only words of one occurrence keep their form."""
+    model, classes, table = trained_by_kind(spark, monkeypatch, CLUSTERED=3, CLASSES=2, SINGLE=4, HEAD=head, BLOCK=2, AT_ONCE=50)
+    a, b = classes[b"a0"], classes[b"b0"]
+    assert a != b and {a, b} == {0, 1}
+    assert all(classes[b"a%d" % k] == a and classes[b"b%d" % k] == b for k in range(4))
+    assert classes[b"left"] == a and classes[b"right" + b"x" * 70] == b and b"right" + b"x" * 70 in table
+    if b"once" in table:
+        assert classes[b"once"] == model.first_form + brown.form_of(b"once")
+
+
+def test_tied_words_fill_the_head(spark, monkeypatch):
+    """More words of one count than the head takes: it is filled all the same, and they are exchanged."""
+    monkeypatch.setattr(brown, "HEAD", 500)
+    monkeypatch.setattr(brown, "CLUSTERED", 40)
+    words = [f"w{k}" for k in range(3000)]
+    counts = spark.createDataFrame([(w.encode(), 7) for w in words], "word binary, n bigint")
+    assert 350 <= len(brown.head_words(counts, 500)) <= 500
+    assert len(brown.head_words(counts, 3000)) == 3000 and brown.head_words(counts, 0) == []
+    counts = counts.union(spark.createDataFrame([(b"often", 900), (b"long" * 40, 10_000)], "word binary, n bigint"))
+    assert brown.head_words(counts, 10)[0] == (b"often", 900)
+    texts = [(" ".join(words[k : k + 30]).encode(),) for k in range(0, 3000, 30)] * 2
+    trained, rest = brown.train(spark.createDataFrame(texts, "text binary"))
+    assert (trained().word_class < brown.CLASSES).all() and len(trained().word_class) >= 350
+    assert all(x["class"] < brown.CLASSES for x in rest.collect())
+
+
+def test_contexts_by_hand(spark):
+    r = np.random.default_rng(2)
+    listed = {b"w%d" % k: k for k in range(5)}
+    texts = [" ".join(r.choice([*(f"w{k}" for k in range(5)), "other.", "x9"], r.integers(0, 30))) for _ in range(50)] + [None, ""]
+    df = spark.createDataFrame([(t.encode() if t is not None else None,) for t in texts], "text binary").repartition(3)
+    own = np.concatenate([[0, 1, 0, 1, 1], 2 + np.arange(brown.FORMS + 1)])
+    got = brown.class_contexts(df.mapInArrow(brown._number(listed), "ids binary"), own, int(own.max()) + 1)
+    want = np.zeros_like(got)
+    for t in texts:
+        ids = [5 + brown.FORMS, *(listed.get(w, 5 + brown.form_of(w)) for w in brown.words_of((t or "").encode())), 5 + brown.FORMS]
+        for x, y in zip(ids, ids[1:]):
+            want[0, x, own[y]] += 1
+            want[1, y, own[x]] += 1
+    assert (got == want).all()
+
+
+def test_rounds_raise_the_likelihood(spark, small):
+    texts = spark.read.parquet(f"{small}/documents.parquet").selectExpr("CAST(text AS binary) AS text")
+    words = Counter(w for t in texts.collect() for w in brown.words_of(t["text"] or b""))
+    head = [w for w, _ in words.most_common(2000)]
+    sequences = texts.mapInArrow(brown._number({w: i for i, w in enumerate(head)}), "ids binary").cache()
+    start = np.concatenate([np.arange(2000) % 8, 8 + np.arange(brown.FORMS + 1)])
+    own, transitions, seen = brown.exchange_rounds(sequences, start, 2000, 8)
+    assert (own[2000:] == start[2000:]).all() and own[:2000].max() < 8
+    assert brown.log_likelihood(transitions) == max(seen) > seen[0]
+    after, before = brown.class_contexts(sequences, own, len(transitions))
+    table = np.zeros_like(transitions)
+    np.add.at(table, own, after)
+    assert (table == transitions).all() and after.sum() == before.sum()
+
+
+def test_scores_by_hand(spark, small):
+    """``score`` of every document from the classes and counts, and how many tokens are in learned classes."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    trained, rest = brown.train(df.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).select(F.col("text").cast("binary").alias("text")))
+    model = trained()
+    classes = {w: int(model.word_class[i]) for w, i in model.word_id.items()} | {bytes(r["word"]): r["class"] for r in rest.collect()}
+    tokens_of = lambda t: brown.words_of((t or "").encode())
+    counts = Counter(w for k, t in docs if not held(k) for w in tokens_of(t))
+    ends = sum(not held(k) for k, _ in docs)
+    class_of = lambda w: classes.get(w, model.first_form + brown.form_of(w))
+    size = model.end + 1
+    steps, words = np.zeros((size, size)), np.bincount([*classes.values(), model.end], minlength=size)
+    for k, t in docs:
+        if not held(k):
+            path = [model.end, *map(class_of, tokens_of(t)), model.end]
+            for x, y in zip(path, path[1:]):
+                steps[x, y] += 1
+    into = steps.sum(axis=0)
+    p = (into + 1) / (into.sum() + size)
+    for r in brown.score_documents(df).collect():
+        path = [model.end, *map(class_of, ws := tokens_of(dict(docs)[r["doc_id"]])), model.end]
+        score = sum(math.log10((steps[x, y] + brown.BETA * p[y]) / (steps[x].sum() + brown.BETA)) for x, y in zip(path, path[1:]))
+        for w, c in zip([*ws, None], path[1:]):
+            score += math.log10(((ends if w is None else counts[w]) + brown.DELTA) / (into[c] + brown.DELTA * (words[c] + 1)))
+        assert abs(score - r["score"]) < 1e-6 * max(1, abs(score))
+    learned = sum(n for w, n in counts.items() if classes[w] < model.first_form)
+    assert learned >= 0.8 * sum(counts.values())
