@@ -44,6 +44,8 @@ CLUSTERED, CLASSES = 1024, 48
 HEAD, HEAD_BYTES = 65_000, 64
 #: Rounds of exchange at most; tokens that a worker counts at once; words whose counts are one row.
 ROUNDS, AT_ONCE, BLOCK = 12, 4_000_000, 512
+#: Share of the likelihood that two rounds have to gain for a further one.
+GAIN = 2e-4
 #: Added to a word's count within its class, and the weight of the class distribution in a transition.
 DELTA, BETA = 0.5, 20.0
 #: Words that a worker counts or remembers before it passes them on or forgets them.
@@ -277,7 +279,7 @@ def exchange_rounds(sequences: DataFrame, own: np.ndarray, words: int, classes:
         seen.append(log_likelihood(transitions))
         if best is None or seen[-1] > seen[best[2]]:
             best = (own, transitions, k)
-        if k == rounds or (k > 2 and max(seen[-2:]) <= max(seen[:-2]) * (1 - 1e-5 * np.sign(max(seen[:-2])))):
+        if k == rounds or (k > 2 and max(seen[-2:]) < max(seen[:-2]) + GAIN * abs(max(seen[:-2]))):
             break
         gains = Gains(transitions, classes)
         target = (before[:words] @ gains.before + after[:words] @ gains.after).argmax(axis=1)
