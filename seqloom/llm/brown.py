@@ -157,7 +157,7 @@ def _count_classes(own: np.ndarray, size: int):
         for k in range(0, len(own), BLOCK):
             part = np.ascontiguousarray(table[:, k : k + BLOCK])
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], ["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<i4").tobytes()], pa.binary())], ["block", "counts"])
 
     return count
 
@@ -166,18 +166,51 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            part = np.frombuffer(raw, "<i8")
-            total[k] = total[k] + part if k in total else part
-    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+            part = np.frombuffer(raw, "<i4")
+            total[k] = total[k] + part if k in total else part.astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
 
 
-def class_contexts(sequences: DataFrame, own: np.ndarray, size: int) -> np.ndarray:
-    """[after, before] x numbers x classes: a bounded table, whatever the size of the corpus; a task passes on its sums."""
+def class_contexts(sequences: DataFrame, own: np.ndarray, size: int) -> DataFrame:
+    """(block, counts): [after, before] x BLOCK numbers x classes. A bounded table, whatever the size of the corpus; a task
+    passes on its sums."""
     parts = sequences.mapInArrow(_count_classes(own, size), "block int, counts binary").repartition("block").mapInArrow(_add_blocks, "block int, counts binary")
-    out = np.zeros((2, len(own), size), np.int64)
-    for r in parts.toLocalIterator():
-        part = np.frombuffer(r["counts"], "<i8").reshape(2, -1, size)
-        out[:, r["block"] : r["block"] + part.shape[1]] += part
+    return stage_table(parts, "class-contexts")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for b in batches:
+        for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            after, before = np.frombuffer(raw, "<i8").reshape(2, -1, size)
+            yield k, after, before
+
+
+def class_transitions(contexts: DataFrame, own: np.ndarray, size: int) -> np.ndarray:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((size, size), np.int64)
+        for k, after, _ in _blocks(batches, size):
+            np.add.at(table, own[k : k + len(after)], after)
+        if table.any():
+            yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], ["table"])
+
+    out = np.zeros((size, size))
+    for r in contexts.mapInArrow(add, "table binary").collect():  # no more rows than blocks
+        out += np.frombuffer(r["table"], np.int64).reshape(size, size)
+    return out
+
+
+def best_classes(contexts: DataFrame, gains: Gains, size: int, words: int) -> np.ndarray:
+    """The class that gains most for each of the first ``words`` numbers."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, after, before in _blocks(batches, size):
+            target = (before @ gains.before + after @ gains.after).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([target.astype(np.uint8).tobytes()], pa.binary())], ["block", "classes"])
+
+    out = np.zeros(words, np.int64)
+    for r in contexts.mapInArrow(choose, "block int, classes binary").collect():  # a byte a word
+        part = np.frombuffer(r["classes"], np.uint8)[: max(0, words - r["block"])]
+        out[r["block"] : r["block"] + len(part)] = part
     return out
 
 
@@ -273,16 +306,17 @@ def exchange_rounds(sequences: DataFrame, own: np.ndarray, words: int, classes:
     size = int(own.max()) + 1
     best, seen = None, []
     for k in range(rounds + 1):
-        after, before = class_contexts(sequences, own, size)
-        transitions = np.zeros((size, size))
-        np.add.at(transitions, own, after)
+        contexts = class_contexts(sequences, own, size)
+        transitions = class_transitions(contexts, own, size)
         seen.append(log_likelihood(transitions))
         if best is None or seen[-1] > seen[best[2]]:
             best = (own, transitions, k)
-        if k == rounds or (k > 2 and max(seen[-2:]) < max(seen[:-2]) + GAIN * abs(max(seen[:-2]))):
+        done = k == rounds or (k > 2 and max(seen[-2:]) < max(seen[:-2]) + GAIN * abs(max(seen[:-2])))
+        if not done:
+            target = best_classes(contexts, Gains(transitions, classes), size, words)
+        drop_table(contexts)
+        if done:
             break
-        gains = Gains(transitions, classes)
-        target = (before[:words] @ gains.before + after[:words] @ gains.after).argmax(axis=1)
         movable = (own[:words] >= classes) | (np.arange(words) % 2 == k % 2)
         own = own.copy()
         own[:words] = np.where(movable, target, own[:words])

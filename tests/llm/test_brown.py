@@ -138,13 +138,23 @@ def test_tied_words_fill_the_head(spark, monkeypatch):
     assert all(x["class"] < brown.CLASSES for x in rest.collect())
 
 
+def whole(contexts, own):
+    size = int(own.max()) + 1
+    out = np.zeros((2, len(own), size), np.int64)
+    for r in contexts.collect():
+        part = np.frombuffer(r["counts"], "<i8").reshape(2, -1, size)
+        out[:, r["block"] : r["block"] + part.shape[1]] = part
+    return out
+
+
 def test_contexts_by_hand(spark):
     r = np.random.default_rng(2)
     listed = {b"w%d" % k: k for k in range(5)}
     texts = [" ".join(r.choice([*(f"w{k}" for k in range(5)), "other.", "x9"], r.integers(0, 30))) for _ in range(50)] + [None, ""]
     df = spark.createDataFrame([(t.encode() if t is not None else None,) for t in texts], "text binary").repartition(3)
     own = np.concatenate([[0, 1, 0, 1, 1], 2 + np.arange(brown.FORMS + 1)])
-    got = brown.class_contexts(df.mapInArrow(brown._number(listed), "ids binary"), own, int(own.max()) + 1)
+    contexts = brown.class_contexts(df.mapInArrow(brown._number(listed), "ids binary"), own, int(own.max()) + 1)
+    got = whole(contexts, own)
     want = np.zeros_like(got)
     for t in texts:
         ids = [5 + brown.FORMS, *(listed.get(w, 5 + brown.form_of(w)) for w in brown.words_of((t or "").encode())), 5 + brown.FORMS]
@@ -152,6 +162,10 @@ def test_contexts_by_hand(spark):
             want[0, x, own[y]] += 1
             want[1, y, own[x]] += 1
     assert (got == want).all()
+    transitions = brown.class_transitions(contexts, own, got.shape[2])
+    assert transitions.sum() == want[0].sum() and (transitions.sum(axis=0) == want[0].sum(axis=0)).all()
+    gains = brown.Gains(transitions, 2)
+    assert brown.best_classes(contexts, gains, got.shape[2], 5).tolist() == (want[1, :5] @ gains.before + want[0, :5] @ gains.after).argmax(axis=1).tolist()
 
 
 def test_rounds_raise_the_likelihood(spark, small):
@@ -163,7 +177,7 @@ def test_rounds_raise_the_likelihood(spark, small):
     own, transitions, seen = brown.exchange_rounds(sequences, start, 2000, 8)
     assert (own[2000:] == start[2000:]).all() and own[:2000].max() < 8
     assert brown.log_likelihood(transitions) == max(seen) > seen[0]
-    after, before = brown.class_contexts(sequences, own, len(transitions))
+    after, before = whole(brown.class_contexts(sequences, own, len(transitions)), own)
     table = np.zeros_like(transitions)
     np.add.at(table, own, after)
     assert (table == transitions).all() and after.sum() == before.sum()
