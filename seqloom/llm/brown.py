@@ -43,9 +43,9 @@ CLUSTERED, CLASSES = 1024, 48
 #: bytes; longer ones are in the table of the other words.
 HEAD, HEAD_BYTES = 65_000, 64
 #: Rounds of exchange at most; tokens that a worker counts at once; words whose counts are one row.
-ROUNDS, AT_ONCE, BLOCK = 12, 4_000_000, 512
+ROUNDS, AT_ONCE, BLOCK = 6, 1_000_000, 512
 #: Share of the likelihood that two rounds have to gain for a further one.
-GAIN = 2e-4
+GAIN = 1e-3
 #: Added to a word's count within its class, and the weight of the class distribution in a transition.
 DELTA, BETA = 0.5, 20.0
 #: Words that a worker counts or remembers before it passes them on or forgets them.
@@ -144,6 +144,10 @@ def _count_pairs(fold: np.ndarray, size: int):
     return count
 
 
+#: Types of counts by their bytes.
+_WIDTHS = {1: "<u1", 2: "<u2", 4: "<i4"}
+
+
 def _count_classes(own: np.ndarray, size: int):
     """For each number how often each class is after it and before it, BLOCK numbers a row."""
 
@@ -155,26 +159,33 @@ def _count_classes(own: np.ndarray, size: int):
             table[1] += np.bincount(a[1:] * size + near[:-1], minlength=len(own) * size).astype(np.int32)
         table = table.reshape(2, len(own), size)
         for k in range(0, len(own), BLOCK):
-            part = np.ascontiguousarray(table[:, k : k + BLOCK])
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<i4").tobytes()], pa.binary())], ["block", "counts"])
+            part = table[:, k : k + BLOCK]
+            if most := part.max(initial=0):  # a byte a count, where that is enough
+                kind = next(x for x in _WIDTHS.values() if most <= np.iinfo(x).max)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())], ["block", "counts"])
 
     return count
 
 
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            part = np.frombuffer(raw, "<i4")
-            total[k] = total[k] + part if k in total else part.astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+def _add_blocks(words: int, size: int):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                raw, cells = raw.as_buffer(), 2 * size * min(BLOCK, words - k)
+                part = np.frombuffer(raw, _WIDTHS[raw.size // cells])
+                if k not in total:
+                    total[k] = np.zeros(cells, np.int64)
+                total[k] += part
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+
+    return add
 
 
 def class_contexts(sequences: DataFrame, own: np.ndarray, size: int) -> DataFrame:
     """(block, counts): [after, before] x BLOCK numbers x classes. A bounded table, whatever the size of the corpus; a task
     passes on its sums."""
-    parts = sequences.mapInArrow(_count_classes(own, size), "block int, counts binary").repartition("block").mapInArrow(_add_blocks, "block int, counts binary")
+    parts = sequences.mapInArrow(_count_classes(own, size), "block int, counts binary").repartition("block").mapInArrow(_add_blocks(len(own), size), "block int, counts binary")
     return stage_table(parts, "class-contexts")
 
 
@@ -220,15 +231,13 @@ def head_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     short = counts.where(F.length("word") <= HEAD_BYTES)
     step = F.floor(F.log2("n") * 8)
     steps = sorted(((r["step"], r["n"]) for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    wanted, left = F.lit(False), most
+    wanted, left, parts = F.lit(True), most, 1 << 20
     for s, n in steps:
-        if n <= left:
-            wanted, left = wanted | (step == s), left - n
-            continue
-        parts = 1 << 20
-        wanted = wanted | ((step == s) & (F.pmod(F.xxhash64("word"), F.lit(parts)) < int(parts * left / n)))
-        break
-    rows = short.where(wanted).collect() if steps and most else []
+        if n > left:
+            wanted = (step > s) | ((step == s) & (F.pmod(F.xxhash64("word"), F.lit(parts)) < int(parts * left / n)))
+            break
+        left -= n
+    rows = short.where(wanted).collect() if most else []
     return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))[:most]
 
 
