@@ -7,13 +7,14 @@ import argparse
 import sys
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import align, grep, kmers, quality, sampling, sorting, uniq
 from seqloom.plans.deploy import ship
-from seqloom.schema import SAMPLE_READS, SAMPLE_SEED
-from seqloom.sources.fastq import fastq_text, open_file, read_fastq, write_lines
+from seqloom.plans.shared import shared_path
+from seqloom.schema import SAMPLE_READS, SAMPLE_SEED, SCALE_READS
+from seqloom.sources.fastq import CHUNK_BYTES, fastq_text, file_system, open_file, read_fastq, write_lines
 
 VERSION = "0.1"
 
@@ -38,23 +39,23 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-b", "--trim-before", action="store_true")
     p.add_argument("-t", "--trim-match", action="store_true")
     p.add_argument("pattern")
-    p.add_argument("files", nargs="+")
+    p.add_argument("files", nargs="*", help="files, or - (or none) for standard input")
     p = program("kmers", "k-mer histogram")
     p.add_argument("-k", "--size", type=int, default=1)
-    p.add_argument("files", nargs="+")
+    p.add_argument("files", nargs="*", help="files, or - (or none) for standard input")
     p = program("match", "local alignment scores")
     p.add_argument("query")
-    p.add_argument("files", nargs="+")
+    p.add_argument("files", nargs="*", help="files, or - (or none) for standard input")
     p = program("uniq", "distinct sequences with counts")
-    p.add_argument("-v", "--verbose", action="store_true", help="accepted; progress is in Spark's own interface")
-    p.add_argument("files", nargs="+")
+    p.add_argument("-v", "--verbose", action="store_true", help="print the number of reads when done")
+    p.add_argument("files", nargs="*", help="files, or - (or none) for standard input")
     p = program("qual", "quality counts by position")
-    p.add_argument("files", nargs="+")
+    p.add_argument("files", nargs="*", help="files, or - (or none) for standard input")
     p = program("qualadj", "shifted qualities")
     p.add_argument("offset", type=int)
-    p.add_argument("files", nargs="+")
+    p.add_argument("files", nargs="*", help="files, or - (or none) for standard input")
     p = program("qscale", "quality scale of each file")
-    p.add_argument("files", nargs="+")
+    p.add_argument("files", nargs="*", help="files, or - (or none) for standard input")
     p = program("sort", "sorted reads")
     p.add_argument("-r", "--reverse", action="store_true")
     p.add_argument("-S", "--buffer-size", help="accepted; Spark sizes and spills its own buffers")
@@ -62,7 +63,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--seed", nargs="?", const="time", help="of -R; without a value, from the clock")
     for flags, by in (("-i --id", "id"), ("-n --idn", "natural"), ("-s --seq", "seq"), ("-R --random", "random"), ("-G --gc", "gc"), ("-M --mean-qual", "mean_qual")):
         p.add_argument(*flags.split(), dest="by", action="store_const", const=by)
-    p.add_argument("files", nargs="+")
+    p.add_argument("files", nargs="*", help="files, or - (or none) for standard input")
     p = program("sample", "random reads of a file, or of two in lockstep")
     p.add_argument("-n", type=int, default=SAMPLE_READS)
     p.add_argument("-p", type=float, help="share of the reads")
@@ -70,8 +71,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-c", "--complement-output", help="the same for the reads that are not drawn")
     p.add_argument("-r", "--with-replacement", action="store_true")
     p.add_argument("-s", "--seed", type=int, default=SAMPLE_SEED)
-    p.add_argument("--method", choices=("hash", "mt"), default="mt")
-    p.add_argument("files", nargs="+")
+    p.add_argument("--method", choices=("hash", "mt"), help="by default mt, the exact generator, up to its bound, and hash beyond")
+    p.add_argument("files", nargs="*", help="files, or - (or none) for standard input")
     return top
 
 
@@ -93,11 +94,33 @@ def _readable(path: str) -> bool:
         return False
 
 
+def spool(spark: SparkSession, stream) -> str:
+    """Standard input as a file in the shared folder, copied in pieces; it can be read in splits and more than once."""
+    path = shared_path(spark, "stdin")
+    system, inner = file_system(path)
+    system.create_dir(inner.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(inner) as f:
+        while data := stream.read(CHUNK_BYTES):
+            f.write(data)
+    return path
+
+
+def inputs_of(args, spark: SparkSession) -> tuple[list[str], dict[str, str]]:
+    """Files to read, and how those are called that were spooled."""
+    named, paths, spooled = args.files or ["-"], [], None
+    for f in named:
+        if f == "-":
+            spooled = spooled or spool(spark, sys.stdin.buffer)
+        paths.append(spooled if f == "-" else f)
+    return paths, {} if spooled is None else {spooled: "stdin"}
+
+
 def _sample(args, spark: SparkSession) -> None:
-    if len(args.files) > 2:
+    if not 1 <= len(args.files) <= 2:
         raise ValueError("sample takes one file or two")
     inputs = [read_fastq(spark, f) for f in args.files]
-    options = {"k": args.n, "fraction": args.p, "replacement": args.with_replacement, "seed": args.seed, "method": args.method}
+    method = args.method or ("mt" if inputs[0].count() <= sampling.GENERATOR_READS else "hash")
+    options = {"k": args.n, "fraction": args.p, "replacement": args.with_replacement, "seed": args.seed, "method": method}
     if len(inputs) == 2 and (a := inputs[0].count()) != (b := inputs[1].count()):
         raise ValueError(f"the inputs have different numbers of reads ({a} and {b})")
     taken, rest = sampling.sample_reads(inputs[0], **options)
@@ -114,38 +137,49 @@ def run(args, spark: SparkSession) -> None:
     ship(spark)
     if args.program == "sample":
         return _sample(args, spark)
-    reads = read_fastq(spark, args.files, missing="error" if args.program == "sort" else "skip")
-    in_order = ("source_file", "rec_no")
+    paths, names = inputs_of(args, spark)
+    # What passes reads on keeps the order of the partitions, which is that of files and records: nothing is sorted.
+    first = SCALE_READS if args.program == "qscale" else None
+    reads = read_fastq(spark, paths, missing="error" if args.program == "sort" else "skip", first=first, file_no=True)
+
+    def by_file(table: DataFrame) -> DataFrame:
+        """``table`` (file_no, ...) for each file that can be read, in their order."""
+        files = spark.createDataFrame([(k, names.get(p, p)) for k, p in enumerate(paths) if _readable(p)], "file_no int, file string")
+        return files.join(table, "file_no", "left").orderBy("file_no")
+
     if args.program == "grep":
         on = "id" if args.id else "seq"
+        numbered = reads.withColumn("source_file", F.col("file_no").cast("string"))
         if args.mismatches:
             rest = grep.grep_split(reads, args.pattern, on, args.invert_match)[1]
-            write_lines(fastq_text(rest.orderBy(*in_order)), args.mismatches, overwrite=True)
+            write_lines(fastq_text(rest), args.mismatches, overwrite=True)
         if args.count:
-            files = spark.createDataFrame([(f, k) for k, f in enumerate(args.files) if _readable(f)], "source_file string, k int")
-            counts = files.join(grep.grep_count(reads, args.pattern, on, args.invert_match, files=files.select("source_file")), "source_file")
-            lines = counts.orderBy("k").select(F.col("n").cast("string").alias("value"))
+            counts = grep.grep_count(numbered, args.pattern, on, args.invert_match).withColumn("file_no", F.col("source_file").cast("int"))
+            lines = by_file(counts.drop("source_file")).select(F.coalesce("n", F.lit(0)).cast("string").alias("value"))
         else:
-            chosen = grep.grep(reads, args.pattern, on, args.invert_match, args.trim_before, args.trim_after, args.trim_match)
-            lines = fastq_text(chosen.orderBy(*in_order))
+            lines = fastq_text(grep.grep(reads, args.pattern, on, args.invert_match, args.trim_before, args.trim_after, args.trim_match))
     elif args.program == "kmers":
         table = kmers.kmers(reads, args.size).orderBy("rank")
         head = spark.createDataFrame([("kmer\tfrequency",)], "value string")
         lines = head.union(table.select(F.concat_ws("\t", "kmer", F.col("frequency").cast("string"))))
     elif args.program == "match":
-        scored = reads.select(*in_order, "seq", align.align_score("seq", args.query).alias("score"))
-        lines = scored.orderBy(*in_order).select(F.concat_ws("\t", "seq", F.col("score").cast("string")).alias("value"))
+        lines = reads.select(F.concat_ws("\t", "seq", align.align_score("seq", args.query).cast("string")).alias("value"))
     elif args.program == "uniq":
-        lines = uniq.uniq_fasta(reads).orderBy("n")
+        seen = Observation("progress")
+        lines = uniq.uniq_fasta(reads.observe(seen, F.count("*").alias("reads")) if args.verbose else reads).orderBy("n")
+        emit(lines, args.out, args.overwrite)
+        if args.verbose:
+            print(f"{seen.get['reads']} reads", file=sys.stderr)
+        return None
     elif args.program == "qual":
         lines = quality.qual_lines(reads).orderBy("qual")
     elif args.program == "qualadj":
-        lines = fastq_text(quality.qual_adjust(reads, args.offset).orderBy(*in_order))
+        lines = fastq_text(quality.qual_adjust(reads, args.offset))
     elif args.program == "qscale":
-        files = spark.createDataFrame([(f, k) for k, f in enumerate(args.files) if _readable(f)], "source_file string, k int")
-        found = quality.scale_lines(quality.detect_scale(reads))
-        none = F.concat("source_file", F.lit(": Unknown scale ['~', '!']"))  # no reads, no range
-        lines = files.join(found, "source_file", "left").orderBy("k").select(F.coalesce("value", none).alias("value"))
+        numbered = reads.withColumn("source_file", F.col("file_no").cast("string"))
+        found = quality.detect_scale(numbered).withColumn("file_no", F.col("source_file").cast("int")).drop("source_file")
+        named = by_file(found).select(F.col("file").alias("source_file"), F.coalesce("lo", F.lit(126)).alias("lo"), F.coalesce("hi", F.lit(33)).alias("hi"), "scale")
+        lines = quality.scale_lines(named).select("value")  # no reads, no range
     else:
         seed = None if args.seed is None else time.time_ns() & 0xFFFFFFFF if args.seed == "time" else int(args.seed)
         lines = fastq_text(sorting.sort_reads(reads, args.by or "id", args.reverse, seed, exact=True))

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
+
 #: POSIX classes and their Java names, fixed values.
 _POSIX = {
     "alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "punct": r"\p{Punct}",
@@ -22,17 +26,82 @@ class UnsupportedPattern(ValueError):
     """The pattern uses a construct that Java's engine lacks."""
 
 
+def _compiled(java: str, pattern: str) -> str:
+    """Compiled once on the driver, where a session runs, so that a bad pattern is an error here and not in tasks."""
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(java)
+        except (IllegalArgumentException, Py4JJavaError) as e:
+            said = re.sub(r"(?s)\n.*", "", str(e))
+            at = re.search(r" near index (\d+)", said)
+            place = max(0, int(at[1]) - java.index(")") - 1) if at else 0
+            raise UnsupportedPattern(f"syntax error in the pattern {pattern!r} at offset {place}: {said[: at.start()] if at else said}") from None
+    return java
+
+
+def _class_end(pattern: str, at: int) -> int:
+    """Behind the class that opens at ``at``: a first ``]`` is a member, ``[:name:]`` and escapes are whole."""
+    k = at + 1
+    if pattern[k : k + 1] == "^":
+        k += 1
+    if pattern[k : k + 1] == "]":
+        k += 1
+    while k < len(pattern) and pattern[k] != "]":
+        named = re.match(r"\[:\^?\w+:\]", pattern[k:])
+        k += len(named[0]) if named else 2 if pattern[k] == "\\" else 1
+    return k + 1
+
+
+def _java_class(inner: str) -> str:
+    """A bracketed class as Java reads it: ``[``, ``]`` and ``&`` are plain characters within it."""
+    out, k = "", 0
+    if inner[:1] == "^":
+        out, k = "^", 1
+    while k < len(inner):
+        if inner[k] == "\\":
+            out += inner[k : k + 2]
+            k += 2
+        elif m := re.match(r"\[:(\^?)(\w+):\]", inner[k:]):
+            if m[2] not in _POSIX:
+                raise UnsupportedPattern(f"unknown class {m[0]}")
+            out += _POSIX[m[2]] if not m[1] else "[^" + _POSIX[m[2]] + "]"
+            k += len(m[0])
+        else:
+            out += "\\" + inner[k] if inner[k] in "[]&" else inner[k]
+            k += 1
+    return out
+
+
 def java_pattern(pattern: str, case_sensitive: bool = False) -> str:
-    """The pattern for Spark: ``.`` and ``$`` know only the newline, and letters match in either case unless asked."""
+    """The pattern for Spark: ``.`` and ``$`` know only the newline, and letters match in either case unless asked. Classes are
+    written as Java wants them, named groups lose their ``P``, comments go."""
     plain = re.sub(r"\\[^K]", "__", pattern)  # escaped characters cannot open a construct
     for found, name in _MISSING:
         if re.search(found, plain):
             raise UnsupportedPattern(f"{name} is not supported in {pattern!r}")
-
-    def posix(m: re.Match) -> str:
-        if m[2] not in _POSIX:
-            raise UnsupportedPattern(f"unknown class {m[0]} in {pattern!r}")
-        name = _POSIX[m[2]]
-        return name if not m[1] else "[^" + name + "]"
-
-    return ("(?d)" if case_sensitive else "(?id)") + re.sub(r"\[:(\^?)(\w+):\]", posix, pattern)
+    out, k = "", 0
+    while k < len(pattern):
+        if pattern[k] == "\\":
+            out += pattern[k : k + 2]
+            k += 2
+        elif pattern[k] == "[":
+            end = _class_end(pattern, k)
+            if end > len(pattern):
+                raise UnsupportedPattern(f"syntax error in the pattern {pattern!r} at offset {len(pattern)}: missing ]")
+            out += "[" + _java_class(pattern[k + 1 : end - 1]) + "]"
+            k = end
+        elif pattern.startswith("(?#", k):
+            k = pattern.find(")", k) + 1 or len(pattern) + 1
+            if k > len(pattern):
+                raise UnsupportedPattern(f"syntax error in the pattern {pattern!r} at offset {len(pattern)}: missing ) after a comment")
+        elif pattern.startswith("(?P<", k):
+            out += "(?<"
+            k += 4
+        elif m := re.match(r"\(\?P=(\w+)\)", pattern[k:]):
+            out += f"\\k<{m[1]}>"
+            k += len(m[0])
+        else:
+            out += pattern[k]
+            k += 1
+    return _compiled(("(?d)" if case_sensitive else "(?id)") + out, pattern)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.sequences import shift_quality
+from seqloom.plans.shared import checkpointed
 from seqloom.schema import SCALE_READS, SCALES
 
 LAST_BYTE = 254
@@ -42,14 +43,34 @@ def _compatible(lo, hi):
     return reduce(lambda x, y: x + y, bits)
 
 
+def first_reads(reads: DataFrame, limit: int, bins: int = 1024, rounds: int = 2) -> DataFrame:
+    """Reads among which are each file's ``limit`` first ones by rec_no, and few more: histograms of rec_no, each of the bin
+    of the one before that holds the last wanted read, find a rec_no behind which none is. Only the files with more reads
+    are looked at twice, and only their numbers are read."""
+    slim = reads.select("source_file", "rec_no")
+    wide = slim.groupBy("source_file").agg(F.count("*").alias("n"), F.min("rec_no").alias("lo"), F.max("rec_no").alias("hi")).where(F.col("n") > limit)
+    wide = checkpointed(wide.select("source_file", "lo", "hi", F.lit(limit).cast("bigint").alias("left")))
+    if wide.isEmpty():
+        return reads
+    for _ in range(rounds):
+        size = F.floor((F.col("hi") - F.col("lo")) / bins) + 1
+        binned = slim.join(wide, "source_file").where("rec_no BETWEEN lo AND hi").withColumn("bin", F.floor((F.col("rec_no") - F.col("lo")) / size))
+        counted = binned.groupBy("source_file", "lo", "hi", "left", "bin").agg(F.count("*").alias("n"))  # `bins` rows a file
+        so_far = F.sum("n").over(Window.partitionBy("source_file").orderBy("bin"))
+        last = counted.withColumn("so_far", so_far).where("so_far >= left AND so_far - n < left")
+        lo = F.col("lo") + F.col("bin") * size
+        wide = checkpointed(last.select("source_file", lo.alias("lo"), F.least("hi", lo + size - 1).alias("hi"), (F.col("left") - F.col("so_far") + F.col("n")).alias("left")))
+    return reads.join(wide.select("source_file", F.col("hi").alias("__last")), "source_file", "left").where("__last IS NULL OR rec_no <= __last").drop("__last")
+
+
 def detect_scale(reads: DataFrame, limit: int = SCALE_READS, numbered: bool = True) -> DataFrame:
     """(source_file, lo, hi, scale): the range of bytes grows read by read and stops at the first read after which at most
     one scale remains, or after ``limit`` reads; the scale is the first that remains, or null. Files without reads have no
     row. ``numbered``: rec_no counts from 0 within each file, as from the source, so that a plain filter takes the first
-    reads and at most ``limit`` rows of a file meet in a task; else they are ranked by it."""
+    reads; else histograms of it find them. Either way about ``limit`` rows of a file meet in a task."""
     letters = F.split("qual", "")
     full = F.length("qual") > 0
-    slim = (reads.where(F.col("rec_no") < limit) if numbered else reads).select(
+    slim = (reads.where(F.col("rec_no") < limit) if numbered else first_reads(reads, limit)).select(
         "source_file",
         "rec_no",
         F.when(full, F.ascii(F.array_min(letters))).otherwise(126).alias("lo"),

@@ -2,30 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cut points of the first key, and rows sampled to find them.
-CUTS, SAMPLED = 63, 6400
+from seqloom.plans.shared import checkpointed
 
+#: Bits of a row's place within its partition in monotonically_increasing_id().
+_PLACE = (1 << 33) - 1
 
-def global_rank(df: DataFrame, order: list[Column], name: str, first: Column, descending: bool = False) -> DataFrame:
-    """Adds ``name``: 0-based position in ``order``. ``first`` is the plain first key: rows are dealt into ranges of it at
-    sampled cut points, numbered within a range and moved by the rows of the ranges before. Rows of one value of the first
-    key stay in one range, so it should not be constant."""
-    keyed = df.withColumn("__first", first)
-    total = keyed.count()
-    share = min(1.0, SAMPLED / max(total, 1))
-    sample = sorted({r[0] for r in keyed.sample(share, seed=7).select("__first").limit(2 * SAMPLED).collect() if r[0] is not None})
-    step = max(1, len(sample) // (CUTS + 1))
-    cuts = sample[step::step][:CUTS]
-    # The key stands in an array of its own, so that it is named, and computed, once a row and not once a cut.
-    ahead = F.array(*[F.lit(c) for c in cuts])
-    place = F.transform(F.array("__first"), lambda k: F.size(F.filter(ahead, lambda c: c <= k)))[0] if cuts else F.lit(0)
-    keyed = keyed.withColumn("__range", -place if descending else place)
-    sizes = keyed.groupBy("__range").agg(F.count("*").alias("__n"))  # CUTS + 1 rows
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
-    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    ranked = keyed.withColumn("__nth", nth).join(F.broadcast(sizes), "__range")
-    return ranked.withColumn(name, F.col("__nth") + F.col("__ahead")).drop("__first", "__range", "__nth", "__ahead")
+
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: 0-based position in ``order``. The rows are sorted by ranges of all order columns, as many as adaptive
+    execution finds fit, and written down; a row's place in its partition is moved by the rows of the partitions before.
+    Rows that agree in some of the columns are dealt by the others."""
+    placed = checkpointed(df.orderBy(*order)).withColumn("__id", F.monotonically_increasing_id())
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit(_PLACE))
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row a partition
+    ahead, total = [], 0
+    for k, n in sizes:
+        ahead.append((k, total))
+        total += n
+    before = df.sparkSession.createDataFrame(ahead, "__part bigint, __ahead bigint")
+    return placed.join(F.broadcast(before), part == F.col("__part")).withColumn(name, place + F.col("__ahead")).drop("__id", "__part", "__ahead")

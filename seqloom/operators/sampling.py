@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from seqloom.schema import SAMPLE_READS, SAMPLE_SEED
 BINS_LOG2 = 16
 #: Above this the exact generator of the command line would hold too many record numbers on the driver.
 GENERATOR_READS = 50_000_000
+#: Numbers drawn at once.
+DRAWN = 1 << 16
 
 
 def sample_size(n: int, k: int = SAMPLE_READS, fraction: float | None = None, replacement: bool = False) -> int:
@@ -65,16 +68,20 @@ def _within(cut: tuple | None, seed: int) -> Column:
 
 def uniform_integers(seed: int, bounds: np.ndarray) -> np.ndarray:
     """One draw below each bound, in order: a 32-bit Mersenne Twister number divided by the bound's share of its range,
-    drawn again while the quotient is not below the bound."""
+    drawn again while the quotient is not below the bound. Drawn in blocks; a rejected number is taken out of its block."""
     state = np.random.RandomState(seed or SAMPLE_SEED)
     out = np.empty(len(bounds), np.int64)
     scale = 0xFFFFFFFF // bounds
-    for i in range(len(bounds)):
-        while True:
-            r = int(state.randint(0, 2**32, dtype=np.uint32)) // int(scale[i])
-            if r < bounds[i]:
-                out[i] = r
-                break
+    done, left = 0, np.zeros(0, np.int64)
+    while done < len(bounds):
+        if not len(left):
+            left = state.randint(0, 2**32, size=min(DRAWN, len(bounds) - done), dtype=np.uint32).astype(np.int64)
+        here = slice(done, done + len(left))
+        found = left[: len(bounds[here])] // scale[here]
+        bad = np.flatnonzero(found >= bounds[here])
+        good = int(bad[0]) if len(bad) else len(found)
+        out[done : done + good] = found[:good]
+        done, left = done + good, left[good + 1 :]
     return out
 
 
@@ -94,10 +101,9 @@ def _drawn(reads: DataFrame, n: int, size: int, replacement: bool, seed: int, me
     """(rec_no, times)."""
     spark = reads.sparkSession
     if method == "mt":
-        if n > GENERATOR_READS and not replacement:
+        if max(size, 0 if replacement else n) > GENERATOR_READS:
             raise ValueError("too many reads for the exact generator; use method='hash'")
-        rows = [(i,) for i in draw_indices(n, size, replacement, seed)]
-        drawn = spark.createDataFrame(rows, "rec_no bigint")
+        drawn = spark.createDataFrame(pa.table({"rec_no": pa.array(draw_indices(n, size, replacement, seed), pa.int64())}))
     else:
         drawn = spark.range(size).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).alias("rec_no"))
     return drawn.groupBy("rec_no").agg(F.count("*").alias("times"))

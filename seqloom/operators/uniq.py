@@ -14,11 +14,8 @@ def uniq(reads: DataFrame) -> DataFrame:
 
 
 def uniq_ranked(reads: DataFrame) -> DataFrame:
-    """(seq, copies, n): ``n`` from 0, most copies first, equal ones by sequence. The copies alone are too few values to
-    spread rows over tasks, so the ranges are of copies and sequence together."""
-    counted = uniq(reads)
-    key = F.concat(F.lpad((F.lit(10**18) - F.col("copies")).cast("string"), 19, "0"), F.col("seq"))
-    return global_rank(counted, [F.desc("copies"), F.asc("seq")], "n", key)
+    """(seq, copies, n): ``n`` from 0, most copies first, equal ones by sequence."""
+    return global_rank(uniq(reads), [F.desc("copies"), F.asc("seq")], "n")
 
 
 def uniq_fasta(reads: DataFrame) -> DataFrame:

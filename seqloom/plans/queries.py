@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions.hashing import record_hash
+from seqloom.functions.hashing import RECORD_SEED, record_hash
 from seqloom.functions.sequences import gc_fraction, mean_quality, reverse_complement
 from seqloom.operators import align as alignment
 from seqloom.operators import grep as selection
@@ -13,11 +13,13 @@ from seqloom.operators import quality, sampling, sorting, uniq
 from seqloom.operators.kmers import kmers
 from seqloom.operators.ranking import global_rank
 from seqloom.plans.reads import READS_SQL, reads
-from seqloom.sources.fastq import fastq_text
+from seqloom.plans.shared import shared_path
+from seqloom.sources.fastq import fastq_text, list_files, read_fastq, write_fastq
 from seqloom.sources.random_reads import random_reads
-from seqloom.streaming.reads import parse_whole
 
 PATTERN, QUERY, K, SEED = "ac[gt]{2}a", "ACGTTGCAAC", 500, 4357
+#: Bytes of a range in round trips; reads that the limited scale detection looks at.
+SPLIT, FEW = 50_000, 40
 
 
 def _columns(df: DataFrame) -> DataFrame:
@@ -29,12 +31,7 @@ def _grep(**options):
 
 
 def _sorted(by: str, reverse: bool = False):
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        df = reads(spark, d).withColumn("__key", sorting.sort_keys(by)[0])
-        order = sorting.sort_order(by, reverse)
-        return global_rank(df, order, "position", F.col("__key"), descending=reverse).select("rec_no", "position")
-
-    return query
+    return lambda spark, d: sorting.sort_positions(reads(spark, d), by, reverse).select("rec_no", "position")
 
 
 def _sample(part: int, **options):
@@ -50,10 +47,32 @@ def _paired(spark: SparkSession, d: str) -> DataFrame:
     return one.select("rec_no", "seq").join(two.select("rec_no", F.col("seq").alias("mate_seq")), "rec_no")
 
 
+def _written(spark: SparkSession, d: str) -> list[str]:
+    """The reads, in order, as FASTQ files in the shared folder."""
+    path = shared_path(spark, "written")
+    write_fastq(reads(spark, d).orderBy("rec_no"), path)
+    return list_files(path)
+
+
 def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Printed and parsed again."""
-    files = fastq_text(reads(spark, d)).select(F.concat("value", F.lit("\n")).alias("value"), F.lit("printed").alias("source_file"))
-    return parse_whole(files).select("id1", "seq", "id2", "qual")
+    """Written by the sink and read by the source, files in many ranges; ids are the records' own."""
+    found = read_fastq(spark, _written(spark, d), split_bytes=SPLIT)
+    return found.select("id1", "seq", "id2", "qual")
+
+
+def _file_order(spark: SparkSession, d: str) -> DataFrame:
+    """Place of each read in the concatenation of the written files, one of which is given twice."""
+    files = _written(spark, d)
+    found = read_fastq(spark, [files[0], *files], split_bytes=SPLIT, file_no=True)
+    placed = global_rank(found, [F.asc("file_no"), F.asc("rec_no")], "place")
+    again = found.where("file_no = 0").count()
+    return placed.where(F.col("place") >= again).select("id1", "seq", (F.col("place") - again).alias("place"))
+
+
+def _varied(spark: SparkSession, d: str) -> DataFrame:
+    """Reads of all scales and of none: one more byte for those of two files."""
+    more = F.when(F.col("source_file") == "purchase.fastq", "J").when(F.col("source_file") == "view.fastq", "~").otherwise("")
+    return reads(spark, d).withColumn("qual", F.concat("qual", more))
 
 
 def queries() -> dict:
@@ -93,7 +112,10 @@ def queries() -> dict:
         "sample_with_replacement_hash": _sample(0, replacement=True),
         "sample_truncated_complement": lambda spark, d: sampling.truncated_complement(*sampling.sample_reads(reads(spark, d), k=K, seed=SEED)).select("rec_no"),
         "sample_paired": _paired,
-        "shuffle_hash": lambda spark, d: sorting.sort_reads(reads(spark, d), "random"),
+        "shuffle_hash": _sorted("random"),
+        "sort_reads_by_file": _file_order,
+        "detect_scale_varied": lambda spark, d: quality.detect_scale(_varied(spark, d), numbered=False),
+        "detect_scale_limit": lambda spark, d: quality.detect_scale(_varied(spark, d), limit=FEW, numbered=False),
         "concat_files": lambda spark, d: reads(spark, d).unionByName(_mates(spark, d)).groupBy("source_file").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases")),
         "print_fastq": lambda spark, d: fastq_text(reads(spark, d)),
         "roundtrip_fastq": _roundtrip,
@@ -166,11 +188,12 @@ def _shifted(offset: int) -> str:
 
 _QUAL = f"{_WITH}, l AS (SELECT qual, unnest(range(0, length(qual))) AS pos FROM reads), c AS (SELECT CAST(pos AS INT) AS pos, CAST(ascii(substr(qual, CAST(pos + 1 AS INT), 1)) AS INT) AS qual, count(*) AS n FROM l GROUP BY ALL)"
 _DENSE = f"{_QUAL}, g AS (SELECT CAST(p.range AS INT) AS pos, CAST(b.range AS INT) AS qual FROM range((SELECT max(length(qual)) FROM reads)) p, range(255) b), d AS (SELECT g.pos, g.qual, coalesce(c.n, 0) AS n FROM g LEFT JOIN c ON c.pos = g.pos AND c.qual = g.qual)"
-_SCALE = f"""{_WITH}, r AS (
+def _scale(limit: int = 100_000, more: str = "''") -> str:
+    return f"""{_WITH}, v AS (SELECT source_file, rec_no, qual || {more} AS qual FROM reads), r AS (
     SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY rec_no) AS nth,
-           list_min(list_transform(string_split(qual, ''), lambda x: ascii(x))) AS lo, list_max(list_transform(string_split(qual, ''), lambda x: ascii(x))) AS hi FROM reads
+           list_min(list_transform(string_split(qual, ''), lambda x: ascii(x))) AS lo, list_max(list_transform(string_split(qual, ''), lambda x: ascii(x))) AS hi FROM v
 ), g AS (
-    SELECT source_file, nth, least(126, min(lo) OVER w) AS lo, greatest(33, max(hi) OVER w) AS hi FROM r WHERE nth <= 100000
+    SELECT source_file, nth, least(126, min(lo) OVER w) AS lo, greatest(33, max(hi) OVER w) AS hi FROM r WHERE nth <= {limit}
     WINDOW w AS (PARTITION BY source_file ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), b AS (
     SELECT *, (CASE WHEN lo >= 33 AND hi <= 73 THEN 1 ELSE 0 END) + (CASE WHEN lo >= 33 AND hi <= 74 THEN 2 ELSE 0 END) + (CASE WHEN lo >= 66 AND hi <= 104 THEN 4 ELSE 0 END)
@@ -182,6 +205,8 @@ _SCALE = f"""{_WITH}, r AS (
            CASE WHEN bits & 1 > 0 THEN 'Sanger/Phred+33' WHEN bits & 2 > 0 THEN 'Illumina 1.8/Phred+33' WHEN bits & 4 > 0 THEN 'Illumina 1.5/Phred+64'
                 WHEN bits & 8 > 0 THEN 'Illumina 1.3/Phred+64' WHEN bits & 16 > 0 THEN 'Solexa/Solexa+64' END AS scale FROM k WHERE pick = 1
 )"""
+
+_SCALE, _MORE = _scale(), "CASE source_file WHEN 'purchase.fastq' THEN 'J' WHEN 'view.fastq' THEN '~' ELSE '' END"
 _RANKED = f"{_WITH}, k AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}:' || rec_no), source_file, rec_no) AS nth FROM reads)"
 _UNIQ = f"{_WITH}, u AS (SELECT seq, count(*) AS copies FROM reads GROUP BY seq)"
 _MATE = "reverse(translate(seq, 'ACGT', 'TGCA'))"
@@ -220,7 +245,10 @@ def oracle_sql() -> dict[str, str]:
         "sample_fraction": f"{_RANKED} SELECT rec_no, seq, qual FROM k WHERE nth <= floor(0.1 * (SELECT count(*) FROM reads) + 0.5)",
         "sample_truncated_complement": f"{_RANKED} SELECT rec_no FROM k WHERE nth > {K} AND rec_no < (SELECT max(rec_no) FROM k WHERE nth <= {K})",
         "sample_paired": f"{_RANKED} SELECT rec_no, seq, {_MATE} AS mate_seq FROM k WHERE nth <= {K}",
-        "shuffle_hash": f"{_WITH} SELECT {_ALL} FROM reads",
+        "shuffle_hash": _position(f"md5('{RECORD_SEED}' || chr(10) || id1 || chr(10) || seq || chr(10) || id2 || chr(10) || qual)"),
+        "sort_reads_by_file": f"{_WITH} SELECT id1, seq, row_number() OVER (ORDER BY rec_no) - 1 AS place FROM reads",
+        "detect_scale_varied": f"{_scale(more=_MORE)} SELECT source_file, lo, hi, scale FROM f",
+        "detect_scale_limit": f"{_scale(FEW, _MORE)} SELECT source_file, lo, hi, scale FROM f",
         "concat_files": f"{_WITH} SELECT source_file, 2 * count(*) AS n, CAST(2 * sum(length(seq)) AS BIGINT) AS bases FROM reads GROUP BY source_file",
         "print_fastq": f"{_WITH} SELECT '@' || id1 || chr(10) || seq || chr(10) || '+' || id2 || chr(10) || qual AS value FROM reads",
         "roundtrip_fastq": f"{_WITH} SELECT id1, seq, id2, qual FROM reads",

@@ -15,6 +15,9 @@ READ_SCHEMA = T.StructType(
     ]
 )
 
+#: With the file's place among those that are read.
+NUMBERED_SCHEMA = T.StructType([*READ_SCHEMA.fields, T.StructField("file_no", T.IntegerType(), False)])
+
 #: Fixed values. Quality scales by priority: description, lowest and highest byte.
 SCALES = (
     ("Sanger/Phred+33", 33, 73),

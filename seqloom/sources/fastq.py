@@ -22,39 +22,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from seqloom.schema import READ_SCHEMA
+from seqloom.schema import NUMBERED_SCHEMA, READ_SCHEMA
 
 SPLIT_BYTES, CHUNK_BYTES = 64 << 20, 4 << 20
-_ARROW = pa.schema([pa.field(f.name, pa.int64() if f.name == "rec_no" else pa.string(), nullable=False) for f in READ_SCHEMA.fields])
+_KINDS = {"rec_no": pa.int64(), "file_no": pa.int32()}
+_ARROW = pa.schema([pa.field(f.name, _KINDS.get(f.name, pa.string()), nullable=False) for f in READ_SCHEMA.fields])
 
 
 def open_file(path: str) -> io.BufferedIOBase:
     """A local path, or any URI that a pyarrow file system reads; ``.gz`` is unpacked."""
-    if "://" in path and not path.startswith("file://"):
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(path)
+    if "://" in path and not path.startswith("file:"):
+        system, inner = file_system(path)
         raw = system.open_input_file(inner)
     else:
-        raw = open(path.removeprefix("file://"), "rb")
+        raw = open(local_path(path), "rb")
     return gzip.open(raw) if path.endswith(".gz") else raw
 
 
 def _size(path: str) -> int:
-    if "://" in path and not path.startswith("file://"):
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(path)
-        return system.get_file_info(inner).size or 0
-    return os.path.getsize(path.removeprefix("file://"))
+    system, inner = file_system(path)
+    return system.get_file_info(inner).size or 0
 
 
 class FastqSplit(InputPartition):
-    """Bytes [start, end) of a file; ``lines`` newlines precede ``start``. ``end`` -1: to the end."""
+    """Bytes [start, end) of a file; ``lines`` newlines precede ``start``. ``end`` -1: to the end. ``file_no``: the file's place
+    among those that are read."""
 
-    def __init__(self, path: str, start: int, end: int, lines: int):
+    def __init__(self, path: str, start: int, end: int, lines: int, file_no: int = 0):
         super().__init__(None)
-        self.path, self.start, self.end, self.lines = path, start, end, lines
+        self.path, self.start, self.end, self.lines, self.file_no = path, start, end, lines, file_no
 
 
 def _text(values: list[bytes]) -> list[str]:
@@ -140,18 +136,32 @@ def read_split(f, split: FastqSplit, strict_tail: bool = True, chunk: int = CHUN
         yield _batch(split.path, record, [*held, carry])
 
 
+def _cut_at(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """The records below number ``first``; nothing is read behind them."""
+    for b in batches:
+        left = first - b.column("rec_no")[0].as_py()
+        if left > 0:
+            yield b.slice(0, left)
+        if left <= b.num_rows:
+            return
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.strict_tail = options.get("strict_tail", "true").lower() != "false"
+        self.first = int(options["first"]) if "first" in options else None
+        self.numbered = options.get("file_no", "false") == "true"
         splits = options.get("splits")
-        self.splits = [tuple(s) for s in json.loads(splits)] if splits else [(options["path"], 0, -1, 0)]
+        self.splits = [tuple(s) for s in json.loads(splits)] if splits else [(options["path"], 0, -1, 0, 0)]
 
     def partitions(self) -> Sequence[InputPartition]:
         return [FastqSplit(*s) for s in self.splits]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         with open_file(partition.path) as f:
-            yield from read_split(f, partition, self.strict_tail)
+            found = read_split(f, partition, self.strict_tail)
+            for b in found if self.first is None else _cut_at(found, self.first):
+                yield b.append_column("file_no", pa.array([partition.file_no] * b.num_rows, pa.int32())) if self.numbered else b
 
 
 class FastqDataSource(DataSource):
@@ -162,23 +172,25 @@ class FastqDataSource(DataSource):
         return "fastq"
 
     def schema(self):
-        return READ_SCHEMA
+        return NUMBERED_SCHEMA if self.options.get("file_no", "false") == "true" else READ_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return FastqReader(dict(self.options))
 
 
-def plan_splits(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> list[tuple[str, int, int, int]]:
-    """(path, start, end, lines before start); files of one range or packed ones need no count."""
+def plan_splits(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES, first: int | None = None) -> list[tuple[str, int, int, int, int]]:
+    """(path, start, end, lines before start, file number); files of one range or packed ones need no count. With ``first`` a
+    file is one range, of which only the beginning is read."""
     single, ranges = [], []
     for k, path in enumerate(paths):
-        size = 0 if path.endswith(".gz") else _size(path)
+        size = 0 if path.endswith(".gz") or first is not None else _size(path)
         if size <= split_bytes:
             single.append((k, path, 0, -1, 0))
         else:
             ranges += [(k, path, at, min(at + split_bytes, size)) for at in range(0, size, split_bytes)]
+    numbered = lambda rows: [(path, start, stop, lines, k) for k, path, start, stop, lines in sorted(rows)]
     if not ranges:
-        return [s[1:] for s in single]
+        return numbered(single)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,28 +212,44 @@ def plan_splits(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_
         lines = 0 if k != last else lines
         out.append((k, path, start, stop, lines))
         lines, last = lines + n, k
-    return [s[1:] for s in sorted(out)]
+    return numbered(out)
 
 
-def read_fastq(spark: SparkSession, paths: str | list[str], missing: str = "error", strict_tail: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Reads of one or several files, concatenated. ``missing``: "error", or "skip" files that cannot be opened."""
+def read_fastq(spark: SparkSession, paths: str | list[str], missing: str = "error", strict_tail: bool = True, split_bytes: int = SPLIT_BYTES, first: int | None = None, file_no: bool = False) -> DataFrame:
+    """Reads of one or several files, concatenated; the partitions are in the order of files and records. ``missing``: "error",
+    or "skip" files that cannot be opened. ``first``: only so many reads of each file, behind which nothing is read. ``file_no``
+    adds the file's place among ``paths``: with rec_no it tells reads apart even where a file is given twice."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if missing not in ("error", "skip"):
         raise ValueError("missing must be 'error' or 'skip'")
-    found = []
-    for p in paths:
+    found, places = [], []
+    for k, p in enumerate(paths):
         try:
             with open_file(p):
                 found.append(p)
+                places.append(k)
         except OSError:
             if missing == "error":
                 raise
             print(f"skipped: {p} cannot be opened", file=sys.stderr)
     if not found:
-        return spark.createDataFrame([], READ_SCHEMA)
+        return spark.createDataFrame([], NUMBERED_SCHEMA if file_no else READ_SCHEMA)
     spark.dataSource.register(FastqDataSource)
-    reader = spark.read.format("fastq").option("strict_tail", str(strict_tail).lower())
-    return reader.option("splits", json.dumps(plan_splits(spark, found, split_bytes))).load()
+    splits = [(*s[:-1], places[s[-1]]) for s in plan_splits(spark, found, split_bytes, first)]
+    reader = spark.read.format("fastq").option("strict_tail", str(strict_tail).lower()).option("file_no", str(file_no).lower())
+    if first is not None:
+        reader = reader.option("first", first)
+    return reader.option("splits", json.dumps(splits)).load()
+
+
+def list_files(folder: str) -> list[str]:
+    """The data files of a folder, by name: what ``write_fastq`` wrote, in its order."""
+    from pyarrow import fs
+
+    system, inner = file_system(folder)
+    head = folder[: len(folder) - len(inner)] if "://" in folder and not folder.startswith("file:") else ""
+    found = system.get_file_info(fs.FileSelector(inner))
+    return [head + f.path for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and f.base_name[:1] not in "._"]
 
 
 # ---------------------------------------------------------------- sinks
@@ -238,11 +266,18 @@ def fastq_text(reads: DataFrame) -> DataFrame:
     return reads.select(F.concat(*parts).alias("value"))
 
 
-def _system(path: str):
+def file_system(path: str):
     """(pyarrow file system, path within it)."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(local_path(path))
+
+
+def local_path(path: str) -> str:
+    """Of a path or a file URI, with one slash or three."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
 class _Written(WriterCommitMessage):
@@ -257,17 +292,17 @@ class LineWriter(DataSourceArrowWriter):
         self.path = path
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        system, folder = _system(self.path)
+        system, folder = file_system(self.path)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
         system.create_dir(f"{folder}/_pending", recursive=True)
         with system.open_output_stream(f"{folder}/_pending/{name}") as f:
             for b in iterator:
-                for v in b.column(0).to_pylist():
-                    f.write(v.encode("latin-1") + b"\n")
+                if b.num_rows:
+                    f.write(("\n".join(b.column(0).to_pylist()) + "\n").encode("latin-1"))
         return _Written(name)
 
     def commit(self, messages) -> None:
-        system, folder = _system(self.path)
+        system, folder = file_system(self.path)
         system.create_dir(folder, recursive=True)
         for m in messages:
             if m is not None:
@@ -277,7 +312,7 @@ class LineWriter(DataSourceArrowWriter):
     def abort(self, messages) -> None:
         from pyarrow import fs
 
-        system, folder = _system(self.path)
+        system, folder = file_system(self.path)
         if system.get_file_info(f"{folder}/_pending").type != fs.FileType.NotFound:
             system.delete_dir(f"{folder}/_pending")
 
@@ -296,7 +331,7 @@ class LineSink(DataSource):
 def _write_lines(lines: DataFrame, path: str, overwrite: bool) -> None:
     from pyarrow import fs
 
-    system, folder = _system(path)
+    system, folder = file_system(path)
     if system.get_file_info(folder).type != fs.FileType.NotFound:
         if not overwrite:
             raise FileExistsError(f"{path} exists")

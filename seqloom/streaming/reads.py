@@ -1,30 +1,31 @@
-"""Reads as a stream: every FASTQ file that is put into a folder is parsed once, whole."""
+"""Reads as a stream: every FASTQ file that is put into a folder is parsed once, in pieces, whatever its size."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def parse_whole(files: DataFrame) -> DataFrame:
-    """Reads of rows (source_file, value), ``value`` being a whole file; its unterminated last record is dropped."""
-    lines = files.select("source_file", F.split("value", "\n", -1).alias("lines"))
-    count = F.floor((F.size("lines") - 1) / 4).cast("int")
-    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    rows = lines.select("source_file", "lines", F.explode(numbers).alias("r"))
-    line = lambda k: F.element_at("lines", F.col("r") * 4 + (k + 1))
-    return rows.select(
-        "source_file",
-        F.col("r").cast("bigint").alias("rec_no"),
-        F.regexp_replace(line(0), "^@", "").alias("id1"),
-        line(1).alias("seq"),
-        F.regexp_replace(line(2), "^\\+", "").alias("id2"),
-        line(3).alias("qual"),
-    )
+
+from seqloom.plans.deploy import ship
+from seqloom.schema import READ_SCHEMA
+from seqloom.sources.fastq import FastqSplit, open_file, read_split
+
+
+#: Of Spark's source of whole files; their content is never asked for.
+_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path in b.column(0).to_pylist():
+            with open_file(path) as f:
+                yield from read_split(f, FastqSplit(path, 0, -1, 0))
 
 
 def stream_fastq(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
     """A streaming DataFrame of reads. grep, alignment and quality shifts run on it in append mode, histograms and counts
-    in complete mode."""
-    raw = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
-    return parse_whole(raw.select(F.col("_metadata.file_path").alias("source_file"), "value"))
+    in complete mode. The stream itself carries the files' paths; a task reads a file in chunks."""
+    ship(spark)
+    files = spark.readStream.schema(_FILES).format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    return files.select("path").mapInArrow(_parse, READ_SCHEMA)

@@ -42,6 +42,30 @@ def test_programs(spark, capsysbinary, files, tmp_path):
     assert cli.main(["sort", "none"]) == 1 and cli.main(["grep", "-a", "-b", "x", a]) == 1
 
 
+def test_order_of_files(spark, capsysbinary, files):
+    a, b = files
+    assert run(spark, capsysbinary, "grep", "ac", b, a).split("\n")[0::4][:3] == ["@r1", "@r10", "@r2"]
+    assert run(spark, capsysbinary, "grep", "-c", "ac", b, a, b, "none", b) == "1\n2\n1\n1\n"
+    assert run(spark, capsysbinary, "match", "ACGT", b, a, b).splitlines() == ["ACGT\t3", "ACGT\t3", "TTAC\t1", "ACGT\t3"]
+    assert run(spark, capsysbinary, "qualadj", "0", b, a).split("\n")[0::4][:3] == ["@r1", "@r10", "@r2"]
+    assert run(spark, capsysbinary, "sort", "-s", b, a).split("\n")[0::4][:3] == ["@r1", "@r10", "@r2"]
+    assert run(spark, capsysbinary, "qscale", b, a, b).splitlines() == [f"{b}: Illumina 1.5/Phred+64", f"{a}: Sanger/Phred+33", f"{b}: Illumina 1.5/Phred+64"]
+
+
+def test_standard_input_and_errors(spark, capsysbinary, files, monkeypatch):
+    a, b = files
+    for args in (["grep", "acg"], ["grep", "acg", "-"]):
+        with open(a, "rb") as f:
+            monkeypatch.setattr("sys.stdin", type("In", (), {"buffer": f}))
+            assert run(spark, capsysbinary, *args) == "@r10\nACGT\n+\nIIII\n"
+    with open(b, "rb") as f:
+        monkeypatch.setattr("sys.stdin", type("In", (), {"buffer": f}))
+        assert run(spark, capsysbinary, "qscale") == "stdin: Illumina 1.5/Phred+64\n"
+    assert cli.main(["grep", "a(", a]) == 1 and b"offset" in capsysbinary.readouterr().err
+    assert cli.main(["uniq", "-v", a, b]) == 0 and capsysbinary.readouterr().err == b"3 reads\n"
+    assert cli.main(["sample"]) == 1
+
+
 def test_sample(spark, capsysbinary, files, tmp_path):
     a, b = files
     assert len(run(spark, capsysbinary, "sample", "-n", "1", a).splitlines()) == 4

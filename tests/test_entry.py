@@ -28,6 +28,12 @@ def test_without_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, check=True)
 
 
+def test_without_a_library_of_theirs():
+    """A library that only the corpus operators need is missing: the other queries are there."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'kmers_3' in q and 'op1_brown_ngrams' not in q and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
 def test_nothing_imports_the_corpus_operators():
     for p in (ROOT / "seqloom").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:

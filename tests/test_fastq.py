@@ -70,6 +70,36 @@ def test_split_job(spark, tmp_path):
     assert sorted(r["rec_no"] for r in df.where("source_file like '%a'").collect()) == list(range(500))
 
 
+def test_first_and_file_numbers(spark, tmp_path):
+    data = b"".join(b"@r%d\nACGTACGT\n+\nIIIIIIII\n" % i for i in range(500))
+    a, b = str(tmp_path / "z"), str(tmp_path / "y.gz")
+    (tmp_path / "z").write_bytes(data)
+    (tmp_path / "y.gz").write_bytes(gzip.compress(data[:260]))
+    df = fastq.read_fastq(spark, [a, "none", b, a], missing="skip", split_bytes=777, file_no=True)
+    assert [(r["file_no"], r["rec_no"]) for r in df.collect()] == [(0, k) for k in range(500)] + [(2, k) for k in range(10)] + [(3, k) for k in range(500)]
+    assert [r["rec_no"] for r in fastq.read_fastq(spark, [a, b], split_bytes=777, first=12).collect()] == [*range(12), *range(10)]
+    # Nothing behind the chunk with the last wanted read is read.
+    read = 0
+
+    class Counting:
+        def read(self, n):
+            nonlocal read
+            read += n
+            return data[read - n : read]
+
+    found = list(fastq._cut_at(fastq.read_split(Counting(), fastq.FastqSplit("f", 0, -1, 0), chunk=100), 7))
+    assert sum(x.num_rows for x in found) == 7 and read <= 300
+
+
+def test_round_trip_of_many_files(spark, tmp_path):
+    rows = [("f", k, f"id {k}", "ACGT" * (k % 9), "x" * (k % 2), "I" * (4 * (k % 9))) for k in range(400)]
+    df = spark.createDataFrame(rows, fastq.READ_SCHEMA).repartitionByRange(5, "rec_no").sortWithinPartitions("rec_no")
+    fastq.write_fastq(df, str(tmp_path / "out"))
+    files = fastq.list_files(str(tmp_path / "out"))
+    back = fastq.read_fastq(spark, files, split_bytes=500).collect()
+    assert len(files) > 1 and [tuple(r)[2:] for r in back] == [r[2:] for r in rows]
+
+
 def test_missing(spark, tmp_path):
     (tmp_path / "a").write_bytes(CASES["basic"][0])
     with pytest.raises(OSError):

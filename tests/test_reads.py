@@ -211,7 +211,7 @@ def test_sort_keys(spark, some):
 
 
 def test_global_rank(spark, some):
-    ranked = global_rank(some[2], sorting.sort_order("seq"), "n", F.col("seq")).collect()
+    ranked = global_rank(some[2], sorting.sort_order("seq"), "n").collect()
     assert {r["rec_no"]: r["n"] for r in ranked} == {i: n for n, i in enumerate(sorted(range(len(some[0])), key=lambda i: (some[0][i], i)))}
 
 
@@ -275,3 +275,45 @@ def test_paired(spark, some):
     assert sorted(r["rec_no"] for r in one.collect()) == sorted(r["rec_no"] for r in two.collect())
     with pytest.raises(ValueError):
         sampling.sample_paired(some[2], some[2].where("rec_no > 0"), k=10)
+
+
+def test_rank_of_one_value(spark):
+    """Rows that agree in the first key are numbered by the others, in several partitions."""
+    df = make(spark, ["A"] * 3000, ids=["x"] * 3000).repartition(5)
+    ranked = sorting.sort_positions(df, "seq", reverse=True).collect()
+    assert all(r["position"] == r["rec_no"] for r in ranked) and len(ranked) == 3000
+
+
+def test_first_reads(spark):
+    r = random.Random(3)
+    rows = [(f, n) for f, most in (("a", 5000), ("b", 300), ("c", 40)) for n in r.sample(range(10**9), most)]
+    df = spark.createDataFrame(rows, "source_file string, rec_no bigint")
+    for limit in (1, 50, 299, 300, 4999, 6000):
+        found = {}
+        for x in quality.first_reads(df, limit, bins=16).collect():
+            found.setdefault(x["source_file"], set()).add(x["rec_no"])
+        for f in "abc":
+            own = sorted(n for g, n in rows if g == f)
+            assert set(own[:limit]) <= found[f] and (len(own) <= limit or len(found[f]) <= limit + len(own) / 4)
+
+
+def test_draws_in_blocks():
+    """Blocks with rejected numbers taken out are what single draws give."""
+    bounds = np.array([2**31 + 7, 3, 2**32 - 2, 10, 2**31 + 1] * 40, np.int64)
+    state, want = np.random.RandomState(5), []
+    for b in bounds:
+        while (x := int(state.randint(0, 2**32, dtype=np.uint32)) // (0xFFFFFFFF // int(b))) >= b:
+            pass
+        want.append(x)
+    assert sampling.uniform_integers(5, bounds).tolist() == want
+
+
+@pytest.mark.parametrize("pattern,seq,hit", [("[A&&C]", "&", True), ("[A&&C]", "a", True), ("[A&&C]", "G", False), ("[[A]", "[", True), ("[[A]", "A", True), ("(?P<n>A)C", "ac", True), ("(?#c)A", "A", True), ("(?P<n>A)(?P=n)", "AA", True), ("[]A]", "]", True), ("[^]A]", "]", False), ("[\\]A]", "]", True), ("[[:alpha:]&]", "&", True)])
+def test_dialect(spark, pattern, seq, hit):
+    assert grep.grep(make(spark, [seq]), pattern).count() == int(hit)
+
+
+@pytest.mark.parametrize("pattern", ["a(", "[A", "(?#c", "a{2,1}", "*a"])
+def test_bad_patterns_fail_on_the_driver(spark, pattern):
+    with pytest.raises(UnsupportedPattern, match="offset"):
+        grep.grep(make(spark, ["A"]), pattern)
