@@ -43,13 +43,13 @@ CLUSTERED, CLASSES = 1024, 48
 #: bytes; longer ones are in the table of the other words.
 HEAD, HEAD_BYTES = 65_000, 64
 #: Rounds of exchange at most; tokens that a worker counts at once; words whose counts are one row.
-ROUNDS, AT_ONCE, BLOCK = 6, 1_000_000, 512
+ROUNDS, AT_ONCE, BLOCK = 4, 2_000_000, 512
 #: Share of the likelihood that two rounds have to gain for a further one.
 GAIN = 1e-3
 #: Added to a word's count within its class, and the weight of the class distribution in a transition.
 DELTA, BETA = 0.5, 20.0
 #: Words that a worker counts or remembers before it passes them on or forgets them.
-HELD_WORDS = 300_000
+HELD_WORDS = 120_000
 #: Bigrams of a word that a worker passes on one by one; more are passed on as gains. Bigrams that a worker holds.
 SINGLE, HELD_BIGRAMS = 32, 8_000_000
 #: Surface classes: three endings x two alphabets x three lengths.
@@ -109,7 +109,8 @@ def _number(listed: dict[bytes, int]):
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(listed, first)
         for b in batches:
-            rows = [np.array([*map(ids.__getitem__, words_of(t.as_py() if t.is_valid else b""))], "<u2").tobytes() + end for t in b.column(0)]
+            split = (words_of(t.as_py() if t.is_valid else b"") for t in b.column(0))
+            rows = [np.fromiter(map(ids.__getitem__, ws), "<u2", len(ws)).tobytes() + end for ws in split]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
 
     return number
@@ -349,20 +350,18 @@ class Gains:
         """``pairs``: class before and class after, a row each."""
         return self.before[pairs[:, 0]] + self.after[pairs[:, 1]]
 
-    def best(self, parts: list[list[dict]]) -> np.ndarray:
-        """The best class of each word; ``parts``: what workers passed on for it."""
-        total = np.zeros((len(parts), self.classes))
-        raw, at = [], []
-        for k, own in enumerate(parts):
-            for x in own:
-                if x["n"] <= self.single:
-                    raw.append(x["bigrams"])
-                    at.append((k, x["n"]))
-                else:
-                    total[k] += np.frombuffer(x["bigrams"], "<f8")
-        if raw:
-            where = np.repeat([k for k, _ in at], [n for _, n in at])
-            np.add.at(total, where, self.of(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 2)))
+    def best(self, n: pa.ListArray, parts: pa.ListArray) -> np.ndarray:
+        """The best class of each word; ``n`` and ``parts``: how many bigrams workers passed on for it at once, and these."""
+        words, size = len(n), len(self.before)
+        word = np.repeat(np.arange(words), n.value_lengths().to_numpy(zero_copy_only=False))
+        count, rows = n.flatten().to_numpy(zero_copy_only=False), parts.flatten()
+        few = count <= self.single
+        pairs = np.frombuffer(b"".join(rows.filter(pa.array(few)).to_pylist()), np.uint8).reshape(-1, 2)
+        at = np.repeat(word[few], count[few]) * size
+        near = [np.bincount(at + pairs[:, k], minlength=words * size).reshape(words, size) for k in (0, 1)]
+        total = near[0] @ self.before + near[1] @ self.after
+        for k in np.flatnonzero(~few).tolist():
+            total[word[k]] += np.frombuffer(rows[k].as_py(), "<f8")
         return total.argmax(axis=1)
 
 
@@ -413,13 +412,14 @@ def all_classes(texts: DataFrame, counts: DataFrame, listed: dict[bytes, int], o
     gains = Gains(transitions, classes)
 
     @F.arrow_udf("int")
-    def assign(words: pa.Array, n: pa.Array, parts: pa.Array) -> pa.Array:
-        best = gains.best(parts.to_pylist()).tolist()
+    def assign(words: pa.Array, n: pa.Array, sizes: pa.Array, parts: pa.Array) -> pa.Array:
+        best = gains.best(sizes, parts).tolist()
         return pa.array([first + form_of(w) if k == 1 else c for w, k, c in zip(words.to_pylist(), n.to_pylist(), best)], pa.int32())
 
     rows = texts.mapInArrow(_count_contexts(listed, own, gains), "word binary, n bigint, bigrams binary")
-    grouped = rows.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "bigrams")).alias("parts"))
-    return stage_table(grouped.select("word", "n", assign("word", "n", "parts").alias("class")), "word-classes")
+    # A word has one row of bounded size for each task (or HELD_WORDS words of a task) that read it.
+    grouped = rows.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("n").alias("sizes"), F.collect_list("bigrams").alias("parts"))
+    return stage_table(grouped.select("word", "n", assign("word", "n", "sizes", "parts").alias("class")), "word-classes")
 
 
 # ---------------------------------------------------------------- the model
@@ -447,42 +447,51 @@ class ClassModel:
         self.word_id = {w: i for i, (w, _) in enumerate(head)}
         count = np.array([n for _, n in head], np.float64)
         self.word_class = np.array([own[i] if i < clustered else self.first_form + form_of(w) for i, (w, _) in enumerate(head)], np.int64)
+        self.class_of = np.concatenate([self.word_class, self.first_form + np.arange(FORMS)]).astype(np.uint8)
         self.word_base, self.word_emit = np.log10(count + 1), np.log10(count + DELTA)
         self.end_base, self.end_emit, self.end_known = math.log10(ends + 1), math.log10(ends + DELTA), ends > 0
         self.base_log = math.log10(tokens + vocabulary + 1)
 
-    def local(self, raw: bytes) -> tuple[int, int, float, float, bytes, dict[bytes, list[int]]]:
+    def local(self, raw: bytes, ids: _Ids) -> tuple[int, int, float, float, bytes, dict[bytes, bytes]]:
         """(tokens, known ones, base score, emissions) without what counts of rare words add; the classes, as if no rare
-        word were known; the rare words' places."""
-        words, get, head = words_of(raw), self.word_id.get, len(self.word_class)
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        rare: dict[bytes, list[int]] = defaultdict(list)
-        listed = ids[ids >= 0]
-        cls = self.word_class[ids].astype(np.uint8) if head else np.zeros(len(ids), np.uint8)
-        for i in np.flatnonzero(ids < 0).tolist():
-            rare[words[i]].append(i)
-            cls[i] = self.first_form + form_of(words[i])
+        word were known; the rare words' places, 4 bytes each. ``ids`` numbers the head words, then forms."""
+        words, head = words_of(raw), len(self.word_class)
+        at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        listed = at[at < head]
+        cls = self.class_of[at]
+        where = np.flatnonzero(at >= head)
+        places, rare = where.astype("<i4").tobytes(), {}
+        for k, i in enumerate(where.tolist()):
+            w = words[i]
+            rare[w] = rare.get(w, b"") + places[4 * k : 4 * k + 4]
         n = len(words) + 1
         base = float(self.word_base[listed].sum()) + self.end_base - n * self.base_log
         return n, len(listed) + int(self.end_known), base, float(self.word_emit[listed].sum()) + self.end_emit, cls.tobytes(), rare
 
-    def path(self, classes: bytes) -> float:
-        """What the classes of a text add to its score: transitions, and the denominators of emissions."""
-        cls = bounded(classes, self.end)
-        return float(self.step[cls[:-1], cls[1:]].sum() - self.class_log[cls[1:]].sum())
+    def numbers(self) -> _Ids:
+        return _Ids(self.word_id, len(self.word_class))
 
+    def paths(self, classes: list[bytes]) -> np.ndarray:
+        """What the classes of each text add to its score: transitions, and the denominators of emissions."""
+        if not classes:
+            return np.zeros(0)
+        a = bounded(classes, self.end)
+        begin = np.cumsum([0, *(len(c) + 1 for c in classes[:-1])])
+        return np.add.reduceat(self.step[a[:-1], a[1:]] - self.class_log[a[1:]], begin)
 
-def bounded(classes: bytes, end: int) -> np.ndarray:
-    return np.concatenate([[end], np.frombuffer(classes, np.uint8), [end]]).astype(np.int64)
+
+def bounded(classes: list[bytes], end: int) -> np.ndarray:
+    """The classes of some texts after each other, an end before, between and behind them."""
+    mark = bytes([end])
+    return np.frombuffer(mark + b"".join(c + mark for c in classes), np.uint8).astype(np.int64)
 
 
 def _count_steps(size: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size * size, np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                a = bounded(t, size - 1)
-                table += np.bincount(a[:-1] * size + a[1:], minlength=size * size)
+            a = bounded(b.column(0).to_pylist(), size - 1)
+            table += np.bincount(a[:-1] * size + a[1:], minlength=size * size)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table[at], pa.int64())], ["pair", "n"])
 
@@ -539,47 +548,50 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     trained, counts = train(docs.where(~held).select(F.col(text).cast("binary").alias("text")))
     model = trained()
     shared = spark.sparkContext.broadcast(model)  # HEAD bounded words
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("at", pa.list_(pa.int32()))]))
+    numbers: list[_Ids] = []
 
-    @F.arrow_udf("struct<n:bigint,known:bigint,base:double,score:double,classes:binary,rare:array<struct<word:binary,at:array<int>>>>")
+    @F.arrow_udf("struct<n:bigint,known:bigint,base:double,score:double,classes:binary,rare:array<struct<word:binary,at:binary>>>")
     def local(texts: pa.Array) -> pa.Array:
         m = shared.value
-        rows = [m.local(t.as_py() if t.is_valid else b"") for t in texts]
+        if not numbers:
+            numbers.append(m.numbers())
+        rows = [m.local(t.as_py() if t.is_valid else b"", numbers[0]) for t in texts]
         words, places, ends = [], [], [0]
         for r in rows:
             words += r[5].keys()
             places += r[5].values()
             ends.append(len(words))
-        rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(places, pa.list_(pa.int32()))], ["word", "at"]))
+        rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(places, pa.binary())], ["word", "at"]))
         cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
-        return pa.StructArray.from_arrays([*cols, rare.cast(rare_type)], ["n", "known", "base", "score", "classes", "rare"])
+        return pa.StructArray.from_arrays([*cols, rare], ["n", "known", "base", "score", "classes", "rare"])
 
     part = docs.select(F.col(key).alias("doc_id"), held.alias("held_out"), local(F.col(text).cast("binary")).alias("r"))
     part = part.select("doc_id", "held_out", "r.*", F.monotonically_increasing_id().alias("row"))
     part = stage_table(part, "head-scores")
     rare = part.select("row", F.inline("rare")).join(counts, "word", "left")
-    n, times = F.coalesce("n", F.lit(0)), F.size("at")
+    n, times = F.coalesce("n", F.lit(0)), (F.length("at") / 4).cast("bigint")
+    known = F.col("class").isNotNull()
     added = rare.groupBy("row").agg(
         F.sum(F.when(n > 0, times).otherwise(0)).alias("more_known"),
         F.sum(times * F.log10(n + 1)).alias("more_base"),
         F.sum(times * F.log10(n + F.lit(DELTA))).alias("more_score"),
-        F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "at"))).alias("found"),  # no more than the text's words
+        F.collect_list(F.when(known, F.col("class"))).alias("found"),  # no more than the text's words
+        F.collect_list(F.when(known, F.col("at"))).alias("places"),
     )
 
     @F.arrow_udf("binary")
-    def fill(classes: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for own, words in zip(classes.to_pylist(), found.to_pylist()):
-            if words:
-                own = bytearray(own)
-                for w in words:
-                    for i in w["at"]:
-                        own[i] = w["class"]
-                own = bytes(own)
-            out.append(own)
-        return pa.array(out, pa.binary())
-
-    out = part.drop("rare").join(added, "row", "left").withColumn("classes", fill("classes", "found")).drop("found")
+    def fill(classes: pa.Array, found: pa.Array, places: pa.Array) -> pa.Array:
+        """The classes of the words that were found, at their places, in all texts of a batch at once."""
+        rows = classes.to_pylist()
+        start = np.cumsum([0, *map(len, rows)])
+        own = np.frombuffer(bytearray(b"".join(rows)), np.uint8)
+        each, at = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), places.flatten().to_pylist()
+        times = np.fromiter(map(len, at), np.int64, len(at)) // 4
+        text = np.repeat(np.repeat(np.arange(len(rows)), each), times)
+        own[start[text] + np.frombuffer(b"".join(at), "<i4")] = np.repeat(found.flatten().to_numpy(zero_copy_only=False), times)
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(start.astype("<i4").tobytes()), pa.py_buffer(own.tobytes())])
+
+    out = part.drop("rare").join(added, "row", "left").withColumn("classes", fill("classes", "found", "places")).drop("found", "places")
     out = stage_table(out, "text-classes")
     size = model.end + 1
     steps = np.zeros(size * size)
@@ -590,7 +602,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     @F.arrow_udf("double")
     def path(classes: pa.Array) -> pa.Array:
-        return pa.array([final_shared.value.path(c) for c in classes.to_pylist()], pa.float64())
+        return pa.array(final_shared.value.paths(classes.to_pylist()), pa.float64())
 
     score = F.col("score") + F.coalesce("more_score", F.lit(0.0)) + path("classes")
     out = out.withColumn("score", score)
