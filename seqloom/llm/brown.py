@@ -41,9 +41,9 @@ FOLDS, HELD_OUT = 7, 2
 CLUSTERED, CLASSES = 1024, 48
 #: Words whose counts are broadcast (with forms and the end they have numbers of 16 bits), and the longest of them in
 #: bytes; longer ones are in the table of the other words.
-HEAD, HEAD_BYTES = 65_000, 64
+HEAD, HEAD_BYTES = 50_000, 64
 #: Rounds of exchange at most; tokens that a worker counts at once; words whose counts are one row.
-ROUNDS, AT_ONCE, BLOCK = 4, 2_000_000, 512
+ROUNDS, AT_ONCE, BLOCK = 3, 1_000_000, 512
 #: Share of the likelihood that two rounds have to gain for a further one.
 GAIN = 1e-3
 #: Added to a word's count within its class, and the weight of the class distribution in a transition.
@@ -51,7 +51,7 @@ DELTA, BETA = 0.5, 20.0
 #: Words that a worker counts or remembers before it passes them on or forgets them.
 HELD_WORDS = 120_000
 #: Bigrams of a word that a worker passes on one by one; more are passed on as gains. Bigrams that a worker holds.
-SINGLE, HELD_BIGRAMS = 32, 8_000_000
+SINGLE, HELD_BIGRAMS = 32, 2_000_000
 #: Surface classes: three endings x two alphabets x three lengths.
 FORMS = 18
 
@@ -102,16 +102,21 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _number(listed: dict[bytes, int]):
-    """Texts as numbers of words, forms and the end, 16 bits each; each text ends with the end."""
+    """Texts as numbers of words, forms and the end, 16 bits each; each text ends with the end. Besides, the words that have
+    only the number of their form."""
     first = len(listed)
     end = np.array([first + FORMS], "<u2").tobytes()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(listed, first)
         for b in batches:
-            split = (words_of(t.as_py() if t.is_valid else b"") for t in b.column(0))
-            rows = [np.fromiter(map(ids.__getitem__, ws), "<u2", len(ws)).tobytes() + end for ws in split]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
+            rows, rest = [], []
+            for t in b.column(0):
+                words = words_of(t.as_py() if t.is_valid else b"")
+                a = np.fromiter(map(ids.__getitem__, words), "<u2", len(words))
+                rows.append(a.tobytes() + end)
+                rest.append(b" ".join([words[i] for i in np.flatnonzero(a >= first).tolist()]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(rest, pa.binary())], ["ids", "rest"])
 
     return number
 
@@ -156,8 +161,8 @@ def _count_classes(own: np.ndarray, size: int):
         table = np.zeros((2, len(own) * size), np.int32)
         for a in _runs(batches, len(own) - 1):
             near = own[a]
-            table[0] += np.bincount(a[:-1] * size + near[1:], minlength=len(own) * size).astype(np.int32)
-            table[1] += np.bincount(a[1:] * size + near[:-1], minlength=len(own) * size).astype(np.int32)
+            for side, cells in ((0, a[:-1] * size + near[1:]), (1, a[1:] * size + near[:-1])):
+                table[side] += np.bincount(cells, minlength=len(own) * size).astype(np.int32)
         table = table.reshape(2, len(own), size)
         for k in range(0, len(own), BLOCK):
             part = table[:, k : k + BLOCK]
@@ -186,7 +191,7 @@ def _add_blocks(words: int, size: int):
 def class_contexts(sequences: DataFrame, own: np.ndarray, size: int) -> DataFrame:
     """(block, counts): [after, before] x BLOCK numbers x classes. A bounded table, whatever the size of the corpus; a task
     passes on its sums."""
-    parts = sequences.mapInArrow(_count_classes(own, size), "block int, counts binary").repartition("block").mapInArrow(_add_blocks(len(own), size), "block int, counts binary")
+    parts = sequences.select("ids").mapInArrow(_count_classes(own, size), "block int, counts binary").repartition("block").mapInArrow(_add_blocks(len(own), size), "block int, counts binary")
     return stage_table(parts, "class-contexts")
 
 
@@ -365,12 +370,12 @@ class Gains:
         return total.argmax(axis=1)
 
 
-def _count_contexts(listed: dict[bytes, int], own: np.ndarray, gains: Gains):
-    """Words that are not listed with the classes before and after them."""
-    classes, first = own.astype(np.uint8), len(listed)
+def _count_contexts(own: np.ndarray, first: int, gains: Gains):
+    """Words beyond the ``first`` numbers with the classes before and after them."""
+    classes = own.astype(np.uint8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, total = _Ids(listed, first), defaultdict(bytearray), 0
+        held, total = defaultdict(bytearray), 0
 
         def out() -> pa.RecordBatch:
             n = [len(x) // 2 for x in held.values()]
@@ -378,15 +383,14 @@ def _count_contexts(listed: dict[bytes, int], own: np.ndarray, gains: Gains):
             return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], ["word", "n", "bigrams"])
 
         for b in batches:
-            for t in b.column(0):
-                words = words_of(t.as_py() if t.is_valid else b"")
-                a = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                at = np.flatnonzero(a >= first)
-                row = np.full(len(a) + 2, classes[-1], np.uint8)
-                row[1:-1] = classes[a]
+            for ids, rest in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                a = np.frombuffer(ids, "<u2")
+                at = np.flatnonzero((a >= first) & (a < len(classes) - 1))
+                words = rest.split(b" ") if len(at) else []
+                row = np.concatenate([classes[-1:], classes[a]])
                 near = np.stack([row[at], row[at + 2]], axis=1).tobytes()
-                for k, i in enumerate(at.tolist()):
-                    held[words[i]] += near[2 * k : 2 * k + 2]
+                for k, w in enumerate(words):
+                    held[w] += near[2 * k : 2 * k + 2]
                 total += len(at)
                 if len(held) > HELD_WORDS or total > HELD_BIGRAMS:
                     yield out()
@@ -398,8 +402,8 @@ def _count_contexts(listed: dict[bytes, int], own: np.ndarray, gains: Gains):
     return count
 
 
-def all_classes(texts: DataFrame, counts: DataFrame, listed: dict[bytes, int], own: np.ndarray, transitions: np.ndarray, classes: int) -> DataFrame:
-    """word, n and class of the words that are not listed."""
+def all_classes(sequences: DataFrame, counts: DataFrame, head: int, own: np.ndarray, transitions: np.ndarray, classes: int) -> DataFrame:
+    """word, n and class of the words beyond the ``head``."""
     first = classes
 
     if not classes:
@@ -416,7 +420,7 @@ def all_classes(texts: DataFrame, counts: DataFrame, listed: dict[bytes, int], o
         best = gains.best(sizes, parts).tolist()
         return pa.array([first + form_of(w) if k == 1 else c for w, k, c in zip(words.to_pylist(), n.to_pylist(), best)], pa.int32())
 
-    rows = texts.mapInArrow(_count_contexts(listed, own, gains), "word binary, n bigint, bigrams binary")
+    rows = sequences.select("ids", "rest").mapInArrow(_count_contexts(own, head, gains), "word binary, n bigint, bigrams binary")
     # A word has one row of bounded size for each task (or HELD_WORDS words of a task) that read it.
     grouped = rows.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("n").alias("sizes"), F.collect_list("bigrams").alias("parts"))
     return stage_table(grouped.select("word", "n", assign("word", "n", "sizes", "parts").alias("class")), "word-classes")
@@ -510,13 +514,13 @@ def train(texts: DataFrame) -> tuple[Callable[..., ClassModel], DataFrame]:
     listed = {w: i for i, (w, _) in enumerate(head)}
     forms = np.array([form_of(w) for w, _ in head], np.int64)
     rest_of = np.arange(FORMS + 1)
-    sequences = stage_table(texts.mapInArrow(_number(listed), "ids binary"), "sequences")
+    sequences = stage_table(texts.mapInArrow(_number(listed), "ids binary, rest binary"), "sequences")
 
     # Tier 1: words beyond the clustered ones stand in their forms.
     clustered = min(CLUSTERED, len(head))
     size = clustered + FORMS + 1
     fold_ = np.concatenate([np.arange(clustered), clustered + forms[clustered:], clustered + rest_of])
-    grouped = sequences.mapInArrow(_count_pairs(fold_, size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    grouped = sequences.select("ids").mapInArrow(_count_pairs(fold_, size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = np.zeros(size * size, np.int64)
     for r in grouped.collect():  # at most size * size rows
         pairs[r["pair"]] = r["n"]
@@ -527,7 +531,7 @@ def train(texts: DataFrame) -> tuple[Callable[..., ClassModel], DataFrame]:
     # Tiers 2 and 3.
     own = np.concatenate([core[:clustered], classes + forms[clustered:], classes + rest_of]).astype(np.int64)
     own, transitions, _ = exchange_rounds(sequences, own, len(head), classes, ROUNDS if classes else 0)
-    rest = all_classes(texts, counts, listed, own, transitions, classes)
+    rest = all_classes(sequences, counts, len(head), own, transitions, classes)
     drop_table(sequences)
     sizes = np.bincount(own[: len(head)], minlength=len(transitions))
     for r in rest.groupBy("class").agg(F.count("*").alias("n")).collect():

@@ -153,7 +153,7 @@ def test_contexts_by_hand(spark):
     texts = [" ".join(r.choice([*(f"w{k}" for k in range(5)), "other.", "x9"], r.integers(0, 30))) for _ in range(50)] + [None, ""]
     df = spark.createDataFrame([(t.encode() if t is not None else None,) for t in texts], "text binary").repartition(3)
     own = np.concatenate([[0, 1, 0, 1, 1], 2 + np.arange(brown.FORMS + 1)])
-    contexts = brown.class_contexts(df.mapInArrow(brown._number(listed), "ids binary"), own, int(own.max()) + 1)
+    contexts = brown.class_contexts(df.mapInArrow(brown._number(listed), "ids binary, rest binary"), own, int(own.max()) + 1)
     got = whole(contexts, own)
     want = np.zeros_like(got)
     for t in texts:
@@ -172,7 +172,7 @@ def test_rounds_raise_the_likelihood(spark, small):
     texts = spark.read.parquet(f"{small}/documents.parquet").selectExpr("CAST(text AS binary) AS text")
     words = Counter(w for t in texts.collect() for w in brown.words_of(t["text"] or b""))
     head = [w for w, _ in words.most_common(2000)]
-    sequences = texts.mapInArrow(brown._number({w: i for i, w in enumerate(head)}), "ids binary").cache()
+    sequences = texts.mapInArrow(brown._number({w: i for i, w in enumerate(head)}), "ids binary, rest binary").cache()
     start = np.concatenate([np.arange(2000) % 8, 8 + np.arange(brown.FORMS + 1)])
     own, transitions, seen = brown.exchange_rounds(sequences, start, 2000, 8)
     assert (own[2000:] == start[2000:]).all() and own[:2000].max() < 8
