@@ -102,8 +102,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _number(listed: dict[bytes, int]):
-    """Texts as numbers of words, forms and the end, 16 bits each; each text ends with the end. Besides, the words that have
-    only the number of their form."""
+    """Texts (the first column) as numbers of words, forms and the end, 16 bits each; each text ends with the end. Besides,
+    the words that have only the number of their form, and the other columns as they are."""
     first = len(listed)
     end = np.array([first + FORMS], "<u2").tobytes()
 
@@ -116,7 +116,7 @@ def _number(listed: dict[bytes, int]):
                 a = np.fromiter(map(ids.__getitem__, words), "<u2", len(words))
                 rows.append(a.tobytes() + end)
                 rest.append(b" ".join([words[i] for i in np.flatnonzero(a >= first).tolist()]))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(rest, pa.binary())], ["ids", "rest"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(rest, pa.binary()), *b.columns[1:]], ["ids", "rest", *b.schema.names[1:]])
 
     return number
 
@@ -136,24 +136,32 @@ def _runs(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
         yield np.frombuffer(b"".join([np.array([end], "<u2").tobytes(), *held]), "<u2").astype(np.int64)
 
 
+#: Types of counts by their bytes.
+_WIDTHS = {1: "<u1", 2: "<u2", 4: "<i4"}
+
+
+def _dealt(table: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """``table``: sides x numbers x classes; ``block`` numbers a row, a byte a count where that is enough."""
+    for k in range(0, table.shape[1], block):
+        part = table[:, k : k + block]
+        if most := part.max(initial=0):
+            kind = next(x for x in _WIDTHS.values() if most <= np.iinfo(x).max)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())], ["block", "counts"])
+
+
 def _count_pairs(fold: np.ndarray, size: int):
     """Bigrams of ``fold[number]``, which is below ``size``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size * size, np.int64)
+        table = np.zeros(size * size, np.int32)
         for a in _runs(batches, len(fold) - 1):
             a = fold[a]
-            table += np.bincount(a[:-1] * size + a[1:], minlength=size * size)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table[at], pa.int64())], ["pair", "n"])
+            table += np.bincount(a[:-1] * size + a[1:], minlength=size * size).astype(np.int32)
+        yield from _dealt(table.reshape(1, size, size), BLOCK)
 
     return count
 
 
-#: Types of counts by their bytes.
-_WIDTHS = {1: "<u1", 2: "<u2", 4: "<i4"}
-
-
 def _count_classes(own: np.ndarray, size: int):
     """For each number how often each class is after it and before it, BLOCK numbers a row."""
 
@@ -163,22 +171,17 @@ def _count_classes(own: np.ndarray, size: int):
             near = own[a]
             for side, cells in ((0, a[:-1] * size + near[1:]), (1, a[1:] * size + near[:-1])):
                 table[side] += np.bincount(cells, minlength=len(own) * size).astype(np.int32)
-        table = table.reshape(2, len(own), size)
-        for k in range(0, len(own), BLOCK):
-            part = table[:, k : k + BLOCK]
-            if most := part.max(initial=0):  # a byte a count, where that is enough
-                kind = next(x for x in _WIDTHS.values() if most <= np.iinfo(x).max)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())], ["block", "counts"])
+        yield from _dealt(table.reshape(2, len(own), size), BLOCK)
 
     return count
 
 
-def _add_blocks(words: int, size: int):
+def _add_blocks(words: int, size: int, sides: int = 2):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                raw, cells = raw.as_buffer(), 2 * size * min(BLOCK, words - k)
+                raw, cells = raw.as_buffer(), sides * size * min(BLOCK, words - k)
                 part = np.frombuffer(raw, _WIDTHS[raw.size // cells])
                 if k not in total:
                     total[k] = np.zeros(cells, np.int64)
@@ -188,6 +191,16 @@ def _add_blocks(words: int, size: int):
     return add
 
 
+def pair_counts(sequences: DataFrame, fold: np.ndarray, size: int) -> np.ndarray:
+    """Bigrams of ``fold[number]`` over all sequences, ``size`` x ``size``."""
+    blocks = sequences.select("ids").mapInArrow(_count_pairs(fold, size), "block int, counts binary").repartition("block").mapInArrow(_add_blocks(size, size, 1), "block int, counts binary")
+    pairs = np.zeros((size, size), np.int64)
+    for r in blocks.collect():
+        part = np.frombuffer(r["counts"], "<i8").reshape(-1, size)
+        pairs[r["block"] : r["block"] + len(part)] = part
+    return pairs
+
+
 def class_contexts(sequences: DataFrame, own: np.ndarray, size: int) -> DataFrame:
     """(block, counts): [after, before] x BLOCK numbers x classes. A bounded table, whatever the size of the corpus; a task
     passes on its sums."""
@@ -451,43 +464,48 @@ class ClassModel:
         self.word_id = {w: i for i, (w, _) in enumerate(head)}
         count = np.array([n for _, n in head], np.float64)
         self.word_class = np.array([own[i] if i < clustered else self.first_form + form_of(w) for i, (w, _) in enumerate(head)], np.int64)
-        self.class_of = np.concatenate([self.word_class, self.first_form + np.arange(FORMS)]).astype(np.uint8)
-        self.word_base, self.word_emit = np.log10(count + 1), np.log10(count + DELTA)
-        self.end_base, self.end_emit, self.end_known = math.log10(ends + 1), math.log10(ends + DELTA), ends > 0
+        # By number: head words, forms, the end.
+        self.class_of = np.concatenate([self.word_class, self.first_form + np.arange(FORMS + 1)]).astype(np.uint8)
+        self.number_base = np.concatenate([np.log10(count + 1), np.zeros(FORMS), [math.log10(ends + 1)]])
+        self.number_emit = np.concatenate([np.log10(count + DELTA), np.zeros(FORMS), [math.log10(ends + DELTA)]])
+        self.known = np.concatenate([np.ones(len(head), bool), np.zeros(FORMS, bool), [ends > 0]])
         self.base_log = math.log10(tokens + vocabulary + 1)
 
-    def local(self, raw: bytes, ids: _Ids) -> tuple[int, int, float, float, bytes, dict[bytes, bytes]]:
-        """(tokens, known ones, base score, emissions) without what counts of rare words add; the classes, as if no rare
-        word were known; the rare words' places, 4 bytes each. ``ids`` numbers the head words, then forms."""
-        words, head = words_of(raw), len(self.word_class)
-        at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-        listed = at[at < head]
-        cls = self.class_of[at]
-        where = np.flatnonzero(at >= head)
-        places, rare = where.astype("<i4").tobytes(), {}
-        for k, i in enumerate(where.tolist()):
-            w = words[i]
-            rare[w] = rare.get(w, b"") + places[4 * k : 4 * k + 4]
-        n = len(words) + 1
-        base = float(self.word_base[listed].sum()) + self.end_base - n * self.base_log
-        return n, len(listed) + int(self.end_known), base, float(self.word_emit[listed].sum()) + self.end_emit, cls.tobytes(), rare
-
-    def numbers(self) -> _Ids:
-        return _Ids(self.word_id, len(self.word_class))
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "word_id"}  # tasks work with numbers
+
+    def emissions(self, ids: list[bytes], found: pa.ListArray, places: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of texts as numbers: tokens, known ones, base score and emissions, without what counts of rare words add, and the
+        classes. ``found``: the classes of each text's known rare words; ``places``: where these are among its rare words, 4
+        bytes a place."""
+        a = np.frombuffer(b"".join(ids), "<u2")
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        start = np.cumsum(n) - n
+        head = len(self.word_class)
+        cls = self.class_of[a]
+        rare = np.flatnonzero((a >= head) & (a < head + FORMS))
+        each, at = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), places.flatten().to_pylist()
+        times = np.fromiter(map(len, at), np.int64, len(at)) // 4
+        text = np.repeat(np.repeat(np.arange(len(ids)), each), times)
+        before = np.searchsorted(rare, start)
+        cls[rare[before[text] + np.frombuffer(b"".join(at), "<i4")]] = np.repeat(found.flatten().to_numpy(zero_copy_only=False), times)
+        offsets = np.append(start, len(a)).astype("<i4")
+        classes = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(cls.tobytes())])
+        known = np.add.reduceat(self.known[a].astype(np.int64), start)
+        return n, known, np.add.reduceat(self.number_base[a], start) - n * self.base_log, np.add.reduceat(self.number_emit[a], start), classes
 
     def paths(self, classes: list[bytes]) -> np.ndarray:
         """What the classes of each text add to its score: transitions, and the denominators of emissions."""
         if not classes:
             return np.zeros(0)
         a = bounded(classes, self.end)
-        begin = np.cumsum([0, *(len(c) + 1 for c in classes[:-1])])
+        begin = np.cumsum([0, *map(len, classes[:-1])])
         return np.add.reduceat(self.step[a[:-1], a[1:]] - self.class_log[a[1:]], begin)
 
 
 def bounded(classes: list[bytes], end: int) -> np.ndarray:
-    """The classes of some texts after each other, an end before, between and behind them."""
-    mark = bytes([end])
-    return np.frombuffer(mark + b"".join(c + mark for c in classes), np.uint8).astype(np.int64)
+    """The classes of some texts after each other, each with its end, behind an end."""
+    return np.frombuffer(bytes([end]) + b"".join(classes), np.uint8).astype(np.int64)
 
 
 def _count_steps(size: int):
@@ -502,37 +520,54 @@ def _count_steps(size: int):
     return count
 
 
-def train(texts: DataFrame) -> tuple[Callable[..., ClassModel], DataFrame]:
-    """The model, a function of its transitions, and the table of counts and classes of words that are not clustered;
-    ``texts`` has one binary column."""
-    spark = texts.sparkSession
+def _rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, word, at: each text's words beyond the head, once, and where they are among these, 4 bytes a place."""
+    for b in batches:
+        words, codes, row, starts, total = [], [], [], [], 0
+        for nth, rest in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if rest:
+                codes_of: dict[bytes, int] = {}
+                first = len(words)
+                some = [first + codes_of.setdefault(w, len(codes_of)) for w in rest.split(b" ")]
+                words += codes_of
+                row += [nth] * len(codes_of)
+                starts.append(np.full(len(some), total, np.int64))
+                total += len(some)
+                codes.append(np.array(some, np.int64))
+        if not words:
+            continue
+        code = np.concatenate(codes)
+        at = (np.arange(total) - np.concatenate(starts))[np.argsort(code, kind="stable")].astype("<i4")
+        offsets = np.append(0, 4 * np.cumsum(np.bincount(code))).astype("<i4")
+        places = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(at.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(words, pa.binary()), places], ["row", "word", "at"])
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word, n; ``texts`` has one binary column."""
     counts = texts.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = stage_table(counts, "word-counts")
-    ends = texts.count()
+    return stage_table(counts, "word-counts")
+
+
+def learn(sequences: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]]) -> tuple[Callable[..., ClassModel], DataFrame]:
+    """The model of training texts as numbers, a function of its transitions, and the table of counts and classes of words
+    beyond the head."""
+    ends = sequences.count()
     sums = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
-    head = head_words(counts, HEAD)
-    listed = {w: i for i, (w, _) in enumerate(head)}
     forms = np.array([form_of(w) for w, _ in head], np.int64)
     rest_of = np.arange(FORMS + 1)
-    sequences = stage_table(texts.mapInArrow(_number(listed), "ids binary, rest binary"), "sequences")
 
     # Tier 1: words beyond the clustered ones stand in their forms.
     clustered = min(CLUSTERED, len(head))
     size = clustered + FORMS + 1
     fold_ = np.concatenate([np.arange(clustered), clustered + forms[clustered:], clustered + rest_of])
-    grouped = sequences.select("ids").mapInArrow(_count_pairs(fold_, size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = np.zeros(size * size, np.int64)
-    for r in grouped.collect():  # at most size * size rows
-        pairs[r["pair"]] = r["n"]
-    pairs = pairs.reshape(size, size)
     classes = min(CLASSES, clustered)
-    core = exchange_classes(pairs, clustered, classes) if clustered else np.arange(size)
+    core = exchange_classes(pair_counts(sequences, fold_, size), clustered, classes) if clustered else np.arange(size)
 
     # Tiers 2 and 3.
     own = np.concatenate([core[:clustered], classes + forms[clustered:], classes + rest_of]).astype(np.int64)
     own, transitions, _ = exchange_rounds(sequences, own, len(head), classes, ROUNDS if classes else 0)
     rest = all_classes(sequences, counts, len(head), own, transitions, classes)
-    drop_table(sequences)
     sizes = np.bincount(own[: len(head)], minlength=len(transitions))
     for r in rest.groupBy("class").agg(F.count("*").alias("n")).collect():
         sizes[r["class"]] += r["n"]
@@ -544,35 +579,38 @@ def train(texts: DataFrame) -> tuple[Callable[..., ClassModel], DataFrame]:
     return model, rest
 
 
+def numbered(texts: DataFrame, head: list[tuple[bytes, int]], *others: str) -> DataFrame:
+    """Texts, the first column, as numbers; ``others`` declares the other columns."""
+    schema = ", ".join(["ids binary", "rest binary", *others])
+    return stage_table(texts.mapInArrow(_number({w: i for i, (w, _) in enumerate(head)}), schema), "sequences")
+
+
+def train(texts: DataFrame) -> tuple[Callable[..., ClassModel], DataFrame]:
+    """``learn`` from ``texts``, which has one binary column."""
+    counts = word_counts(texts)
+    head = head_words(counts, HEAD)
+    sequences = numbered(texts, head)
+    out = learn(sequences, counts, head)
+    drop_table(sequences)
+    drop_table(counts)
+    return out
+
+
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
     spark = docs.sparkSession
     bound_batches(spark)
     held = F.coalesce(fold(key, FOLDS) == HELD_OUT, F.lit(False))
-    trained, counts = train(docs.where(~held).select(F.col(text).cast("binary").alias("text")))
+    words = word_counts(docs.where(~held).select(F.col(text).cast("binary").alias("text")))
+    head = head_words(words, HEAD)
+    texts = docs.select(F.col(text).cast("binary").alias("text"), F.col(key).alias("doc_id"), held.alias("held_out"), F.monotonically_increasing_id().alias("row"))
+    sequences = numbered(texts, head, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}", "held_out boolean", "row bigint")
+    trained, counts = learn(sequences.where(~F.col("held_out")), words, head)
+    drop_table(words)
     model = trained()
-    shared = spark.sparkContext.broadcast(model)  # HEAD bounded words
-    numbers: list[_Ids] = []
-
-    @F.arrow_udf("struct<n:bigint,known:bigint,base:double,score:double,classes:binary,rare:array<struct<word:binary,at:binary>>>")
-    def local(texts: pa.Array) -> pa.Array:
-        m = shared.value
-        if not numbers:
-            numbers.append(m.numbers())
-        rows = [m.local(t.as_py() if t.is_valid else b"", numbers[0]) for t in texts]
-        words, places, ends = [], [], [0]
-        for r in rows:
-            words += r[5].keys()
-            places += r[5].values()
-            ends.append(len(words))
-        rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(places, pa.binary())], ["word", "at"]))
-        cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
-        return pa.StructArray.from_arrays([*cols, rare], ["n", "known", "base", "score", "classes", "rare"])
-
-    part = docs.select(F.col(key).alias("doc_id"), held.alias("held_out"), local(F.col(text).cast("binary")).alias("r"))
-    part = part.select("doc_id", "held_out", "r.*", F.monotonically_increasing_id().alias("row"))
-    part = stage_table(part, "head-scores")
-    rare = part.select("row", F.inline("rare")).join(counts, "word", "left")
+    shared = spark.sparkContext.broadcast(model)  # a few numbers for each of HEAD words
+
+    rare = sequences.select("row", "rest").mapInArrow(_rare_words, "row bigint, word binary, at binary").join(counts, "word", "left")
     n, times = F.coalesce("n", F.lit(0)), (F.length("at") / 4).cast("bigint")
     known = F.col("class").isNotNull()
     added = rare.groupBy("row").agg(
@@ -583,20 +621,15 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.collect_list(F.when(known, F.col("at"))).alias("places"),
     )
 
-    @F.arrow_udf("binary")
-    def fill(classes: pa.Array, found: pa.Array, places: pa.Array) -> pa.Array:
-        """The classes of the words that were found, at their places, in all texts of a batch at once."""
-        rows = classes.to_pylist()
-        start = np.cumsum([0, *map(len, rows)])
-        own = np.frombuffer(bytearray(b"".join(rows)), np.uint8)
-        each, at = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), places.flatten().to_pylist()
-        times = np.fromiter(map(len, at), np.int64, len(at)) // 4
-        text = np.repeat(np.repeat(np.arange(len(rows)), each), times)
-        own[start[text] + np.frombuffer(b"".join(at), "<i4")] = np.repeat(found.flatten().to_numpy(zero_copy_only=False), times)
-        return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(start.astype("<i4").tobytes()), pa.py_buffer(own.tobytes())])
+    @F.arrow_udf("struct<n:bigint,known:bigint,base:double,score:double,classes:binary>")
+    def emit(ids: pa.Array, found: pa.Array, places: pa.Array) -> pa.Array:
+        n, known, base, score, classes = shared.value.emissions(ids.to_pylist(), found, places)
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(known), pa.array(base), pa.array(score), classes], ["n", "known", "base", "score", "classes"])
 
-    out = part.drop("rare").join(added, "row", "left").withColumn("classes", fill("classes", "found", "places")).drop("found", "places")
-    out = stage_table(out, "text-classes")
+    out = sequences.drop("rest").join(added, "row", "left").withColumn("r", emit("ids", "found", "places"))
+    out = stage_table(out.select("doc_id", "held_out", "more_known", "more_base", "more_score", "r.*"), "text-classes")
+    drop_table(sequences)
+    drop_table(counts)
     size = model.end + 1
     steps = np.zeros(size * size)
     for r in out.where(~F.col("held_out")).select("classes").mapInArrow(_count_steps(size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most size * size rows
