@@ -44,6 +44,8 @@ CLUSTERED, CLASSES = 1024, 48
 HEAD, HEAD_BYTES = 50_000, 64
 #: Rounds of exchange at most; tokens that a worker counts at once; words whose counts are one row.
 ROUNDS, AT_ONCE, BLOCK = 3, 1_000_000, 512
+#: Clustered words whose bigram counts are one row.
+PAIR_BLOCK = 32
 #: Share of the likelihood that two rounds have to gain for a further one.
 GAIN = 1e-3
 #: Added to a word's count within its class, and the weight of the class distribution in a transition.
@@ -157,7 +159,7 @@ def _count_pairs(fold: np.ndarray, size: int):
         for a in _runs(batches, len(fold) - 1):
             a = fold[a]
             table += np.bincount(a[:-1] * size + a[1:], minlength=size * size).astype(np.int32)
-        yield from _dealt(table.reshape(1, size, size), BLOCK)
+        yield from _dealt(table.reshape(1, size, size), PAIR_BLOCK)
 
     return count
 
@@ -176,12 +178,12 @@ def _count_classes(own: np.ndarray, size: int):
     return count
 
 
-def _add_blocks(words: int, size: int, sides: int = 2):
+def _add_blocks(words: int, size: int, sides: int, block: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                raw, cells = raw.as_buffer(), sides * size * min(BLOCK, words - k)
+                raw, cells = raw.as_buffer(), sides * size * min(block, words - k)
                 part = np.frombuffer(raw, _WIDTHS[raw.size // cells])
                 if k not in total:
                     total[k] = np.zeros(cells, np.int64)
@@ -193,7 +195,7 @@ def _add_blocks(words: int, size: int, sides: int = 2):
 
 def pair_counts(sequences: DataFrame, fold: np.ndarray, size: int) -> np.ndarray:
     """Bigrams of ``fold[number]`` over all sequences, ``size`` x ``size``."""
-    blocks = sequences.select("ids").mapInArrow(_count_pairs(fold, size), "block int, counts binary").repartition("block").mapInArrow(_add_blocks(size, size, 1), "block int, counts binary")
+    blocks = sequences.select("ids").mapInArrow(_count_pairs(fold, size), "block int, counts binary").repartition("block").mapInArrow(_add_blocks(size, size, 1, PAIR_BLOCK), "block int, counts binary")
     pairs = np.zeros((size, size), np.int64)
     for r in blocks.collect():
         part = np.frombuffer(r["counts"], "<i8").reshape(-1, size)
@@ -204,7 +206,7 @@ def pair_counts(sequences: DataFrame, fold: np.ndarray, size: int) -> np.ndarray
 def class_contexts(sequences: DataFrame, own: np.ndarray, size: int) -> DataFrame:
     """(block, counts): [after, before] x BLOCK numbers x classes. A bounded table, whatever the size of the corpus; a task
     passes on its sums."""
-    parts = sequences.select("ids").mapInArrow(_count_classes(own, size), "block int, counts binary").repartition("block").mapInArrow(_add_blocks(len(own), size), "block int, counts binary")
+    parts = sequences.select("ids").mapInArrow(_count_classes(own, size), "block int, counts binary").repartition("block").mapInArrow(_add_blocks(len(own), size, 2, BLOCK), "block int, counts binary")
     return stage_table(parts, "class-contexts")
 
 
@@ -434,8 +436,9 @@ def all_classes(sequences: DataFrame, counts: DataFrame, head: int, own: np.ndar
         return pa.array([first + form_of(w) if k == 1 else c for w, k, c in zip(words.to_pylist(), n.to_pylist(), best)], pa.int32())
 
     rows = sequences.select("ids", "rest").mapInArrow(_count_contexts(own, head, gains), "word binary, n bigint, bigrams binary")
-    # A word has one row of bounded size for each task (or HELD_WORDS words of a task) that read it.
-    grouped = rows.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("n").alias("sizes"), F.collect_list("bigrams").alias("parts"))
+    # A word has one row of bounded size for each task (or HELD_WORDS words of a task) that read it; these rows move as they
+    # are, since lists of one would only be longer.
+    grouped = rows.repartition("word").groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("n").alias("sizes"), F.collect_list("bigrams").alias("parts"))
     return stage_table(grouped.select("word", "n", assign("word", "n", "sizes", "parts").alias("class")), "word-classes")
 
 
@@ -474,25 +477,13 @@ class ClassModel:
     def __getstate__(self) -> dict:
         return {k: v for k, v in vars(self).items() if k != "word_id"}  # tasks work with numbers
 
-    def emissions(self, ids: list[bytes], found: pa.ListArray, places: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """Of texts as numbers: tokens, known ones, base score and emissions, without what counts of rare words add, and the
-        classes. ``found``: the classes of each text's known rare words; ``places``: where these are among its rare words, 4
-        bytes a place."""
+    def emissions(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of texts as numbers: tokens, known ones, base score, emissions and classes, as if no word beyond the head were known."""
         a = np.frombuffer(b"".join(ids), "<u2")
         n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
         start = np.cumsum(n) - n
-        head = len(self.word_class)
-        cls = self.class_of[a]
-        rare = np.flatnonzero((a >= head) & (a < head + FORMS))
-        each, at = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), places.flatten().to_pylist()
-        times = np.fromiter(map(len, at), np.int64, len(at)) // 4
-        text = np.repeat(np.repeat(np.arange(len(ids)), each), times)
-        before = np.searchsorted(rare, start)
-        cls[rare[before[text] + np.frombuffer(b"".join(at), "<i4")]] = np.repeat(found.flatten().to_numpy(zero_copy_only=False), times)
-        offsets = np.append(start, len(a)).astype("<i4")
-        classes = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(cls.tobytes())])
         known = np.add.reduceat(self.known[a].astype(np.int64), start)
-        return n, known, np.add.reduceat(self.number_base[a], start) - n * self.base_log, np.add.reduceat(self.number_emit[a], start), classes
+        return n, known, np.add.reduceat(self.number_base[a], start) - n * self.base_log, np.add.reduceat(self.number_emit[a], start), binaries(self.class_of[a], np.append(start, len(a)))
 
     def paths(self, classes: list[bytes]) -> np.ndarray:
         """What the classes of each text add to its score: transitions, and the denominators of emissions."""
@@ -503,6 +494,11 @@ class ClassModel:
         return np.add.reduceat(self.step[a[:-1], a[1:]] - self.class_log[a[1:]], begin)
 
 
+def binaries(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """``values`` from each byte offset to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype("<i4").tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def bounded(classes: list[bytes], end: int) -> np.ndarray:
     """The classes of some texts after each other, each with its end, behind an end."""
     return np.frombuffer(bytes([end]) + b"".join(classes), np.uint8).astype(np.int64)
@@ -520,27 +516,26 @@ def _count_steps(size: int):
     return count
 
 
-def _rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, word, at: each text's words beyond the head, once, and where they are among these, 4 bytes a place."""
-    for b in batches:
-        words, codes, row, starts, total = [], [], [], [], 0
-        for nth, rest in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if rest:
-                codes_of: dict[bytes, int] = {}
-                first = len(words)
-                some = [first + codes_of.setdefault(w, len(codes_of)) for w in rest.split(b" ")]
-                words += codes_of
-                row += [nth] * len(codes_of)
-                starts.append(np.full(len(some), total, np.int64))
-                total += len(some)
-                codes.append(np.array(some, np.int64))
-        if not words:
-            continue
-        code = np.concatenate(codes)
-        at = (np.arange(total) - np.concatenate(starts))[np.argsort(code, kind="stable")].astype("<i4")
-        offsets = np.append(0, 4 * np.cumsum(np.bincount(code))).astype("<i4")
-        places = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(at.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(words, pa.binary()), places], ["row", "word", "at"])
+def _rare_words(head: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """row, word, at: each text's words beyond the head, once, and their places in the text, 4 bytes a place."""
+        for b in batches:
+            words, row, codes, places = [], [], [], []
+            for nth, ids, rest in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if rest:
+                    code: dict[bytes, int] = {}
+                    first = len(words)
+                    codes.append(np.array([first + code.setdefault(w, len(code)) for w in rest.split(b" ")], np.int64))
+                    a = np.frombuffer(ids, "<u2")
+                    places.append(np.flatnonzero((a >= head) & (a < head + FORMS)))
+                    words += code
+                    row += [nth] * len(code)
+            if words:
+                each = np.concatenate(codes)
+                at = np.concatenate(places)[np.argsort(each, kind="stable")].astype("<i4")
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(words, pa.binary()), binaries(at, np.append(0, 4 * np.cumsum(np.bincount(each))))], ["row", "word", "at"])
+
+    return find
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -582,7 +577,7 @@ def learn(sequences: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]]
 def numbered(texts: DataFrame, head: list[tuple[bytes, int]], *others: str) -> DataFrame:
     """Texts, the first column, as numbers; ``others`` declares the other columns."""
     schema = ", ".join(["ids binary", "rest binary", *others])
-    return stage_table(texts.mapInArrow(_number({w: i for i, (w, _) in enumerate(head)}), schema), "sequences")
+    return stage_table(texts.mapInArrow(_number({w: i for i, (w, _) in enumerate(head)}), schema), "sequences", compression="zstd")
 
 
 def train(texts: DataFrame) -> tuple[Callable[..., ClassModel], DataFrame]:
@@ -610,7 +605,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     model = trained()
     shared = spark.sparkContext.broadcast(model)  # a few numbers for each of HEAD words
 
-    rare = sequences.select("row", "rest").mapInArrow(_rare_words, "row bigint, word binary, at binary").join(counts, "word", "left")
+    rare = sequences.select("row", "ids", "rest").mapInArrow(_rare_words(len(head)), "row bigint, word binary, at binary").join(counts, "word", "left")
     n, times = F.coalesce("n", F.lit(0)), (F.length("at") / 4).cast("bigint")
     known = F.col("class").isNotNull()
     added = rare.groupBy("row").agg(
@@ -622,12 +617,25 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
     @F.arrow_udf("struct<n:bigint,known:bigint,base:double,score:double,classes:binary>")
-    def emit(ids: pa.Array, found: pa.Array, places: pa.Array) -> pa.Array:
-        n, known, base, score, classes = shared.value.emissions(ids.to_pylist(), found, places)
+    def emit(ids: pa.Array) -> pa.Array:
+        n, known, base, score, classes = shared.value.emissions(ids.to_pylist())
         return pa.StructArray.from_arrays([pa.array(n), pa.array(known), pa.array(base), pa.array(score), classes], ["n", "known", "base", "score", "classes"])
 
-    out = sequences.drop("rest").join(added, "row", "left").withColumn("r", emit("ids", "found", "places"))
-    out = stage_table(out.select("doc_id", "held_out", "more_known", "more_base", "more_score", "r.*"), "text-classes")
+    @F.arrow_udf("binary")
+    def fill(classes: pa.Array, found: pa.Array, places: pa.Array) -> pa.Array:
+        """The classes of the words that were found, at their places, in all texts of a batch at once."""
+        rows = classes.to_pylist()
+        start = np.cumsum([0, *map(len, rows)])
+        own = np.frombuffer(bytearray(b"".join(rows)), np.uint8)
+        each, at = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), places.flatten().to_pylist()
+        times = np.fromiter(map(len, at), np.int64, len(at)) // 4
+        text = np.repeat(np.repeat(np.arange(len(rows)), each), times)
+        own[start[text] + np.frombuffer(b"".join(at), "<i4")] = np.repeat(found.flatten().to_numpy(zero_copy_only=False), times)
+        return binaries(own, start)
+
+    out = sequences.select("row", "doc_id", "held_out", emit("ids").alias("r")).select("row", "doc_id", "held_out", "r.*")
+    out = out.join(added, "row", "left").withColumn("classes", fill("classes", "found", "places")).drop("row", "found", "places")
+    out = stage_table(out, "text-classes")
     drop_table(sequences)
     drop_table(counts)
     size = model.end + 1

@@ -40,11 +40,11 @@ def new_table(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stage_table(df: DataFrame, label: str, *by: str) -> DataFrame:
+def stage_table(df: DataFrame, label: str, *by: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder, in a folder for each value of ``by``, and read it back: lineage is
     cut, nothing is kept in executors."""
     path = new_table(df.sparkSession, label)
-    df.write.partitionBy(*by).parquet(path)
+    df.write.partitionBy(*by).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
