@@ -427,7 +427,7 @@ def all_classes(sequences: DataFrame, counts: DataFrame, head: int, own: np.ndar
         def form(words: pa.Array) -> pa.Array:
             return pa.array([form_of(w) for w in words.to_pylist()], pa.int32())
 
-        return stage_table(counts.select("word", "n", form("word").alias("class")), "word-classes")
+        return stage_table(counts.select("word", "n", form("word").alias("class")), "word-classes", compression="zstd")
     gains = Gains(transitions, classes)
 
     @F.arrow_udf("int")
@@ -439,7 +439,7 @@ def all_classes(sequences: DataFrame, counts: DataFrame, head: int, own: np.ndar
     # A word has one row of bounded size for each task (or HELD_WORDS words of a task) that read it; these rows move as they
     # are, since lists of one would only be longer.
     grouped = rows.repartition("word").groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("n").alias("sizes"), F.collect_list("bigrams").alias("parts"))
-    return stage_table(grouped.select("word", "n", assign("word", "n", "sizes", "parts").alias("class")), "word-classes")
+    return stage_table(grouped.select("word", "n", assign("word", "n", "sizes", "parts").alias("class")), "word-classes", compression="zstd")
 
 
 # ---------------------------------------------------------------- the model
@@ -541,7 +541,7 @@ def _rare_words(head: int):
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, n; ``texts`` has one binary column."""
     counts = texts.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return stage_table(counts, "word-counts")
+    return stage_table(counts, "word-counts", compression="zstd")
 
 
 def learn(sequences: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]]) -> tuple[Callable[..., ClassModel], DataFrame]:
@@ -635,7 +635,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     out = sequences.select("row", "doc_id", "held_out", emit("ids").alias("r")).select("row", "doc_id", "held_out", "r.*")
     out = out.join(added, "row", "left").withColumn("classes", fill("classes", "found", "places")).drop("row", "found", "places")
-    out = stage_table(out, "text-classes")
+    out = stage_table(out, "text-classes", compression="zstd")
     drop_table(sequences)
     drop_table(counts)
     size = model.end + 1
