@@ -370,19 +370,21 @@ class Gains:
         """``pairs``: class before and class after, a row each."""
         return self.before[pairs[:, 0]] + self.after[pairs[:, 1]]
 
-    def best(self, n: pa.ListArray, parts: pa.ListArray) -> np.ndarray:
-        """The best class of each word; ``n`` and ``parts``: how many bigrams workers passed on for it at once, and these."""
-        words, size = len(n), len(self.before)
-        word = np.repeat(np.arange(words), n.value_lengths().to_numpy(zero_copy_only=False))
-        count, rows = n.flatten().to_numpy(zero_copy_only=False), parts.flatten()
+    def add(self, word: np.ndarray, count: np.ndarray, rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For the words that ``word`` numbers from 0 in order, a number a row: how often each class is before and after it,
+        and the gains that workers passed on as sums."""
+        words, size = int(word[-1]) + 1, len(self.before)
         few = count <= self.single
         pairs = np.frombuffer(b"".join(rows.filter(pa.array(few)).to_pylist()), np.uint8).reshape(-1, 2)
         at = np.repeat(word[few], count[few]) * size
-        near = [np.bincount(at + pairs[:, k], minlength=words * size).reshape(words, size) for k in (0, 1)]
-        total = near[0] @ self.before + near[1] @ self.after
+        near = np.stack([np.bincount(at + pairs[:, k], minlength=words * size).reshape(words, size) for k in (0, 1)], axis=1)
+        sums = np.zeros((words, self.classes))
         for k in np.flatnonzero(~few).tolist():
-            total[word[k]] += np.frombuffer(rows[k].as_py(), "<f8")
-        return total.argmax(axis=1)
+            sums[word[k]] += np.frombuffer(rows[k].as_py(), "<f8")
+        return near, sums
+
+    def best(self, near: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        return (near[:, 0] @ self.before + near[:, 1] @ self.after + sums).argmax(axis=1)
 
 
 def _count_contexts(own: np.ndarray, first: int, gains: Gains):
@@ -417,10 +419,43 @@ def _count_contexts(own: np.ndarray, first: int, gains: Gains):
     return count
 
 
+def _choose_classes(gains: Gains, first: int):
+    """word, n and class from rows of word, n and bigrams in order of the words."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last word, which may go on: word, n, near, sums
+
+        def out(words: list[bytes], n: np.ndarray, near: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            best = gains.best(near, sums).tolist()
+            of = [first + form_of(w) if k == 1 else c for w, k, c in zip(words, n.tolist(), best)]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(of, pa.int32())], ["word", "n", "class"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            every, count = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+            new = np.fromiter((x != y for x, y in zip(every, [None, *every])), bool, len(every))
+            starts = np.flatnonzero(new)
+            words, n = [every[k] for k in starts.tolist()], np.add.reduceat(count, starts)
+            near, sums = gains.add(np.cumsum(new) - 1, count, b.column(2))
+            if held is not None and held[0] == words[0]:
+                n[0] += held[1]
+                near[0] += held[2]
+                sums[0] += held[3]
+            elif held is not None:
+                words, n = [held[0], *words], np.append(held[1], n)
+                near, sums = np.concatenate([held[2][None], near]), np.concatenate([held[3][None], sums])
+            if len(words) > 1:
+                yield out(words[:-1], n[:-1], near[:-1], sums[:-1])
+            held = words[-1], n[-1], near[-1].copy(), sums[-1].copy()
+        if held is not None:
+            yield out([held[0]], np.array([held[1]]), held[2][None], held[3][None])
+
+    return choose
+
+
 def all_classes(sequences: DataFrame, counts: DataFrame, head: int, own: np.ndarray, transitions: np.ndarray, classes: int) -> DataFrame:
     """word, n and class of the words beyond the ``head``."""
-    first = classes
-
     if not classes:
 
         @F.arrow_udf("int")
@@ -429,17 +464,11 @@ def all_classes(sequences: DataFrame, counts: DataFrame, head: int, own: np.ndar
 
         return stage_table(counts.select("word", "n", form("word").alias("class")), "word-classes", compression="zstd")
     gains = Gains(transitions, classes)
-
-    @F.arrow_udf("int")
-    def assign(words: pa.Array, n: pa.Array, sizes: pa.Array, parts: pa.Array) -> pa.Array:
-        best = gains.best(sizes, parts).tolist()
-        return pa.array([first + form_of(w) if k == 1 else c for w, k, c in zip(words.to_pylist(), n.to_pylist(), best)], pa.int32())
-
     rows = sequences.select("ids", "rest").mapInArrow(_count_contexts(own, head, gains), "word binary, n bigint, bigrams binary")
-    # A word has one row of bounded size for each task (or HELD_WORDS words of a task) that read it; these rows move as they
-    # are, since lists of one would only be longer.
-    grouped = rows.repartition("word").groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("n").alias("sizes"), F.collect_list("bigrams").alias("parts"))
-    return stage_table(grouped.select("word", "n", assign("word", "n", "sizes", "parts").alias("class")), "word-classes", compression="zstd")
+    # A word has one row of bounded size for each task (or HELD_WORDS words of a task) that read it; they are added up as
+    # they come, so that no word's rows are ever a list.
+    dealt = rows.repartition("word").sortWithinPartitions("word")
+    return stage_table(dealt.mapInArrow(_choose_classes(gains, classes), "word binary, n bigint, class int"), "word-classes", compression="zstd")
 
 
 # ---------------------------------------------------------------- the model

@@ -1,11 +1,13 @@
 """Class bigrams: base scores against brute force, exchange moves against the likelihood, held-out perplexity."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +213,32 @@ def test_scores_by_hand(spark, small):
         assert abs(score - r["score"]) < 1e-6 * max(1, abs(score))
     learned = sum(n for w, n in counts.items() if classes[w] < model.first_form)
     assert learned >= 0.8 * sum(counts.values())
+
+
+def test_classes_of_rare_words_from_a_stream():
+    """Words whose rows are spread over batches of any size, against sums over all their bigrams."""
+    r = random.Random(1)
+    for trial in range(40):
+        classes, size = 5, 5 + brown.FORMS + 1
+        gains = brown.Gains(np.random.RandomState(trial).randint(0, 50, (size, size)).astype(float), classes)
+        rows, want = [], {}
+        for word in [b"w%03d" % k for k in range(r.randint(1, 60))]:
+            parts = [np.array([[r.randrange(size), r.randrange(size)] for _ in range(r.choice([1, 2, 5, 40]))], np.uint8) for _ in range(r.choice([1, 1, 2, 7]))]
+            for p in parts:
+                rows.append((word, len(p), p.tobytes() if len(p) <= gains.single else gains.of(p).sum(axis=0).astype("<f8").tobytes()))
+            want[word] = sum(map(len, parts)), gains.of(np.concatenate(parts)).sum(axis=0)
+        step = r.choice([1, 2, 3, 1000])
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + step]), (pa.binary(), pa.int64(), pa.binary()))], ["word", "n", "bigrams"])
+            for k in range(0, len(rows), step)
+        ]
+        got = [x for b in brown._choose_classes(gains, classes)(iter(batches)) for x in b.to_pylist()]
+        assert [x["word"] for x in got] == sorted(want)
+        for x in got:
+            n, total = want[x["word"]]
+            assert x["n"] == n
+            if n == 1:
+                assert x["class"] == classes + brown.form_of(x["word"])
+            else:
+                assert total[x["class"]] >= total.max() - 1e-9
+    assert not list(brown._choose_classes(gains, classes)(iter([])))
