@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bitslice, brown, langid, licenses, ordinal, pii, quality
+from seqloom.llm import bitslice, brown, langid, licenses, minmax, ordinal, pii, quality
 from seqloom.llm.bpe import BpeCodec
 from seqloom.llm.common import documents
 from seqloom.llm.license_sql import license_scan_sql
@@ -64,6 +64,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", codec.digest(codec.encode(F.col("text"))).alias("r")).select("doc_id", "r.*")
 
 
+def op13_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(documents(spark, sf_dir))
+
+
 OP9 = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -93,6 +97,7 @@ def queries() -> dict:
         op8_quality_classifier,
         op9_exact_top_k,
         op10_byte_bpe,
+        op13_minmax_near_dedup,
     )}
 
 
