@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bitslice, brown, langid, licenses, minmax, ordinal, pii, quality
+from seqloom.llm import bitslice, blockmax, brown, langid, licenses, minmax, ordinal, pii, quality, yinyang
 from seqloom.llm.bpe import BpeCodec
 from seqloom.llm.common import documents
 from seqloom.llm.license_sql import license_scan_sql
@@ -64,6 +64,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", codec.digest(codec.encode(F.col("text"))).alias("r")).select("doc_id", "r.*")
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockmax.search(blockmax.build_index(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = yinyang.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    if coded is None:
+        return spark.createDataFrame([], "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string")
+    rows = yinyang.with_label_error(coded.rows)
+    return rows.select(F.col("key").alias("vec_id"), "code", "error", "label_error", F.lit(yinyang.digest(coded.codebooks)).alias("codebooks_sha256"))
+
+
 def op13_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(documents(spark, sf_dir))
 
@@ -97,9 +109,11 @@ def queries() -> dict:
         op8_quality_classifier,
         op9_exact_top_k,
         op10_byte_bpe,
+        op11_block_max_search,
+        op12_vector_codes,
         op13_minmax_near_dedup,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan_sql(), "op9_exact_top_k": OP9}
+    return {"op3_license_scan": license_scan_sql(), "op9_exact_top_k": OP9, "op11_block_max_search": blockmax.search_sql(), "op12_vector_codes": yinyang.codes_sql()}

@@ -1,0 +1,130 @@
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+
+from seqloom.llm import blockmax
+from seqloom.llm.common import documents
+
+
+def words(text):
+    folded = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    return re.findall(blockmax.TERM, folded)
+
+
+def brute(docs, items, top=10):
+    held = [(k, words(t)) for k, t in docs]
+    held = [(k, w) for k, w in held if w]
+    count, total = len(held), sum(len(w) for _, w in held)
+    df = {}
+    for _, w in held:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    out, asked = [], {}
+    for item, text in items:
+        if item is not None:
+            asked.setdefault(item, set()).update(words(text))
+    for item, terms in asked.items():
+        scores = []
+        for key, w in held:
+            m = 10 + 90 * len(w) * count // total
+            s = 0
+            for t in terms & set(w):
+                tf = w.count(t)
+                s += math.floor(1000 * math.log((2 * count + 2) / (2 * df[t] + 1))) * (10**9 * tf // (1000 * tf + 8 * m))
+            if key is not None and s > 0:
+                scores.append((-s, key))
+        out += [(item, k + 1, key, -s) for k, (s, key) in enumerate(sorted(scores)[:top])]
+    return sorted(out)
+
+
+def check(spark, docs, items, size=4, top=10):
+    index = blockmax.build_index(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), size=size)
+    found = sorted(tuple(r) for r in blockmax.search(index, spark.createDataFrame(items, "item_id bigint, text string"), top=top).collect())
+    assert found == brute(docs, items, top)
+    return found
+
+
+def corpus(seed, n, vocabulary=60, length=40):
+    rng = random.Random(seed)
+    word = lambda: f"w{min(rng.randrange(vocabulary), rng.randrange(vocabulary))}"
+    return [(k, " ".join(word() for _ in range(rng.randrange(length)))) for k in range(n)]
+
+
+def test_query_against_brute_force(spark, small):
+    from seqloom.llm.queries import op11_block_max_search
+
+    docs = [tuple(r) for r in documents(spark, small).select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
+    assert sorted(tuple(r) for r in op11_block_max_search(spark, small).collect()) == brute(docs, items)
+
+
+def test_sql_finds_the_same(spark, small):
+    import duckdb
+
+    from seqloom.llm.queries import op11_block_max_search, oracle_sql
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    want = sorted(con.execute(f"SELECT item_id, rank, doc_id, score FROM ({oracle_sql()['op11_block_max_search']})").fetchall())
+    assert sorted(tuple(r) for r in op11_block_max_search(spark, small).collect()) == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_corpora(spark, seed):
+    rng = random.Random(seed)
+    items = [(k, " ".join(f"W{rng.randrange(70)}" for _ in range(rng.randrange(8)))) for k in range(25)]
+    check(spark, corpus(seed, 150), items, size=[1, 8, 64][seed])
+
+
+def test_ties_take_the_smaller_key(spark):
+    docs = [(k, "a b c") for k in range(40, 0, -1)] + [(50, "z"), (51, "a z z")]
+    found = check(spark, docs, [(1, "a"), (2, "z a"), (3, "nothing")])
+    assert [r[2] for r in found if r[0] == 1] == list(range(1, 11))
+
+
+def test_odd_documents(spark, odd_docs):
+    docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    items = [(1, "quick FOX"), (2, None), (None, "quick"), (3, ""), (4, "日本語 straße"), (5, "tie"), (5, "long"), (6, "key"), (7, "é ñandú"), (1, "quick FOX")]
+    df = spark.createDataFrame([(i, t, 1, "s") for i, t in items], "item_id bigint, text string, rank int, score string")
+    found = sorted(tuple(r) for r in blockmax.search(blockmax.build_index(odd_docs), df).collect())
+    assert found == brute(docs, items)
+    assert not any(r[0] == 6 for r in found)  # its document has no key
+
+
+def test_empty_tables(spark, odd_docs):
+    items = spark.createDataFrame([(1, "tie")], "item_id bigint, text string")
+    none = blockmax.build_index(odd_docs.limit(0))
+    assert none is None
+    assert blockmax.search(none, items).collect() == []
+    assert blockmax.build_index(odd_docs.where("text = ''")) is None
+    assert blockmax.search(blockmax.build_index(odd_docs), items.limit(0)).collect() == []
+    assert blockmax.search(none, items).columns == ["item_id", "rank", "doc_id", "score"]
+
+
+def test_many_queries_go_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(blockmax, "QUERIES", 10)
+    rng = random.Random(9)
+    check(spark, corpus(9, 60), [(k, f"w{rng.randrange(60)} w{rng.randrange(60)}") for k in range(45)])
+
+
+def test_bounds_hold_and_blocks_are_skipped(spark):
+    """No document scores above its block's bound; with the threshold known most blocks of a rare term's query are not opened."""
+    docs = corpus(4, 300) + [(1000 + k, "rare " * (k + 1) + "w1") for k in range(12)]
+    index = blockmax.build_index(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), size=8)
+    rows = [r.asDict() for r in index.blocks.collect()]
+    queries = blockmax.Queries.of([(1, "rare w1"), (2, "w3 w5 w7")])
+    df = blockmax._frequencies(index, queries)
+    queries.weight = np.array([math.floor(1000 * math.log((2 * index.documents + 2) / (2 * n + 1))) for n in df.tolist()], np.int64)
+    tenth = [brute(docs, [(1, "rare w1"), (2, "w3 w5 w7")])[k][3] for k in (9, 19)]
+    reached = 0
+    for r in rows:
+        b = blockmax._Block({k: bytes(v) if isinstance(v, bytearray) else v for k, v in r.items()}, queries)
+        b.open(queries)
+        for q in range(2):
+            assert (b.table[:, b.column[queries.terms(q)]].sum(axis=1) <= b.bounds[q]).all()
+        reached += b.bounds[0] >= tenth[0]
+    assert reached <= 4 < len(rows) / 5

@@ -1,0 +1,127 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seqloom.llm import yinyang
+from seqloom.llm.queries import op12_vector_codes
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, code string, error string, sums int, `key` string"
+
+
+def brute(rows, parts=8, entries=16, rounds=6, scale=4096):
+    """(vec_id, label, code, error) of each kept row, and the codebooks, in Python's own integers."""
+    kept = [(i, [float(np.float32(x)) for x in v], l) for i, v, l in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    if not kept:
+        return [], None
+    dims = -(-max(len(v) for _, v, _ in kept) // parts) * parts
+    q = [[int(np.floor(scale * x)) for x in v] + [0] * (dims - len(v)) for _, v, _ in kept]
+    d = dims // parts
+    cut = [[tuple(v[p * d : (p + 1) * d]) for p in range(parts)] for v in q]
+    order = sorted(range(len(kept)), key=lambda k: (kept[k][0] is None, kept[k][0] or 0, kept[k][1]))[:entries]
+    books = [[cut[k][p] for k in order] for p in range(parts)]
+    away = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    for r in range(rounds + 1):
+        codes = [[min(range(len(books[p])), key=lambda e: (away(c[p], books[p][e]), e)) for p in range(parts)] for c in cut]
+        if r < rounds:
+            for p in range(parts):
+                for e in range(len(books[p])):
+                    mine = [c[p] for c, k in zip(cut, codes) if k[p] == e]
+                    if mine:
+                        books[p][e] = tuple(sum(x) // len(mine) for x in zip(*mine))
+    errors = [sum(away(c[p], books[p][k[p]]) for p in range(parts)) for c, k in zip(cut, codes)]
+    return [(i, l, "".join(f"{e:02x}" for e in k), err) for (i, _, l), k, err in zip(kept, codes, errors)], books
+
+
+def check(spark, rows, **options):
+    df = spark.createDataFrame([(i, v, l, "c", "e", 1, "k") for i, v, l in rows], SCHEMA)
+    found = yinyang.compress(df, **options)
+    want, books = brute(rows, **{k: v for k, v in options.items() if k != "groups"})
+    if books is None:
+        assert found is None
+        return None
+    assert sorted(map(str, (tuple(r) for r in found.rows.collect()))) == sorted(map(str, want))
+    assert found.codebooks.tolist() == [[list(e) for e in b] for b in books]
+    return found
+
+
+def cloud(seed, n, dims=16, centres=12, spread=0.05):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(0, 0.3, (centres, dims))
+    return [(int(k), (middle[k % centres] + rng.normal(0, spread, dims)).tolist(), int(k % 3) if k % 5 else None) for k in range(n)]
+
+
+def test_query_against_brute_force(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    want, books = brute(rows)
+    by_label = {}
+    for _, label, _, error in want:
+        by_label[label] = by_label.get(label, 0) + error
+    text = ",".join(str(x) for b in books for e in b for x in e)
+    import hashlib
+
+    sha = hashlib.sha256(text.encode()).hexdigest()
+    found = sorted(tuple(r) for r in op12_vector_codes(spark, small).select("vec_id", "code", "error", "label_error", "codebooks_sha256").collect())
+    assert found == sorted((i, c, e, by_label[l], sha) for i, l, c, e in want)
+
+
+def test_bounds_save_distances_and_change_nothing(spark):
+    rows = cloud(1, 1500)
+    found = check(spark, rows)
+    most = len(rows) * 8 * 17
+    assert found.computed[0] == most
+    assert found.computed[-1] < 0.6 * most
+
+
+@pytest.mark.parametrize("options", [{"entries": 5, "parts": 4, "rounds": 3}, {"groups": 1}, {"rounds": 0}, {"groups": 16, "entries": 7}])
+def test_other_shapes(spark, options):
+    check(spark, cloud(2, 200), **options)
+
+
+def test_ties_go_to_the_lower_index(spark):
+    grid = [(k, [float(x) for x in np.unpackbits(np.uint8([k % 256]))], k % 2) for k in range(300)]
+    check(spark, grid)
+    check(spark, [(k, [0.5] * 8, 1) for k in range(40)])
+
+
+def test_odd_vectors(spark):
+    rows = cloud(3, 30, dims=10)
+    rows += [(100, None, 1), (101, [], 1), (102, [float("nan")] * 10, 1), (103, [float("inf")] + [0.0] * 9, 2), (104, [None] * 10, 2), (105, [0.25], None), (None, [0.5] * 10, None), (0, [0.1] * 10, 1)]
+    rows += [rows[3], rows[3]]
+    check(spark, rows)
+
+
+def test_few_or_none(spark):
+    check(spark, cloud(4, 3))
+    check(spark, [(None, [0.1] * 8, 1), (None, [0.2] * 8, 1)])
+    check(spark, [(1, None, 1)])
+    check(spark, [(1, [], 1), (2, [], None)])
+    empty = spark.createDataFrame([], SCHEMA)
+    assert yinyang.compress(empty) is None
+
+
+def test_label_errors_with_nulls(spark):
+    coded = spark.createDataFrame([(1, "a", 2), (2, "a", 3), (3, None, 5), (4, None, 7)], "key bigint, label string, error bigint")
+    found = {r["key"]: r["label_error"] for r in yinyang.with_label_error(coded).collect()}
+    assert found == {1: 5, 2: 5, 3: 12, 4: 12}
+
+
+def test_too_large_components_are_an_error(spark):
+    with pytest.raises(Exception, match=yinyang.TOO_LARGE):
+        yinyang.compress(spark.createDataFrame([(1, [1e30] * 8, 1)], "vec_id bigint, embedding array<float>, label int"))
+
+
+def test_tasks_do_not_change_the_codebooks(spark):
+    df = spark.createDataFrame(cloud(5, 400), "vec_id bigint, embedding array<double>, label int")
+    one, many = yinyang.compress(df.coalesce(1)), yinyang.compress(df.repartition(7, F.col("vec_id")))
+    assert (one.codebooks == many.codebooks).all()
+
+
+def test_sql_finds_the_same(spark, small):
+    import duckdb
+
+    from seqloom.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{small}/embeddings.parquet'")
+    want = sorted(con.execute(f"SELECT vec_id, code, error, label_error, codebooks_sha256 FROM ({oracle_sql()['op12_vector_codes']})").fetchall())
+    assert sorted(tuple(r) for r in op12_vector_codes(spark, small).select("vec_id", "code", "error", "label_error", "codebooks_sha256").collect()) == want
