@@ -124,6 +124,7 @@ def queries() -> dict:
         out[f"kmers_{k}"] = lambda spark, d, k=k: kmers(reads(spark, d), k)
     out["kmers_4_dense"] = lambda spark, d: kmers(reads(spark, d), 4, dense=True)
     out["kmers_9_sparse"] = lambda spark, d: kmers(reads(spark, d), 9, dense=False)
+    out["kmers_16"] = lambda spark, d: kmers(reads(spark, d), 16)
     for by, name in (("id", "id"), ("natural", "idn"), ("seq", "seq"), ("gc", "gc"), ("mean_qual", "mean_qual")):
         out[f"sort_{name}"] = _sorted(by)
     out["sort_reverse"] = _sorted("seq", reverse=True)
@@ -256,6 +257,7 @@ def oracle_sql() -> dict[str, str]:
         "kmers_3": _kmers(3, True),
         "kmers_4_dense": _kmers(4, True),
         "kmers_9_sparse": _kmers(9, False),
+        "kmers_16": _kmers(16, False),
         "sort_id": _position("id1"),
         "sort_idn": _position(f"{_NATURAL}, length(id1)"),
         "sort_seq": _position("seq"),

@@ -32,3 +32,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder, partition by partition as they are."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Rows and bytes of an Arrow batch to a Python worker; reads may be long.
+BATCH_ROWS, BATCH_BYTES = 10_000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch bounds where they are higher. They have to hold when a result is computed, and so stay
+    lowered; lower ones of the session's own are left alone."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        own = spark.conf.get(name).removesuffix("b").removesuffix("B")
+        if not (own.isdigit() and 0 < int(own) <= most):
+            spark.conf.set(name, str(most))
