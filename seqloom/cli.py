@@ -7,6 +7,7 @@ import argparse
 import sys
 import time
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ from seqloom.operators import align, grep, kmers, quality, sampling, sorting, un
 from seqloom.plans.deploy import ship
 from seqloom.plans.shared import shared_path
 from seqloom.schema import SAMPLE_READS, SAMPLE_SEED, SCALE_READS
-from seqloom.sources.fastq import CHUNK_BYTES, fastq_text, file_system, open_file, read_fastq, write_lines
+from seqloom.sources.fastq import CHUNK_BYTES, read_fastq
+from seqloom.sources.files import file_system, open_file
+from seqloom.sources.sinks import fastq_text, write_lines
 
 VERSION = "0.1"
 
@@ -139,8 +142,9 @@ def run(args, spark: SparkSession) -> None:
         return _sample(args, spark)
     paths, names = inputs_of(args, spark)
     # What passes reads on keeps the order of the partitions, which is that of files and records: nothing is sorted.
-    first = SCALE_READS if args.program == "qscale" else None
-    reads = read_fastq(spark, paths, missing="error" if args.program == "sort" else "skip", first=first, file_no=True)
+    records = (0, SCALE_READS if args.program == "qscale" else None)
+    columns = {"kmers": ["seq"], "match": ["seq"], "uniq": ["seq"], "qual": ["qual"], "qscale": ["source_file", "rec_no", "qual"]}.get(args.program)
+    reads = read_fastq(spark, paths, missing="error" if args.program == "sort" else "skip", records=records, file_no=True, columns=columns)
 
     def by_file(table: DataFrame) -> DataFrame:
         """``table`` (file_no, ...) for each file that can be read, in their order."""
@@ -192,8 +196,8 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("seqloom").getOrCreate()
     try:
         run(args, spark)
-    except (ValueError, OSError) as e:
-        print(f"seqloom {args.program}: {e}", file=sys.stderr)
+    except (ValueError, OSError, PySparkException) as e:
+        print(f"seqloom {args.program}: {str(e).splitlines()[0]}", file=sys.stderr)
         return 1
     return 0
 

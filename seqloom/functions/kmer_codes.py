@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from seqloom.functions.letters import utf8_bytes
+
 #: Letters looked at together; a batch is walked in pieces that overlap by what a window needs.
 PIECE = 1 << 21
 #: Windows of a super-k-mer, at most: with k = 16 its bases and their number fit a 64-bit word.
@@ -18,17 +20,6 @@ for _k, _pair in enumerate((b"Aa", b"Cc", b"Gg", b"Tt")):
     _BASES[list(_pair)] = _k
 
 
-def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column one read after the other, and where each read begins. Letters beyond ASCII are several
-    bytes, none of which is a base."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    if not len(column) or data is None:
-        return np.empty(0, np.uint8), np.empty(0, np.int64)
-    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends[:-1] - ends[0]
-
-
 def rolled(codes: np.ndarray, k: int, kind: type) -> np.ndarray:
     """The packed number of the k codes from each place on: pieces of powers of two, put together."""
     power, width, out, done = codes.astype(kind), 1, None, 0
@@ -62,7 +53,7 @@ class Windows:
 
 def pieces(column: pa.Array, k: int, size: int = PIECE) -> Iterator[Windows]:
     """Every window of every read once."""
-    data, starts = letters(column)
+    data, starts = utf8_bytes(column)  # letters beyond ASCII are several bytes, none of which is a base
     for at in range(0, max(len(data) - k + 1, 0), size):
         stop = min(len(data), at + size + k - 1)
         lo, hi = np.searchsorted(starts, (at, stop))

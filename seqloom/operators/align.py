@@ -1,16 +1,20 @@
-"""Local alignment scores with affine gaps, for all reads of an Arrow batch at once."""
+"""Local alignment scores with affine gaps, for the letters of all reads of an Arrow batch at once."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.functions.letters import latin1_bytes
+from seqloom.plans.shared import bound_batches
 from seqloom.schema import GAP_EXTEND, GAP_OPEN, MATCH, MISMATCH, WITH_N
 
-#: Reads aligned together; the working set is this times the longest read or query.
-ROWS = 2048
+#: Letters aligned together; the working set is a dozen numbers for each, however long reads are.
+PIECE = 1 << 17
+#: Bits between the running maxima of neighbouring reads.
+_APART = 42
 _default = np.full((5, 5), MISMATCH, np.int32)
 np.fill_diagonal(_default, MATCH)
 _default[4, :] = _default[:, 4] = WITH_N
@@ -33,34 +37,54 @@ def base_codes(rna: bool = False) -> np.ndarray:
     return table
 
 
-def local_scores(query: np.ndarray, reads: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
-    """Best local score of ``query`` in each read. One step handles one position of all reads: gaps along the query are a
-    running maximum."""
-    n, m = len(reads), len(query)
-    best = np.zeros(n, np.int32)
-    if not m or not n:
-        return best
-    lengths = np.array([len(r) for r in reads])
-    order = np.argsort(-lengths, kind="stable")  # so that reads that have ended are the last rows
-    codes = np.full((n, max(1, lengths.max())), 4, np.int64)
-    for row, i in enumerate(order):
-        codes[row, : lengths[i]] = reads[i]
-    lengths = lengths[order]
-    h, t = np.zeros((n, m + 1), np.int32), np.full((n, m), -(10**6), np.int32)
-    slope = -GAP_EXTEND * np.arange(m, dtype=np.int32)
-    top = np.zeros(n, np.int32)
-    for at in range(lengths.max(initial=0)):
-        live = int(np.searchsorted(-lengths, -at, side="left"))
-        old = h[:live]
-        t[:live] = np.maximum(old[:, 1:] + GAP_OPEN, t[:live] + GAP_EXTEND)
-        new = np.maximum(np.maximum(old[:, :-1] + matrix[codes[:live, at]][:, query], t[:live]), 0)
-        if m > 1:
-            gap = np.maximum.accumulate(new + slope, axis=1)[:, :-1] + GAP_OPEN - slope[:-1]
-            new[:, 1:] = np.maximum(new[:, 1:], gap)
-        h[:live, 1:] = new
-        top[:live] = np.maximum(top[:live], new.max(axis=1))
-    best[order] = top
-    return best
+def local_scores(query: np.ndarray, letters: np.ndarray, starts: np.ndarray, matrix: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Best local score of ``query`` in each read; ``letters`` are the reads' codes one after the other, ``starts`` where each
+    begins. One step handles one letter of the query for a piece of the letters, however these are cut into reads: gaps along a read
+    are a running maximum that begins anew with every read. A read that goes on in the next piece leaves its last column there."""
+    n, m = len(starts), len(query)
+    best = np.zeros(n, np.int64)
+    if not m or not len(letters):
+        return best.astype(np.int32)
+    lengths = np.diff(np.append(starts, len(letters)))
+    filled = np.flatnonzero(lengths)
+    begins = starts[filled]
+    scores = matrix.astype(np.int64)
+    kept_h, kept_gap = np.zeros(m, np.int64), np.zeros(m, np.int64)  # of the read that goes on: last scores, best gap starts
+    for at in range(0, len(letters), piece):
+        part = letters[at : at + piece]
+        first = int(np.searchsorted(begins, at, side="right")) - 1  # the read that holds the first letter
+        last = int(np.searchsorted(begins, at + len(part)))
+        heads = np.maximum(begins[first:last] - at, 0)
+        goes_on = begins[first] < at
+        read = np.zeros(len(part), np.int64)
+        read[heads[1:]] = 1
+        read = np.cumsum(read)
+        place = np.arange(at, at + len(part)) - begins[first:last][read]
+        apart, slope = read << _APART, -GAP_EXTEND * place
+        new = np.ones(len(heads), bool)
+        new[0] = not goes_on
+        top, h, gap = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), np.full(len(part), -(10**6), np.int64)
+        before = 0  # the last score of the piece before, one letter of the query back
+        for j in range(m):
+            diagonal = np.empty_like(h)
+            diagonal[1:], diagonal[0] = h[:-1], before
+            diagonal[heads[new]] = 0
+            gap = np.maximum(h + GAP_OPEN, gap + GAP_EXTEND)
+            own = np.maximum(np.maximum(diagonal + scores[query[j]][part], gap), 0)
+            start = own + slope + apart
+            if goes_on:
+                start[0] = max(start[0], kept_gap[j])
+            start = np.maximum.accumulate(start)
+            along = np.full(len(part), -(10**6), np.int64)
+            along[1:] = start[:-1] - apart[1:] + GAP_OPEN - slope[1:] - GAP_EXTEND
+            if goes_on:
+                along[0] = kept_gap[j] + GAP_OPEN - slope[0] - GAP_EXTEND
+            h = np.maximum(own, along)
+            np.maximum(top, h, out=top)
+            before, kept_h[j] = kept_h[j] if goes_on and j + 1 < m else 0, h[-1]
+            kept_gap[j] = start[-1] - apart[-1]
+        best[filled[first:last]] = np.maximum(best[filled[first:last]], np.maximum.reduceat(top, heads))
+    return best.astype(np.int32)
 
 
 def align_score(seq: Column | str, query: str, mode: str = "parity", matrix: str = "default", rna: bool = False) -> Column:
@@ -74,18 +98,19 @@ def align_score(seq: Column | str, query: str, mode: str = "parity", matrix: str
     whole = table[np.frombuffer(query.encode("latin-1"), np.uint8)]
     used = whole[1:] if mode == "parity" else whole
 
+    if active := SparkSession.getActiveSession():
+        bound_batches(active)
+
     @F.arrow_udf("int")
     def score(values: pa.Array) -> pa.Array:
-        out = []
-        rows = values.to_pylist()
-        for k in range(0, len(rows), ROWS):
-            reads = [table[np.frombuffer((r or "").encode("latin-1", "replace"), np.uint8)] for r in rows[k : k + ROWS]]
-            s = local_scores(used, reads, scores)
-            if mode == "parity" and whole[0] < 4:
-                first = np.array([len(r) > 0 and r[0] == whole[0] for r in reads])
-                s = np.maximum(s, first * scores[whole[0], whole[0]])
-            out.append(s)
-        return pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
+        data, starts = latin1_bytes(values)
+        letters = table[data]
+        found = local_scores(used, letters, starts, scores)
+        if mode == "parity" and whole[0] < 4 and len(letters):
+            some = np.diff(np.append(starts, len(letters))) > 0
+            first = some & (letters[np.minimum(starts, len(letters) - 1)] == whole[0])
+            found = np.maximum(found, first * scores[whole[0], whole[0]])
+        return pa.array(found.astype(np.int32), pa.int32())
 
     return score(seq)
 

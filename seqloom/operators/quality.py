@@ -2,35 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions.letters import latin1_bytes
 from seqloom.functions.sequences import shift_quality
-from seqloom.plans.shared import checkpointed
+from seqloom.plans.shared import bound_batches, checkpointed
 from seqloom.schema import SCALE_READS, SCALES
 
 LAST_BYTE = 254
+#: Positions of a block, blocks that a task counts at once, letters that it looks at together.
+POSITIONS, BLOCKS, PIECE = 512, 32, 1 << 20
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by blocks of positions, each a table (position, byte); they are passed on when there are too many."""
+    tables: dict[int, np.ndarray] = {}
+
+    def passed_on() -> Iterator[pa.RecordBatch]:
+        for block, table in sorted(tables.items()):
+            pos, qual = np.nonzero(table)
+            columns = [pa.array((pos + block * POSITIONS).astype(np.int32)), pa.array(qual.astype(np.int32)), pa.array(table[pos, qual])]
+            yield pa.RecordBatch.from_arrays(columns, ["pos", "qual", "n"])
+        tables.clear()
+
+    for b in batches:
+        data, starts = latin1_bytes(b.column(0))
+        lengths = np.diff(np.append(starts, len(data)))
+        filled = np.flatnonzero(lengths)
+        for at in range(0, len(data), PIECE):
+            part = data[at : at + PIECE]
+            lo, hi = int(np.searchsorted(starts[filled], at, side="right")) - 1, int(np.searchsorted(starts[filled], at + len(part)))
+            begins = starts[filled][lo:hi]
+            pos = np.arange(at, at + len(part)) - np.repeat(begins, np.diff(np.append(np.maximum(begins, at), at + len(part))))
+            block = pos // POSITIONS
+            for k in np.unique(block):
+                here = block == k
+                cells = (pos[here] - k * POSITIONS) * 256 + part[here]
+                table = tables.setdefault(int(k), np.zeros((POSITIONS, 256), np.int64))
+                table += np.bincount(cells, minlength=POSITIONS * 256).reshape(POSITIONS, 256)
+            if len(tables) > BLOCKS:
+                yield from passed_on()
+    yield from passed_on()
+
+
+def _counts(reads: DataFrame) -> DataFrame:
+    bound_batches(reads.sparkSession)
+    found = reads.where(F.length("qual") > 0).select("qual").mapInArrow(_tally, "pos int, qual int, n bigint")
+    return found.where(F.col("qual") <= LAST_BYTE).groupBy("pos", "qual").agg(F.sum("n").alias("n"))
+
+
+def _grid(reads: DataFrame) -> DataFrame:
+    """All pairs of a position, to the longest read's, and a byte."""
+    longest = reads.agg(F.max(F.length("qual")).alias("m")).first()["m"] or 0
+    pair = reads.sparkSession.range(longest * (LAST_BYTE + 1))
+    return pair.select(F.expr(f"CAST(id DIV {LAST_BYTE + 1} AS INT)").alias("pos"), (F.col("id") % (LAST_BYTE + 1)).cast("int").alias("qual"))
 
 
 def qual_table(reads: DataFrame, dense: bool = False) -> DataFrame:
     """(pos, qual, n): reads with quality byte ``qual`` at 0-based position ``pos``. ``dense`` adds the pairs that do not
     occur, for all bytes to 254 and all positions to the longest read's."""
-    letters = reads.where(F.length("qual") > 0).select(F.posexplode(F.split("qual", "")).alias("pos", "letter"))
-    counts = letters.groupBy("pos", "letter").agg(F.count("*").alias("n"))
-    counts = counts.select("pos", F.ascii("letter").alias("qual"), "n").where(F.col("qual") <= LAST_BYTE)
+    counts = _counts(reads)
     if not dense:
         return counts
-    longest = reads.agg(F.max(F.length("qual")).alias("m")).select(F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("pos")).where("pos >= 0")
-    grid = longest.select("pos", F.explode(F.sequence(F.lit(0), F.lit(LAST_BYTE))).alias("qual"))
-    return grid.join(counts, ["pos", "qual"], "left").select("pos", "qual", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    return _grid(reads).join(counts, ["pos", "qual"], "left").select("pos", "qual", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def qual_lines(reads: DataFrame) -> DataFrame:
-    """(qual, value): for each byte its counts by position, tab-separated: the command line's table."""
-    cells = qual_table(reads, dense=True).groupBy("qual").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("cells"))
-    return cells.select("qual", F.array_join(F.transform("cells", lambda c: c["n"].cast("string")), "\t").alias("value"))
+    """(qual, value): for each byte its counts by position, tab-separated: the command line's table. Lines are put together from
+    blocks of positions."""
+    joined = lambda cells: F.array_join(F.transform(F.sort_array(F.collect_list(cells)), lambda c: c["text"]), "\t")
+    blocks = qual_table(reads, dense=True).withColumn("block", F.expr(f"pos DIV {POSITIONS}"))
+    pieces = blocks.groupBy("qual", "block").agg(joined(F.struct("pos", F.col("n").cast("string").alias("text"))).alias("text"))
+    return pieces.groupBy("qual").agg(joined(F.struct("block", "text")).alias("value"))
 
 
 def qual_adjust(reads: DataFrame, offset: int) -> DataFrame:
@@ -63,30 +112,50 @@ def first_reads(reads: DataFrame, limit: int, bins: int = 1024, rounds: int = 2)
     return reads.join(wide.select("source_file", F.col("hi").alias("__last")), "source_file", "left").where("__last IS NULL OR rec_no <= __last").drop("__last")
 
 
-def detect_scale(reads: DataFrame, limit: int = SCALE_READS, numbered: bool = True) -> DataFrame:
-    """(source_file, lo, hi, scale): the range of bytes grows read by read and stops at the first read after which at most
-    one scale remains, or after ``limit`` reads; the scale is the first that remains, or null. Files without reads have no
-    row. ``numbered``: rec_no counts from 0 within each file, as from the source, so that a plain filter takes the first
-    reads; else histograms of it find them. Either way about ``limit`` rows of a file meet in a task."""
+def _ranges(reads: DataFrame) -> DataFrame:
+    """(source_file, lo, hi, first, n): the ranges of bytes that single reads have, the first read of each, and how many
+    have it. At most some thousand rows a file, whatever its size, and added up in any order."""
     letters = F.split("qual", "")
     full = F.length("qual") > 0
-    slim = (reads.where(F.col("rec_no") < limit) if numbered else first_reads(reads, limit)).select(
-        "source_file",
-        "rec_no",
-        F.when(full, F.ascii(F.array_min(letters))).otherwise(126).alias("lo"),
-        F.when(full, F.ascii(F.array_max(letters))).otherwise(33).alias("hi"),
-    )
-    nth = Window.partitionBy("source_file").orderBy("rec_no")
-    some = slim.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= limit)
-    so_far = nth.rowsBetween(Window.unboundedPreceding, 0)
+    lo, hi = F.when(full, F.ascii(F.array_min(letters))).otherwise(126), F.when(full, F.ascii(F.array_max(letters))).otherwise(33)
+    return reads.select("source_file", "rec_no", lo.alias("lo"), hi.alias("hi")).groupBy("source_file", "lo", "hi").agg(F.min("rec_no").alias("first"), F.count("*").alias("n"))
+
+
+def _detected(ranges: DataFrame) -> DataFrame:
+    """A scale goes with the first read that it does not hold; the file's range stops growing at the read with which all but one
+    have gone."""
+    files = ranges.groupBy("source_file").agg(F.collect_list(F.struct("lo", "hi", "first")).alias("x"))
+    outside = lambda a, b: lambda r: (r["lo"] < a) | (r["hi"] > b)
+    gone = [F.array_min(F.transform(F.filter("x", outside(a, b)), lambda r: r["first"])) for _, a, b in SCALES]
+    files = files.withColumn("stop", F.get(F.array_sort(F.array_compact(F.array(*gone))), F.lit(len(SCALES) - 2)))
+    files = files.withColumn("x", F.filter("x", lambda r: F.col("stop").isNull() | (r["first"] <= F.col("stop"))))
     # An empty file's range starts from the widest compatible one.
-    grown = some.withColumn("lo", F.least(F.lit(126), F.min("lo").over(so_far))).withColumn("hi", F.greatest(F.lit(33), F.max("hi").over(so_far)))
-    set_ = grown.withColumn("bits", _compatible(F.col("lo"), F.col("hi")))
-    settled = F.bit_count("bits") <= 1
-    rank = F.when(settled, F.col("nth")).otherwise(F.lit(2 * limit) - F.col("nth"))  # the first settled read, else the last one
-    last = set_.groupBy("source_file").agg(F.min_by(F.struct("lo", "hi", "bits"), rank).alias("x"))
-    names = F.coalesce(*[F.when(F.col("x.bits").bitwiseAND(F.lit(1 << k)) != 0, F.lit(name)) for k, (name, _, _) in enumerate(SCALES)])
-    return last.select("source_file", "x.lo", "x.hi", names.alias("scale"))
+    lo, hi = F.least(F.lit(126), F.array_min(F.transform("x", lambda r: r["lo"]))), F.greatest(F.lit(33), F.array_max(F.transform("x", lambda r: r["hi"])))
+    return files.select("source_file", lo.alias("lo"), hi.alias("hi"))
+
+
+def detect_scale(reads: DataFrame, limit: int = SCALE_READS, numbered: bool = True) -> DataFrame:
+    """(source_file, lo, hi, scale): the range of bytes grows read by read and stops at the first read after which at most
+    one scale remains, or after ``limit`` reads; the scale is the first that remains, or null. Files without reads have no
+    row. One pass, in which each file becomes a small table of ranges and their first reads. ``numbered``: rec_no counts from 0 within each
+    file, as from the source, so that a filter takes the first reads; else files with more
+    reads than ``limit`` are looked at again, and histograms of their rec_no find the first ones."""
+    if numbered:
+        found = _detected(_ranges(reads.where(F.col("rec_no") < limit)))
+    else:
+        ranges = checkpointed(_ranges(reads))
+        size = Window.partitionBy("source_file")
+        ranges = ranges.withColumn("all", F.sum("n").over(size))  # of some thousand rows
+        wide = ranges.where(F.col("all") > limit)
+        found = _detected(ranges.where(F.col("all") <= limit))
+        if not wide.isEmpty():
+            again = reads.join(wide.select("source_file").distinct(), "source_file", "left_semi")
+            nth = F.row_number().over(Window.partitionBy("source_file").orderBy("rec_no"))
+            some = first_reads(again, limit).withColumn("nth", nth).where(F.col("nth") <= limit)
+            found = found.unionByName(_detected(_ranges(some)))
+    set_ = found.withColumn("bits", _compatible(F.col("lo"), F.col("hi")))
+    names = F.coalesce(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, F.lit(name)) for k, (name, _, _) in enumerate(SCALES)])
+    return set_.select("source_file", "lo", "hi", names.alias("scale"))
 
 
 def scale_lines(detected: DataFrame) -> DataFrame:

@@ -17,6 +17,9 @@ BINS_LOG2 = 16
 GENERATOR_READS = 50_000_000
 #: Numbers drawn at once.
 DRAWN = 1 << 16
+#: Records of a leaf of the tree of draws, and leaves that a worker remembers.
+DRAW_BLOCK, HELD_BLOCKS = 1 << 16, 64
+_blocks: dict[tuple[int, int, int, int], np.ndarray] = {}
 
 
 def sample_size(n: int, k: int = SAMPLE_READS, fraction: float | None = None, replacement: bool = False) -> int:
@@ -97,35 +100,92 @@ def draw_indices(n: int, size: int, replacement: bool, seed: int) -> list[int]:
     return sorted(places[:size].tolist())
 
 
-def _drawn(reads: DataFrame, n: int, size: int, replacement: bool, seed: int, method: str) -> DataFrame:
-    """(rec_no, times)."""
-    spark = reads.sparkSession
-    if method == "mt":
-        if max(size, 0 if replacement else n) > GENERATOR_READS:
-            raise ValueError("too many reads for the exact generator; use method='hash'")
-        drawn = spark.createDataFrame(pa.table({"rec_no": pa.array(draw_indices(n, size, replacement, seed), pa.int64())}))
-    else:
-        drawn = spark.range(size).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).alias("rec_no"))
+def _drawn(reads: DataFrame, n: int, size: int, replacement: bool, seed: int) -> DataFrame:
+    """(rec_no, times) of the generator's draws."""
+    if max(size, 0 if replacement else n) > GENERATOR_READS:
+        raise ValueError("too many reads for the exact generator; use method='hash'")
+    drawn = reads.sparkSession.createDataFrame(pa.table({"rec_no": pa.array(draw_indices(n, size, replacement, seed), pa.int64())}))
     return drawn.groupBy("rec_no").agg(F.count("*").alias("times"))
 
 
+# ---------------------------------------------------------------- with replacement, by a tree of draws
+
+
+def _generator(seed: int, *place: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed & 0xFFFFFFFFFFFFFFFF, *place])))
+
+
+def draws_of_block(n: int, size: int, seed: int, block: int) -> np.ndarray:
+    """How often each record of a block is drawn when ``size`` of ``n`` records are drawn with replacement. The draws are dealt
+    down a tree of record ranges: of a range's draws a binomial number falls to its first half. Every number has a generator of
+    its own, seeded by its place, so that whoever asks for a block finds the same draws, and all blocks' draws are ``size``."""
+    blocks = -(-n // DRAW_BLOCK)
+    lo, hi, left = 0, blocks, size
+    rows = lambda a, b: min(b * DRAW_BLOCK, n) - a * DRAW_BLOCK
+    while hi - lo > 1 and left:
+        mid = (lo + hi) // 2
+        first = int(_generator(seed, 0, lo, hi).binomial(left, rows(lo, mid) / rows(lo, hi)))
+        lo, hi, left = (lo, mid, first) if block < mid else (mid, hi, left - first)
+    own, rng = rows(block, block + 1), _generator(seed, 1, block)
+    if left > 4 * own:
+        return rng.multinomial(left, np.full(own, 1 / own))
+    return np.bincount(rng.integers(0, own, left), minlength=own)
+
+
+def times_drawn(n: int, size: int, seed: int, rec_no: str = "rec_no") -> Column:
+    """How often a record is drawn: a function of its number alone."""
+
+    @F.arrow_udf("bigint")
+    def times(numbers: pa.Array) -> pa.Array:
+        numbers = numbers.to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.zeros(len(numbers), np.int64)
+        block = numbers // DRAW_BLOCK
+        order = np.argsort(block, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else []:
+            k = int(block[some[0]])
+            if (found := _blocks.get((n, size, seed, k))) is None:
+                if len(_blocks) >= HELD_BLOCKS:
+                    _blocks.pop(next(iter(_blocks)))
+                found = _blocks[n, size, seed, k] = draws_of_block(n, size, seed, k)
+            out[some] = found[numbers[some] - k * DRAW_BLOCK]
+        return pa.array(out)
+
+    return times(F.col(rec_no))
+
+
+def _repeated(reads: DataFrame, times: str = "__times") -> DataFrame:
+    return reads.where(F.col(times) > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int")))).drop(times, "__copy")
+
+
 # ---------------------------------------------------------------- samples
 
 
 def sample_reads(reads: DataFrame, k: int = SAMPLE_READS, fraction: float | None = None, replacement: bool = False, seed: int = SAMPLE_SEED, method: str = "hash") -> tuple[DataFrame, DataFrame]:
-    """(sample, complement) of reads whose ``rec_no`` counts from 0 over the table. "hash" is one filter by the k-th
-    smallest key; "mt" draws the command line's own record numbers on the driver. With replacement a read comes as often
-    as it is drawn. The complement holds every read that is not in the sample."""
+    """(sample, complement) of reads whose ``rec_no`` counts from 0 over the table. "hash" is a filter: without replacement by the
+    k-th smallest key, with it by how often a record is drawn, which each task finds by itself; no read moves. "mt" draws the command line's
+    own record numbers on the driver. With replacement a read comes as often as it is drawn. The complement holds every read that is not
+    in the sample."""
+    (taken,), rest = _samples([reads], reads.count(), k, fraction, replacement, seed, method)
+    return taken, rest
+
+
+def _samples(tables: list[DataFrame], n: int, k: int, fraction: float | None, replacement: bool, seed: int, method: str) -> tuple[list[DataFrame], DataFrame]:
+    """The same records of each table, and the first one's other reads."""
     if method not in ("hash", "mt"):
         raise ValueError("method must be 'hash' or 'mt'")
-    n = reads.count()
-    size = sample_size(n, k, fraction, replacement)
-    if method == "hash" and not replacement:
-        inside = _within(_cut(reads, size, seed), seed)
-        return reads.where(inside), reads.where(~inside)
-    drawn = _drawn(reads, n, size, replacement, seed, method)
-    taken = reads.join(drawn, "rec_no").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
-    return taken.select(*reads.columns), reads.join(drawn, "rec_no", "left_anti").select(*reads.columns)
+    first, size = tables[0], sample_size(n, k, fraction, replacement)
+    if method == "mt":
+        drawn = _drawn(first, n, size, replacement, seed)
+        taken = [_repeated(t.join(drawn.withColumnRenamed("times", "__times"), "rec_no").select(*t.columns, "__times")) for t in tables]
+        return taken, first.join(drawn, "rec_no", "left_anti").select(*first.columns)
+    if replacement:
+        drawn = [t.withColumn("__times", times_drawn(n, size, seed) if n else F.lit(0)) for t in tables]
+        return [_repeated(t) for t in drawn], drawn[0].where("__times = 0").drop("__times")
+    cut = _cut(first, size, seed)
+    inside = _within(cut, seed)
+    # Numbers are a table's own, so that a mate's key alone tells whether it is in.
+    others = [t.where(F.lit(False) if cut is None else F.lit(True) if len(cut) == 1 else sample_key(seed) <= cut[0]) for t in tables[1:]]
+    return [first.where(inside), *others], first.where(~inside)
 
 
 def truncated_complement(sample: DataFrame, complement: DataFrame) -> DataFrame:
@@ -134,12 +194,11 @@ def truncated_complement(sample: DataFrame, complement: DataFrame) -> DataFrame:
     return complement.join(F.broadcast(last), F.col("rec_no") < F.col("__last")).drop("__last")
 
 
-def sample_paired(first: DataFrame, second: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    """Samples of two files in lockstep: the same record numbers of both. Their counts have to agree."""
+def sample_paired(first: DataFrame, second: DataFrame, k: int = SAMPLE_READS, fraction: float | None = None, replacement: bool = False, seed: int = SAMPLE_SEED, method: str = "hash") -> tuple[DataFrame, DataFrame]:
+    """Samples of two files in lockstep: the same record numbers of both. Their counts have to agree. By "hash" both are
+    filtered alike, and neither is joined."""
     n, m = first.count(), second.count()
     if n != m:
         raise ValueError(f"the inputs have different numbers of reads ({n} and {m})")
-    taken, _ = sample_reads(first, **options)
-    times = taken.groupBy("rec_no").agg(F.count("*").alias("times"))
-    mates = second.join(times, "rec_no").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
-    return taken, mates.select(*second.columns)
+    taken, _ = _samples([first, second], n, k, fraction, replacement, seed, method)
+    return taken[0], taken[1]

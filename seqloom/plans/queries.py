@@ -14,7 +14,9 @@ from seqloom.operators.kmers import kmers
 from seqloom.operators.ranking import global_rank
 from seqloom.plans.reads import READS_SQL, reads
 from seqloom.plans.shared import shared_path
-from seqloom.sources.fastq import fastq_text, list_files, read_fastq, write_fastq
+from seqloom.sources.fastq import read_fastq
+from seqloom.sources.files import list_files
+from seqloom.sources.sinks import fastq_text, write_fastq
 from seqloom.sources.random_reads import random_reads
 
 PATTERN, QUERY, K, SEED = "ac[gt]{2}a", "ACGTTGCAAC", 500, 4357
@@ -47,22 +49,38 @@ def _paired(spark: SparkSession, d: str) -> DataFrame:
     return one.select("rec_no", "seq").join(two.select("rec_no", F.col("seq").alias("mate_seq")), "rec_no")
 
 
-def _written(spark: SparkSession, d: str) -> list[str]:
-    """The reads, in order, as FASTQ files in the shared folder."""
+def _written(spark: SparkSession, some: DataFrame, blocked: bool = False) -> list[str]:
+    """Reads in their order as FASTQ files in the shared folder."""
     path = shared_path(spark, "written")
-    write_fastq(reads(spark, d).orderBy("rec_no"), path)
+    write_fastq(some, path, blocked=blocked)
     return list_files(path)
 
 
-def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
+def _roundtrip(blocked: bool = False):
     """Written by the sink and read by the source, files in many ranges; ids are the records' own."""
-    found = read_fastq(spark, _written(spark, d), split_bytes=SPLIT)
-    return found.select("id1", "seq", "id2", "qual")
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        found = read_fastq(spark, _written(spark, reads(spark, d).orderBy("rec_no"), blocked), split_bytes=SPLIT // (8 if blocked else 1))
+        return found.select("id1", "seq", "id2", "qual")
+
+    return query
+
+
+def _sorted_files(spark: SparkSession, d: str) -> DataFrame:
+    """Sorted and written as blocked gzip; the place of each read in the files one after the other."""
+    found = read_fastq(spark, _written(spark, sorting.sort_reads(reads(spark, d), "seq", reverse=True), True), split_bytes=SPLIT // 8, file_no=True, columns=["rec_no", "id1", "seq"])
+    return global_rank(found, [F.asc("file_no"), F.asc("rec_no")], "place").select("id1", "seq", "place")
+
+
+def _first_of_files(spark: SparkSession, d: str) -> DataFrame:
+    """The first reads of every written file, of which no more is read."""
+    files = _written(spark, reads(spark, d).orderBy("rec_no").coalesce(1))
+    return read_fastq(spark, files, split_bytes=SPLIT, records=(0, FEW), columns=["rec_no", "id1", "qual"])
 
 
 def _file_order(spark: SparkSession, d: str) -> DataFrame:
     """Place of each read in the concatenation of the written files, one of which is given twice."""
-    files = _written(spark, d)
+    files = _written(spark, reads(spark, d).orderBy("rec_no"))
     found = read_fastq(spark, [files[0], *files], split_bytes=SPLIT, file_no=True)
     placed = global_rank(found, [F.asc("file_no"), F.asc("rec_no")], "place")
     again = found.where("file_no = 0").count()
@@ -118,7 +136,10 @@ def queries() -> dict:
         "detect_scale_limit": lambda spark, d: quality.detect_scale(_varied(spark, d), limit=FEW, numbered=False),
         "concat_files": lambda spark, d: reads(spark, d).unionByName(_mates(spark, d)).groupBy("source_file").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases")),
         "print_fastq": lambda spark, d: fastq_text(reads(spark, d)),
-        "roundtrip_fastq": _roundtrip,
+        "roundtrip_fastq": _roundtrip(),
+        "roundtrip_fastq_gz": _roundtrip(blocked=True),
+        "sort_reads": _sorted_files,
+        "scan_first_reads": _first_of_files,
     }
     for k in (1, 3):
         out[f"kmers_{k}"] = lambda spark, d, k=k: kmers(reads(spark, d), k)
@@ -253,6 +274,9 @@ def oracle_sql() -> dict[str, str]:
         "concat_files": f"{_WITH} SELECT source_file, 2 * count(*) AS n, CAST(2 * sum(length(seq)) AS BIGINT) AS bases FROM reads GROUP BY source_file",
         "print_fastq": f"{_WITH} SELECT '@' || id1 || chr(10) || seq || chr(10) || '+' || id2 || chr(10) || qual AS value FROM reads",
         "roundtrip_fastq": f"{_WITH} SELECT id1, seq, id2, qual FROM reads",
+        "roundtrip_fastq_gz": f"{_WITH} SELECT id1, seq, id2, qual FROM reads",
+        "sort_reads": f"{_WITH} SELECT id1, seq, row_number() OVER (ORDER BY seq DESC, source_file, rec_no) - 1 AS place FROM reads",
+        "scan_first_reads": f"{_WITH}, n AS (SELECT id1, qual, row_number() OVER (ORDER BY rec_no) - 1 AS rec_no FROM reads) SELECT rec_no, id1, qual FROM n WHERE rec_no < {FEW}",
         "kmers_1": _kmers(1, True),
         "kmers_3": _kmers(3, True),
         "kmers_4_dense": _kmers(4, True),

@@ -1,354 +1,308 @@
-"""FASTQ as a Spark data source, and the text sinks.
+"""FASTQ as a Spark data source.
 
 A record is four lines, each ended by a newline; nothing else marks where one begins, so a split is
 aligned by counting lines: one Spark job counts the newlines of every byte range, their running sums
 give each range the number of its first line, and each range then reads the records that begin in
-it. A last record without its final newline is dropped unless ``strict_tail`` is off.
+it. Ranges of blocked gzip are counted and read alike, by the members that begin in them; other gzip files are
+one split each. A last record without its final newline is dropped unless ``strict_tail`` is off.
+
+A range of record numbers can be asked for: splits that cannot hold such a record are not planned, and nothing behind the
+last one is read. The source takes no filters from Spark: 4.1 keeps what a filter has pruned with the relation, so that
+another query on the same DataFrame would miss rows.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
 import json
-import os
 import sys
-import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql import datasource as D
+from pyspark.sql.types import StructType
 
-from seqloom.schema import NUMBERED_SCHEMA, READ_SCHEMA
+from seqloom.schema import NUMBERED_SCHEMA
+from seqloom.sources import blocked
+from seqloom.sources.files import file_size, open_file, open_raw
 
 SPLIT_BYTES, CHUNK_BYTES = 64 << 20, 4 << 20
+#: Ranges that one plan holds, at most: beyond, they are longer. Files that are looked at at once.
+MOST_RANGES, LOOKING = 20_000, 32
+#: Bytes that a byte of a packed file counts for when small files are put together.
+PACKED = 4
+#: Reads that are read one after the other rather than counted first.
+SEQUENTIAL = 1 << 20
 _KINDS = {"rec_no": pa.int64(), "file_no": pa.int32()}
-_ARROW = pa.schema([pa.field(f.name, _KINDS.get(f.name, pa.string()), nullable=False) for f in READ_SCHEMA.fields])
-
+COLUMNS = tuple(f.name for f in NUMBERED_SCHEMA.fields if f.name != "file_no")
 
-def open_file(path: str) -> io.BufferedIOBase:
-    """A local path, or any URI that a pyarrow file system reads; ``.gz`` is unpacked."""
-    if "://" in path and not path.startswith("file:"):
-        system, inner = file_system(path)
-        raw = system.open_input_file(inner)
-    else:
-        raw = open(local_path(path), "rb")
-    return gzip.open(raw) if path.endswith(".gz") else raw
 
+class FastqSplit:
+    """Bytes [start, end) of a file; ``lines`` newlines precede ``start``. ``end`` -1: to the end. ``file_no``: the file's place
+    among those that are read. ``kind``: "plain", "gzip" or "blocked", whose bytes are packed ones. ``broken``: whether ``start`` is within a line; None:
+    look. ``after``: newlines before ``end``, -1 if they are not known."""
 
-def _size(path: str) -> int:
-    system, inner = file_system(path)
-    return system.get_file_info(inner).size or 0
+    def __init__(self, path: str, start: int, end: int, lines: int, file_no: int = 0, kind: str = "plain", broken: bool | None = None, after: int = -1):
+        self.path, self.start, self.end, self.lines, self.file_no, self.kind, self.broken, self.after = path, start, end, lines, file_no, kind, broken, after
 
+    def holds(self, start: int, stop: int | None) -> bool:
+        """Whether a record numbered from ``start`` to below ``stop`` may begin here."""
+        return (stop is None or (self.lines + bool(self.broken) + 3) // 4 < stop) and (self.after < 0 or self.after // 4 >= start)
 
-class FastqSplit(InputPartition):
-    """Bytes [start, end) of a file; ``lines`` newlines precede ``start``. ``end`` -1: to the end. ``file_no``: the file's place
-    among those that are read."""
 
-    def __init__(self, path: str, start: int, end: int, lines: int, file_no: int = 0):
+class FastqPartition(D.InputPartition):
+    def __init__(self, splits: list[FastqSplit]):
         super().__init__(None)
-        self.path, self.start, self.end, self.lines, self.file_no = path, start, end, lines, file_no
-
-
-def _text(values: list[bytes]) -> list[str]:
-    return [v.decode("latin-1") for v in values]
+        self.splits = splits
 
 
-def _unmark(values: list[bytes], mark: bytes) -> list[bytes]:
-    return [v[1:] if v[:1] == mark else v for v in values]
+# ---------------------------------------------------------------- records
 
 
-def _batch(path: str, first: int, lines: list[bytes]) -> pa.RecordBatch:
-    n = len(lines) // 4
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([path] * n, pa.string()),
-            pa.array(range(first, first + n), pa.int64()),
-            pa.array(_text(_unmark(lines[0::4], b"@")), pa.string()),
-            pa.array(_text(lines[1::4]), pa.string()),
-            pa.array(_text(_unmark(lines[2::4], b"+")), pa.string()),
-            pa.array(_text(lines[3::4]), pa.string()),
-        ],
-        schema=_ARROW,
-    )
-
-
-def read_split(f, split: FastqSplit, strict_tail: bool = True, chunk: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The records whose first line begins in the split."""
-    skip = (-split.lines) % 4
-    line = split.lines
-    if split.start:
-        f.seek(split.start - 1)
-        if f.read(1) != b"\n":  # within a line, which belongs to the range before
-            skip, line = (-(split.lines + 1)) % 4, split.lines
-            head = True
-        else:
-            head = False
-    else:
-        head = False
+def _lines_of_records(own: Iterable[bytes], after: Iterable[bytes], lines: int, broken: bool, strict_tail: bool) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first record, lines) of the records whose first line begins in ``own``; ``after`` is what follows it."""
+    skip = (-(lines + broken)) % 4
     # Lines to drop before the first record: the rest of a broken one, then whole ones.
-    drop = skip + head
-    record = (line + head + skip) // 4
+    drop = skip + broken
+    record = (lines + broken + skip) // 4
     held: list[bytes] = []
-    carry, at, ended = b"", split.start, False
+    carry = b""
 
-    def take(lines: list[bytes]) -> list[bytes]:
+    def take(found: list[bytes]) -> list[bytes]:
         nonlocal drop, held
         if drop:
-            gone = min(drop, len(lines))
+            gone = min(drop, len(found))
             drop -= gone
-            lines = lines[gone:]
-        held = held + lines
+            found = found[gone:]
+        held = held + found
         whole = len(held) // 4 * 4
         out, held = held[:whole], held[whole:]
         return out
 
-    while split.end < 0 or at < split.end:
-        data = f.read(chunk if split.end < 0 else min(chunk, split.end - at))
-        if not data:
-            ended = True
-            break
-        at += len(data)
-        lines = (carry + data).split(b"\n")
-        carry = lines.pop()
-        if out := take(lines):
-            yield _batch(split.path, record, out)
+    for data in own:
+        found = (carry + data).split(b"\n")
+        carry = found.pop()
+        if out := take(found):
+            yield record, out
             record += len(out) // 4
     # The record that began before the end goes on behind it. A range that began within dropped lines owns none.
-    began = (held or (carry and not drop)) and (held or True)
-    while began and not ended and (held or carry):
-        data = f.read(1 << 16)
-        if not data:
-            ended = True
-            break
-        lines = (carry + data).split(b"\n")
-        carry = lines.pop()
+    if not held and (drop or not carry):
+        return
+    for data in after:
+        found = (carry + data).split(b"\n")
+        carry = found.pop()
         need = 4 - len(held)
-        if len(lines) >= need:
-            out = take(lines[:need])
-            yield _batch(split.path, record, out)
-            return
-        take(lines)
-    if ended and not strict_tail and carry and not drop and len(held) == 3:
-        yield _batch(split.path, record, [*held, carry])
-
-
-def _cut_at(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
-    """The records below number ``first``; nothing is read behind them."""
-    for b in batches:
-        left = first - b.column("rec_no")[0].as_py()
-        if left > 0:
-            yield b.slice(0, left)
-        if left <= b.num_rows:
+        if len(found) >= need:
+            yield record, take(found[:need])
             return
+        take(found)
+    if not strict_tail and carry and len(held) == 3:
+        yield record, [*held, carry]
 
 
-class FastqReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.strict_tail = options.get("strict_tail", "true").lower() != "false"
-        self.first = int(options["first"]) if "first" in options else None
-        self.numbered = options.get("file_no", "false") == "true"
-        splits = options.get("splits")
-        self.splits = [tuple(s) for s in json.loads(splits)] if splits else [(options["path"], 0, -1, 0, 0)]
-
-    def partitions(self) -> Sequence[InputPartition]:
-        return [FastqSplit(*s) for s in self.splits]
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        with open_file(partition.path) as f:
-            found = read_split(f, partition, self.strict_tail)
-            for b in found if self.first is None else _cut_at(found, self.first):
-                yield b.append_column("file_no", pa.array([partition.file_no] * b.num_rows, pa.int32())) if self.numbered else b
-
-
-class FastqDataSource(DataSource):
-    """``spark.read.format("fastq").load(path)``; ``read_fastq`` adds the splits of large files."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "fastq"
-
-    def schema(self):
-        return NUMBERED_SCHEMA if self.options.get("file_no", "false") == "true" else READ_SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return FastqReader(dict(self.options))
-
-
-def plan_splits(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES, first: int | None = None) -> list[tuple[str, int, int, int, int]]:
-    """(path, start, end, lines before start, file number); files of one range or packed ones need no count. With ``first`` a
-    file is one range, of which only the beginning is read."""
-    single, ranges = [], []
-    for k, path in enumerate(paths):
-        size = 0 if path.endswith(".gz") or first is not None else _size(path)
-        if size <= split_bytes:
-            single.append((k, path, 0, -1, 0))
-        else:
-            ranges += [(k, path, at, min(at + split_bytes, size)) for at in range(0, size, split_bytes)]
-    numbered = lambda rows: [(path, start, stop, lines, k) for k, path, start, stop, lines in sorted(rows)]
-    if not ranges:
-        return numbered(single)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for r in b.to_pylist():
-                n, left = 0, r["stop"] - r["start"]
-                with open_file(r["path"]) as f:
-                    f.seek(r["start"])
-                    while left and (data := f.read(min(CHUNK_BYTES, left))):
-                        n += data.count(b"\n")
-                        left -= len(data)
-                found.append(n)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], ["k", "path", "start", "stop", "n"])
-
-    table = spark.createDataFrame(ranges, "k int, path string, start bigint, stop bigint").repartition(len(ranges))
-    counted = sorted(tuple(r) for r in table.mapInArrow(count, "k int, path string, start bigint, stop bigint, n bigint").collect())
-    out, lines, last = list(single), 0, None
-    for k, path, start, stop, n in counted:
-        lines = 0 if k != last else lines
-        out.append((k, path, start, stop, lines))
-        lines, last = lines + n, k
-    return numbered(out)
-
-
-def read_fastq(spark: SparkSession, paths: str | list[str], missing: str = "error", strict_tail: bool = True, split_bytes: int = SPLIT_BYTES, first: int | None = None, file_no: bool = False) -> DataFrame:
-    """Reads of one or several files, concatenated; the partitions are in the order of files and records. ``missing``: "error",
-    or "skip" files that cannot be opened. ``first``: only so many reads of each file, behind which nothing is read. ``file_no``
-    adds the file's place among ``paths``: with rec_no it tells reads apart even where a file is given twice."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    if missing not in ("error", "skip"):
-        raise ValueError("missing must be 'error' or 'skip'")
-    found, places = [], []
-    for k, p in enumerate(paths):
-        try:
-            with open_file(p):
-                found.append(p)
-                places.append(k)
-        except OSError:
-            if missing == "error":
-                raise
-            print(f"skipped: {p} cannot be opened", file=sys.stderr)
-    if not found:
-        return spark.createDataFrame([], NUMBERED_SCHEMA if file_no else READ_SCHEMA)
-    spark.dataSource.register(FastqDataSource)
-    splits = [(*s[:-1], places[s[-1]]) for s in plan_splits(spark, found, split_bytes, first)]
-    reader = spark.read.format("fastq").option("strict_tail", str(strict_tail).lower()).option("file_no", str(file_no).lower())
-    if first is not None:
-        reader = reader.option("first", first)
-    return reader.option("splits", json.dumps(splits)).load()
-
+def _pieces(f, size: int, left: int = -1) -> Iterator[bytes]:
+    while left and (data := f.read(size if left < 0 else min(size, left))):
+        left -= len(data) if left > 0 else 0
+        yield data
 
-def list_files(folder: str) -> list[str]:
-    """The data files of a folder, by name: what ``write_fastq`` wrote, in its order."""
-    from pyarrow import fs
 
-    system, inner = file_system(folder)
-    head = folder[: len(folder) - len(inner)] if "://" in folder and not folder.startswith("file:") else ""
-    found = system.get_file_info(fs.FileSelector(inner))
-    return [head + f.path for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and f.base_name[:1] not in "._"]
+def _texts(f, split: FastqSplit, chunk: int) -> tuple[Iterator[bytes], Iterator[bytes], bool]:
+    """What lies in the split, what follows it, and whether it begins within a line."""
+    if split.kind == "blocked":
+        at = blocked.find_member(f, split.start, split.end)
+        found = iter(()) if at is None else blocked.members(f, at)
+        ahead: list[bytes] = []
 
+        def own() -> Iterator[bytes]:
+            for place, text in found:
+                if place >= split.end:
+                    ahead.append(text)
+                    return
+                yield text
 
-# ---------------------------------------------------------------- sinks
+        def after() -> Iterator[bytes]:
+            yield from ahead
+            yield from (text for _, text in found)
 
+        return own(), after(), bool(split.broken)
+    broken = bool(split.broken)
+    if split.start:
+        f.seek(split.start - (split.broken is None))
+        if split.broken is None:
+            broken = f.read(1) != b"\n"
+    return _pieces(f, chunk, split.end - split.start if split.end >= 0 else -1), _pieces(f, 1 << 16), broken
 
-def _until_nul(column: str):
-    """Printed fields end at a NUL byte."""
-    return F.substring_index(F.col(column), "\0", 1)
-
-
-def fastq_text(reads: DataFrame) -> DataFrame:
-    """One string a record, without its final newline."""
-    parts = (F.lit("@"), _until_nul("id1"), F.lit("\n"), _until_nul("seq"), F.lit("\n+"), _until_nul("id2"), F.lit("\n"), _until_nul("qual"))
-    return reads.select(F.concat(*parts).alias("value"))
-
-
-def file_system(path: str):
-    """(pyarrow file system, path within it)."""
-    from pyarrow import fs
-
-    if "://" in path and not path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), os.path.abspath(local_path(path))
 
+def _text(values: list[bytes]) -> list[str]:
+    return [v.decode("latin-1") for v in values]
 
-def local_path(path: str) -> str:
-    """Of a path or a file URI, with one slash or three."""
-    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
+def _unmark(values: list[bytes], mark: bytes) -> list[bytes]:
+    return [v[1:] if v[:1] == mark else v for v in values]
 
-class _Written(WriterCommitMessage):
-    def __init__(self, name: str):
-        self.name = name
 
+def _batch(split: FastqSplit, first: int, lines: list[bytes], columns: Sequence[str]) -> pa.RecordBatch:
+    n = len(lines) // 4
+    make = {
+        "source_file": lambda: [split.path] * n,
+        "rec_no": lambda: range(first, first + n),
+        "id1": lambda: _text(_unmark(lines[0::4], b"@")),
+        "seq": lambda: _text(lines[1::4]),
+        "id2": lambda: _text(_unmark(lines[2::4], b"+")),
+        "qual": lambda: _text(lines[3::4]),
+        "file_no": lambda: [split.file_no] * n,
+    }
+    schema = pa.schema([pa.field(c, _KINDS.get(c, pa.string()), nullable=False) for c in columns])
+    return pa.RecordBatch.from_arrays([pa.array(make[c](), _KINDS.get(c, pa.string())) for c in columns], schema=schema)
+
+
+def read_split(f, split: FastqSplit, strict_tail: bool = True, chunk: int = CHUNK_BYTES, columns: Sequence[str] = COLUMNS, start: int = 0, stop: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The records whose first line begins in the split, numbered from ``start`` to below ``stop``."""
+    own, after, broken = _texts(f, split, chunk)
+    for record, lines in _lines_of_records(own, after, split.lines, broken, strict_tail):
+        n = len(lines) // 4
+        lo, hi = max(0, start - record), n if stop is None else min(n, stop - record)
+        if lo < hi:
+            yield _batch(split, record + lo, lines[4 * lo : 4 * hi], columns)
+        if stop is not None and record + n >= stop:
+            return
 
-class LineWriter(DataSourceArrowWriter):
-    """A file for each task, one byte for each character; files appear in the folder once all tasks have ended."""
 
-    def __init__(self, path: str):
-        self.path = path
+# ---------------------------------------------------------------- the source
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        system, folder = file_system(self.path)
-        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
-        system.create_dir(f"{folder}/_pending", recursive=True)
-        with system.open_output_stream(f"{folder}/_pending/{name}") as f:
-            for b in iterator:
-                if b.num_rows:
-                    f.write(("\n".join(b.column(0).to_pylist()) + "\n").encode("latin-1"))
-        return _Written(name)
 
-    def commit(self, messages) -> None:
-        system, folder = file_system(self.path)
-        system.create_dir(folder, recursive=True)
-        for m in messages:
-            if m is not None:
-                system.move(f"{folder}/_pending/{m.name}", f"{folder}/{m.name}")
-        self.abort(messages)
+class FastqReader(D.DataSourceReader):
+    def __init__(self, schema: StructType, options: dict):
+        self.columns = schema.fieldNames()
+        self.strict_tail = options.get("strict_tail", "true").lower() != "false"
+        self.start, self.stop = int(options.get("start", 0)), int(options["stop"]) if "stop" in options else None
+        groups = options.get("splits")
+        self.groups = [[FastqSplit(*s) for s in g] for g in json.loads(groups)] if groups else [[FastqSplit(options["path"], 0, -1, 0, 0, "gzip" if options["path"].endswith(".gz") else "plain")]]
 
-    def abort(self, messages) -> None:
-        from pyarrow import fs
+    def partitions(self) -> Sequence[D.InputPartition]:
+        return [FastqPartition(g) for g in self.groups]
 
-        system, folder = file_system(self.path)
-        if system.get_file_info(f"{folder}/_pending").type != fs.FileType.NotFound:
-            system.delete_dir(f"{folder}/_pending")
+    def read(self, partition: FastqPartition) -> Iterator[pa.RecordBatch]:
+        for split in partition.splits:
+            with open_raw(split.path) if split.kind != "gzip" else open_file(split.path) as f:
+                yield from read_split(f, split, self.strict_tail, columns=self.columns, start=self.start, stop=self.stop)
 
 
-class LineSink(DataSource):
-    """Sink for one string column of Latin-1 text, which Spark's own text sink cannot write."""
+class FastqDataSource(D.DataSource):
+    """``spark.read.format("fastq").load(path)``; ``read_fastq`` adds the splits of large files."""
 
     @classmethod
     def name(cls) -> str:
-        return "latin1_lines"
+        return "fastq"
 
-    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return LineWriter(self.options["path"])
+    def schema(self):
+        wanted = self.options["columns"].split(",") if "columns" in self.options else COLUMNS
+        return StructType([f for f in NUMBERED_SCHEMA.fields if f.name in wanted])
 
+    def reader(self, schema) -> D.DataSourceReader:
+        return FastqReader(schema, dict(self.options))
 
-def _write_lines(lines: DataFrame, path: str, overwrite: bool) -> None:
-    from pyarrow import fs
 
-    system, folder = file_system(path)
-    if system.get_file_info(folder).type != fs.FileType.NotFound:
-        if not overwrite:
-            raise FileExistsError(f"{path} exists")
-        system.delete_dir(folder)
-    lines.sparkSession.dataSource.register(LineSink)
-    lines.write.format("latin1_lines").mode("append").save(path)
+# ---------------------------------------------------------------- planning
 
 
-def write_fastq(reads: DataFrame, path: str, overwrite: bool = False) -> None:
-    """A folder of text files in the order of the rows; an existing one is an error unless ``overwrite``."""
-    _write_lines(fastq_text(reads), path, overwrite)
+def _looked_at(path: str) -> tuple[int, str] | None:
+    """(bytes, kind), or None if the file cannot be opened."""
+    try:
+        with open_raw(path) as f:
+            if not path.endswith(".gz"):
+                return file_size(path), "plain"
+            return file_size(path), "blocked" if blocked.is_blocked(f.read(blocked.LARGEST)) else "gzip"
+    except OSError:
+        return None
 
 
-def write_lines(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """The string column ``value`` as lines; it may hold several, as FASTA records do."""
-    _write_lines(df.select("value"), path, overwrite)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Newlines of each range, whether its last byte is one (null if it has none), and whether it could be unpacked."""
+    for b in batches:
+        found = []
+        for r in b.to_pylist():
+            split, n, ends, whole = FastqSplit(r["path"], r["start"], r["stop"], 0, kind=r["kind"], broken=False), 0, None, True
+            with open_raw(split.path) as f:
+                try:
+                    for data in _texts(f, split, CHUNK_BYTES)[0]:
+                        n, ends = n + data.count(b"\n"), data.endswith(b"\n") if data else ends
+                except blocked.NotBlocked:
+                    whole = False
+            found.append((n, ends, whole))
+        n, ends, whole = zip(*found)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(ends, pa.bool_()), pa.array(whole)], [*b.schema.names, "n", "ends", "whole"])
+
+
+def plan_splits(spark: SparkSession, files: list[tuple[str, int, str]], split_bytes: int = SPLIT_BYTES, whole: bool = False) -> list[FastqSplit]:
+    """Splits of ``files`` (path, bytes, kind) in order, numbered by place; files of one range or plain gzip need no count.
+    ``whole``: every file is one range."""
+    split_bytes = max(split_bytes, -(-sum(size for _, size, _ in files) // MOST_RANGES))
+    ranges = [(k, path, at, min(at + split_bytes, size), kind) for k, (path, size, kind) in enumerate(files) if kind != "gzip" and not whole and size > split_bytes for at in range(0, size, split_bytes)]
+    counted: dict[int, list] = {}
+    if ranges:
+        columns = "k int, path string, start bigint, stop bigint, kind string"
+        table = spark.createDataFrame(ranges, columns).repartition(len(ranges))
+        for r in table.mapInArrow(_count, f"{columns}, n bigint, ends boolean, whole boolean").collect():  # MOST_RANGES and a row a file
+            counted.setdefault(r["k"], []).append(r)
+    out = []
+    for k, (path, _, kind) in enumerate(files):
+        rows = sorted(counted.get(k, ()), key=lambda r: r["start"])
+        if not rows or not all(r["whole"] for r in rows):
+            out.append(FastqSplit(path, 0, -1, 0, k, "plain" if kind == "plain" else "gzip"))
+            continue
+        lines, broken = 0, False
+        for r in rows:
+            out.append(FastqSplit(path, r["start"], r["stop"], lines, k, kind, broken, lines + r["n"]))
+            lines, broken = lines + r["n"], broken if r["ends"] is None else not r["ends"]
+    return out
+
+
+def _together(splits: list[FastqSplit], sizes: list[int], most: int) -> list[list[FastqSplit]]:
+    """Neighbouring whole files in one partition, as many as ``most`` bytes allow."""
+    groups: list[list[FastqSplit]] = []
+    room = 0
+    for s in splits:
+        size = (sizes[s.file_no] if s.end < 0 else s.end - s.start) * (1 if s.kind == "plain" else PACKED)
+        if groups and size <= room and s.end < 0:
+            groups[-1].append(s)
+            room -= size
+        else:
+            groups.append([s])
+            room = most - size if s.end < 0 else 0
+    return groups
 
 
-def write_tsv(df: DataFrame, path: str, header: bool = True, overwrite: bool = False) -> None:
-    df.write.mode("overwrite" if overwrite else "errorifexists").option("sep", "\t").option("header", header).csv(path)
+def read_fastq(spark: SparkSession, paths: str | list[str], missing: str = "error", strict_tail: bool = True, split_bytes: int = SPLIT_BYTES, records: tuple[int, int | None] = (0, None), file_no: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+    """Reads of one or several files, concatenated; the partitions are in the order of files and records. ``missing``: "error",
+    or "skip" files that cannot be opened. ``records``: only those numbered from the one to below the other, in each file; of
+    its first SEQUENTIAL reads a file is read without being counted. ``file_no`` adds the file's place among ``paths``: with rec_no it tells reads apart even where a file is given twice. ``columns``:
+    only these are made."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if missing not in ("error", "skip"):
+        raise ValueError("missing must be 'error' or 'skip'")
+    wanted = [c for c in (*COLUMNS, *(["file_no"] if file_no else [])) if columns is None or c in columns or c == "file_no"]
+    with ThreadPoolExecutor(LOOKING) as pool:
+        looked = list(pool.map(_looked_at, paths))
+    for path, x in zip(paths, looked):
+        if x is None:
+            if missing == "error":
+                raise FileNotFoundError(f"{path} cannot be opened")
+            print(f"skipped: {path} cannot be opened", file=sys.stderr)
+    places = [k for k, x in enumerate(looked) if x is not None]
+    none = spark.createDataFrame([], StructType([f for f in NUMBERED_SCHEMA.fields if f.name in wanted]))
+    if not places:
+        return none
+    spark.dataSource.register(FastqDataSource)
+    start, stop = records
+    splits = plan_splits(spark, [(paths[k], *looked[k]) for k in places], split_bytes, whole=stop is not None and stop <= SEQUENTIAL)
+    splits = [s for s in splits if s.holds(start, stop)]
+    if not splits:
+        return none
+    groups = _together(splits, [looked[k][0] for k in places], split_bytes)
+    plan = [[(s.path, s.start, s.end, s.lines, places[s.file_no], s.kind, s.broken, s.after) for s in g] for g in groups]
+    reader = spark.read.format("fastq").option("strict_tail", str(strict_tail).lower()).option("columns", ",".join(wanted))
+    reader = reader.option("start", start) if start else reader
+    reader = reader if stop is None else reader.option("stop", stop)
+    return reader.option("splits", json.dumps(plan)).load()

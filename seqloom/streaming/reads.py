@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.plans.deploy import ship
 from seqloom.schema import READ_SCHEMA
-from seqloom.sources.fastq import FastqSplit, open_file, read_split
+from seqloom.sources.fastq import FastqSplit, read_split
+from seqloom.sources.files import open_file
 
 
 #: Of Spark's source of whole files; their content is never asked for.

@@ -6,7 +6,8 @@ import random
 
 import pytest
 
-from seqloom.sources import fastq
+from seqloom.schema import READ_SCHEMA
+from seqloom.sources import fastq, files, sinks
 from seqloom.streaming.reads import stream_fastq
 
 CASES = {
@@ -77,7 +78,7 @@ def test_first_and_file_numbers(spark, tmp_path):
     (tmp_path / "y.gz").write_bytes(gzip.compress(data[:260]))
     df = fastq.read_fastq(spark, [a, "none", b, a], missing="skip", split_bytes=777, file_no=True)
     assert [(r["file_no"], r["rec_no"]) for r in df.collect()] == [(0, k) for k in range(500)] + [(2, k) for k in range(10)] + [(3, k) for k in range(500)]
-    assert [r["rec_no"] for r in fastq.read_fastq(spark, [a, b], split_bytes=777, first=12).collect()] == [*range(12), *range(10)]
+    assert [r["rec_no"] for r in fastq.read_fastq(spark, [a, b], split_bytes=777, records=(0, 12)).collect()] == [*range(12), *range(10)]
     # Nothing behind the chunk with the last wanted read is read.
     read = 0
 
@@ -87,17 +88,17 @@ def test_first_and_file_numbers(spark, tmp_path):
             read += n
             return data[read - n : read]
 
-    found = list(fastq._cut_at(fastq.read_split(Counting(), fastq.FastqSplit("f", 0, -1, 0), chunk=100), 7))
+    found = list(fastq.read_split(Counting(), fastq.FastqSplit("f", 0, -1, 0), chunk=100, stop=7))
     assert sum(x.num_rows for x in found) == 7 and read <= 300
 
 
 def test_round_trip_of_many_files(spark, tmp_path):
     rows = [("f", k, f"id {k}", "ACGT" * (k % 9), "x" * (k % 2), "I" * (4 * (k % 9))) for k in range(400)]
-    df = spark.createDataFrame(rows, fastq.READ_SCHEMA).repartitionByRange(5, "rec_no").sortWithinPartitions("rec_no")
-    fastq.write_fastq(df, str(tmp_path / "out"))
-    files = fastq.list_files(str(tmp_path / "out"))
-    back = fastq.read_fastq(spark, files, split_bytes=500).collect()
-    assert len(files) > 1 and [tuple(r)[2:] for r in back] == [r[2:] for r in rows]
+    df = spark.createDataFrame(rows, READ_SCHEMA).repartitionByRange(5, "rec_no").sortWithinPartitions("rec_no")
+    sinks.write_fastq(df, str(tmp_path / "out"))
+    found = files.list_files(str(tmp_path / "out"))
+    back = fastq.read_fastq(spark, found, split_bytes=500).collect()
+    assert len(found) > 1 and [tuple(r)[2:] for r in back] == [r[2:] for r in rows]
 
 
 def test_missing(spark, tmp_path):
@@ -111,12 +112,12 @@ def test_missing(spark, tmp_path):
 def test_round_trip(spark, tmp_path):
     (tmp_path / "a").write_bytes(CASES["double"][0] + CASES["latin"][0])
     df = fastq.read_fastq(spark, str(tmp_path / "a"))
-    fastq.write_fastq(df.coalesce(1), str(tmp_path / "out"))
+    sinks.write_fastq(df.coalesce(1), str(tmp_path / "out"))
     parts = list((tmp_path / "out").glob("part-*"))
     assert b"".join(p.read_bytes() for p in parts) == CASES["double"][0] + CASES["latin"][0]
     with pytest.raises(Exception, match="(?i)exists"):
-        fastq.write_fastq(df, str(tmp_path / "out"))
-    fastq.write_fastq(df, str(tmp_path / "out"), overwrite=True)
+        sinks.write_fastq(df, str(tmp_path / "out"))
+    sinks.write_fastq(df, str(tmp_path / "out"), overwrite=True)
 
 
 def test_any_quality_is_written(spark, tmp_path):
@@ -124,13 +125,13 @@ def test_any_quality_is_written(spark, tmp_path):
     for lead in (b'"', b"#", b" ", b"\\", b""):
         data = b"@ a \n" + lead + b"\n+\n" + lead + qual + b" \n"
         (tmp_path / "q").write_bytes(data)
-        fastq.write_fastq(fastq.read_fastq(spark, str(tmp_path / "q")), str(tmp_path / "o"), overwrite=True)
+        sinks.write_fastq(fastq.read_fastq(spark, str(tmp_path / "q")), str(tmp_path / "o"), overwrite=True)
         assert b"".join(p.read_bytes() for p in (tmp_path / "o").glob("part-*")) == data
 
 
 def test_nul_ends_a_field(spark):
     df = spark.createDataFrame([("f", 0, "a", "AC", "", "I\0I")], "source_file string, rec_no bigint, id1 string, seq string, id2 string, qual string")
-    assert fastq.fastq_text(df).first()["value"] == "@a\nAC\n+\nI"
+    assert sinks.fastq_text(df).first()["value"] == "@a\nAC\n+\nI"
 
 
 def test_stream(spark, tmp_path):

@@ -62,7 +62,7 @@ def test_grep_rules(spark, some):
     assert {r[0]: r[1] for r in grep.grep_count(df, "ac", files=files).collect()} == {"f": grep.grep(df, "ac").count(), "empty": 0}
 
 
-def test_dialect(spark):
+def test_constructs_of_the_dialect(spark):
     for bad in (r"a\Kb", "(?R)", "(?1)", "(?|a)", "(?(1)a)", "(*FAIL)", "[[:nope:]]"):
         with pytest.raises(UnsupportedPattern):
             java_pattern(bad)
@@ -317,3 +317,132 @@ def test_dialect(spark, pattern, seq, hit):
 def test_bad_patterns_fail_on_the_driver(spark, pattern):
     with pytest.raises(UnsupportedPattern, match="offset"):
         grep.grep(make(spark, ["A"]), pattern)
+
+
+# ---------------------------------------------------------------- ragged batches, draws without a join
+
+
+def plain_score(query, read, matrix):
+    """Gotoh's recurrence, cell by cell."""
+    best, m = 0, len(query)
+    h, t = [0] * (m + 1), [-(10**6)] * (m + 1)
+    for x in read:
+        diagonal, u, new = 0, -(10**6), [0] * (m + 1)
+        for j in range(1, m + 1):
+            t[j] = max(h[j] - 4, t[j] - 3)
+            u = max(new[j - 1] - 4, u - 3)
+            new[j] = max(0, h[j - 1] + int(matrix[query[j - 1], x]), t[j], u)
+            best = max(best, new[j])
+        h = new
+    return best
+
+
+@pytest.mark.parametrize("piece", [1, 3, 17, 1 << 17])
+def test_scores_however_letters_are_cut(piece):
+    r = np.random.default_rng(1)
+    for name in align.MATRICES:
+        reads = [r.integers(0, 5, r.integers(0, 60)) for _ in range(40)] + [np.empty(0, np.int64)] + [np.tile([0, 1, 2, 3], 40)]
+        query = r.integers(0, 5, 9)
+        letters = np.concatenate(reads)
+        starts = np.cumsum([0, *map(len, reads)])[:-1]
+        found = align.local_scores(query, letters, starts, align.MATRICES[name], piece)
+        assert found.tolist() == [plain_score(query.tolist(), x.tolist(), align.MATRICES[name]) for x in reads]
+
+
+def test_one_long_read_among_short_ones_needs_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    reads = [r.integers(0, 4, 1_000_000), *(r.integers(0, 4, 100) for _ in range(2047))]
+    letters, starts = np.concatenate(reads), np.cumsum([0, *map(len, reads)])[:-1]
+    query = r.integers(0, 4, 12)
+    tracemalloc.start()
+    found = align.local_scores(query, letters, starts, align.MATRICES["default"])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+    assert found[0] >= 8 and found[5] == plain_score(query.tolist(), reads[5].tolist(), align.MATRICES["default"])
+
+
+def test_hashes_of_ragged_batches():
+    import tracemalloc
+
+    r = random.Random(3)
+    values = [r.randbytes(n) for n in (0, 1, 2, 3, 4, 5, 7, 8, 1000, 16_384, 16_385, 1_000_003, 20_001)] + [r.randbytes(r.randrange(200)) for _ in range(5000)]
+    seeds = np.array([r.randrange(2**32) for _ in values], np.uint32)
+    tracemalloc.start()
+    found = murmur3(values, seeds)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
+    order = r.sample(range(len(values)), 60) + list(range(13))
+    assert [int(murmur3([values[k]], seeds[k : k + 1])[0]) for k in order] == [int(found[k]) for k in order]
+    from seqloom.functions import hashing
+
+    for k in range(8, 13):  # a long string's words one after the other are what they are together
+        assert hashing._folded_long(values[k], int(seeds[k])) == int(hashing._folded([values[k]], seeds[k : k + 1])[0])
+
+
+def test_draws_of_blocks_add_up(monkeypatch):
+    for n, size in ((1, 5), (7, 0), (1000, 1), (65_536, 500), (65_537, 70_000), (300_000, 3_000_000)):
+        counts = [sampling.draws_of_block(n, size, 11, b) for b in range(-(-n // sampling.DRAW_BLOCK))]
+        assert sum(map(len, counts)) == n and int(sum(c.sum() for c in counts)) == size
+    monkeypatch.setattr(sampling, "DRAW_BLOCK", 10)
+    total = np.zeros(95)
+    for seed in range(400):
+        total += np.concatenate([sampling.draws_of_block(95, 950, seed, b) for b in range(10)])
+    expected = 400 * 950 / 95
+    assert ((total - expected) ** 2 / expected).sum() < 95 + 5 * (2 * 95) ** 0.5  # chi-square, five deviations
+
+
+def test_drawing_with_replacement_moves_no_read(spark, some):
+    df = some[2]
+    taken, rest = sampling.sample_reads(df, k=60, replacement=True, seed=4)
+    for part in (taken, rest):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    rows = [r["rec_no"] for r in taken.collect()]
+    assert len(rows) == 60 and rows != sorted(set(rows))
+    assert sorted(set(rows)) == sorted(set(range(123)) - {r["rec_no"] for r in rest.collect()})
+    again = sampling.sample_reads(df.repartition(5), k=60, replacement=True, seed=4)[0]
+    assert sorted(r["rec_no"] for r in again.collect()) == sorted(rows)
+
+
+@pytest.mark.parametrize("replacement", [False, True])
+def test_mates_are_filtered_and_not_joined(spark, some, replacement):
+    mates = some[2].withColumn("source_file", F.lit("mates"))
+    one, two = sampling.sample_paired(some[2], mates, k=30, replacement=replacement, seed=2)
+    assert sorted(r["rec_no"] for r in one.collect()) == sorted(r["rec_no"] for r in two.collect()) and two.count() == 30
+    for part in (one, two):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_quality_table_of_long_reads(spark, monkeypatch):
+    monkeypatch.setattr(quality, "POSITIONS", 4)
+    monkeypatch.setattr(quality, "BLOCKS", 3)
+    monkeypatch.setattr(quality, "PIECE", 11)
+    r = random.Random(5)
+    quals = ["".join(chr(r.choice([33, 60, 126, 200, 255])) for _ in range(r.randrange(70))) for _ in range(60)] + ["", "I" * 300]
+    df = make(spark, ["A"] * len(quals), quals)
+    want = {}
+    for q in quals:
+        for k, c in enumerate(q):
+            if ord(c) <= 254:
+                want[k, ord(c)] = want.get((k, ord(c)), 0) + 1
+    assert {(r["pos"], r["qual"]): r["n"] for r in quality.qual_table(df).collect()} == want
+    for plan in (quality.qual_table(df), quality.qual_table(df, dense=True)):
+        assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
+    lines = {r["qual"]: r["value"].split("\t") for r in quality.qual_lines(df).collect()}
+    assert len(lines) == 255 and all(len(x) == 300 for x in lines.values())
+    assert {(k, q): int(n) for q, x in lines.items() for k, n in enumerate(x) if n != "0"} == want
+
+
+def test_quality_table_of_a_million_positions(spark):
+    df = make(spark, ["A", "C"], ["I" * 1_000_000, "II"])
+    assert quality.qual_table(df).agg(F.count("*"), F.sum("n")).first()[:] == (1_000_000, 1_000_002)
+
+
+def test_detection_is_one_pass_without_a_window(spark, some):
+    plan = quality.detect_scale(some[2])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Scan") <= 2
