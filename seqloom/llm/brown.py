@@ -462,13 +462,13 @@ def all_classes(sequences: DataFrame, counts: DataFrame, head: int, own: np.ndar
         def form(words: pa.Array) -> pa.Array:
             return pa.array([form_of(w) for w in words.to_pylist()], pa.int32())
 
-        return stage_table(counts.select("word", "n", form("word").alias("class")), "word-classes", compression="zstd")
+        return stage_table(counts.select("word", "n", form("word").alias("class")), "word-classes")
     gains = Gains(transitions, classes)
     rows = sequences.select("ids", "rest").mapInArrow(_count_contexts(own, head, gains), "word binary, n bigint, bigrams binary")
     # A word has one row of bounded size for each task (or HELD_WORDS words of a task) that read it; they are added up as
     # they come, so that no word's rows are ever a list.
     dealt = rows.repartition("word").sortWithinPartitions("word")
-    return stage_table(dealt.mapInArrow(_choose_classes(gains, classes), "word binary, n bigint, class int"), "word-classes", compression="zstd")
+    return stage_table(dealt.mapInArrow(_choose_classes(gains, classes), "word binary, n bigint, class int"), "word-classes")
 
 
 # ---------------------------------------------------------------- the model
@@ -570,7 +570,7 @@ def _rare_words(head: int):
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, n; ``texts`` has one binary column."""
     counts = texts.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return stage_table(counts, "word-counts", compression="zstd")
+    return stage_table(counts, "word-counts")
 
 
 def learn(sequences: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]]) -> tuple[Callable[..., ClassModel], DataFrame]:
@@ -606,7 +606,7 @@ def learn(sequences: DataFrame, counts: DataFrame, head: list[tuple[bytes, int]]
 def numbered(texts: DataFrame, head: list[tuple[bytes, int]], *others: str) -> DataFrame:
     """Texts, the first column, as numbers; ``others`` declares the other columns."""
     schema = ", ".join(["ids binary", "rest binary", *others])
-    return stage_table(texts.mapInArrow(_number({w: i for i, (w, _) in enumerate(head)}), schema), "sequences", compression="zstd")
+    return stage_table(texts.mapInArrow(_number({w: i for i, (w, _) in enumerate(head)}), schema), "sequences")
 
 
 def train(texts: DataFrame) -> tuple[Callable[..., ClassModel], DataFrame]:
@@ -664,7 +664,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     out = sequences.select("row", "doc_id", "held_out", emit("ids").alias("r")).select("row", "doc_id", "held_out", "r.*")
     out = out.join(added, "row", "left").withColumn("classes", fill("classes", "found", "places")).drop("row", "found", "places")
-    out = stage_table(out, "text-classes", compression="zstd")
+    out = stage_table(out, "text-classes")
     drop_table(sequences)
     drop_table(counts)
     size = model.end + 1
