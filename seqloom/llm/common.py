@@ -2,40 +2,29 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.plans.shared import shared_dir
+
 #: Rows and bytes of one Arrow batch to a Python worker. Texts may be long, so both are bounded.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a local session gets one of its own; on a
-    cluster that is an error, as executors would each write to their own disks."""
-    set_by = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_by:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
-        set_by = spark.sparkContext.getCheckpointDir()
-    return set_by.rstrip("/")
-
-
-#: Folders that stage_table wrote, for each open ``temporary_tables``.
-_written: list[list[str]] = []
+#: Folders that stage_table wrote, for each ``temporary_tables`` that is open in this thread or task.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
 def new_table(spark: SparkSession, label: str) -> str:
     """Path of a table to be written in the shared folder."""
     path = f"{shared_dir(spark)}/seqloom/{label}-{uuid.uuid4().hex}"
-    for paths in _written:
+    for paths in _written.get():
         paths.append(path)
     return path
 
@@ -63,11 +52,11 @@ def drop_table(df: DataFrame) -> None:
 def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
     """Deletes, at its end, the tables that are staged within it, but for those taken out of the list."""
     paths: list[str] = []
-    _written.append(paths)
+    token = _written.set((*_written.get(), paths))
     try:
         yield paths
     finally:
-        _written.remove(paths)
+        _written.reset(token)
         for path in paths:
             _delete(spark, path)
 
