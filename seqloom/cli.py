@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import argparse
 import sys
+import threading
 import time
+from contextlib import contextmanager, nullcontext
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import align, grep, kmers, quality, sampling, sorting, uniq
@@ -20,6 +22,8 @@ from seqloom.sources.files import file_system, open_file
 from seqloom.sources.sinks import fastq_text, write_lines
 
 VERSION = "0.1"
+#: Fixed value. Reads after which progress is printed.
+PROGRESS_READS = 100_000
 
 
 def parser() -> argparse.ArgumentParser:
@@ -50,7 +54,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("query")
     p.add_argument("files", nargs="*", help="files, or - (or none) for standard input")
     p = program("uniq", "distinct sequences with counts")
-    p.add_argument("-v", "--verbose", action="store_true", help="print the number of reads when done")
+    p.add_argument("-v", "--verbose", action="store_true", help="print how many reads are done, each 100,000 and at the end")
     p.add_argument("files", nargs="*", help="files, or - (or none) for standard input")
     p = program("qual", "quality counts by position")
     p.add_argument("files", nargs="*", help="files, or - (or none) for standard input")
@@ -122,7 +126,7 @@ def _sample(args, spark: SparkSession) -> None:
     if not 1 <= len(args.files) <= 2:
         raise ValueError("sample takes one file or two")
     inputs = [read_fastq(spark, f) for f in args.files]
-    method = args.method or ("mt" if inputs[0].count() <= sampling.GENERATOR_READS else "hash")
+    method = args.method or ("mt" if inputs[0].count() <= sampling.UNASKED and args.n <= sampling.GENERATOR_DRAWS else "hash")
     options = {"k": args.n, "fraction": args.p, "replacement": args.with_replacement, "seed": args.seed, "method": method}
     if len(inputs) == 2 and (a := inputs[0].count()) != (b := inputs[1].count()):
         raise ValueError(f"the inputs have different numbers of reads ({a} and {b})")
@@ -136,11 +140,52 @@ def _sample(args, spark: SparkSession) -> None:
             emit(fastq_text(part.orderBy("rec_no")), name, args.overwrite)
 
 
+@contextmanager
+def progress(reads: DataFrame, every: int = PROGRESS_READS):
+    """The reads, counted as tasks end (a task that is run again counts again); each time ``every`` more are done their number is
+    printed, and at the end that of all."""
+    spark = reads.sparkSession
+    done, ended, shown = spark.sparkContext.accumulator(0), threading.Event(), 0
+
+    def count(batches):
+        for b in batches:
+            done.add(b.num_rows)
+            yield b
+
+    def show(last: bool = False) -> None:
+        nonlocal shown
+        if done.value // every > shown or last:
+            shown = done.value // every
+            print(f"{done.value} reads", file=sys.stderr, flush=True)
+
+    def watch() -> None:
+        while not ended.wait(0.2):
+            show()
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield reads.mapInArrow(count, reads.schema)
+    finally:
+        ended.set()
+        watcher.join()
+        show(last=True)
+
+
 def run(args, spark: SparkSession) -> None:
     ship(spark)
     if args.program == "sample":
         return _sample(args, spark)
     paths, names = inputs_of(args, spark)
+    try:
+        _run(args, spark, paths, names)
+    finally:
+        for spooled in names:
+            system, inner = file_system(spooled)
+            system.delete_file(inner)
+
+
+def _run(args, spark: SparkSession, paths: list[str], names: dict[str, str]) -> None:
     # What passes reads on keeps the order of the partitions, which is that of files and records: nothing is sorted.
     records = (0, SCALE_READS if args.program == "qscale" else None)
     columns = {"kmers": ["seq"], "match": ["seq"], "uniq": ["seq"], "qual": ["qual"], "qscale": ["source_file", "rec_no", "qual"]}.get(args.program)
@@ -169,12 +214,9 @@ def run(args, spark: SparkSession) -> None:
     elif args.program == "match":
         lines = reads.select(F.concat_ws("\t", "seq", align.align_score("seq", args.query).cast("string")).alias("value"))
     elif args.program == "uniq":
-        seen = Observation("progress")
-        lines = uniq.uniq_fasta(reads.observe(seen, F.count("*").alias("reads")) if args.verbose else reads).orderBy("n")
-        emit(lines, args.out, args.overwrite)
-        if args.verbose:
-            print(f"{seen.get['reads']} reads", file=sys.stderr)
-        return None
+        with progress(reads) if args.verbose else nullcontext(reads) as counted:
+            emit(uniq.uniq_fasta(counted).orderBy("n"), args.out, args.overwrite)
+        return
     elif args.program == "qual":
         lines = quality.qual_lines(reads).orderBy("qual")
     elif args.program == "qualadj":
@@ -188,7 +230,6 @@ def run(args, spark: SparkSession) -> None:
         seed = None if args.seed is None else time.time_ns() & 0xFFFFFFFF if args.seed == "time" else int(args.seed)
         lines = fastq_text(sorting.sort_reads(reads, args.by or "id", args.reverse, seed, exact=True))
     emit(lines, args.out, args.overwrite)
-    return None
 
 
 def main(arguments: list[str] | None = None) -> int:

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.patterns import java_pattern
+from seqloom.functions.patterns import Translation, translated
 
 _SUBJECT = {"seq": "seq", "id": "id1"}
 
 
-def _matches(pattern: str | None, on: str, case_sensitive: bool) -> tuple[Column, str]:
+def _matches(pattern: str | None, on: str, case_sensitive: bool) -> tuple[Column, Translation]:
     if pattern is None:
         raise ValueError("a pattern is needed")
     if on not in _SUBJECT:
         raise ValueError("on must be 'seq' or 'id'")
-    java = java_pattern(pattern, case_sensitive)
-    return F.col(_SUBJECT[on]).rlike(java), java
+    found = translated(pattern, case_sensitive)
+    return F.col(_SUBJECT[on]).rlike(found.java), found
 
 
 def grep(reads: DataFrame, pattern: str, on: str = "seq", invert: bool = False, trim_before: bool = False, trim_after: bool = False, trim_match: bool = False, case_sensitive: bool = False) -> DataFrame:
@@ -28,12 +28,14 @@ def grep(reads: DataFrame, pattern: str, on: str = "seq", invert: bool = False,
         raise ValueError("only matches in the sequence can be trimmed")
     if (trim_before or trim_after) and invert:
         raise ValueError("reads without a match cannot be trimmed")
-    hit, java = _matches(pattern, on, case_sensitive)
+    hit, found = _matches(pattern, on, case_sensitive)
     out = reads.where(~hit if invert else hit)
     if not (trim_before or trim_after):
         return out
-    at = F.regexp_instr("seq", F.lit(java)) - 1  # an empty match counts as well
-    end = at + F.length(F.regexp_extract("seq", java, 0))
+    at = F.regexp_instr("seq", F.lit(found.java)) - 1  # an empty match counts as well
+    end = at + F.length(F.regexp_extract("seq", found.java, 0))
+    for group in found.keeps:  # what \\K leaves out of the match
+        at = at + F.length(F.regexp_extract("seq", found.java, group))
     if trim_before:
         start = end if trim_match else at
         cut = lambda c: F.substr(F.col(c), start + 1)

@@ -13,8 +13,11 @@ from seqloom.schema import SAMPLE_READS, SAMPLE_SEED
 
 #: Bits of a key's hash that the histogram of the selection counts.
 BINS_LOG2 = 16
-#: Above this the exact generator of the command line would hold too many record numbers on the driver.
-GENERATOR_READS = 50_000_000
+#: What the exact generator of the command line can number; record numbers that it draws, which are held on the driver; and reads up to
+#: which the command line takes it unasked, as its draws are made one after the other.
+GENERATOR_READS, GENERATOR_DRAWS, UNASKED = 2**32 - 1, 10_000_000, 20_000_000
+#: Swaps whose draws are held at once; cells of the table that sorts out most of them.
+SWAPS, PLACES = 1 << 20, 1 << 22
 #: Numbers drawn at once.
 DRAWN = 1 << 16
 #: Records of a leaf of the tree of draws, and leaves that a worker remembers.
@@ -69,10 +72,14 @@ def _within(cut: tuple | None, seed: int) -> Column:
 # ---------------------------------------------------------------- by the command line's generator
 
 
-def uniform_integers(seed: int, bounds: np.ndarray) -> np.ndarray:
+def _generator_of(seed: int) -> np.random.RandomState:
+    return np.random.RandomState(seed or SAMPLE_SEED)
+
+
+def _below(state: np.random.RandomState, bounds: np.ndarray) -> np.ndarray:
     """One draw below each bound, in order: a 32-bit Mersenne Twister number divided by the bound's share of its range,
-    drawn again while the quotient is not below the bound. Drawn in blocks; a rejected number is taken out of its block."""
-    state = np.random.RandomState(seed or SAMPLE_SEED)
+    drawn again while the quotient is not below the bound. Drawn in blocks, never more numbers than are left to draw; a rejected number is
+    taken out of its block."""
     out = np.empty(len(bounds), np.int64)
     scale = 0xFFFFFFFF // bounds
     done, left = 0, np.zeros(0, np.int64)
@@ -88,21 +95,54 @@ def uniform_integers(seed: int, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def draw_indices(n: int, size: int, replacement: bool, seed: int) -> list[int]:
-    """Record numbers in order, repeated if drawn repeatedly."""
+def uniform_integers(seed: int, bounds: np.ndarray) -> np.ndarray:
+    return _below(_generator_of(seed), bounds)
+
+
+def _shuffled_places(n: int, size: int, seed: int, block: int) -> np.ndarray:
+    """What numbers stand in the first ``size`` places after 0..n-1 were shuffled from the end, place i with a drawn one of 0..i.
+    The draws are made twice: once to note the generator's state before each block of them, then block by block from the last one.
+    So the swaps are undone in the order in which they count, and only the places of the wanted numbers are held: the swaps among the
+    first places leave these as they are, and every later one moves a wanted number from the drawn place to i."""
+    starts = list(range(n - 1, size - 1, -block))  # blocks of swaps i = start, start - 1, ...; those below size are not needed
+    state, states = _generator_of(seed), []
+    bounds = lambda start: np.arange(start + 1, max(size, start + 1 - block), -1, dtype=np.int64)
+    for start in starts:
+        states.append(state.get_state())
+        _below(state, bounds(start))
+    wanted = set(range(size))
+    for start, at in zip(reversed(starts), reversed(states)):
+        state.set_state(at)
+        drawn = _below(state, bounds(start))[::-1]  # now from the smallest i on
+        first = start - len(drawn) + 1
+        table = np.zeros(PLACES, bool)
+        table[np.fromiter(wanted, np.int64, len(wanted)) & (PLACES - 1)] = True
+        # Draws of wanted places, of places that become wanted within the block, and some that only share a cell with one.
+        near = table[drawn & (PLACES - 1)]
+        while True:
+            more = near | np.isin(drawn, first + np.flatnonzero(near))
+            if more.sum() == near.sum():
+                break
+            near = more
+        for k in np.flatnonzero(near).tolist():
+            if (place := int(drawn[k])) in wanted:
+                wanted.remove(place)
+                wanted.add(first + k)
+    return np.fromiter(wanted, np.int64, len(wanted))
+
+
+def draw_indices(n: int, size: int, replacement: bool, seed: int, block: int = SWAPS) -> np.ndarray:
+    """Record numbers in order, repeated if drawn repeatedly. Holds ``size`` numbers and a block of draws."""
     if not n or not size:
-        return []
+        return np.empty(0, np.int64)
     if replacement:
-        return sorted(uniform_integers(seed, np.full(size, n, np.int64)).tolist())
-    places = np.arange(n)
-    for i, j in zip(range(n - 1, 0, -1), uniform_integers(seed, np.arange(n, 1, -1)).tolist()):
-        places[i], places[j] = places[j], places[i]
-    return sorted(places[:size].tolist())
+        return np.sort(uniform_integers(seed, np.full(size, n, np.int64)))
+    return np.sort(_shuffled_places(n, size, seed, block))
 
 
 def _drawn(reads: DataFrame, n: int, size: int, replacement: bool, seed: int) -> DataFrame:
     """(rec_no, times) of the generator's draws."""
-    if max(size, 0 if replacement else n) > GENERATOR_READS:
+    if size > GENERATOR_DRAWS or n > GENERATOR_READS:
         raise ValueError("too many reads for the exact generator; use method='hash'")
     drawn = reads.sparkSession.createDataFrame(pa.table({"rec_no": pa.array(draw_indices(n, size, replacement, seed), pa.int64())}))
     return drawn.groupBy("rec_no").agg(F.count("*").alias("times"))

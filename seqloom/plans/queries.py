@@ -17,11 +17,13 @@ from seqloom.plans.shared import shared_path
 from seqloom.sources.fastq import read_fastq
 from seqloom.sources.files import list_files
 from seqloom.sources.sinks import fastq_text, write_fastq
-from seqloom.sources.random_reads import random_reads
+from seqloom.sources.random_reads import random_reads_for
 
 PATTERN, QUERY, K, SEED = "ac[gt]{2}a", "ACGTTGCAAC", 500, 4357
 #: Bytes of a range in round trips; reads that the limited scale detection looks at.
 SPLIT, FEW = 50_000, 40
+#: A group called again, and a match that is said to begin late, with what they amount to.
+CALLS, CALLED, KEPT, KEPT_BEFORE = r"(?<b>[ac])g(?&b)", "[ac]g[ac]", r"gc\Kta", ("gc", "ta")
 
 
 def _columns(df: DataFrame) -> DataFrame:
@@ -49,6 +51,14 @@ def _paired(spark: SparkSession, d: str) -> DataFrame:
     return one.select("rec_no", "seq").join(two.select("rec_no", F.col("seq").alias("mate_seq")), "rec_no")
 
 
+def _replacement_total(spark: SparkSession, d: str) -> DataFrame:
+    """Reads drawn with replacement, and all reads: those drawn at all and the rest."""
+    taken, rest = sampling.sample_reads(reads(spark, d), k=K, seed=SEED, replacement=True)
+    counted = taken.select(F.lit(1).alias("drawn"), "rec_no").unionByName(rest.select(F.lit(0).alias("drawn"), "rec_no"))
+    by_read = counted.groupBy("rec_no").agg(F.sum("drawn").alias("times"))
+    return by_read.agg(F.sum("times").alias("drawn"), F.count("*").alias("reads"))
+
+
 def _written(spark: SparkSession, some: DataFrame, blocked: bool = False) -> list[str]:
     """Reads in their order as FASTQ files in the shared folder."""
     path = shared_path(spark, "written")
@@ -120,7 +130,11 @@ def queries() -> dict:
         "match_lines": lambda spark, d: reads(spark, d).select("rec_no", F.concat_ws("\t", "seq", alignment.align_score("seq", QUERY).cast("string")).alias("value")),
         "kmers_lines": lambda spark, d: kmers(reads(spark, d), 2).select("rank", F.concat_ws("\t", "kmer", F.col("frequency").cast("string")).alias("value")),
         "grep_count_invert": lambda spark, d: selection.grep_count(reads(spark, d), PATTERN, invert=True),
-        "random_reads": lambda spark, d: random_reads(spark, 1000),
+        "random_reads": lambda spark, d: random_reads_for(reads(spark, d), seed=SEED, min_length=20, max_length=60, id_length=12).drop("source_file"),
+        "align_mat50": lambda spark, d: reads(spark, d).select("rec_no", alignment.align_score("seq", QUERY, "textbook", "mat50").alias("score")),
+        "sample_replacement_total": _replacement_total,
+        "pattern_calls": _grep(pattern=CALLS),
+        "grep_keep": _grep(pattern=KEPT, trim_before=True),
         "record_hash": lambda spark, d: reads(spark, d).select("rec_no", record_hash().alias("hash")),
         "sample_hash": _sample(0),
         "sample_complement": _sample(1),
@@ -183,8 +197,9 @@ def _kmers(k: int, dense: bool) -> str:
     return f"{counted}, every AS (SELECT range AS rank FROM range({4**k})), named AS (SELECT rank, {letters} AS kmer FROM every) SELECT n.kmer, coalesce(c.frequency, 0) AS frequency, n.rank FROM named n LEFT JOIN c ON c.rank = n.rank"
 
 
-def _align(query: str, parity: bool) -> str:
-    """The recurrence as a recursive CTE: one step a read position, the gap along the query as a window maximum."""
+def _align(query: str, parity: bool, pair: str = "CASE WHEN substr(seq, i + 1, 1) = 'N' THEN 0 WHEN substr(seq, i + 1, 1) = y THEN 1 ELSE -2 END") -> str:
+    """The recurrence as a recursive CTE: one step a read position, the gap along the query as a window maximum; ``pair`` is the score of
+    the read's letter and the query's, y."""
     used = query[1:] if parity else query
     first = f"CASE WHEN substr(seq, 1, 1) = '{query[0]}' THEN 1 ELSE 0 END" if parity else "0"
     return f"""WITH RECURSIVE reads AS ({READS_SQL}),
@@ -196,7 +211,7 @@ dp AS (
     SELECT seq, i, j, greatest(h0, coalesce(max(h0 + 3 * j) OVER (PARTITION BY seq ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 4 - 3 * (j - 1), 0)) AS h, t
     FROM (
         SELECT seq, i + 1 AS i, j, greatest(h - 4, t - 3) AS t,
-               greatest(0, h - 4, t - 3, coalesce(lag(h) OVER (PARTITION BY seq ORDER BY j), 0) + CASE WHEN substr(seq, i + 1, 1) = 'N' THEN 0 WHEN substr(seq, i + 1, 1) = y THEN 1 ELSE -2 END) AS h0
+               greatest(0, h - 4, t - 3, coalesce(lag(h) OVER (PARTITION BY seq ORDER BY j), 0) + {pair}) AS h0
         FROM dp JOIN q USING (j) WHERE i < length(seq)
     )
 ),
@@ -204,6 +219,19 @@ best AS (SELECT seq, max(h) AS h FROM dp GROUP BY seq)
 SELECT rec_no, CAST(greatest(h, {first}) AS INT) AS score FROM reads JOIN best USING (seq)"""
 
 
+def _matrix(name: str) -> str:
+    cells = [f"WHEN '{x}{y}' THEN {alignment.MATRICES[name][i][j]}" for i, x in enumerate("ACGTN") for j, y in enumerate("ACGTN")]
+    return f"CASE y || substr(seq, i + 1, 1) {' '.join(cells)} END"
+
+
+def _random() -> str:
+    draw = lambda salt, at, below: f"(CAST('0x' || substr(md5('{SEED}.{salt}.' || rec_no || '.' || {at}), 1, 7) AS BIGINT) % {below})"
+    text = lambda n, letter: f"array_to_string(list_transform(range(1, {n} + 1), lambda i: {letter}), '')"
+    base = f"CASE WHEN {draw('seq', 'i', 1000)} < 280 THEN 'A' WHEN {draw('seq', 'i', 1000)} < 490 THEN 'C' WHEN {draw('seq', 'i', 1000)} < 700 THEN 'G' WHEN {draw('seq', 'i', 1000)} < 900 THEN 'T' ELSE 'N' END"
+    letter = lambda salt, below: f"chr(CAST(33 + {draw(salt, 'i', below)} AS INT))"
+    return f"{_WITH}, n AS (SELECT rec_no, 20 + {draw('length', '0', 41)} AS n FROM reads) SELECT rec_no, {text('12', letter('id', 94))} AS id1, {text('n', base)} AS seq, '' AS id2, {text('n', letter('qual', 64))} AS qual FROM n"
+
+
 def _shifted(offset: int) -> str:
     return f"{_WITH} SELECT rec_no, array_to_string(list_transform(string_split(qual, ''), lambda x: chr(CAST(greatest(0, least(126, ascii(x) + {offset})) AS INT))), '') AS qual FROM reads"
 
@@ -274,6 +302,11 @@ def oracle_sql() -> dict[str, str]:
         "concat_files": f"{_WITH} SELECT source_file, 2 * count(*) AS n, CAST(2 * sum(length(seq)) AS BIGINT) AS bases FROM reads GROUP BY source_file",
         "print_fastq": f"{_WITH} SELECT '@' || id1 || chr(10) || seq || chr(10) || '+' || id2 || chr(10) || qual AS value FROM reads",
         "roundtrip_fastq": f"{_WITH} SELECT id1, seq, id2, qual FROM reads",
+        "random_reads": _random(),
+        "align_mat50": _align(QUERY, False, _matrix("mat50")),
+        "sample_replacement_total": f"{_WITH} SELECT CAST({K} AS BIGINT) AS drawn, count(*) AS reads FROM reads",
+        "pattern_calls": f"{_WITH} SELECT {_ALL} FROM reads WHERE regexp_matches(seq, '{CALLED}', 'i')",
+        "grep_keep": f"{_WITH}, m AS (SELECT *, instr(seq, regexp_extract(seq, '(?i){''.join(KEPT_BEFORE)}')) + {len(KEPT_BEFORE[0])} AS place FROM reads WHERE regexp_matches(seq, '{''.join(KEPT_BEFORE)}', 'i')) SELECT source_file, rec_no, id1, substr(seq, place) AS seq, id2, substr(qual, place) AS qual FROM m",
         "roundtrip_fastq_gz": f"{_WITH} SELECT id1, seq, id2, qual FROM reads",
         "sort_reads": f"{_WITH} SELECT id1, seq, row_number() OVER (ORDER BY seq DESC, source_file, rec_no) - 1 AS place FROM reads",
         "scan_first_reads": f"{_WITH}, n AS (SELECT id1, qual, row_number() OVER (ORDER BY rec_no) - 1 AS rec_no FROM reads) SELECT rec_no, id1, qual FROM n WHERE rec_no < {FEW}",

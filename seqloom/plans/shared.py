@@ -10,17 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What the session names as spark.checkpoint.dir. Where it names none, a local session gets a folder of its own; on a
-    cluster that is an error, as executors would each write to their own disks."""
-    found = spark.sparkContext.getCheckpointDir()
+    """What the session names as spark.checkpoint.dir, or else the context's checkpoint folder. Where neither is set, a local session gets a
+    folder of its own; on a cluster that is an error, as executors would each write to their own disks."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not re.match(r"local(\[|$)", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            named = tempfile.mkdtemp(prefix="seqloom-")
-        spark.sparkContext.setCheckpointDir(named)
-        found = spark.sparkContext.getCheckpointDir()
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="seqloom-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 

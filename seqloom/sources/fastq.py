@@ -218,21 +218,36 @@ def _looked_at(path: str) -> tuple[int, str] | None:
         return None
 
 
+_COUNTED = "k int, path string, start bigint, stop bigint, kind string"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Newlines of each range, whether its last byte is one (null if it has none), and whether it could be unpacked."""
+    """Newlines of each range, whether its last byte is one (null if it has none), whether it could be unpacked, and where in the
+    file its last newlines are, four at most."""
     for b in batches:
         found = []
         for r in b.to_pylist():
-            split, n, ends, whole = FastqSplit(r["path"], r["start"], r["stop"], 0, kind=r["kind"], broken=False), 0, None, True
+            split, n, ends, whole, last, at = FastqSplit(r["path"], r["start"], r["stop"], 0, kind=r["kind"], broken=False), 0, None, True, [], r["start"]
             with open_raw(split.path) as f:
                 try:
                     for data in _texts(f, split, CHUNK_BYTES)[0]:
                         n, ends = n + data.count(b"\n"), data.endswith(b"\n") if data else ends
+                        place, late = len(data), []
+                        while len(late) < 4 and (place := data.rfind(b"\n", 0, place)) >= 0:
+                            late.insert(0, at + place)
+                        last, at = [*last, *late][-4:], at + len(data)
                 except blocked.NotBlocked:
                     whole = False
-            found.append((n, ends, whole))
-        n, ends, whole = zip(*found)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(ends, pa.bool_()), pa.array(whole)], [*b.schema.names, "n", "ends", "whole"])
+            found.append((n, ends, whole, last))
+        n, ends, whole, last = zip(*found)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(ends, pa.bool_()), pa.array(whole), pa.array(last, pa.list_(pa.int64()))], [*b.schema.names, "n", "ends", "whole", "last"])
+
+
+def counted(spark: SparkSession, ranges: list[tuple[int, str, int, int, str]]) -> list:
+    """The ranges (file, path, start, stop, kind) with what ``_count`` finds, in order; a row a range comes to the driver."""
+    table = spark.createDataFrame(ranges, _COUNTED).repartition(len(ranges))
+    rows = table.mapInArrow(_count, f"{_COUNTED}, n bigint, ends boolean, whole boolean, last array<bigint>").collect()
+    return sorted(rows, key=lambda r: (r["k"], r["start"]))
 
 
 def plan_splits(spark: SparkSession, files: list[tuple[str, int, str]], split_bytes: int = SPLIT_BYTES, whole: bool = False) -> list[FastqSplit]:
@@ -240,15 +255,12 @@ def plan_splits(spark: SparkSession, files: list[tuple[str, int, str]], split_by
     ``whole``: every file is one range."""
     split_bytes = max(split_bytes, -(-sum(size for _, size, _ in files) // MOST_RANGES))
     ranges = [(k, path, at, min(at + split_bytes, size), kind) for k, (path, size, kind) in enumerate(files) if kind != "gzip" and not whole and size > split_bytes for at in range(0, size, split_bytes)]
-    counted: dict[int, list] = {}
-    if ranges:
-        columns = "k int, path string, start bigint, stop bigint, kind string"
-        table = spark.createDataFrame(ranges, columns).repartition(len(ranges))
-        for r in table.mapInArrow(_count, f"{columns}, n bigint, ends boolean, whole boolean").collect():  # MOST_RANGES and a row a file
-            counted.setdefault(r["k"], []).append(r)
+    by_file: dict[int, list] = {}
+    for r in counted(spark, ranges) if ranges else ():  # MOST_RANGES, and one more a file
+        by_file.setdefault(r["k"], []).append(r)
     out = []
     for k, (path, _, kind) in enumerate(files):
-        rows = sorted(counted.get(k, ()), key=lambda r: r["start"])
+        rows = by_file.get(k, ())
         if not rows or not all(r["whole"] for r in rows):
             out.append(FastqSplit(path, 0, -1, 0, k, "plain" if kind == "plain" else "gzip"))
             continue
@@ -294,15 +306,23 @@ def read_fastq(spark: SparkSession, paths: str | list[str], missing: str = "erro
     none = spark.createDataFrame([], StructType([f for f in NUMBERED_SCHEMA.fields if f.name in wanted]))
     if not places:
         return none
-    spark.dataSource.register(FastqDataSource)
     start, stop = records
     splits = plan_splits(spark, [(paths[k], *looked[k]) for k in places], split_bytes, whole=stop is not None and stop <= SEQUENTIAL)
     splits = [s for s in splits if s.holds(start, stop)]
     if not splits:
         return none
     groups = _together(splits, [looked[k][0] for k in places], split_bytes)
-    plan = [[(s.path, s.start, s.end, s.lines, places[s.file_no], s.kind, s.broken, s.after) for s in g] for g in groups]
-    reader = spark.read.format("fastq").option("strict_tail", str(strict_tail).lower()).option("columns", ",".join(wanted))
-    reader = reader.option("start", start) if start else reader
-    reader = reader if stop is None else reader.option("stop", stop)
+    for s in splits:
+        s.file_no = places[s.file_no]
+    return reads_of(spark, groups, strict_tail, wanted, records)
+
+
+def reads_of(spark: SparkSession, groups: list[list[FastqSplit]], strict_tail: bool = True, columns: Sequence[str] = COLUMNS, records: tuple[int, int | None] = (0, None)) -> DataFrame:
+    """The reads of planned splits, a partition for each group of them."""
+    spark.createDataFrame([], "x int")  # makes the session this thread's own, in which Spark looks for sources
+    spark.dataSource.register(FastqDataSource)
+    plan = [[(s.path, s.start, s.end, s.lines, s.file_no, s.kind, s.broken, s.after) for s in g] for g in groups]
+    reader = spark.read.format("fastq").option("strict_tail", str(strict_tail).lower()).option("columns", ",".join(columns))
+    reader = reader.option("start", records[0]) if records[0] else reader
+    reader = reader if records[1] is None else reader.option("stop", records[1])
     return reader.option("splits", json.dumps(plan)).load()

@@ -1,9 +1,13 @@
 """The command line on small files."""
 
+from pathlib import Path
+
 import pytest
 
 from seqloom import cli
 from seqloom.operators import grep, uniq
+from seqloom.plans.shared import shared_dir
+from seqloom.sources.fastq import read_fastq
 from seqloom.sources.random_reads import random_reads
 from seqloom.streaming.reads import stream_fastq
 
@@ -64,6 +68,16 @@ def test_standard_input_and_errors(spark, capsysbinary, files, monkeypatch):
     assert cli.main(["grep", "a(", a]) == 1 and b"offset" in capsysbinary.readouterr().err
     assert cli.main(["uniq", "-v", a, b]) == 0 and capsysbinary.readouterr().err == b"3 reads\n"
     assert cli.main(["sample"]) == 1
+    assert not [p for p in (Path(shared_dir(spark)) / "seqloom").glob("stdin-*")]  # spooled input goes when it is done with
+
+
+def test_progress(spark, tmp_path, capsysbinary):
+    (tmp_path / "p.fq").write_bytes(b"@r\nACGT\n+\nIIII\n" * 500)
+    reads = read_fastq(spark, str(tmp_path / "p.fq"), split_bytes=800)
+    with cli.progress(reads, every=100) as counted:
+        assert counted.count() == 500
+    lines = capsysbinary.readouterr().err.decode().splitlines()
+    assert lines[-1] == "500 reads" and all(x.endswith(" reads") for x in lines)
 
 
 def test_sample(spark, capsysbinary, files, tmp_path):

@@ -1,0 +1,111 @@
+"""Files that grow: batches lose and repeat nothing, also over restarts."""
+
+import gzip
+import random
+
+import pytest
+
+from seqloom.operators import grep
+from seqloom.sources import fastq, files
+from seqloom.streaming import growing
+
+
+def records(lo, hi):
+    return b"".join(b"@r%d\n%s\n+\n%s\n" % (k, b"ACGT" * (k % 7), b"@+I#" * (k % 7)) for k in range(lo, hi))
+
+
+def read_out(spark, folder):
+    """(rec_no at the source, id) is lost in text: ids tell the records."""
+    names = [f for b in sorted(folder.iterdir()) for f in files.list_files(str(b))]
+    return [r["id1"] for r in fastq.read_fastq(spark, names).collect()] if names else []
+
+
+def step(spark, tmp_path, **options):
+    query = growing.stream_growing(spark, str(tmp_path / "in"), str(tmp_path / "check"), options.pop("use", growing.batch_writer(str(tmp_path / "out"))), availableNow=True, **options)
+    query.awaitTermination(120)
+    assert query.exception() is None
+    return query
+
+
+def test_growing_files_over_restarts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    a, text = tmp_path / "in" / "a.fq", records(0, 200)
+    r = random.Random(1)
+    cuts = sorted(r.sample(range(1, len(text)), 5))
+    for lo, hi in zip([0, *cuts], [*cuts, len(text)]):
+        with open(a, "ab") as f:  # in the middle of lines and records
+            f.write(text[lo:hi])
+        step(spark, tmp_path, split_bytes=777)
+        whole = text[:hi].count(b"\n") // 4
+        assert read_out(spark, tmp_path / "out") == [f"r{k}" for k in range(whole)]
+    (tmp_path / "in" / "b.fq").write_bytes(records(500, 510))
+    (tmp_path / "in" / "c.fq.gz").write_bytes(gzip.compress(records(600, 605)))
+    step(spark, tmp_path)
+    step(spark, tmp_path)
+    assert read_out(spark, tmp_path / "out") == [f"r{k}" for k in [*range(200), *range(500, 510), *range(600, 605)]]
+
+
+def test_a_large_file_is_read_by_several_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_bytes(records(0, 300))
+    seen = []
+    step(spark, tmp_path, split_bytes=1000, use=lambda reads, batch: seen.append((reads.rdd.getNumPartitions(), [r["rec_no"] for r in reads.collect()])))
+    assert len(seen) == 1 and seen[0][0] > 5 and seen[0][1] == list(range(300))
+
+
+def test_a_failed_batch_is_run_again_with_the_same_reads(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_bytes(records(0, 30))
+    step(spark, tmp_path, use=lambda reads, batch: None)
+    with open(tmp_path / "in" / "a", "ab") as f:
+        f.write(records(30, 50) + b"@tail\nAC")
+    writer, tried = growing.batch_writer(str(tmp_path / "out")), []
+
+    def failing(reads, batch):
+        tried.append((batch, [r["rec_no"] for r in reads.collect()]))
+        writer(reads, batch)
+        if len(tried) == 1:
+            raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        step(spark, tmp_path, use=failing)
+    with open(tmp_path / "in" / "a", "ab") as f:
+        f.write(b"GT\n+\nIIII\n")  # meanwhile
+    for _ in range(2):  # Spark may end a run with the batch that it repeats
+        step(spark, tmp_path, use=failing)
+    assert tried[0] == tried[1] == (1, list(range(30, 50)))
+    assert [t[1] for t in tried[2:]] == [[50]]
+    assert read_out(spark, tmp_path / "out") == [*(f"r{k}" for k in range(30, 50)), "tail"]
+
+
+def test_operators_run_on_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    (tmp_path / "in" / "a").write_bytes(records(0, 20))
+    step(spark, tmp_path, use=growing.batch_writer(str(tmp_path / "out"), lambda reads: grep.grep(reads, "ACGTACGT"), blocked=True))
+    assert read_out(spark, tmp_path / "out") == [f"r{k}" for k in range(20) if k % 7 >= 2]
+
+
+def test_splits_at_every_length(spark, monkeypatch, tmp_path):
+    """However far a file has grown, its whole records are in the splits and the next one begins behind them."""
+    text = records(0, 9) + b"@x\nA"
+    (tmp_path / "a").write_bytes(text)
+    path = str(tmp_path / "a")
+    def counting(_, ranges):
+        import pyarrow as pa
+
+        names = ["k", "path", "start", "stop", "kind"]
+        return [r for b in fastq._count(iter([pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in ranges])])) for r in b.to_pylist()]
+
+    monkeypatch.setattr(growing, "counted", counting)
+    for size in (1, 5, 1000):
+        state, found = {}, []
+        for length in range(0, len(text) + 1, 3):
+            if length <= state.get(path, [0])[0]:
+                continue
+            splits, state = growing.new_splits(None, [(path, length)], state, size)
+            for s in splits:
+                with open(path, "rb") as f:
+                    found += [x for b in fastq.read_split(f, s) for x in b.column("rec_no").to_pylist()]
+        assert found == list(range(9)) and state[path] == [len(records(0, 9)), 9]

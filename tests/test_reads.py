@@ -63,7 +63,7 @@ def test_grep_rules(spark, some):
 
 
 def test_constructs_of_the_dialect(spark):
-    for bad in (r"a\Kb", "(?R)", "(?1)", "(?|a)", "(?(1)a)", "(*FAIL)", "[[:nope:]]"):
+    for bad in ("(?R)", "(?1)", "(a(?1))", "(a|(b(?1)))", r"(a\Kb)", "(?(1)a)", "(?(R)a)", "(*FAIL)", "[[:nope:]]", r"\2(a)", "(?&x)", "(?P>x)"):
         with pytest.raises(UnsupportedPattern):
             java_pattern(bad)
     df = make(spark, ["a\rb", "zz", "p:"])
@@ -267,7 +267,7 @@ def test_generator():
         while (r := next(draws) // scale) >= i + 1:
             pass
         xs[r], xs[i] = xs[i], xs[r]
-    assert sampling.draw_indices(n, 10, False, 0) == sorted(xs[:10])
+    assert sampling.draw_indices(n, 10, False, 0).tolist() == sorted(xs[:10])
 
 
 def test_paired(spark, some):
@@ -446,3 +446,23 @@ def test_quality_table_of_a_million_positions(spark):
 def test_detection_is_one_pass_without_a_window(spark, some):
     plan = quality.detect_scale(some[2])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Scan") <= 2
+
+
+@pytest.mark.parametrize("n, size, block", [(1, 1, 4), (5, 5, 2), (300, 7, 16), (5000, 40, 64), (5000, 4999, 1000), (100_000, 50, 1 << 20), (200_000, 3000, 10_000)])
+def test_shuffling_backwards(n, size, block):
+    """The places that a whole shuffle leaves in front."""
+    for seed in (0, 7):
+        places = np.arange(n)
+        for i, j in zip(range(n - 1, 0, -1), sampling.uniform_integers(seed, np.arange(n, 1, -1)).tolist()):
+            places[i], places[j] = places[j], places[i]
+        assert sampling.draw_indices(n, size, False, seed, block).tolist() == sorted(places[:size].tolist())
+
+
+def test_exact_draws_hold_little():
+    import tracemalloc
+
+    tracemalloc.start()
+    found = sampling.draw_indices(10_000_000, 10_000, False, 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(found.tolist())) == 10_000 and most < 150 << 20
