@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import bound_batches, new_table, stage_table
 
 SCALE, TOP, EVERY = 256, 5, 50
-#: Rows of an index chunk; queries that are broadcast together (their vectors are all a task holds besides a chunk).
-CHUNK, QUERY_BLOCK = 16_384, 4096
+#: Rows of an index chunk; queries, and bytes of their components, that are broadcast together and answered in one pass over the index
+#: (they and their answers are all a task holds besides a chunk).
+CHUNK, QUERY_BLOCK, QUERY_BYTES = 16_384, 65_536, 32 << 20
 NO_FIT = "a score does not fit a long"
 _INDEX = "n int, places int, dims int, least bigint, keys binary, slices binary"
 
@@ -253,16 +254,17 @@ def search(index: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     """For each query its k best rows: query_id, rank, vec_id, score. Queries are taken in blocks of bounded size, each a
     broadcast that passes once over the index; all blocks' answers, k of each query and task, are one table."""
     spark = index.sparkSession
-    wanted = queries.select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("vector")).where("key is not null").distinct()
-    blocks = max(1, -(-wanted.count() // block))
+    wanted = queries.select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("vector")).where("key is not null").distinct()
+    size = wanted.agg(F.count("*").alias("n"), F.sum(8 * F.greatest(F.lit(1), F.size("vector"))).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // block), -(-(size["bytes"] or 0) // QUERY_BYTES))
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     if blocks > 1:
         wanted = stage_table(wanted, "queries", "block")
     path, found = new_table(spark, "answers"), None
     for b in range(blocks):
-        rows = wanted.where(F.col("block") == b).collect()  # about `block` queries
-        quantised = quantise(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), scale, strict=True)
-        asked = spark.sparkContext.broadcast([(r["key"], q) for r, q in zip(rows, quantised) if q is not None])
+        rows = wanted.where(F.col("block") == b).select("key", "vector").toArrow().combine_chunks()  # about `block` queries
+        vectors = rows.column("vector").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64()))
+        asked = spark.sparkContext.broadcast([(k_, q) for k_, q in zip(rows.column("key").to_pylist(), quantise(vectors, scale, strict=True)) if q is not None])
 
         def answer(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             best = Best(k)

@@ -95,3 +95,14 @@ def test_what_does_not_fit(spark, far, fails):
     if fails or far == -3e16:
         with pytest.raises(Exception, match="fit a long"):
             search(7)
+
+
+def test_query_blocks_by_number_and_by_bytes(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(k, r.normal(0, 1, 6).tolist()) for k in range(120)], "vec_id bigint, embedding array<double>")
+    index, queries_ = bitslice.build_index(df, "vec_id", "embedding"), df.where("vec_id % 10 = 0")
+    found = lambda **o: sorted(map(tuple, bitslice.search(index, queries_, "vec_id", "embedding", **o).collect()))
+    once = found()
+    assert len(once) == 60 and found(block=1) == once and found(block=5) == once
+    monkeypatch.setattr(bitslice, "QUERY_BYTES", 100)
+    assert found() == once
