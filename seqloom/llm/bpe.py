@@ -5,7 +5,8 @@ vocabulary entry takes one probe and one comparison. Tier two, for the misses, m
 in a doubly linked list, the next merge coming off a heap ordered by (rank, position).
 
 Defined results: a null or empty text encodes to no ids; ids decode to exactly the text's UTF-8
-bytes; rows are encoded one by one, so repeated rows repeat and an empty table gives an empty one.
+bytes; rows are encoded one by one, so repeated rows repeat, a null doc_id stays null and an empty table gives an
+empty one; of equal ranks the leftmost pair is merged first; very long pre-tokens go through the heap like others.
 """
 
 from __future__ import annotations

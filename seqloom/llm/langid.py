@@ -8,7 +8,8 @@ kept from training, and with it the confidence below which a prediction is rejec
 The model is fitted on at most SAMPLE labelled texts; every text is scored whole.
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; without
 anything to learn from every text is ``und`` with score 0, and those with a letter are not rejected.
-A document without a key is learned from. Repeated rows are scored alike, an empty table gives an empty result,
+A document without a key is learned from. Repeated rows are scored alike, of equal probabilities the language first by name
+is predicted, texts of any length are read whole, an empty table gives an empty result,
 other columns are ignored.
 """
 

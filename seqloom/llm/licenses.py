@@ -15,7 +15,8 @@ corpus is never indexed.
 
 Besides, the places of fixed phrases are counted (base labels).
 Defined results: a null or empty text has no words, no labels and score 0; without documents the
-result is empty; repeated rows are scanned alike; a null doc_id stays null; other columns are ignored.
+result is empty; repeated rows are scanned alike; a null doc_id stays null; equal containments give one score;
+texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ Labels give three grades: 0 for low quality, 1 for good but toxic text, 2 for go
 The weights are fitted on at most SAMPLE rated documents; every text is scored whole.
 Defined results: a null or empty text has no features, so that its grade comes from the thresholds
 alone; without labels of at least two grades the expected grade is null, the tail probability 1 and
-the document kept. Repeated rows are scored alike, an empty table gives an empty result, other
-columns are ignored.
+the document kept. Repeated rows are scored alike; a null doc_id stays null and has no
+grade to learn from; a document with grades that disagree is learned from once with each; equal
+tail probabilities are kept or dropped together; texts of any length are read whole; an empty table gives an empty result,
+other columns are ignored.
 """
 
 from __future__ import annotations

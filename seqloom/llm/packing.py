@@ -7,7 +7,8 @@ plan is a list of patterns with multiplicities; each piece finds its place from
 pieces of its length.
 
 Defined results: a null or empty text is one piece that holds only the end id; repeated rows are
-packed as often as they occur; a null key is a key like any other; an added token of the tokenizer
+packed as often as they occur; a null key is a key like any other; very long
+texts are cut into pieces; pieces of one length are interchangeable; an added token of the tokenizer
 file (such as its end mark) that stands in a text has its own id there, as in the library; an empty
 table gives an empty result; other columns are ignored.
 """

@@ -6,8 +6,10 @@ can only fall as the feature grows, whatever the others are.
 
 The trees are fitted on at most SAMPLE labelled documents; the statistics of every text are whole.
 Defined results: a null text has no words (all counts 0) and fails the base rule; without any label,
-or with labels of one kind only, the verdict is the base rule's. Repeated rows are judged alike, an
-empty table gives an empty result, other columns are ignored.
+or with labels of one kind only, the verdict is the base rule's. Repeated rows are judged alike; a
+null doc_id stays null and has no label; of a document's labels that disagree each is learned from; equal
+values of a statistic fall on the same side of every split; texts of any length are read whole; an empty table gives an empty
+result, other columns are ignored.
 """
 
 from __future__ import annotations

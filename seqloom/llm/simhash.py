@@ -8,8 +8,10 @@ only pairs of equal top nodes are walked. Subtries that hold too many fingerprin
 by the same rule on their remaining bits, until each fits one task; no pair is lost.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked like any other; a
-text of one or two words has its whole sequence as its one shingle; repeated rows are in one group;
-an empty table gives an empty result; other columns are ignored.
+text of one or two words has its whole sequence as its one shingle; repeated rows are in one group; rows
+without a key are grouped by their text, and a group of such rows alone has a null component_id; a bit that exactly half of the
+shingles have is 0; texts of any length are read whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
