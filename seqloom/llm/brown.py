@@ -8,7 +8,7 @@ bigrams is highest. It runs in three tiers, so that nothing but bounded tables m
    none moves. This sets up the classes.
 2. The HEAD most frequent words are exchanged in rounds: a distributed pass over all training texts
    counts the classes before and after each word, then the words move, half of them in a round so that
-   neighbours do not change places, as long as the likelihood grows.
+   neighbours do not change places; ROUNDS times, or until two rounds gain less than GAIN of the likelihood.
 3. Every other word that occurs twice or more makes its move by its own bigrams, in a table.
 
 Words that occur once, which stand for those never seen, are in classes of their surface form; the
@@ -341,7 +341,7 @@ def exchange_rounds(sequences: DataFrame, own: np.ndarray, words: int, classes:
         seen.append(log_likelihood(transitions))
         if best is None or seen[-1] > seen[best[2]]:
             best = (own, transitions, k)
-        done = k == rounds or (k > 2 and max(seen[-2:]) < max(seen[:-2]) + GAIN * abs(max(seen[:-2])))
+        done = k == rounds or (k > 1 and max(seen[-2:]) < seen[-3] + GAIN * abs(seen[-3]))
         if not done:
             target = best_classes(contexts, Gains(transitions, classes), size, words)
         drop_table(contexts)

@@ -170,6 +170,17 @@ def test_contexts_by_hand(spark):
     assert brown.best_classes(contexts, gains, got.shape[2], 5).tolist() == (want[1, :5] @ gains.before + want[0, :5] @ gains.after).argmax(axis=1).tolist()
 
 
+def test_rounds_end_when_they_gain_little(spark, monkeypatch):
+    texts = spark.createDataFrame([("a x b y a x b y c z".encode(),)] * 40, "text binary")
+    listed = {w: i for i, w in enumerate([b"a", b"b", b"c", b"x", b"y", b"z"])}
+    sequences = texts.mapInArrow(brown._number(listed), "ids binary, rest binary").cache()
+    start = np.concatenate([np.arange(6) % 2, 2 + np.arange(brown.FORMS + 1)])
+    seen = brown.exchange_rounds(sequences, start, 6, 2, 12)[2]
+    assert len(seen) < 13 and max(seen[-2:]) < seen[-3] + brown.GAIN * abs(seen[-3])
+    monkeypatch.setattr(brown, "GAIN", -10.0)
+    assert len(brown.exchange_rounds(sequences, start, 6, 2, 5)[2]) == 6
+
+
 def test_rounds_raise_the_likelihood(spark, small):
     texts = spark.read.parquet(f"{small}/documents.parquet").selectExpr("CAST(text AS binary) AS text")
     words = Counter(w for t in texts.collect() for w in brown.words_of(t["text"] or b""))
