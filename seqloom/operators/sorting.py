@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +52,11 @@ def sort_reads(reads: DataFrame, by: str = "id", reverse: bool = False, seed: in
     return keyed.orderBy(*order).drop(*names)
 
 
-def sort_positions(reads: DataFrame, by: str = "id", reverse: bool = False, seed: int | None = None, name: str = "position") -> DataFrame:
-    """The reads with their 0-based position in that order."""
+def sort_positions(reads: DataFrame, by: str = "id", reverse: bool = False, seed: int | None = None, name: str = "position", columns: Sequence[str] | None = None) -> DataFrame:
+    """The reads with their 0-based position in that order; of ``columns`` only, so that no others are sorted and written."""
     names = [f"__key{k}" for k in range(len(sort_keys(by, seed)))]
-    keyed = reads.withColumns(dict(zip(names, sort_keys(by, seed))))
-    return global_rank(keyed, [F.desc(n) if reverse else F.asc(n) for n in names] + _ties(reads), name).drop(*names)
+    wanted = list(columns or reads.columns)
+    ties = [c for c in ("file_no" if "file_no" in reads.columns else "source_file", "rec_no") if c not in wanted]
+    keyed = reads.select(*wanted, *ties, *[k.alias(n) for n, k in zip(names, sort_keys(by, seed))])
+    ranked = global_rank(keyed, [F.desc(n) if reverse else F.asc(n) for n in names] + _ties(reads), name)
+    return ranked.select(*wanted, name)

@@ -35,7 +35,7 @@ def _grep(**options):
 
 
 def _sorted(by: str, reverse: bool = False):
-    return lambda spark, d: sorting.sort_positions(reads(spark, d), by, reverse).select("rec_no", "position")
+    return lambda spark, d: sorting.sort_positions(reads(spark, d), by, reverse, columns=["rec_no"])
 
 
 def _sample(part: int, **options):
