@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of their input, whatever other columns it has and however these are named, and an empty input gives an
-empty result. Models are fitted within a stage: language ID on what it is given, the quality rules on the
+empty result. Texts of any length are read whole by every stage. Models are fitted within a stage: language ID on what it is given, the quality rules on the
 labels of the input folder that belong to documents they are given.
 """
 
