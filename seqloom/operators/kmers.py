@@ -26,19 +26,13 @@ BUCKETS, HELD, SORTED = 4096, 1 << 22, 1 << 22
 
 
 def _tabled(k: int):
-    """Counts in a table of all k-mers; numbers are held until it pays to go through the table."""
+    """Counts in a table of all k-mers, the one thing that a task holds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, n = np.zeros(4**k, np.int64), [], 0
+        table = np.zeros(4**k, np.int64)
         for b in batches:
             for w in pieces(b.column(0), k):
-                held.append(w.numbers())
-                n += len(held[-1])
-                if n >= max(4**k, 1 << 20):
-                    table += np.bincount(np.concatenate(held), minlength=4**k)
-                    held, n = [], 0
-        if held:
-            table += np.bincount(np.concatenate(held), minlength=4**k)
+                np.add.at(table, w.numbers(), 1)
         found = np.flatnonzero(table)
         for at in range(0, len(found), 1 << 18):
             some = found[at : at + (1 << 18)]

@@ -83,9 +83,9 @@ def _sorted_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _first_of_files(spark: SparkSession, d: str) -> DataFrame:
-    """The first reads of every written file, of which no more is read."""
-    files = _written(spark, reads(spark, d).orderBy("rec_no").coalesce(1))
-    return read_fastq(spark, files, split_bytes=SPLIT, records=(0, FEW), columns=["rec_no", "id1", "qual"])
+    """The first reads of the first written file, of which no more is read."""
+    files = _written(spark, reads(spark, d).orderBy("rec_no"))
+    return read_fastq(spark, files[:1], split_bytes=SPLIT, records=(0, FEW), columns=["rec_no", "id1", "qual"])
 
 
 def _file_order(spark: SparkSession, d: str) -> DataFrame:

@@ -25,8 +25,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stream_fastq(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
-    """A streaming DataFrame of reads. grep, alignment and quality shifts run on it in append mode, histograms and counts
-    in complete mode. The stream itself carries the files' paths; a task reads a file in chunks."""
+    """A streaming DataFrame of reads. grep, alignment and quality shifts run on it in append mode, histograms (k-mers
+    to k = 12) and counts in complete mode. The stream itself carries the files' paths; a task reads a file in chunks."""
     ship(spark)
     files = spark.readStream.schema(_FILES).format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(folder)
     return files.select("path").mapInArrow(_parse, READ_SCHEMA)

@@ -5,7 +5,8 @@ from pathlib import Path
 import pytest
 
 from seqloom import cli
-from seqloom.operators import grep, uniq
+from seqloom.operators import grep, quality, uniq
+from seqloom.operators.kmers import kmers
 from seqloom.plans.shared import shared_dir
 from seqloom.sources.fastq import read_fastq
 from seqloom.sources.random_reads import random_reads
@@ -101,8 +102,8 @@ def test_random_reads(spark):
 
 
 def test_operators_on_a_stream(spark, files, tmp_path):
-    for name, make, mode in (("g", lambda s: grep.grep(s, "acg"), "append"), ("u", uniq.uniq, "complete")):
+    for name, make, mode in (("g", lambda s: grep.grep(s, "acg"), "append"), ("u", uniq.uniq, "complete"), ("k", lambda s: kmers(s, 2, dense=False), "complete"), ("q", quality.qual_table, "complete")):
         query = make(stream_fastq(spark, f"{tmp_path}/*.fq")).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
         query.awaitTermination(60)
-    assert spark.table("g").count() == 2
+    assert spark.table("g").count() == 2 and spark.table("k").agg({"frequency": "sum"}).first()[0] == 9 and spark.table("q").agg({"n": "sum"}).first()[0] == 12
     assert {r["seq"]: r["copies"] for r in spark.table("u").collect()} == {"ACGT": 2, "TTAC": 1}
