@@ -3,8 +3,9 @@
 A template's blocks are the runs, across lines, of twice its own number of words (a shorter text is
 one block). A block meets the template if it holds at least THRESHOLD of the template's distinct
 words - all of them, if these are under SHORT, as 4 of 5 everyday words tell no license - and among
-them the words that tell the license from others. Wider blocks would gather a short template's words
-from unrelated lines.
+them the words that a short template cannot do without. Wider blocks would gather a short template's words
+from unrelated lines. Templates of one family of licenses share most of their words: a text has the label of
+the one of which it holds the largest share, of equal shares the longer one.
 
 The join works on windows, wide and near enough that every block of any template lies within one.
 Words are ordered by their frequency in the whole corpus, rarest first. The prefix filter asks for a
@@ -34,23 +35,41 @@ from seqloom.llm.common import bound_batches
 THRESHOLD, SHORT = 0.8, 10
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Public notices by license, with the words that tell each from others' notices.
+#: Public notices by label and family of licenses, with the words that short ones cannot do without. Of a family's notices
+#: the one that is held best names a text: a longer one before a shorter one that it includes.
 TEMPLATES = (
-    ("apache-notice", "Licensed under the Apache License, Version 2.0", "apache"),
-    ("apache-notice", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", "compliance license"),
-    ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution source binary"),
-    ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution source binary"),
-    ("cc-notice", "Licensed under CC BY-NC 4.0", "cc"),
-    ("cc-notice", "This work is licensed under a Creative Commons Attribution License", "creative commons"),
-    ("gpl-notice", "This work is licensed under the GNU General Public License, version 3", "gnu public"),
-    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu public"),
-    ("gpl-notice", "you can redistribute it and/or modify it under the terms of the GNU General Public License", "gnu public"),
-    ("mit-notice", "Released under the MIT License", "mit"),
-    ("mit-notice", "Licensed under the MIT License", "mit"),
-    ("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "hereby granted copy"),
-    ("mpl-notice", "This Source Code Form is subject to the terms of the Mozilla Public License", "mozilla"),
-    ("mpl-notice", "If a copy of the MPL was not distributed with this file, You can obtain one at", "mpl"),
-    ("reserved-notice", "Copyright All rights reserved", "rights reserved"),
+    ("agpl-notice", "gnu", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", ""),
+    ("agpl-notice", "gnu", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "gnu affero public"),
+    ("apache-notice", "apache", "Licensed under the Apache License, Version 2.0", "apache"),
+    ("apache-notice", "apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", "compliance license"),
+    ("apache-notice", "apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", ""),
+    ("bsd-notice", "bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution source binary"),
+    ("bsd-2-notice", "bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ""),
+    ("bsd-3-notice", "bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ""),
+    ("cc-notice", "cc", "Licensed under CC BY-NC 4.0", "cc"),
+    ("cc-by-notice", "cc", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons"),
+    ("cc-by-nc-notice", "cc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "creative commons noncommercial"),
+    ("cc-by-sa-notice", "cc", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "creative commons sharealike"),
+    ("cc-by-nd-notice", "cc", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "creative commons noderivatives"),
+    ("cc0-notice", "cc", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work", "cc0 waived"),
+    ("epl-notice", "epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License which is available at", "eclipse public"),
+    ("gpl-notice", "gnu", "This work is licensed under the GNU General Public License, version 3", "gnu public"),
+    ("gpl-notice", "gnu", "you can redistribute it and/or modify it under the terms of the GNU General Public License", "gnu public"),
+    ("gpl-notice", "gnu", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu public"),
+    ("gpl-notice", "gnu", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", ""),
+    ("isc-notice", "isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "fee granted"),
+    ("lgpl-notice", "gnu", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", ""),
+    ("lgpl-notice", "gnu", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "gnu lesser public"),
+    ("mit-notice", "mit", "Released under the MIT License", "mit"),
+    ("mit-notice", "mit", "Licensed under the MIT License", "mit"),
+    ("mit-notice", "mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "hereby granted copy"),
+    ("mit-notice", "mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ""),
+    ("mit-warranty", "warranty", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", ""),
+    ("mpl-notice", "mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", "mozilla"),
+    ("mpl-notice", "mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at", "mpl"),
+    ("reserved-notice", "reserved", "Copyright All rights reserved", "rights reserved"),
+    ("spdx-notice", "spdx", "SPDX License Identifier", "spdx"),
+    ("unlicense-notice", "unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ""),
 )
 #: Bytes of words after A-Z are lower-cased: digits, a-z and all bytes of other characters.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -80,7 +99,7 @@ class TemplateIndex:
     """Inverted index of the templates' prefixes, words in order of corpus frequency."""
 
     def __init__(self, templates, counts: dict[bytes, int], threshold: float = THRESHOLD):
-        sets = [(label, sorted(set(words_of(text))), frozenset(words_of(telling)), 2 * len(words_of(text))) for label, text, telling in templates]
+        sets = [((label, family), sorted(set(words_of(text))), frozenset(words_of(telling)), 2 * len(words_of(text))) for label, family, text, telling in templates]
         known = {w for _, ws, _, _ in sets for w in ws}
         self.place = {w: k for k, w in enumerate(sorted(known, key=lambda w: (counts.get(w, 0), w)))}
         self.known = frozenset(known)
@@ -114,20 +133,21 @@ class TemplateIndex:
         return out
 
     def scan(self, words: list[bytes]) -> dict[str, float]:
-        """Best containment by label over all blocks of a text."""
-        best: dict[str, float] = {}
+        """Labels with their containments over all blocks of a text: of each family that of the template which is held best."""
+        best: dict[str, tuple[float, int, str]] = {}
         if self.rare.isdisjoint(words):
-            return best
+            return {}
         for k in range(0, max(1, len(words) - self.step), self.step):
             window = words[k : k + 2 * self.step]
             if self.rare.isdisjoint(window):
                 continue
             for t in self.candidates(window):
-                label, ordered, known, need, telling, span = self.templates[t]
+                (label, family), ordered, known, need, telling, span = self.templates[t]
                 shared = widest(window, known, telling, span)
                 if shared >= need:
-                    best[label] = max(best.get(label, 0.0), shared / len(ordered))
-        return best
+                    best.setdefault(family, (-1.0, 0, ""))
+                    best[family] = max(best[family], (shared / len(ordered), len(ordered), label))
+        return {label: share for share, _, label in best.values()}
 
 
 def widest(words: list[bytes], known: frozenset[bytes], telling: frozenset[bytes], span: int) -> int:
@@ -171,7 +191,7 @@ _RESULT = "struct<n_words:bigint,n_base:bigint,first_word:bigint,last_word:bigin
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score (the best containment
     of a template, 1 where a phrase stands)."""
-    vocabulary = {w for _, t, _ in templates for w in words_of(t)}
+    vocabulary = {w for _, _, t, _ in templates for w in words_of(t)}
     index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(templates, corpus_counts(docs, vocabulary), threshold))
     split = [(tuple(words_of(p)), label) for p, label in phrases]
 
