@@ -57,6 +57,16 @@ class Index:
     terms: int
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts have a term, and how many terms they have."""
+    documents = terms = 0
+    for b in batches:
+        for text in b.column(0):
+            n = len(terms_of(text.as_py()))
+            documents, terms = documents + (n > 0), terms + n
+    yield pa.RecordBatch.from_arrays([pa.array([documents]), pa.array([terms])], ["documents", "terms"])
+
+
 def _blocks(documents: int, total: int, size: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int | None] = []
@@ -98,7 +108,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """None where no document has a term."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
-    n = docs.select(F.regexp_count("text", F.lit(TERM)).alias("n")).agg(F.count_if(F.col("n") > 0).alias("documents"), F.sum("n").alias("terms")).first()
+    n = docs.select("text").mapInArrow(_sizes, "documents bigint, terms bigint").agg(F.sum("documents").alias("documents"), F.sum("terms").alias("terms")).first()
     if not n["documents"]:
         return None
     blocks = docs.mapInArrow(_blocks(n["documents"], n["terms"], size), _INDEX)
