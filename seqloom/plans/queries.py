@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from seqloom.sources.random_reads import random_reads_for
 PATTERN, QUERY, K, SEED = "ac[gt]{2}a", "ACGTTGCAAC", 500, 4357
 #: Bytes of a range in round trips; reads that the limited scale detection looks at.
 SPLIT, FEW = 50_000, 40
+#: Numbers of reads that the exact generator's draws are written down for.
+SIZES = (1000, 10_000)
 #: A group called again, and a match that is said to begin late, with what they amount to.
 CALLS, CALLED, KEPT, KEPT_BEFORE = r"(?<b>[ac])g(?&b)", "[ac]g[ac]", r"gc\Kta", ("gc", "ta")
 
@@ -232,6 +235,55 @@ def _random() -> str:
     return f"{_WITH}, n AS (SELECT rec_no, 20 + {draw('length', '0', 41)} AS n FROM reads) SELECT rec_no, {text('12', letter('id', 94))} AS id1, {text('n', base)} AS seq, '' AS id2, {text('n', letter('qual', 64))} AS qual FROM n"
 
 
+def _record_hash() -> str:
+    """The hash word by word and field by field: a step a table, as no expression can be named. Numbers stay below 2**64."""
+    whole, number = 1 << 32, lambda x: f"CAST({x} AS UBIGINT)"
+    turned = lambda x, by: f"(({x} * {number(1 << by)}) % {number(whole)} + {x} // {number(1 << (32 - by))})"
+    times = lambda x, by: f"(({x} * {number(by)}) % {number(whole)})"
+    scrambled = lambda words: f"list_transform(list_transform({words}, lambda k: {times('k', 0xCC9E2D51)}), lambda k: {times(turned('k', 15), 0x1B873593)})"
+    letter = lambda c, at: f"coalesce(CAST(ascii(nullif(substr({c}, CAST({at} AS INT), 1), '')) AS UBIGINT), 0)"
+    word = lambda c, w: "(" + " + ".join(f"{letter(c, f'4 * {w} + {j + 1}')} * {number(256**j)}" for j in range(4)) + ")"
+    step = f"({turned('xor(h, k)', 13)} * 5 + {number(0xE6546B64)}) % {number(whole)}"
+    tables, last = [f"h AS (SELECT *, {number(RECORD_SEED)} AS h FROM reads)"], "h"
+    for c in ("id1", "seq", "id2", "qual"):
+        words = f"list_transform(range(length({c}) // 4), lambda w: {word(c, 'w')})"
+        rest = f"list_extract({scrambled(f'[{word(c, f"(length({c}) // 4)")}]')}, 1)"
+        for k, value in enumerate((
+            f"list_reduce(list_prepend(h, {scrambled(words)}), lambda h, k: {step})",
+            f"xor(xor(h, {rest}), CAST(length({c}) AS UBIGINT))",
+            times(f"xor(h, h // {number(1 << 16)})", 0x85EBCA6B),
+            times(f"xor(h, h // {number(1 << 13)})", 0xC2B2AE35),
+            f"xor(h, h // {number(1 << 16)})",
+        )):
+            tables.append(f"{c}_{k} AS (SELECT * EXCLUDE (h), {value} AS h FROM {last})")
+            last = f"{c}_{k}"
+    return f"{_WITH}, {', '.join(tables)} SELECT rec_no, CAST(h AS BIGINT) AS hash FROM {last}"
+
+
+def _shuffled(n: int, replacement: bool) -> list[int]:
+    """What the generator draws of ``n`` reads, number by number: a whole shuffle, or draws."""
+    state = np.random.RandomState(SEED)
+
+    def below(bound: int) -> int:
+        while (x := int(state.randint(0, 2**32, dtype=np.uint32)) // (0xFFFFFFFF // bound)) >= bound:
+            pass
+        return x
+
+    if replacement:
+        return [below(n) for _ in range(min(K, n))]
+    places = list(range(n))
+    for i in range(n - 1, 0, -1):
+        j = below(i + 1)
+        places[i], places[j] = places[j], places[i]
+    return places[:K]
+
+
+def _generated(replacement: bool) -> str:
+    """The numbers are written into the text for the sizes that the tables have."""
+    lists = " ".join(f"WHEN {n} THEN {_shuffled(n, replacement)}" for n in SIZES)
+    return f"{_WITH}, d AS (SELECT unnest(CASE count(*) {lists} END) AS rec_no FROM reads) SELECT rec_no, seq, qual FROM d JOIN reads USING (rec_no)"
+
+
 def _shifted(offset: int) -> str:
     return f"{_WITH} SELECT rec_no, array_to_string(list_transform(string_split(qual, ''), lambda x: chr(CAST(greatest(0, least(126, ascii(x) + {offset})) AS INT))), '') AS qual FROM reads"
 
@@ -303,6 +355,9 @@ def oracle_sql() -> dict[str, str]:
         "print_fastq": f"{_WITH} SELECT '@' || id1 || chr(10) || seq || chr(10) || '+' || id2 || chr(10) || qual AS value FROM reads",
         "roundtrip_fastq": f"{_WITH} SELECT id1, seq, id2, qual FROM reads",
         "random_reads": _random(),
+        "record_hash": _record_hash(),
+        "sample_mt": _generated(False),
+        "sample_with_replacement": _generated(True),
         "align_mat50": _align(QUERY, False, _matrix("mat50")),
         "sample_replacement_total": f"{_WITH} SELECT CAST({K} AS BIGINT) AS drawn, count(*) AS reads FROM reads",
         "pattern_calls": f"{_WITH} SELECT {_ALL} FROM reads WHERE regexp_matches(seq, '{CALLED}', 'i')",
