@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def _rest(large: DataFrame, links: DataFrame, grouped) -> DataFrame:
     """What is outside the largest component that the links made in a cluster, by blocks of its own, with every block."""
     found = connected_components(links)
-    labelled = large.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = large.where("blocks > 1")  # the others have been compared whole
+    labelled = split.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = labelled.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     # Blocks of the rest: as large as the others.
