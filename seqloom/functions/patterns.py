@@ -292,7 +292,7 @@ class _Writer:
 
     def _number(self, target: int | str) -> int:
         number = self.parser.names.get(target) if isinstance(target, str) else target
-        if number is None or (number not in self.groups and self.groups is not None and number > self.parser.groups) or number < 1:
+        if number is None or not 1 <= number <= self.parser.groups:
             raise UnsupportedPattern(f"there is no group {target} in {self.parser.pattern!r}, which ends at offset {len(self.parser.pattern)}")
         return number
 
