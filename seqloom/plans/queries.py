@@ -85,6 +85,21 @@ def _sorted_files(spark: SparkSession, d: str) -> DataFrame:
     return global_rank(found, [F.asc("file_no"), F.asc("rec_no")], "place").select("id1", "seq", "place")
 
 
+def _in_place(spark: SparkSession, d: str) -> DataFrame:
+    """Written once; not written again; then replaced by what is read from it, sorted. The place of each read at the end."""
+    path = shared_path(spark, "written")
+    write_fastq(reads(spark, d), path)
+    try:
+        write_fastq(reads(spark, d), path)
+        raise AssertionError("an existing folder was overwritten")
+    except FileExistsError:
+        pass
+    found = read_fastq(spark, list_files(path), split_bytes=SPLIT)
+    write_fastq(found.orderBy("seq", "id1"), path, overwrite=True)
+    found = read_fastq(spark, list_files(path), split_bytes=SPLIT, file_no=True, columns=["rec_no", "id1", "seq"])
+    return global_rank(found, [F.asc("file_no"), F.asc("rec_no")], "place").select("id1", "seq", "place")
+
+
 def _first_of_files(spark: SparkSession, d: str) -> DataFrame:
     """The first reads of the first written file, of which no more is read."""
     files = _written(spark, reads(spark, d).orderBy("rec_no"))
@@ -156,6 +171,8 @@ def queries() -> dict:
         "roundtrip_fastq": _roundtrip(),
         "roundtrip_fastq_gz": _roundtrip(blocked=True),
         "sort_reads": _sorted_files,
+        "overwrite_in_place": _in_place,
+        "shuffle_seed": lambda spark, d: sorting.sort_positions(reads(spark, d), "random", seed=7, columns=["rec_no"]),
         "scan_first_reads": _first_of_files,
     }
     for k in (1, 3):
@@ -364,6 +381,8 @@ def oracle_sql() -> dict[str, str]:
         "grep_keep": f"{_WITH}, m AS (SELECT *, instr(seq, regexp_extract(seq, '(?i){''.join(KEPT_BEFORE)}')) + {len(KEPT_BEFORE[0])} AS place FROM reads WHERE regexp_matches(seq, '{''.join(KEPT_BEFORE)}', 'i')) SELECT source_file, rec_no, id1, substr(seq, place) AS seq, id2, substr(qual, place) AS qual FROM m",
         "roundtrip_fastq_gz": f"{_WITH} SELECT id1, seq, id2, qual FROM reads",
         "sort_reads": f"{_WITH} SELECT id1, seq, row_number() OVER (ORDER BY seq DESC, source_file, rec_no) - 1 AS place FROM reads",
+        "overwrite_in_place": f"{_WITH} SELECT id1, seq, row_number() OVER (ORDER BY seq, id1) - 1 AS place FROM reads",
+        "shuffle_seed": _position("md5('7' || chr(10) || id1 || chr(10) || seq || chr(10) || id2 || chr(10) || qual)"),
         "scan_first_reads": f"{_WITH}, n AS (SELECT id1, qual, row_number() OVER (ORDER BY rec_no) - 1 AS rec_no FROM reads) SELECT rec_no, id1, qual FROM n WHERE rec_no < {FEW}",
         "kmers_1": _kmers(1, True),
         "kmers_3": _kmers(3, True),
