@@ -188,7 +188,8 @@ def _add_blocks(words: int, size: int, sides: int, block: int):
                 if k not in total:
                     total[k] = np.zeros(cells, np.int64)
                 total[k] += part
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+        for k in list(total):  # a batch a block: all of them at once would be a large buffer in the JVM too
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.pop(k).astype("<i8").tobytes()], pa.binary())], ["block", "counts"])
 
     return add
 
@@ -203,11 +204,15 @@ def pair_counts(sequences: DataFrame, fold: np.ndarray, size: int) -> np.ndarray
     return pairs
 
 
+def context_parts(sequences: DataFrame, own: np.ndarray, size: int) -> DataFrame:
+    """(block, counts): [after, before] x BLOCK numbers x classes, as each task counted them, dealt by block."""
+    return sequences.select("ids").mapInArrow(_count_classes(own, size), "block int, counts binary").repartition("block")
+
+
 def class_contexts(sequences: DataFrame, own: np.ndarray, size: int) -> DataFrame:
-    """(block, counts): [after, before] x BLOCK numbers x classes. A bounded table, whatever the size of the corpus; a task
-    passes on its sums."""
-    parts = sequences.select("ids").mapInArrow(_count_classes(own, size), "block int, counts binary").repartition("block").mapInArrow(_add_blocks(len(own), size, 2, BLOCK), "block int, counts binary")
-    return stage_table(parts, "class-contexts")
+    """The sums of ``context_parts``, a bounded table, whatever the size of the corpus. The rounds need only what follows from
+    the sums, and so add up where they choose classes."""
+    return context_parts(sequences, own, size).mapInArrow(_add_blocks(len(own), size, 2, BLOCK), "block int, counts binary")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -218,6 +223,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
 
 
 def class_transitions(contexts: DataFrame, own: np.ndarray, size: int) -> np.ndarray:
+    """From ``class_contexts``, what ``pair_counts`` of the classes has from the sequences."""
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((size, size), np.int64)
         for k, after, _ in _blocks(batches, size):
@@ -231,11 +238,12 @@ def class_transitions(contexts: DataFrame, own: np.ndarray, size: int) -> np.nda
     return out
 
 
-def best_classes(contexts: DataFrame, gains: Gains, size: int, words: int) -> np.ndarray:
-    """The class that gains most for each of the first ``words`` numbers."""
+def best_classes(contexts: DataFrame, gains: Gains, size: int, words: int, add: Callable = iter) -> np.ndarray:
+    """The class that gains most for each of the first ``words`` numbers; ``add`` makes sums of a partition's ``contexts``, if
+    they are none yet."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, after, before in _blocks(batches, size):
+        for k, after, before in _blocks(add(batches), size):
             target = (before @ gains.before + after @ gains.after).argmax(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([target.astype(np.uint8).tobytes()], pa.binary())], ["block", "classes"])
 
@@ -336,17 +344,13 @@ def exchange_rounds(sequences: DataFrame, own: np.ndarray, words: int, classes:
     size = int(own.max()) + 1
     best, seen = None, []
     for k in range(rounds + 1):
-        contexts = class_contexts(sequences, own, size)
-        transitions = class_transitions(contexts, own, size)
+        transitions = pair_counts(sequences, own, size).astype(np.float64)
         seen.append(log_likelihood(transitions))
         if best is None or seen[-1] > seen[best[2]]:
             best = (own, transitions, k)
-        done = k == rounds or (k > 1 and max(seen[-2:]) < seen[-3] + GAIN * abs(seen[-3]))
-        if not done:
-            target = best_classes(contexts, Gains(transitions, classes), size, words)
-        drop_table(contexts)
-        if done:
+        if k == rounds or (k > 1 and max(seen[-2:]) < seen[-3] + GAIN * abs(seen[-3])):
             break
+        target = best_classes(context_parts(sequences, own, size), Gains(transitions, classes), size, words, _add_blocks(len(own), size, 2, BLOCK))
         movable = (own[:words] >= classes) | (np.arange(words) % 2 == k % 2)
         own = own.copy()
         own[:words] = np.where(movable, target, own[:words])

@@ -181,6 +181,36 @@ def test_rounds_end_when_they_gain_little(spark, monkeypatch):
     assert len(brown.exchange_rounds(sequences, start, 6, 2, 5)[2]) == 6
 
 
+def test_rounds_write_no_tables(spark, monkeypatch):
+    """Class contexts are added up where classes are chosen; they are not written and read again."""
+    texts = spark.createDataFrame([("a x b y c x".encode(),), ("b x a y".encode(),)] * 20, "text binary").repartition(3)
+    sequences = texts.mapInArrow(brown._number({w: i for i, w in enumerate([b"a", b"b", b"c", b"x", b"y"])}), "ids binary, rest binary").cache()
+    own = np.concatenate([np.arange(5) % 2, 2 + np.arange(brown.FORMS + 1)])
+    size = int(own.max()) + 1
+    monkeypatch.setattr(brown, "BLOCK", 2)
+    contexts = brown.class_contexts(sequences, own, size)
+    transitions = brown.class_transitions(contexts, own, size)
+    want = brown.best_classes(contexts, brown.Gains(transitions, 2), size, 5)
+    written = []
+    monkeypatch.setattr(brown, "stage_table", lambda df, label, **_: written.append(label) or df)
+    found, last, seen = brown.exchange_rounds(sequences, own, 5, 2, 1)
+    assert not written and len(seen) == 2 and seen[0] == brown.log_likelihood(transitions)
+    moved = own.copy()
+    moved[:5:2] = want[::2]
+    assert seen[1] == brown.log_likelihood(brown.class_transitions(brown.class_contexts(sequences, moved, size), moved, size))
+    assert (found == (own if seen[0] >= seen[1] else moved)).all() and brown.log_likelihood(last) == max(seen)
+
+
+def test_sums_come_a_block_at_a_time():
+    """So that neither Python nor the JVM holds all blocks of a task in one batch."""
+    table = np.arange(2 * 10 * 3, dtype=np.int32).reshape(2, 10, 3)
+    out = list(brown._add_blocks(10, 3, 2, 4)(iter([*brown._dealt(table, 4), *brown._dealt(table, 4)])))
+    assert [b.column(0).to_pylist() for b in out] == [[0], [4], [8]]
+    for b, k in zip(out, (0, 4, 8)):
+        assert b.column(1).to_pylist() == [(2 * table[:, k : k + 4]).astype("<i8").tobytes()]
+    assert not list(brown._add_blocks(10, 3, 2, 4)(iter([])))
+
+
 def test_rounds_raise_the_likelihood(spark, small):
     texts = spark.read.parquet(f"{small}/documents.parquet").selectExpr("CAST(text AS binary) AS text")
     words = Counter(w for t in texts.collect() for w in brown.words_of(t["text"] or b""))
